@@ -28,9 +28,9 @@ from .pretokens import spelled, word_splitter
 
 CAPACITY = 2048
 #: Groups of equal cardinality that large lengths are rounded up in.
-GROUPS = 48
+GROUPS = 96
 #: Lengths up to this part of the capacity are small.
-SMALL = 1 / 8
+SMALL = 1 / 4
 #: Pieces that are ranked together.
 RANKED = 100_000
 
