@@ -10,7 +10,8 @@ repeated rows are encoded each; an empty table gives an empty table; output colu
 from __future__ import annotations
 
 import base64
-from array import array
+import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -137,13 +138,20 @@ def encoded(text: Column, vocabulary: str) -> Column:
     return encode(F.coalesce(text, F.lit("")))
 
 
+def each(lists: pa.Array) -> Iterator[np.ndarray | None]:
+    """The lists of an id column, as views of its buffer."""
+    values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for a, b, null in zip(offsets[:-1], offsets[1:], lists.is_null().to_pylist(), strict=True):
+        yield None if null else values[a:b]
+
+
 def decoded(ids: Column, vocabulary: str) -> Column:
     """``binary``: the bytes of an id column."""
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         of = codec(vocabulary)
-        return pa.array([None if x is None else of.decode(x) for x in lists.to_pylist()], pa.binary())
+        return pa.array([None if x is None else of.decode(x.tolist()) for x in each(lists)], pa.binary())
 
     return decode(ids)
 
@@ -153,8 +161,6 @@ def ids_sha256(ids: Column) -> Column:
 
     @F.arrow_udf("string")
     def digest(lists: pa.Array) -> pa.Array:
-        import hashlib
-
-        return pa.array([hashlib.sha256(array("I", x).tobytes()).hexdigest() for x in lists.to_pylist()], pa.string())
+        return pa.array([None if x is None else hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each(lists)], pa.string())
 
     return digest(ids)

@@ -53,7 +53,7 @@ class BoundedCache(dict):
     Values are the same whether they come from the cache or not. Keys longer than ``longest`` are never kept.
     """
 
-    def __init__(self, compute, limit: int = 400_000, longest: int = 64):
+    def __init__(self, compute, limit: int = 800_000, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest = compute, limit, longest
 
