@@ -135,7 +135,8 @@ def encoded(text: Column, vocabulary: str) -> Column:
         np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
-    return encode(F.coalesce(text, F.lit("")))
+    # Declared non-deterministic, so that the optimizer never runs it once more for each use of the ids.
+    return encode.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def each(lists: pa.Array) -> Iterator[np.ndarray | None]:
