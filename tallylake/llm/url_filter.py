@@ -68,7 +68,7 @@ class Level:
         at = F.explode(F.array(*hashed_bits(F.col("key"), level, self.hashes, self.bits)))
         bytes_set = keys.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at").bitwiseAND(F.lit(7)).cast("int"))).alias("set"))
         table = bytearray(self.bits // 8)
-        for row in bytes_set.toLocalIterator():  # at most MOST_BYTES rows
+        for row in bytes_set.collect():  # at most MOST_BYTES small rows; a level of a thousand keys has some 2,000
             table[row["byte"]] = row["set"]
         self.table = F.lit(table)
 
@@ -83,16 +83,23 @@ class Level:
         return out
 
 
+def distinct_keys(universe: DataFrame) -> int:
+    return universe.agg(F.approx_count_distinct("key")).first()[0]
+
+
 class Cascade:
-    """Exact membership of ``listed`` (column ``key``) for every key of ``universe`` (column ``key``, repeats allowed)."""
+    """Exact membership of ``listed`` (column ``key``) for every key of ``universe`` (column ``key``, repeats allowed).
+
+    ``size``: about how many keys the universe has; it only sizes level 1.
+    """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame):
+    def __init__(self, listed: DataFrame, universe: DataFrame, size: int | None = None):
         self.levels: list[Level] = []
         inside = checkpointed(listed.select("key").distinct())
         n = inside.count()
         if not n:
             return
-        others = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
+        others = max(1, distinct_keys(universe) if size is None else size)
         first = Level(inside, 0, n, min(0.5, n / (2 * others)))
         self.levels.append(first)
         passed = universe.select("key").where(first.passes(F.col("key"))).distinct()
@@ -122,7 +129,8 @@ def judged(pages: DataFrame, allow: DataFrame, block: DataFrame, url: str = "url
     keys = candidates(F.col("host"), F.col("path"), sorted(shape[0]), sorted(shape[1]))
     universe = cut.select(F.explode(keys).alias("key"))
     as_keys = lambda df: df.select(F.concat("host", "path").alias("key"))
-    allowed, blocked = Cascade(as_keys(allow), universe), Cascade(as_keys(block), universe)
+    size = distinct_keys(universe)
+    allowed, blocked = Cascade(as_keys(allow), universe, size), Cascade(as_keys(block), universe, size)
     both = as_keys(allow).join(as_keys(block), "key", "left_semi")
     if not both.isEmpty():
         raise ValueError("a rule is both allowed and blocked")
