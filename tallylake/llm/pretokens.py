@@ -1,7 +1,7 @@
 """Splitting texts into pre-tokens exactly as the public tokenizers do.
 
-Texts that fit Latin-1 take the standard ``re`` engine with explicit character classes; all others take Unicode classes of
-``regex``. Both give the same pieces; only their speed differs.
+Texts that fit Latin-1 take the standard ``re`` engine with explicit character classes; all others take the tokenizers library's own
+splitter, so that letters, numbers and white space are those of its Unicode version. Both give the same pieces; only their speed differs.
 """
 
 from __future__ import annotations
@@ -10,26 +10,22 @@ import json
 import re
 from functools import lru_cache
 
-import regex
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
-# Unicode White_Space, and the letters and numbers of Latin-1.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# White space, letters and numbers of Latin-1.
 LATIN_WHITE = "\\t-\\r \\x85\\xa0"
 LATIN_LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 LATIN_NUMBERS = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 
 
-def explicit(pattern: str, latin: bool) -> str:
-    """``pattern`` with its classes written out: white space as Unicode defines it and, for Latin-1, letters and numbers too."""
-    white = LATIN_WHITE if latin else WHITE
-    out = pattern.replace("[^\\s", f"[^{white}").replace("\\S", f"[^{white}]").replace("\\s", f"[{white}]")
-    if latin:
-        out = re.sub(r"\[\\p\{([LN])\}\]", r"\\p{\1}", out)
-        inside = lambda m: m[0].replace("\\p{L}", LATIN_LETTERS).replace("\\p{N}", LATIN_NUMBERS)
-        out = re.sub(r"\[\^[^\]]*\]", inside, out)
-        out = out.replace("\\p{L}", f"[{LATIN_LETTERS}]").replace("\\p{N}", f"[{LATIN_NUMBERS}]")
-    return out
+def explicit(pattern: str) -> str:
+    """``pattern`` with its classes written out for Latin-1."""
+    out = pattern.replace("[^\\s", f"[^{LATIN_WHITE}").replace("\\S", f"[^{LATIN_WHITE}]").replace("\\s", f"[{LATIN_WHITE}]")
+    out = re.sub(r"\[\\p\{([LN])\}\]", r"\\p{\1}", out)
+    inside = lambda m: m[0].replace("\\p{L}", LATIN_LETTERS).replace("\\p{N}", LATIN_NUMBERS)
+    out = re.sub(r"\[\^[^\]]*\]", inside, out)
+    return out.replace("\\p{L}", f"[{LATIN_LETTERS}]").replace("\\p{N}", f"[{LATIN_NUMBERS}]")
 
 
 def is_latin(text: str) -> bool:
@@ -46,11 +42,13 @@ class Splitter:
     """``pattern`` applied to whole texts; ``(text)`` gives the list of matches."""
 
     def __init__(self, pattern: str):
-        self.latin = re.compile(explicit(pattern, latin=True))
-        self.wide = regex.compile(explicit(pattern, latin=False))
+        self.latin = re.compile(explicit(pattern))
+        self.wide = Split(Regex(pattern), "removed", invert=True)
 
     def __call__(self, text: str) -> list[str]:
-        return (self.latin if is_latin(text) else self.wide).findall(text)
+        if is_latin(text):
+            return self.latin.findall(text)
+        return [text[a:b] for _, (a, b) in self.wide.pre_tokenize_str(text)]
 
 
 @lru_cache
