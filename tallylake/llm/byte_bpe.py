@@ -124,19 +124,48 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def in_slices(values: pa.Array, f, kind: pa.DataType, rows: int = 512) -> pa.Array:
+    """``f`` of a few rows at a time, so that Python objects never exist for a whole batch."""
+    parts = [f(values.slice(at, rows)) for at in range(0, len(values), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def id_lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encoded(text: Column, vocabulary: str) -> Column:
     """``array<int>``: the ids of a text column. ``vocabulary``: the path of a .tiktoken file on every worker."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
+        of = codec(vocabulary)
+        return in_slices(texts, lambda part: id_lists([of.encode(t) for t in part.to_pylist()]), pa.list_(pa.int32()))
+
+    return encode(F.coalesce(text, F.lit("")))
+
+
+def round_trip(text: Column, vocabulary: str) -> Column:
+    """``struct<ids array<int>, ids_sha256 string, bytes binary>``: a text encoded once, its ids' digest, and what the ids decode to.
+
+    One function, because the optimizer would run ``encoded`` anew for every function of its result.
+    """
+
+    def part_of(texts: pa.Array) -> pa.Array:
         of = codec(vocabulary)
         packed = [of.encode(t) for t in texts.to_pylist()]
-        offsets = np.zeros(len(packed) + 1, np.int32)
-        np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        digests = [hashlib.sha256(p).hexdigest() for p in packed]
+        back = [of.decode(np.frombuffer(p, "<u4").tolist()) for p in packed]
+        return pa.StructArray.from_arrays([id_lists(packed), pa.array(digests, pa.string()), pa.array(back, pa.binary())], ["ids", "ids_sha256", "bytes"])
+
+    @F.arrow_udf("struct<ids:array<int>,ids_sha256:string,bytes:binary>")
+    def convert(texts: pa.Array) -> pa.Array:
+        kind = pa.struct([("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("bytes", pa.binary())])
+        return in_slices(texts, part_of, kind)
 
-    # Declared non-deterministic, so that the optimizer never runs it once more for each use of the ids.
-    return encode.asNondeterministic()(F.coalesce(text, F.lit("")))
+    return convert(F.coalesce(text, F.lit("")))
 
 
 def each(lists: pa.Array) -> Iterator[np.ndarray | None]:

@@ -33,9 +33,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encoded(F.col("text"), BYTE_VOCABULARY).alias("ids"))
-    both = docs.select("doc_id", "ids", byte_bpe.decoded(F.col("ids"), BYTE_VOCABULARY).alias("bytes"), byte_bpe.ids_sha256(F.col("ids")).alias("ids_sha256"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    both = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.round_trip(F.col("text"), BYTE_VOCABULARY).alias("r"))
+    return both.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), "r.ids_sha256", F.sha2("r.bytes", 256).alias("decoded_sha256"))
 
 
 def op4_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,8 @@ def judged(pages: DataFrame, allow: DataFrame, block: DataFrame, url: str = "url
     shape = rules.select(F.collect_set(F.size(F.split("host", "\\."))), F.collect_set(F.length("path"))).first()
     host, path = host_and_path(F.col(url).cast("string"))
     cut = pages.withColumns({"host": host, "path": path})
+    if not shape[0]:
+        return cut.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     keys = candidates(F.col("host"), F.col("path"), sorted(shape[0]), sorted(shape[1]))
     universe = cut.select(F.explode(keys).alias("key"))
     as_keys = lambda df: df.select(F.concat("host", "path").alias("key"))

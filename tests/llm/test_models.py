@@ -73,15 +73,16 @@ def test_crf_learns_its_table_and_leaves_prose_alone():
 
 
 def test_held_out_lines():
-    """A model from every other line labels most of the others' tokens right."""
+    """Models that never saw a fifth of the lines label most of their tokens right."""
     rows = pii.labelled_rows()
-    crf = pii.Crf(rows[::2], rounds=150)
     right = total = 0
-    for tokens, labels in rows[1::2]:
-        s = np.array([crf.shapes[t] for t in tokens])
-        got = crf.labels(s, np.array([0]), np.array([len(s)]))
-        right, total = right + int((got == np.array(labels)).sum()), total + len(labels)
-    assert right / total > 0.9
+    for fold in range(5):
+        crf = pii.Crf([r for i, r in enumerate(rows) if i % 5 != fold], rounds=150)
+        for tokens, labels in rows[fold::5]:
+            s = np.array([crf.shapes[t] for t in tokens])
+            got = crf.labels(s, np.array([0]), np.array([len(s)]))
+            right, total = right + int((got == np.array(labels)).sum()), total + len(labels)
+    assert right / total > 0.85
 
 
 def test_pii_columns(spark):
