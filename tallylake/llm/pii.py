@@ -1,7 +1,7 @@
 """Personal data in whole texts: fixed patterns for regular kinds, and a linear-chain CRF over word shapes for the rest.
 
 Patterns find email, ip, card and phone. The CRF labels every token of every line as outside or as part of a name, an id number or a secret (keys, passwords).
-Its features are the shapes of a token and of its two neighbours; a few cue words are shapes of their own. It is trained from the small labelled
+Its features are the shapes of a token, of the two before it and of the one after it; a few cue words are shapes of their own. It is trained from the small labelled
 table ``LABELLED`` by gradient ascent on the regularised log-likelihood (forward-backward), and decoded by Viterbi over numpy batches of lines.
 CRF spans that touch a pattern's span are dropped; pattern spans always stay.
 
@@ -131,6 +131,12 @@ A name is a word , and the key is on the table .
 The token was lost and the password is safe .
 Und die Stadt ist alt , Der Fluss auch .
 De la maison , Les enfants vont au parc .
+De , De , De , De , De , De , De
+Nothing , This , And , Are , Then , The
+The end . Signs : The next , Number : Four , Contact : Later
+That is Ending here , and This is Only a word , as Was said
+He is Late . My house is Big . It is Over , The rest is Silence
+My Word , my Dear , my God , the Name , the Dr , the Key
 Word Word Word Word Word Word Word Word
 the the the the the the
 It is The Best Of All , Are you sure ?
@@ -194,7 +200,7 @@ def labelled_rows(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
 
 
 class Crf:
-    """Scores of a label: own shape, shape before, shape after; and of label pairs. Arrays ``own, before, after`` (shapes x labels) and ``pair``."""
+    """Scores of a label by its token's shape and those around it, and of label pairs. Arrays ``own, before, earlier, after`` (shapes x labels) and ``pair``."""
 
     def __init__(self, rows: list[tuple[list[str], list[int]]], rounds: int = 300, ridge: float = 0.02):
         known = sorted({shape(t) for tokens, _ in rows for t in tokens})
@@ -203,9 +209,9 @@ class Crf:
         k, n = len(LABELS), len(known) + 2
         data = []
         for tokens, labels in rows:
-            s = np.array([self.edge, *map(self.shapes.__getitem__, tokens), self.edge])
+            s = np.array([self.edge, self.edge, *map(self.shapes.__getitem__, tokens), self.edge])
             data.append((s, np.array(labels)))
-        weights = np.zeros((3 * n + k, k))
+        weights = np.zeros((4 * n + k, k))
         momentum, square = np.zeros_like(weights), np.zeros_like(weights)
         for step in range(1, rounds + 1):
             gradient = -ridge * weights
@@ -214,16 +220,18 @@ class Crf:
             momentum = 0.9 * momentum + 0.1 * gradient
             square = 0.99 * square + 0.01 * gradient**2
             weights = weights + 0.1 * (momentum / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        weights[self.shapes.rest] = weights[n + self.shapes.rest] = weights[2 * n + self.shapes.rest] = 0
+        weights[self.shapes.rest : 4 * n : n] = 0
         weights[self.shapes.rest, 0] = 1  # shapes never seen in training are outside
-        self.own, self.before, self.after, self.pair = weights[:n], weights[n : 2 * n], weights[2 * n : 3 * n], weights[3 * n :]
+        self.own, self.before, self.earlier, self.after = (weights[i * n : i * n + n] for i in range(4))
+        self.pair = weights[4 * n :]
 
     @staticmethod
     def gradient(w: np.ndarray, n: int, s: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of the log-likelihood of one line: observed minus expected feature counts."""
         k, t = w.shape[1], len(y)
-        pair = w[3 * n :]
-        e = w[s[1:-1]] + w[n + s[:-2]] + w[2 * n + s[2:]]
+        pair = w[4 * n :]
+        places = ((0, s[2:-1]), (n, s[1:-2]), (2 * n, s[:-3]), (3 * n, s[3:]))
+        e = sum(w[part + at] for part, at in places)
         f, b = np.zeros((t, k)), np.zeros((t, k))
         f[0] = e[0]
         for i in range(1, t):
@@ -236,11 +244,11 @@ class Crf:
         difference[np.arange(t), y] = 1
         difference -= p
         g = np.zeros_like(w)
-        for part, at in ((0, s[1:-1]), (n, s[:-2]), (2 * n, s[2:])):
+        for part, at in places:
             np.add.at(g, part + at, difference)
         for i in range(1, t):
-            g[3 * n + y[i - 1], y[i]] += 1
-            g[3 * n :] -= np.exp(f[i - 1][:, None] + pair + (e[i] + b[i])[None] - z)
+            g[4 * n + y[i - 1], y[i]] += 1
+            g[4 * n :] -= np.exp(f[i - 1][:, None] + pair + (e[i] + b[i])[None] - z)
         return g
 
     def labels(self, shapes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -268,9 +276,10 @@ class Crf:
             at = starts[:live] + i
             here = shapes[at]
             left = np.full(live, self.edge) if i == 0 else shapes[at - 1]
+            earlier = np.full(live, self.edge) if i < 2 else shapes[at - 2]
             last = lengths[:live] == i + 1
             right = np.where(last, self.edge, shapes[np.minimum(at + 1, len(shapes) - 1)])
-            e = self.own[here] + self.before[left] + self.after[right]
+            e = self.own[here] + self.before[left] + self.earlier[earlier] + self.after[right]
             if best is None:
                 best = e
             else:
