@@ -2,8 +2,9 @@
 
 Learning takes at most ``SAMPLE`` labelled documents of either class (those whose ids hash lowest); rows of the held-out third are never
 seen. Terms are folded words and their beginnings of 4 characters or more; a term enters the lexicon with its smoothed log odds if its log-likelihood ratio says that it prefers toxic
-documents, and if no better term is its beginning or continues it. Pairs of neighbouring words around a term that only clean documents hold become
-exception phrases: what they cover does not count. A text's score is the logistic function of its weights' sum, normalised
+documents, if no better term is its beginning or continues it, and if it either is among the strongest or tells toxic documents that those chosen before it
+do not. (Copies of one document share many words; without this rule all of them would enter.) Words that hold a term, and pairs of neighbouring words around it, that
+clean documents hold at least as often as toxic ones become exception phrases: what they cover does not count, and weights are counted again without it. A text's score is the logistic function of its weights' sum, normalised
 by the logarithm of its length in words, and of its largest weight, fitted by Newton steps on the same sample.
 
 Cases: a null or empty text has no matches and scores the intercept; equal texts have equal scores; repeated rows are scored each; without any toxic
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 #: At most so many labelled documents of either class are learned from.
 SAMPLE = 4000
 SHORTEST, LONGEST_STEM = 4, 8
-#: Log-likelihood ratio that a term needs, and the most terms kept.
-EVIDENCE, MOST_TERMS = 18.0, 2000
+#: Log-likelihood ratio that a term needs; share of the best one's from which a term is strong; the most terms kept, and looked at.
+EVIDENCE, STRONG, MOST_TERMS, MOST_CANDIDATES = 18.0, 0.25, 500, 4000
 
 # Digits and signs that stand for letters, and look-alikes from Greek and Cyrillic.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -39,21 +40,32 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish")
 
 
 class Fold(dict):
-    """Translation table, filled as characters come: lower case, no accents, look-alikes and substitutes as letters, all else white space."""
+    """Translation table, filled as characters come: lower case, look-alikes and substitutes as letters, all that is no letter as white space."""
 
     def __missing__(self, code: int) -> str:
-        c = unicodedata.normalize("NFKD", chr(code).lower())
-        c = "".join(x for x in c if not unicodedata.combining(x)) if len(c) > 1 else c
+        c = unicodedata.normalize("NFKC", chr(code).lower())
         c = "".join(SUBSTITUTES.get(x) or LOOKALIKES.get(x, x) for x in c)
-        out = self[code] = c if c.isalpha() else " " if not c or not unicodedata.category(chr(code)).startswith("M") else ""
+        out = self[code] = c if c.isalpha() else "" if unicodedata.category(chr(code)).startswith("M") else " "
         return out
 
 
-FOLD = Fold()
+class Bare(dict):
+    """Translation table that takes the accents off letters."""
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        return out
+
+
+FOLD, BARE = Fold(), Bare()
 
 
 def folded(text: str) -> str:
-    return f" {text.translate(FOLD)} "
+    """The folded words, then once more those with accents, without them: accents tell words apart, and are used to hide them."""
+    t = text.translate(FOLD)
+    if t.isascii():
+        return f" {t} "
+    return f" {t}  {' '.join(w for w in t.split() if not w.isascii()).translate(BARE)} "
 
 
 def terms_of(text: str) -> set[str]:
@@ -65,6 +77,10 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
+def log_odds(a: int, b: int, n_a: int, n_b: int) -> float:
+    return math.log((a + 0.5) / (n_a - a + 0.5)) - math.log((b + 0.5) / (n_b - b + 0.5))
+
+
 def likelihood_ratio(a: int, b: int, n_a: int, n_b: int) -> float:
     """Of a of n_a toxic and b of n_b clean documents holding a term, against one common share."""
     def part(k: int, n: int, p: float) -> float:
@@ -141,29 +157,54 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "toxic": pa.array([counts[1][t] for t in terms], pa.int64()), "clean": pa.array([counts[0][t] for t in terms], pa.int64())})
 
 
-def chosen_terms(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the lexicon's terms, from the counts of those that prefer toxic documents."""
-    odds = lambda a, b: math.log((a + 0.5) / (n_toxic - a + 0.5)) - math.log((b + 0.5) / (n_clean - b + 0.5))
-    ranked = sorted(((likelihood_ratio(a, b, n_toxic, n_clean), t, a, b) for t, a, b in rows), key=lambda r: (-r[0], len(r[1]), r[1]))
+def chosen_terms(terms: list[tuple[str, int, int]], members: dict[str, list[int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the lexicon's terms. ``terms``: term, toxic and clean documents that hold it; ``members``: which of the toxic ones, by number.
+
+    Strong terms come first, by their likelihood ratio; then, again and again, the term with the highest ratio over toxic documents that no chosen term tells yet.
+    """
+    place = {t: i for i, (t, _, _) in enumerate(terms)}
+    holds = np.zeros((len(terms), n_toxic), bool)
+    for t, docs in members.items():
+        holds[place[t], docs] = True
+    a_all, b_all = holds.sum(1), np.array([b for _, _, b in terms])
     out: dict[str, float] = {}
     stems: set[str] = set()
-    for ratio, t, a, b in ranked:
-        if ratio < EVIDENCE or len(out) >= MOST_TERMS:
-            break
-        if t in stems or any(t[:n] in out for n in range(SHORTEST + 1, len(t))):
-            continue  # a better term continues it or is its beginning
-        out[t] = odds(a, b)
+    open_docs = np.ones(n_toxic, bool)
+
+    def free(t: str) -> bool:
+        return t not in out and t not in stems and not any(t[:n] in out for n in range(SHORTEST + 1, len(t)))
+
+    def take(i: int) -> None:
+        t = terms[i][0]
+        out[t] = log_odds(int(a_all[i]), int(b_all[i]), n_toxic, n_clean)
         stems.update(t[:n] for n in range(SHORTEST + 1, len(t)))
+        open_docs[holds[i]] = False
+
+    ratio = np.array([likelihood_ratio(int(a), int(b), n_toxic, n_clean) for a, b in zip(a_all, b_all, strict=True)])
+    ranked = sorted(range(len(terms)), key=lambda i: (-ratio[i], len(terms[i][0]), terms[i][0]))
+    for i in ranked:
+        if ratio[i] < max(EVIDENCE, STRONG * ratio[ranked[0]]) or len(out) >= MOST_TERMS:
+            break
+        if free(terms[i][0]):
+            take(i)
+    while len(out) < MOST_TERMS and open_docs.any():
+        left = int(open_docs.sum())
+        a_left = holds[:, open_docs].sum(1)
+        best = max((i for i in ranked if a_left[i] >= 3 and free(terms[i][0])), key=lambda i: likelihood_ratio(int(a_left[i]), int(b_all[i]), left, n_clean), default=None)
+        if best is None or likelihood_ratio(int(a_left[best]), int(b_all[best]), left, n_clean) < EVIDENCE:
+            break
+        take(best)
     return out
 
 
 def around(text: str, lexicon: Lexicon) -> set[str]:
-    """Pairs of neighbouring words that hold a match."""
+    """Words that hold a match, and pairs of neighbouring words around it."""
     t = folded(text)
     out = set()
     for start, end, _ in lexicon.matches(t):
-        before, after = t[:start].split(" ")[-1:], re.match(r"\S*", t[start + 1 :])[0]
-        following = re.match(r"\s*(\S*)", t[start + 1 + len(after) :])[1]
+        before, after = t[max(0, start - 100) : start].split(" ")[-1:], re.match(r"\S*", t[start + 1 : start + 101])[0]
+        following = re.match(r"\s*(\S*)", t[start + 1 + len(after) : start + 101 + len(after)])[1]
+        out.add(after)
         if before and before[0]:
             out.add(f"{before[0]} {after}")
         if following:
@@ -195,17 +236,38 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
         return Lexicon({}, exceptions, (math.log(share / (1 - share)) if share else -30.0, 0.0, 0.0))
     counts = rows.mapInArrow(counted, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     enough = counts.where(F.col("toxic") >= 3).where(F.col("toxic") * F.lit(n_clean) > F.col("clean") * F.lit(4 * n_toxic))
-    best = enough.orderBy((F.col("toxic") / F.lit(float(n_toxic)) - F.col("clean") / F.lit(float(n_clean))).desc(), "term").limit(20 * MOST_TERMS)
-    lexicon = Lexicon(chosen_terms([tuple(r) for r in best.collect()], n_toxic, n_clean), exceptions)
+    best = enough.orderBy((F.col("toxic") / F.lit(float(n_toxic)) - F.col("clean") / F.lit(float(n_clean))).desc(), "term").limit(MOST_CANDIDATES)
+    terms = [tuple(r) for r in best.collect()]
+    wanted = {t for t, _, _ in terms}
+
+    @F.arrow_udf("array<string>")
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(terms_of(folded(t)) & wanted) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    # At most MOST_CANDIDATES terms of at most ``sample`` documents; which documents are the same is all that matters, so their order is free.
+    members: dict[str, list[int]] = {}
+    for i, r in enumerate(rows.where("toxic = 1").select(held(F.col("text")).alias("held")).collect()):
+        for t in r["held"]:
+            members.setdefault(t, []).append(i)
+    lexicon = Lexicon(chosen_terms(terms, members, n_toxic, n_clean), exceptions)
 
     @F.arrow_udf("array<string>")
     def contexts(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(around(t, lexicon)) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    pairs = rows.select("toxic", F.explode(contexts(F.col("text"))).alias("phrase")).groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-    harmless = pairs.where("toxic = 0 AND n >= 3").orderBy(F.desc("n"), "phrase").limit(MOST_TERMS).collect()
+    phrases = rows.select("toxic", F.explode(contexts(F.col("text"))).alias("phrase")).groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
+    harmless = phrases.where((F.col("clean") >= 3) & (F.col("toxic") * n_clean <= F.col("clean") * n_toxic)).orderBy(F.desc("clean"), "phrase").limit(MOST_TERMS).collect()
     lexicon = Lexicon(lexicon.weights, (*exceptions, *(r["phrase"] for r in harmless)))
 
+    @F.arrow_udf("array<string>")
+    def matched(texts: pa.Array) -> pa.Array:
+        folds = map(folded, texts.to_pylist())
+        return pa.array([sorted({t[a:b] for a, b, _ in lexicon.matches(t)}) for t in folds], pa.list_(pa.string()))
+
+    again = rows.select("toxic", F.explode(matched(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
+    odds = {r["term"]: log_odds(r["toxic"], r["clean"], n_toxic, n_clean) for r in again.collect()}  # at most MOST_TERMS rows
+    lexicon = Lexicon({t: odds[t] for t in lexicon.weights if odds.get(t, 0) > 0}, lexicon.exceptions)
+
     @F.arrow_udf("struct<x:double,y:double>")
     def measured(texts: pa.Array) -> pa.Array:
         x, y = zip(*map(lexicon.features, texts.to_pylist()), strict=True) if len(texts) else ((), ())

@@ -49,7 +49,7 @@ def test_viterbi_equals_brute_force():
         def value(labels, s=s, n=n):
             out = 0.0
             for i, y in enumerate(labels):
-                out += crf.own[s[i], y] + crf.before[s[i - 1] if i else crf.edge, y] + crf.after[s[i + 1] if i + 1 < n else crf.edge, y]
+                out += crf.own[s[i], y] + crf.before[s[i - 1] if i else crf.edge, y] + crf.earlier[s[i - 2] if i > 1 else crf.edge, y] + crf.after[s[i + 1] if i + 1 < n else crf.edge, y]
                 out += crf.pair[labels[i - 1], y] if i else 0
             return out
 
@@ -66,7 +66,7 @@ def test_crf_learns_its_table_and_leaves_prose_alone():
         got = crf.labels(s, np.array([0]), np.array([len(s)]))
         right, total = right + int((got == np.array(labels)).sum()), total + len(labels)
     assert right / total > 0.98
-    prose = "Nehsel the Orde of tant. And Then the Anba was in Ertion, by 12 or 1998.\nLicensed under CC BY-NC 4.0.\nALL THE WORDS!! ARE LOUD!!"
+    prose = "Nehsel the Orde of tant. And Then the Anba was in Ertion, by 12 or 1998.\nLicensed under CC BY-NC 4.0.\nALL THE WORDS!! ARE LOUD!!\nDe, De, De, De, De.\nThe is Anba and, is Ertion, my The: Whas."
     assert pii.all_spans([prose], crf) == [[]]
     found = pii.all_spans(["so my name is Klara Voss and password=ab12cd34ef56ab78cd is set"], crf)[0]
     assert {k for *_, k, _ in found} == {"name", "secret"}
@@ -102,7 +102,7 @@ def test_pii_columns(spark):
 
 
 def test_folding():
-    assert toxicity.folded("Lös3r, 1DI0T!").split() == ["loser", "idiot"]
+    assert toxicity.folded("Lös3r, 1DI0T!").split() == ["löser", "idiot", "loser"]
     assert toxicity.folded("іdіоt").split() == ["idiot"]  # Cyrillic
     assert toxicity.folded("").strip() == ""
 
@@ -125,7 +125,9 @@ def labelled(spark, n=900):
         toxic = i % 5 == 0
         text = " ".join(rng.choices(words, k=rng.randint(5, 80)))
         if toxic:
-            text += " " + rng.choice(["zloser", "Zl0ser", "qidiotic", "qidioten"]) + " end"
+            text += " " + rng.choice(["zloser", "Zl0ser", "qidiotic", "qidioten", "qidiotal"]) + " end"
+        elif i % 7 == 0:
+            text += " qidiot end"  # the bare stem is harmless
         rows.append((i, text, "en", "src", int(toxic)))
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, toxic int")
 
