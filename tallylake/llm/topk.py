@@ -117,6 +117,13 @@ def search_block(p: np.ndarray, ids: np.ndarray, norms: np.ndarray, q: np.ndarra
     return [np.concatenate(c) if out else np.zeros(0, np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
 
+def spread(rows: DataFrame, levels: list[tuple[int, int]], level_name: str, block_name: str, wanted) -> DataFrame:
+    """``rows`` once for every block of every wanted level. ``levels``: level and its number of blocks."""
+    table = F.array(*(F.struct(F.lit(b).alias("l"), F.lit(n).alias("n")) for b, n in levels or [(0, 1)]))
+    some = rows.withColumn("_t", F.explode(F.filter(table, lambda t: wanted(t["l"]))))
+    return some.withColumn(level_name, F.col("_t.l")).withColumn(block_name, F.explode(F.sequence(F.lit(0), F.col("_t.n") - 1))).drop("_t")
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", vec_id: str = "vec_id", scale: float = 256.0) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest inner products over all rows but its own."""
     rows = whole_vectors(df, vector, vec_id, scale).withColumn("bucket", level(F.col("norm")))
@@ -145,12 +152,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding"
     q_blocks = {b: block_of(n, QUERIES) for b, n in needs.items()}
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(blocks, "bucket")).cast("int"))
     # Every block of vectors goes to the query blocks that need its bucket, every query block to the blocks of all buckets that it needs.
-    meets = F.filter(F.lit([[b, i] for b, n in sorted(q_blocks.items()) for i in range(n)] or [[0, 0]]), lambda x: x[0] <= F.col("bucket"))
-    vectors = dealt.select("bucket", "block", "vec_id", "v", "norm", F.explode(meets).alias("t")).select("*", F.col("t")[0].alias("need"), F.col("t")[1].alias("q_block")).drop("t")
-    targets = F.filter(F.lit([[b, i] for b, n in sorted(counts.items()) for i in range(block_of(n, BLOCK))] or [[0, 0]]), lambda x: x[0] >= F.col("need"))
+    # The literals hold buckets, whose number is bounded; blocks are counted off on the executors.
+    vectors = spread(dealt, sorted(q_blocks.items()), "need", "q_block", lambda need: need <= F.col("bucket"))
     q_map = F.create_map(*(F.lit(x) for b, n in q_blocks.items() for x in (b, n))) if q_blocks else F.create_map(F.lit(0), F.lit(1))
-    asked = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(q_map, "need")).cast("int"))
-    asked = asked.select("need", "q_block", "vec_id", "v", "norm", "bound", F.explode(targets).alias("t")).select("*", F.col("t")[0].alias("bucket"), F.col("t")[1].alias("block")).drop("t")
+    asked = queries.drop("bucket").withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(q_map, "need")).cast("int"))
+    asked = spread(asked, [(b, block_of(n, BLOCK)) for b, n in sorted(counts.items())], "bucket", "block", lambda bucket: bucket >= F.col("need"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
