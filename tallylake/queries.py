@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -603,6 +604,28 @@ def selected_run(spark, sf_dir):
     return jobs.selected_run(rows, limit=3)
 
 
+@query("""SELECT t.benchmark, t.task_id, p.policy FROM (SELECT p_type AS benchmark, concat('part-', CAST(p_partkey AS VARCHAR)) AS task_id, CASE WHEN p_size % 2 = 0 THEN 'math' ELSE 'code' END AS kind FROM part) t,
+(VALUES ('B0', false), ('B4', true), ('B5', true), ('B6', false)) p(policy, math) WHERE kind = 'math' OR NOT math""")
+def supported_tasks(spark, sf_dir):
+    """Task and policy pairs that are supported: B4 votes, B5 is a cascade with B4 in it, B6 one without."""
+    policies = spark.createDataFrame([("B0", False, []), ("B4", True, []), ("B5", False, ["B0", "B4"]), ("B6", False, ["B0"])], "policy string, needs_math boolean, stages array<string>")
+    kinds = jobs.supported(policies).select("policy", F.explode("kinds").alias("kind"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("benchmark"), F.concat(F.lit("part-"), "p_partkey").alias("task_id"), F.when(F.col("p_size") % 2 == 0, "math").otherwise("code").alias("kind"))
+    return rows.join(F.broadcast(kinds), "kind").select("benchmark", "task_id", "policy")
+
+
+@query("""SELECT benchmark, task_id, policy, seed, correct AND error IS NULL AS correct, CASE WHEN error IS NULL THEN CAST(l_quantity AS BIGINT) END AS pred, CASE WHEN l_suppkey % 2 = 0 THEN 'r' END AS reference, error,
+  CAST(level AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS example_test, CASE WHEN error IS NULL THEN prefill_tokens END AS prompt_tokens, CASE WHEN error IS NULL THEN prefill_tokens END AS prefill_tokens FROM attempts""", "attempts")
+def run_records(spark, sf_dir):
+    """Graded attempts as log records, with the cost of a single call."""
+    rows = fixtures.attempts(spark, sf_dir)
+    cost = usage.single_call_cost(F.col("prefill_tokens"), F.col("generated_tokens"), F.lit(0.1))
+    meta = F.create_map(F.lit("level"), F.col("level").cast("string"), F.lit("example_test"), F.lit("assert f()"))
+    more = {"kind": F.when(F.col("l_suppkey") % 2 == 0, "math").otherwise("code"), "pred": F.col("l_quantity").cast("bigint"), "reference": F.lit("r"), "grade_detail": F.lit(""), "meta": meta, "wall_s": F.lit(0.1), "cost": cost, "signals": F.col("mean_logprob"), "stopped_at": F.lit(None), "steps": F.lit(None)}
+    made = grading.run_records(rows.withColumns(more), "replayed")
+    return made.select("benchmark", "task_id", "policy", "seed", "correct", "pred", "reference", "error", F.col("meta")["level"].alias("level"), F.try_element_at("meta", F.lit("example_test")).alias("example_test"), "cost.prompt_tokens", "cost.prefill_tokens")
+
+
 # ---- streaming -------------------------------------------------------------------------------------------------------
 
 
@@ -615,3 +638,20 @@ def stream_progress(spark, sf_dir):
     name = f"progress_{uuid.uuid4().hex}"
     log.running_progress(records, name).awaitTermination()
     return rounded(spark.table(name))
+
+
+@query("SELECT benchmark, task_id, policy, seed, seq, correct, error, generated_tokens FROM attempts", "attempts")
+def stream_latest(spark, sf_dir):
+    """The latest record per key of the run log as a file stream, kept batch by batch in a table of the shared folder."""
+    lines = table(spark, sf_dir, "lineitem")
+    stream = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
+    records = fixtures.on(spark, fixtures.RAW_SQL, lineitem=stream, part=table(spark, sf_dir, "part"))
+    folder = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    kept = log.LatestTable(spark, f"{folder}/table", ["seq", *fixtures.TIES])
+    kept.start(records, f"{folder}/progress").awaitTermination()
+    return kept.read().select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, else one of our own (tests, notebooks)."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
