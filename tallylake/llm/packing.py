@@ -4,7 +4,7 @@
 2. A histogram of piece lengths (at most ``capacity`` rows, whatever the input) goes to the driver, where the packing is planned:
    large lengths are split into groups of equal cardinality and rounded up to the largest of their group, the best configurations of
    these few sizes are found by column generation, the configurations' slots are given to the actual lengths of each group, and small lengths go
-   best-fit into the room that is left. Runs of alike sequences are planned as one, so the plan's size depends on the capacity alone.
+   best-fit into the room that is left. Of a few bounds between large and small the one with the fewest sequences is taken. Runs of alike sequences are planned as one, so the plan's size depends on the capacity alone.
 3. Every piece is ranked among the pieces of its length, group-wise in bounded groups, and reads its place off the broadcast plan.
 
 Cases: a null or empty text is one piece of one token (the end id); ties among equal lengths go by doc_id and piece; repeated
@@ -28,9 +28,9 @@ from .pretokens import spelled, word_splitter
 
 CAPACITY = 2048
 #: Groups of equal cardinality that large lengths are rounded up in.
-GROUPS = 96
-#: Lengths up to this part of the capacity are small.
-SMALL = 1 / 4
+GROUPS = 48
+#: Lengths up to such a part of the capacity are small; the plan with the fewest sequences is taken.
+SMALL = (1 / 4, 1 / 3, 1 / 2)
 #: Pieces that are ranked together.
 RANKED = 100_000
 
@@ -160,7 +160,12 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: tuple[float, ...] = SMALL) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The best of the plans with each of the given bounds of small lengths."""
+    return min((plan_at(histogram, capacity, groups, s) for s in small), key=lambda p: p[1])
+
+
+def plan_at(histogram: dict[int, int], capacity: int, groups: int, small: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Places for all pieces of a length histogram, as runs ``(length, count, first sequence, per sequence, offset)``, and the number of sequences.
 
     Run by run, in order, the pieces of a length fill ``count`` places: ``per sequence`` in each sequence from the first one on,
