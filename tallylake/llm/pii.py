@@ -251,50 +251,81 @@ class Crf:
             g[4 * n :] -= np.exp(f[i - 1][:, None] + pair + (e[i] + b[i])[None] - z)
         return g
 
+    def scores(self, shapes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Label scores of all tokens, without those of pairs. ``starts, lengths``: the lines (length 1 or more) that the tokens are in."""
+        around = []
+        for shift in (1, 2, -1):
+            side = np.roll(shapes, shift)
+            side[starts if shift > 0 else starts + lengths - 1] = self.edge
+            if shift == 2:
+                side[(starts + 1)[lengths > 1]] = self.edge
+            around.append(side)
+        return self.own[shapes] + self.before[around[0]] + self.earlier[around[1]] + self.after[around[2]]
+
     def labels(self, shapes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best labels of many lines at once. ``shapes``: of all tokens; ``starts, lengths``: of the lines (length 1 or more)."""
+        """The best labels of many lines at once.
+
+        A stretch of labels other than outside is on a best path only if it scores at least as much as outside throughout. Its gain is at most the sum of
+        its tokens' best gains (with the best pair score between such labels), so a token is outside on every best path if no stretch of its line through it has a sum
+        of zero or more. Such tokens, nearly all, cut the lines exactly; what lies between them is decoded by Viterbi, many runs at once.
+        """
         out = np.zeros(len(shapes), np.int8)
-        order = np.argsort(-lengths, kind="stable")
-        at = 0
-        while at < len(order):  # lines of some 2 lengths together, at most 300,000 tokens
-            longest = int(lengths[order[at]])
-            upto = at + int(np.searchsorted(-lengths[order[at:]], -(longest // 2), "right"))
-            upto = max(at + 1, min(upto, at + 300_000 // longest))
-            self.viterbi(shapes, starts[order[at:upto]], lengths[order[at:upto]], out)
-            at = upto
+        e = self.scores(shapes, starts, lengths)
+        pair = self.pair - self.pair[0, 0]
+        between = max(0.0, float(pair[1:, 1:].max()))
+        ends_gain = max(0.0, float(pair[0, 1:].max())) + max(0.0, float(pair[1:, 0].max())) - between
+        line = np.repeat(np.arange(len(starts)), lengths)
+        tokens = np.arange(len(line)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        gain = (e[tokens, 1:].max(1) - e[tokens, 0]).astype(float) + between
+        total = np.concatenate(([0.0], np.cumsum(gain)))
+        apart = line * (1.0 + np.abs(gain).sum())  # the lines' sums lie so far apart that running extremes start afresh with each
+        upto = total[1:] - apart - np.minimum.accumulate(total[:-1] - apart)
+        onward = np.maximum.accumulate((total[1:] - apart)[::-1])[::-1] - (total[:-1] - apart)
+        open_ = np.zeros(len(shapes) + 1, bool)
+        open_[tokens] = upto + onward - gain + ends_gain >= -0.05
+        first, last = np.zeros(len(shapes), bool), np.zeros(len(shapes), bool)
+        first[starts], last[starts + lengths - 1] = True, True
+        at = np.flatnonzero(open_[:-1])
+        if not len(at):
+            return out
+        begins = first[at] | ~(open_[at - 1] & (at > 0))
+        ends = last[at] | ~open_[at + 1]
+        run_starts, run_ends = at[begins], at[ends]
+        inner = run_starts[~first[run_starts]]
+        e[inner] += self.pair[0]  # an outside token stands before
+        inner = run_ends[~last[run_ends]]
+        e[inner] += self.pair[:, 0]
+        sizes = run_ends - run_starts + 1
+        order = np.argsort(-sizes, kind="stable")
+        done = 0
+        while done < len(order):  # runs of some 2 lengths together, at most 300,000 tokens
+            longest = int(sizes[order[done]])
+            upto = done + int(np.searchsorted(-sizes[order[done:]], -(longest // 2), "right"))
+            upto = max(done + 1, min(upto, done + max(1, 300_000 // longest)))
+            self.viterbi(e, run_starts[order[done:upto]], sizes[order[done:upto]], out)
+            done = upto
         return out
 
-    def viterbi(self, shapes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, out: np.ndarray) -> None:
+    def viterbi(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, out: np.ndarray) -> None:
+        """Best paths through runs of tokens with scores ``e``, the longest run first, into ``out``."""
         k, most, n = len(LABELS), int(lengths[0]), len(lengths)
-        best = None
+        best = e[starts]
         back = np.zeros((most, n, k), np.int8)
-        live = n
         final = np.zeros(n, np.int8)
         for i in range(most):
-            while lengths[live - 1] <= i:
-                live -= 1
-            at = starts[:live] + i
-            here = shapes[at]
-            left = np.full(live, self.edge) if i == 0 else shapes[at - 1]
-            earlier = np.full(live, self.edge) if i < 2 else shapes[at - 2]
-            last = lengths[:live] == i + 1
-            right = np.where(last, self.edge, shapes[np.minimum(at + 1, len(shapes) - 1)])
-            e = self.own[here] + self.before[left] + self.earlier[earlier] + self.after[right]
-            if best is None:
-                best = e
-            else:
+            live = int(np.searchsorted(-lengths, -i, "left"))  # runs longer than i
+            if i:
                 paths = best[:live, :, None] + self.pair
                 back[i, :live] = paths.argmax(1)
-                best = paths.max(1) + e
-            if last.any():
-                final[:live][last] = best[last].argmax(1)
+                best = paths.max(1) + e[starts[:live] + i]
+            over = int(np.searchsorted(-lengths, -i - 1, "left"))
+            final[over:live] = best[over:live].argmax(1)
         rows = np.arange(n)
-        label = final.copy()
         for i in range(most - 1, -1, -1):
-            live = int(np.searchsorted(-lengths, -i, "left"))  # lines longer than i
-            out[starts[:live] + i] = label[:live]
+            live = int(np.searchsorted(-lengths, -i, "left"))
+            out[starts[:live] + i] = final[:live]
             if i:
-                label[:live] = back[i, rows[:live], label[:live]]
+                final[:live] = back[i, rows[:live], final[:live]]
 
 
 @lru_cache

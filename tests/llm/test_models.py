@@ -57,6 +57,28 @@ def test_viterbi_equals_brute_force():
         assert value(tuple(got[at : at + n])) == pytest.approx(value(best))
 
 
+def test_long_lines_equal_plain_viterbi():
+    """Cutting at certain tokens loses nothing, whatever the weights."""
+    rng, r = random.Random(9), np.random.default_rng(9)
+    crf = pii.Crf(pii.labelled_rows()[::3], rounds=40)
+    for scale in (0.0, 1.0, 4.0):
+        crf.pair = crf.pair + r.normal(scale=scale, size=crf.pair.shape)
+        vocabulary = ["word"] * 30 + ["Name", "is", "Anna", "password", "=", "e3b3ed3cc8548923d6", "12", ".", "X"]
+        lines = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 50, 400]))] for _ in range(30)]
+        shapes = [np.array([crf.shapes[t] for t in line]) for line in lines]
+        lengths = np.array([len(s) for s in shapes])
+        starts = np.cumsum(lengths) - lengths
+        got = crf.labels(np.concatenate(shapes), starts, lengths)
+        for s, at, n in zip(shapes, starts, lengths, strict=True):
+            e = crf.scores(s, np.array([0]), np.array([n]))
+            best = e[0]
+            for x in e[1:]:
+                best = (best[:, None] + crf.pair).max(0) + x
+            y = got[at : at + n]
+            value = e[np.arange(n), y].sum() + crf.pair[y[:-1], y[1:]].sum()
+            assert value == pytest.approx(best.max(), abs=1e-6)
+
+
 def test_crf_learns_its_table_and_leaves_prose_alone():
     crf = pii.model()
     rows = pii.labelled_rows()
