@@ -180,7 +180,7 @@ class Shapes(dict):
     def __missing__(self, token: str) -> int:
         n = self.number.get(shape(token), self.rest)
         if len(token) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[token] = n
         return n
