@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallylake.schemas import KEY, LOG
 
-ORDER = ("file_ord", "block_start", "line_id")
+#: Paths in the order given, files of a path by name, lines in order.
+ORDER = ("file_ord", "file_path", "block_start", "line_id")
 
 
 def parsed(lines: DataFrame, schema: str = LOG) -> DataFrame:
