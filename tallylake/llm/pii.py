@@ -137,6 +137,11 @@ The end . Signs : The next , Number : Four , Contact : Later
 That is Ending here , and This is Only a word , as Was said
 He is Late . My house is Big . It is Over , The rest is Silence
 My Word , my Dear , my God , the Name , the Dr , the Key
+la la la la no no no no no no no no de de de
+A A A A A A A A A A A A A A
+is is is is is is the the the the my my my my the
+name name name key key key token token token id id id tax tax tax
+Is is Is Is My My My No No No Name Name Name Token Token
 Word Word Word Word Word Word Word Word
 the the the the the the
 It is The Best Of All , Are you sure ?
