@@ -51,11 +51,13 @@ def quarantined(records: DataFrame) -> DataFrame:
 def latest(records: DataFrame, order: Sequence[str | Column] = ORDER, columns: Sequence[str] | None = None) -> DataFrame:
     """The last record of every key by ``order``, even where it is an error and an earlier one was not.
 
-    One shuffle with map-side combining. ``columns`` prunes what goes through it; carry no long texts.
+    One shuffle, on (benchmark, task): later groupings by key, by task and seed, or by task and policy reuse it. Few records of a key are
+    retries, so combining before the shuffle would sort all rows for little. ``columns`` prunes what goes through it; carry no long texts.
     """
     keep = [c for c in (columns or records.columns) if c not in KEY]
     last = F.max_by(F.struct(*keep), F.struct(*order)).alias("r")
-    return records.where(has_key()).groupBy(*KEY).agg(last).select(*KEY, "r.*")
+    dealt = records.where(has_key()).repartition("benchmark", "task_id")
+    return dealt.groupBy(*KEY).agg(last).select(*KEY, "r.*")
 
 
 def completed_keys(records: DataFrame) -> DataFrame:
