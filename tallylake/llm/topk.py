@@ -117,6 +117,22 @@ def search_block(p: np.ndarray, ids: np.ndarray, norms: np.ndarray, q: np.ndarra
     return [np.concatenate(c) if out else np.zeros(0, np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
 
+def grouped_needs(needs: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """Neighbouring levels of need that hold few queries share a block: each level's shared level (the lowest, so that nothing is missed), and the queries of those."""
+    shared: dict[int, int] = {}
+    merged: dict[int, int] = {}
+    group: list[int] = []
+    for b in sorted(needs, reverse=True):
+        if group and sum(needs[g] for g in group) + needs[b] > QUERIES:
+            group = []
+        group.append(b)
+        for g in group:
+            merged.pop(shared.get(g), None)
+        shared.update(dict.fromkeys(group, b))
+        merged[b] = sum(needs[g] for g in group)
+    return shared, merged
+
+
 def spread(rows: DataFrame, levels: list[tuple[int, int]], level_name: str, block_name: str, wanted) -> DataFrame:
     """``rows`` once for every block of every wanted level. ``levels``: level and its number of blocks."""
     table = F.array(*(F.struct(F.lit(b).alias("l"), F.lit(n).alias("n")) for b, n in levels or [(0, 1)]))
@@ -149,13 +165,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding"
     needs = {r["need"]: r["count"] for r in queries.groupBy("need").count().collect()}
     block_of = lambda n, size: max(1, -(-n // size))
     blocks = F.map_from_entries(F.lit([]).cast("array<struct<a:int,b:int>>")) if not counts else F.create_map(*(F.lit(x) for b, n in counts.items() for x in (b, block_of(n, BLOCK))))
-    q_blocks = {b: block_of(n, QUERIES) for b, n in needs.items()}
+    shared, merged = grouped_needs(needs)
+    q_blocks = {b: block_of(n, QUERIES) for b, n in merged.items()}
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(blocks, "bucket")).cast("int"))
     # Every block of vectors goes to the query blocks that need its bucket, every query block to the blocks of all buckets that it needs.
     # The literals hold buckets, whose number is bounded; blocks are counted off on the executors.
     vectors = spread(dealt, sorted(q_blocks.items()), "need", "q_block", lambda need: need <= F.col("bucket"))
     q_map = F.create_map(*(F.lit(x) for b, n in q_blocks.items() for x in (b, n))) if q_blocks else F.create_map(F.lit(0), F.lit(1))
-    asked = queries.drop("bucket").withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(q_map, "need")).cast("int"))
+    lowered = F.create_map(*(F.lit(x) for pair in shared.items() for x in pair)) if shared else F.create_map(F.lit(0), F.lit(0))
+    asked = queries.drop("bucket").withColumn("need", F.try_element_at(lowered, "need")).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(q_map, "need")).cast("int"))
     asked = spread(asked, [(b, block_of(n, BLOCK)) for b, n in sorted(counts.items())], "bucket", "block", lambda bucket: bucket >= F.col("need"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
