@@ -1,6 +1,5 @@
 """Personal data, toxicity, exact search and the pipeline: brute force, held-out accuracy and special cases."""
 
-import hashlib
 import itertools
 import random
 import re
@@ -251,4 +250,3 @@ def test_pipeline(spark, tmp_path):
 
 def test_registered_queries():
     assert [n for n in queries.queries()] == ["op1_token_counts", "op2_url_filter", "op3_byte_bpe", "op4_media_sequences", "op5_quotation_linking", "op6_pii", "op7_exact_topk", "op8_best_fit_packing", "op9_toxicity", "op10_simhash", "pipeline"]
-    assert hashlib is not None
