@@ -60,16 +60,18 @@ def quote_links(messages: DataFrame) -> DataFrame:
 def threads(links: DataFrame) -> DataFrame:
     """``conv_id, turn, thread_turn, depth``: the message at the end of each linked message's chain of replies.
 
-    Pointer doubling: as many rounds as the logarithm of the longest chain.
+    Pointer doubling: as many rounds as the logarithm of the longest chain. Messages whose chain has ended take no part in later rounds.
     """
-    now = checkpointed(links.select("conv_id", "turn", F.col("parent_turn").alias("thread_turn"), F.lit(1).cast("long").alias("depth")))
+    active = checkpointed(links.select("conv_id", "turn", F.col("parent_turn").alias("thread_turn"), F.lit(1).cast("long").alias("depth")))
+    settled = active.limit(0)
     while True:
-        up = now.select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("above"), F.col("depth").alias("more"))
-        jumped = now.join(up, ["conv_id", "thread_turn"], "left")
+        up = settled.unionByName(active).select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("above"), F.col("depth").alias("more"))
+        jumped = active.join(up, ["conv_id", "thread_turn"], "left")
         after = checkpointed(jumped.select("conv_id", "turn", F.coalesce("above", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")))
-        now = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return now
+        settled = settled.unionByName(after.where("NOT moved").drop("moved"))
+        active = after.where("moved").drop("moved")
+        if active.isEmpty():
+            return settled
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
