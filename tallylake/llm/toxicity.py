@@ -1,9 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding look-alikes and digit substitutions.
 
-Learning takes at most ``SAMPLE`` labelled documents of either class (those whose ids hash lowest); rows of the held-out third are never
-seen. Terms are folded words and their beginnings of 4 characters or more; a term enters the lexicon with its smoothed log odds if its log-likelihood ratio says that it prefers toxic
+Learning takes at most ``SAMPLE`` labelled documents of either class (those whose ids hash lowest), equal texts of a class once; rows of the held-out
+third are never seen. Terms are folded words and their beginnings of 4 characters or more; a term enters the lexicon with its smoothed log odds if its log-likelihood ratio says that it prefers toxic
 documents, if no better term is its beginning or continues it, and if it either is among the strongest or tells toxic documents that those chosen before it
-do not. (Copies of one document share many words; without this rule all of them would enter.) Words that hold a term, and pairs of neighbouring words around it, that
+do not. (Near copies of one document share many words; without this rule all of them would enter.) Words that hold a term, and pairs of neighbouring words around it, that
 clean documents hold at least as often as toxic ones become exception phrases: what they cover does not count, and weights are counted again without it. A text's score is the logistic function of its weights' sum, normalised
 by the logarithm of its length in words, and of its largest weight, fitted by Newton steps on the same sample.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: At most so many labelled documents of either class are learned from.
 SAMPLE = 4000
 SHORTEST, LONGEST_STEM = 4, 8
-#: Log-likelihood ratio that a term needs; share of the best one's from which a term is strong; the most terms kept, and looked at.
-EVIDENCE, STRONG, MOST_TERMS, MOST_CANDIDATES = 18.0, 0.25, 500, 4000
+#: Log-likelihood ratio that a term needs; share of the best one's from which a term is strong; the most terms kept; strong terms that come to the driver at once.
+EVIDENCE, STRONG, MOST_TERMS, PAGE = 18.0, 0.25, 500, 4000
+FOUND = [("rank", pa.float64()), ("ratio", pa.float64()), ("term", pa.string()), ("docs", pa.list_(pa.int64())), ("clean", pa.int64())]
 
 # Digits and signs that stand for letters, and look-alikes from Greek and Cyrillic.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -139,61 +142,111 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``text, toxic`` of at most ``sample`` labelled documents of either class, none of them held out."""
+    """``doc, text, toxic`` of at most ``sample`` labelled documents of either class, none of them held out; equal texts of a class once. ``doc`` tells texts apart."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    once = rows.groupBy(F.sha2("text", 256).alias("hash"), "toxic").agg(F.first("text").alias("text"))
+    return once.select(F.xxhash64("hash").alias("doc"), "text", "toxic")
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``term, toxic, clean`` document counts of each batch."""
+    """``term, docs, clean`` of each batch: the toxic documents that hold a term, and the number of clean ones."""
     for batch in batches:
-        counts = (Counter(), Counter())
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            counts[toxic].update(terms_of(folded(text)))
-        terms = [*(counts[0] | counts[1])]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "toxic": pa.array([counts[1][t] for t in terms], pa.int64()), "clean": pa.array([counts[0][t] for t in terms], pa.int64())})
+        docs, clean = defaultdict(list), Counter()
+        for doc, text, toxic in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            terms = terms_of(folded(text))
+            if toxic:
+                for t in terms:
+                    docs[t].append(doc)
+            else:
+                clean.update(terms)
+        terms = [*(docs.keys() | clean.keys())]
+        held = pa.array([docs.get(t, []) for t in terms], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "docs": held, "clean": pa.array([clean[t] for t in terms], pa.int64())})
+
+
+def candidates(rows: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """``term, docs, clean, ratio`` of every term that 3 toxic documents hold, and toxic ones over four times as often as clean ones."""
+
+    @F.arrow_udf("double")
+    def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([likelihood_ratio(x, y, n_toxic, n_clean) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
+    counts = rows.mapInArrow(counted, "term string, docs array<bigint>, clean bigint").groupBy("term").agg(F.flatten(F.collect_list("docs")).alias("docs"), F.sum("clean").alias("clean"))
+    enough = counts.where(F.size("docs") >= 3).where(F.size("docs") * F.lit(n_clean) > F.col("clean") * F.lit(4 * n_toxic))
+    return enough.withColumn("ratio", ratio(F.size("docs"), F.col("clean")))
 
-def chosen_terms(terms: list[tuple[str, int, int]], members: dict[str, list[int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the lexicon's terms. ``terms``: term, toxic and clean documents that hold it; ``members``: which of the toxic ones, by number.
+
+def chosen_terms(terms: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the lexicon's terms, from ``candidates``, all of which take part.
 
     Strong terms come first, by their likelihood ratio; then, again and again, the term with the highest ratio over toxic documents that no chosen term tells yet.
+    Where strong terms alone would fill all places, as those of many near copies do, they come last. Each page of strong terms and each term of the cover is one
+    aggregate; the driver holds the chosen terms and the documents that they tell.
     """
-    place = {t: i for i, (t, _, _) in enumerate(terms)}
-    holds = np.zeros((len(terms), n_toxic), bool)
-    for t, docs in members.items():
-        holds[place[t], docs] = True
-    a_all, b_all = holds.sum(1), np.array([b for _, _, b in terms])
     out: dict[str, float] = {}
     stems: set[str] = set()
-    open_docs = np.ones(n_toxic, bool)
+    told: set[int] = set()
 
     def free(t: str) -> bool:
         return t not in out and t not in stems and not any(t[:n] in out for n in range(SHORTEST + 1, len(t)))
 
-    def take(i: int) -> None:
-        t = terms[i][0]
-        out[t] = log_odds(int(a_all[i]), int(b_all[i]), n_toxic, n_clean)
+    def take(t: str, a: int, b: int) -> None:
+        out[t] = log_odds(a, b, n_toxic, n_clean)
         stems.update(t[:n] for n in range(SHORTEST + 1, len(t)))
-        open_docs[holds[i]] = False
 
-    ratio = np.array([likelihood_ratio(int(a), int(b), n_toxic, n_clean) for a, b in zip(a_all, b_all, strict=True)])
-    ranked = sorted(range(len(terms)), key=lambda i: (-ratio[i], len(terms[i][0]), terms[i][0]))
-    for i in ranked:
-        if ratio[i] < max(EVIDENCE, STRONG * ratio[ranked[0]]) or len(out) >= MOST_TERMS:
-            break
-        if free(terms[i][0]):
-            take(i)
-    while len(out) < MOST_TERMS and open_docs.any():
-        left = int(open_docs.sum())
-        a_left = holds[:, open_docs].sum(1)
-        best = max((i for i in ranked if a_left[i] >= 3 and free(terms[i][0])), key=lambda i: likelihood_ratio(int(a_left[i]), int(b_all[i]), left, n_clean), default=None)
-        if best is None or likelihood_ratio(int(a_left[best]), int(b_all[best]), left, n_clean) < EVIDENCE:
-            break
-        take(best)
+    def left_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best free term of these, over the documents not told."""
+        known, left, top = np.array(sorted(told), np.int64), n_toxic - len(told), None
+        for batch in batches:
+            held = [np.array(d, np.int64) for d in batch["docs"].to_pylist()]
+            ends = np.cumsum([len(d) for d in held])
+            is_open = np.concatenate(([0], np.cumsum(~np.isin(np.concatenate(held), known)))) if held else np.zeros(1, np.int64)
+            for i, (t, b) in enumerate(zip(batch["term"].to_pylist(), batch["clean"].to_pylist(), strict=True)):
+                a = int(is_open[ends[i]] - is_open[ends[i] - len(held[i])])
+                if a >= 3 and a * n_clean > b * left and free(t):
+                    rank = (-likelihood_ratio(a, b, left, n_clean), -batch["ratio"][i].as_py(), len(t), t)
+                    if top is None or rank < top[0]:
+                        top = rank, t, batch["docs"][i].as_py(), b
+        if top is not None and -top[0][0] >= EVIDENCE:
+            yield pa.RecordBatch.from_pylist([{"rank": -top[0][0], "ratio": -top[0][1], "term": top[1], "docs": top[2], "clean": top[3]}], pa.schema(FOUND))
+
+    def take_cover() -> None:
+        if out:
+            told.update(r[0] for r in terms.where(F.col("term").isin(*out)).select(F.explode("docs")).distinct().collect())  # at most ``sample`` rows
+        while len(out) < MOST_TERMS and n_toxic - len(told) >= 3:
+            found = terms.mapInArrow(left_best, "rank double, ratio double, term string, docs array<bigint>, clean bigint")
+            r = found.orderBy(F.desc("rank"), F.desc("ratio"), F.length("term"), "term").first()
+            if r is None:
+                break
+            take(r["term"], len(r["docs"]), r["clean"])
+            told.update(r["docs"])
+
+    def take_strong() -> None:
+        page = strong.orderBy("place").limit(PAGE).collect()
+        while page and len(out) < MOST_TERMS:
+            for r in page:
+                if len(out) < MOST_TERMS and free(r["place"]["term"]):
+                    take(r["place"]["term"], r["a"], r["clean"])
+            last = F.struct(*(F.lit(x).alias(n) for n, x in r["place"].asDict().items()))
+            page = strong.where(F.col("place") > last).orderBy("place").limit(PAGE).collect() if len(page) == PAGE else []
+
+    best = terms.agg(F.max("ratio")).first()[0]
+    if best is None:
+        return out
+    place = F.struct((-F.col("ratio")).alias("ratio"), F.length("term").alias("size"), "term")
+    strong = terms.where(F.col("ratio") >= max(EVIDENCE, STRONG * best)).select(place.alias("place"), F.size("docs").alias("a"), "clean")
+    take_strong()
+    if len(out) == MOST_TERMS:
+        out.clear()
+        stems.clear()
+        take_cover()
+        take_strong()
+    else:
+        take_cover()
     return out
 
 
@@ -234,22 +287,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     if not n_toxic or not n_clean:
         share = (n_toxic + 0.5) / (n_toxic + n_clean + 1) if n_toxic + n_clean else 0.0
         return Lexicon({}, exceptions, (math.log(share / (1 - share)) if share else -30.0, 0.0, 0.0))
-    counts = rows.mapInArrow(counted, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    enough = counts.where(F.col("toxic") >= 3).where(F.col("toxic") * F.lit(n_clean) > F.col("clean") * F.lit(4 * n_toxic))
-    best = enough.orderBy((F.col("toxic") / F.lit(float(n_toxic)) - F.col("clean") / F.lit(float(n_clean))).desc(), "term").limit(MOST_CANDIDATES)
-    terms = [tuple(r) for r in best.collect()]
-    wanted = {t for t, _, _ in terms}
-
-    @F.arrow_udf("array<string>")
-    def held(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(terms_of(folded(t)) & wanted) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    # At most MOST_CANDIDATES terms of at most ``sample`` documents; which documents are the same is all that matters, so their order is free.
-    members: dict[str, list[int]] = {}
-    for i, r in enumerate(rows.where("toxic = 1").select(held(F.col("text")).alias("held")).collect()):
-        for t in r["held"]:
-            members.setdefault(t, []).append(i)
-    lexicon = Lexicon(chosen_terms(terms, members, n_toxic, n_clean), exceptions)
+    terms = checkpointed(candidates(rows, n_toxic, n_clean))
+    lexicon = Lexicon(chosen_terms(terms, n_toxic, n_clean), exceptions)
 
     @F.arrow_udf("array<string>")
     def contexts(texts: pa.Array) -> pa.Array:

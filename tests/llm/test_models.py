@@ -175,6 +175,23 @@ def test_toxicity_without_labels(spark):
     assert toxicity.learn(docs.where("false"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).score("x") < 0.7
 
 
+def test_copies_leave_room_for_other_terms(spark):
+    """A long toxic document of which there are many copies: its terms alone are more than 4,000."""
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choices("bcdfgklmnprstv", k=9)) for _ in range(900))
+    rows = labelled(spark)
+    copies = spark.createDataFrame([(5000 + i, long, "en", "src", 1) for i in range(120)], rows.schema)
+    both = rows.unionByName(copies)
+    lexicon = toxicity.learn(both.drop("toxic"), both.select("doc_id", "toxic"))
+    assert any(t.startswith(" zlos") for t in lexicon.weights)
+    # Copies that differ in a word each are not equal texts, and leave room too.
+    plain = both.withColumn("text", F.regexp_replace("text", " end$", ""))
+    near = plain.withColumn("text", F.when(F.col("doc_id") >= 5000, F.concat("text", F.lit(" "), F.translate(F.md5(F.col("doc_id").cast("string")), "0123456789", "ghijklmnop"))).otherwise(F.col("text")))
+    for docs in (plain, near):
+        lexicon = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+        assert any(t.startswith(" zlos") for t in lexicon.weights) and any(t.startswith(" qidi") for t in lexicon.weights)
+
+
 # ---- exact search ----------------------------------------------------------------------------------------------------
 
 
