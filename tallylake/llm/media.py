@@ -208,15 +208,17 @@ def resolved(items: DataFrame, media: DataFrame, counts: DataFrame) -> DataFrame
 def pages_with_media(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``documents`` as interleaved pages and their media: ``(pages, media, counts)``.
 
-    Every document becomes a page of its first line and a figure whose media holds the whole text.
+    Every document becomes a page with each line of its text as a paragraph, and after the first half of them a figure whose media holds the whole text.
     A digest that many documents share is stored by one of them alone.
     """
     t = text_or_empty(text)
     with_digest = docs.select("doc_id", t.alias("text")).withColumn("payload", payload_of(F.col("text")))
     with_digest = with_digest.withColumn("digest", F.sha2("payload", 256))
     escaped = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    lead = F.substring_index("text", "\n", 1)
-    html = F.concat(F.lit("<article><p>"), escaped(lead), F.lit(f'</p><figure><img src="{SCHEME}'), "digest", F.lit('"><figcaption>'), F.concat_ws(" ", F.octet_length("text"), F.lit("bytes")), F.lit("</figcaption></figure></article>"))
+    lines, half = F.split(escaped(F.col("text")), "\n"), F.ceil(F.size(F.split("text", "\n")) / 2).cast("int")
+    paragraphs = lambda start, n: F.concat(F.lit("<p>"), F.array_join(F.slice(lines, start, n), "</p><p>"), F.lit("</p>"))
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), "digest", F.lit('"><figcaption>'), F.concat_ws(" ", F.octet_length("text"), F.lit("bytes")), F.lit("</figcaption></figure>"))
+    html = F.concat(F.lit("<article>"), paragraphs(F.lit(1), half), figure, paragraphs(half + 1, F.size(lines) - half), F.lit("</article>"))
     pages = with_digest.select("doc_id", html.alias("html"))
     counts = with_digest.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
     total = docs.count()

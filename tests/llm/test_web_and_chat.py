@@ -88,6 +88,22 @@ def test_media_sequences(spark):
         assert r["position"] == (1 if t.decode().split("\n")[0].strip() else 0)
 
 
+def test_pages_hold_every_line(spark):
+    texts = ["a\n\nb & c\n <d> \ne", "one", None, "\n\nlast", "x &amp; y\n" * 501, "1\n2\n3\n4"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pages, _, _ = media.pages_with_media(docs)
+    got = {}
+    for r in media.sequence(pages).collect():
+        got.setdefault(r["doc_id"], {})[r["position"]] = r["text"] if r["kind"] == "text" else (r["digest"], r["caption"])
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        lines = (t or "").split("\n")
+        half = (len(lines) + 1) // 2
+        figure = (hashlib.sha256(raw + b" " * (-len(raw) % 192 if raw else 192)).hexdigest(), f"{len(raw)} bytes")
+        want = [x.strip() for x in lines[:half] if x.strip()] + [figure] + [x.strip() for x in lines[half:] if x.strip()]
+        assert [got[i][n] for n in range(len(got[i]))] == want
+
+
 def test_missing_media_keep_their_place(spark):
     pages = spark.createDataFrame([(1, '<p>a</p><img src="sha256:none"><p>b</p>'), (2, None)], "page_id long, html string")
     items = media.sequence(pages)
