@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writ
 Stages keep the columns of documents (``n_chars`` follows the text); the last one returns the pieces of packed sequences.
 
 Cases: a null text is an empty document; rows with a null doc_id are judged as any other, and of a group of near duplicates the smallest known doc_id stays
-(a group without any keeps all its rows); repeated rows of a kept doc_id stay once; extra columns are carried to the last stage.
+(in a group without any, the row whose text hashes lowest); equal rows of a kept doc_id stay once, and its other texts are judged by themselves; extra columns are
+carried to the last stage.
 """
 
 from __future__ import annotations
@@ -26,15 +27,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group, once."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept.where(F.col("doc_id").isNotNull()), "doc_id", "left_semi")
-    unknown = docs.where(F.col("doc_id").isNull())
-    if not unknown.isEmpty():
-        alone = kept.where(F.col("doc_id").isNull())
-        unknown = unknown.join(alone.select(F.lit(1).alias("one")), F.lit(True), "left_semi")
-    return known.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(unknown)
+    """The row with the smallest doc_id of each near-duplicate group, once. Rows are told apart by doc_id and text; those without a doc_id come last."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("near_duplicate_key", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.unhex(F.md5(text)).alias("hash")))
+    found = simhash.near_duplicates(keyed, doc_id="near_duplicate_key")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("near_duplicate_key")).distinct()
+    return keyed.join(kept, "near_duplicate_key", "left_semi").dropDuplicates(["near_duplicate_key"]).select(docs.columns)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,5 +265,14 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in seen[3].collect()} == ids(seen[2])
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40)) for _ in range(5))
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, c), (None, c), (5, d), (5, e), (5, e), (6, e)]
+    out = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(1, a), (None, b), (None, c), (5, d), (5, e)], key=repr)
+
+
 def test_registered_queries():
     assert [n for n in queries.queries()] == ["op1_token_counts", "op2_url_filter", "op3_byte_bpe", "op4_media_sequences", "op5_quotation_linking", "op6_pii", "op7_exact_topk", "op8_best_fit_packing", "op9_toxicity", "op10_simhash", "pipeline"]
