@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 
 import pandas as pd
@@ -88,7 +89,7 @@ def normalised(answer: Column) -> Column:
 
 
 def rational(text: Column) -> Column:
-    """``struct<num, den: decimal(38,0), zero: boolean>`` of a normalised answer, null where it is no number of at most 18 digits a part.
+    """``struct<num, den: decimal(38,0), zero: boolean>`` of a normalised answer, null where it is no number of at most 18 digits a part (a decimal: in all).
 
     ``zero`` marks a fraction with denominator zero.
     """
@@ -101,7 +102,7 @@ def of_number(s: Column) -> Column:
     def of(num: Column, den: Column) -> Column:
         return F.struct(num.cast(big).alias("num"), den.cast(big).alias("den"), (den.cast(big) == 0).alias("zero"))
 
-    frac, slash, plain = r"^(-?)\{(-?[0-9]{1,18})\}\{([0-9]{1,18})\}\z", r"^(-?[0-9]{1,18})/([0-9]{1,18})\z", r"^([+-]?)([0-9]{0,9})(?:\.([0-9]{0,9}))?\z"
+    frac, slash, plain = r"^(-?)\{(-?[0-9]{1,18})\}\{([0-9]{1,18})\}\z", r"^(-?[0-9]{1,18})/([0-9]{1,18})\z", r"^([+-]?)(?=[0-9.]{1,19}\z)([0-9]{0,18})(?:\.([0-9]{0,18}))?\z"
     group = lambda p, n: F.regexp_extract(s, p, n)
     sign = lambda x: F.when(x == "-", F.lit(-1)).otherwise(F.lit(1))
     digits = F.concat(group(plain, 2), group(plain, 3))
@@ -113,10 +114,23 @@ def of_number(s: Column) -> Column:
     )
 
 
+DECIMAL = re.compile(r"\s*([-+]?(?=\d|\.\d)(?:\d+(?:_\d+)*)?(?:\.(?:\d+(?:_\d+)*)?)?)(?:[eE]([-+]?\d+(?:_\d+)*))?\s*")
+
+
+def decimal_of(s: str) -> tuple[int, int] | None:
+    """``n, e`` of a decimal number ``n * 10 ** e``, n without zeros at its end. Large exponents are never expanded."""
+    m = DECIMAL.fullmatch(s)
+    if m is None:
+        return None
+    whole, _, part = m[1].replace("_", "").partition(".")
+    digits = (whole + part).rstrip("0")
+    n = int(digits) if digits.strip("+-") else 0
+    return (n, int(m[2] or 0) - len(part) + len(whole + part) - len(digits)) if n else (0, 0)
+
+
 def same_fraction(a: pd.Series, b: pd.Series) -> pd.Series:
-    def value(s: str | None) -> Fraction | None:
+    def value(s: str) -> Fraction | None:
         try:
-            s = (s or "").replace("\\frac", "")
             if s.startswith(("{", "-{")) and s.endswith("}"):
                 sign, (num, den) = (-1 if s[0] == "-" else 1), s.lstrip("-")[1:-1].split("}{")
                 return sign * Fraction(int(num), int(den))
@@ -124,23 +138,40 @@ def same_fraction(a: pd.Series, b: pd.Series) -> pd.Series:
         except (ValueError, ZeroDivisionError):
             return None
 
-    return pd.Series([(x := value(p)) is not None and x == value(q) for p, q in zip(a, b, strict=True)], dtype=bool)
+    def same(p: str | None, q: str | None) -> bool:
+        p, q = (p or "").replace("\\frac", ""), (q or "").replace("\\frac", "")
+        try:
+            x, y = decimal_of(p), decimal_of(q)
+        except ValueError:  # more digits than Python reads
+            return False
+        if x and y:
+            return x == y
+        if any(v and abs(v[1]) > 4 * (len(p) + len(q)) for v in (x, y)):
+            return False  # no fraction of so few digits has this value
+        return (v := value(p)) is not None and v == value(q)
+
+    return pd.Series([same(p, q) for p, q in zip(a, b, strict=True)], dtype=bool)
 
 
 def equivalent(pred: Column, reference: Column, long_numbers: bool = False) -> Column:
     """Whether two answers are equal: normalised texts, else exact rationals. A null prediction is wrong.
 
-    ``long_numbers`` also compares numbers of more than 18 digits or with exponents, through a vectorised function.
+    Texts with digits that are no number of at most 18 digits a part (longer ones, or with exponents) are compared by a vectorised function;
+    ``long_numbers`` sends all others through it, too.
     """
     def same(p: Column) -> Column:
         x, y = p["x"], p["y"]
         ok = x.isNotNull() & y.isNotNull() & ~F.coalesce(x["zero"], F.lit(False)) & ~F.coalesce(y["zero"], F.lit(False))
         return (p["a"] == p["b"]) | (ok & (x["num"] * y["den"] == y["num"] * x["den"]))
 
-    out = bound(compared(pred, reference), same)
-    if long_numbers:
-        out = out | F.pandas_udf(same_fraction, "boolean")(normalised(pred), normalised(reference))
-    return F.coalesce(out, F.lit(False))
+    def left(p: Column) -> Column:
+        digit = r"\p{Nd}"
+        return (p["a"] != p["b"]) & p["a"].rlike(digit) & p["b"].rlike(digit) & (p["x"].isNull() | p["y"].isNull())
+
+    both = compared(pred, reference)
+    needed = F.lit(True) if long_numbers else bound(both, left)
+    exact = F.pandas_udf(same_fraction, "boolean")(F.when(needed, normalised(pred)), F.when(needed, normalised(reference)))
+    return F.coalesce(bound(both, same) | exact, F.lit(False)).alias("equivalent")  # Spark cannot make up a name over the function's structs
 
 
 def compared(pred: Column, reference: Column) -> Column:

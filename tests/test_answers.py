@@ -49,6 +49,13 @@ def test_long_numbers(spark):
     assert [r[0] for r in df.select(answers.equivalent(F.col("a"), F.col("b"), long_numbers=True)).collect()] == [True, False, False]
 
 
+def test_any_exact_numbers(spark):
+    equal = [("10000000000.0", "10000000000"), ("12345678901/1", "12345678901"), ("123456789012345678", "123456789012345678.0"), ("0.0000000000012", "1.2e-12"), ("1e+3", "1000"), ("1" * 40, "1" * 40 + ".00"), ("1" * 40 + "/2", "2" * 40 + "/4"), ("1e+999999999", "10e+999999998"), ("5e-1", "1/2"), ("-0.0", "0e+7")]
+    unequal = [("10000000000.1", "10000000000"), ("1" * 30, "1" * 29 + "2"), ("1e+999999999", "1/3"), ("1e+3", "100"), ("1__0e+1", "100"), ("9" * 20 + "/0", "1"), (None, "1" * 30), ("x^2", "y^2")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(equal + unequal)], "i int, a string, b string").orderBy("i")
+    assert [r[0] for r in df.select(answers.equivalent(F.col("a"), F.col("b"))).collect()] == [True] * len(equal) + [False] * len(unequal)
+
+
 def test_code(spark):
     cases = {"a ```python\nx\n``` b ```\ny = 1\n```": "y = 1", "```python\nz = 2": "z = 2", " plain ": "plain", "t</think>```py\nq\n```": "q", "```one": "one"}
     assert column(spark, list(cases), answers.extracted_code) == list(cases.values())
