@@ -5,7 +5,8 @@ Its features are the shapes of a token, of the two before it and of the one afte
 table ``LABELLED`` by gradient ascent on the regularised log-likelihood (forward-backward), and decoded by Viterbi over numpy batches of lines.
 CRF spans that touch a pattern's span are dropped; pattern spans always stay.
 
-Cases: a null or empty text has no spans; positions are code points, ends exclusive; lines are chains of their own, whatever their length;
+Cases: a null or empty text has no spans; positions are code points, ends exclusive; lines are chains of their own, whatever their length; patterns take time in proportion to
+the text, long runs of digits or dots included;
 equal texts have equal spans; repeated rows are searched each; an empty table gives an empty table; extra columns are carried along.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 # ---- patterns --------------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # never backtracks into a number, so a run of digits is read once
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
@@ -55,12 +56,26 @@ def emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def addresses(text: str):
+    """Leftmost non-overlapping ``number.number.number.number``: a dotted run of numbers, cut into fours from its left."""
+    for run in DOTTED.finditer(text):
+        if run[0].count(".") < 3:
+            continue
+        at, numbers = run.start(), run[0].split(".")
+        for i in range(0, len(numbers) - 3, 4):
+            four = numbers[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(int(trimmed(n)) <= 255 for n in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` by start, then by kind as listed."""
     out = [(*s, 0) for s in emails(text)] if "@" in text else []
     if re.search("[0-9]", text):
         if "." in text:
-            out += [(*m.span(), 1) for m in IP.finditer(text) if all(int(p) <= 255 for p in map(trimmed, m[0].split(".")))]
+            out += [(*s, 1) for s in addresses(text)]
         for m in CARD.finditer(text):
             if 12 <= len(d := digits(m[0])) <= 19 and luhn(d):
                 out.append((*m.span(), 2))

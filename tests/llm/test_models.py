@@ -35,6 +35,20 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == plain_base(text), text
 
 
+def test_base_spans_of_long_runs():
+    rng = random.Random(3)
+    for _ in range(1500):
+        text = "".join(rng.choice(["1", "25", "300", ".", ".", "..", "0", " ", "a", "255", "@", "+", "-"]) for _ in range(rng.randint(1, 40)))
+        assert pii.base_spans(text) == plain_base(text), text
+    import time
+
+    for text in ("1" * 1_000_000 + ".5", "1.2." * 200_000, "1." * 400_000 + ".", "a" * 500_000 + "@" * 1000 + "b", "+1" + "(" * 500_000, "1 " * 300_000, "+1 " * 200_000):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 5, text[:10]
+    assert pii.base_spans("1.2.3.4.5.6.7.8.9") == plain_base("1.2.3.4.5.6.7.8.9") == [(0, 7, "ip"), (8, 15, "ip")]
+
+
 def test_viterbi_equals_brute_force():
     crf = pii.model()
     rng = random.Random(4)
