@@ -1,14 +1,15 @@
 """Exact top-k inner-product search by norm buckets.
 
-Vectors are bucketed by length on a geometric scale; a bucket is dealt to blocks by a hash of the id, so a crowded length is many blocks. Every query first
+Rows of one id and one vector come together first, with their number. Vectors are bucketed by length on a geometric scale; a bucket is dealt to blocks by a hash, so a crowded length is many blocks. Every query first
 meets the ``HEAD`` longest vectors, which gives a lower bound of its k-th best score. From it follows the least length that a better
 vector can have, and queries are bucketed by that length: a query block meets only blocks of vectors that are long enough. Within a block the bound
 becomes a local cosine threshold. Where it is high, coordinates prune: a vector whose direction leaves the band that the threshold allows
 around the query's largest coordinates is out; where it is low, length alone prunes. What is left is verified by inner products.
 
 Cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as ending in zeros;
-ties go to the smaller id; repeated ids are candidates each, but no row of a query's own id is its candidate; fewer candidates than k give all; an
-empty table gives an empty table; a score that does not fit a long is an error.
+ties go to the smaller id; every row is a candidate of every query but itself, and every query row gets its own results, so repeated ids are
+candidates each, of each other too, and a query row that occurs twice has its results twice; fewer candidates than k give all; an empty table gives an
+empty table; extra columns are dropped; a score that does not fit a long is an error.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 RATIO, BLOCK, QUERIES, HEAD = 1.05, 8192, 2048, 2048
 #: Local cosine threshold from which coordinates prune, and the number of coordinates looked at.
 HIGH, FOCUS = 0.5, 4
+RUN = 1 << 14
 NONE = -(1 << 30)  # bucket of zero vectors, and of queries that need every bucket
 
 
-def whole_vectors(df: DataFrame, vector: str, vec_id: str, scale: float) -> DataFrame:
-    """``vec_id, v, norm``: components as floor(scale * x); vectors with null or non-finite components are left out."""
+def whole_vectors(df: DataFrame, is_query: Column, vector: str, vec_id: str, scale: float) -> DataFrame:
+    """``vec_id, v, n, asked, norm``: components as floor(scale * x), the number of such rows and of queries among them; vectors with null or non-finite components are left out."""
     x = F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * F.lit(scale)).cast("double"))
     fine = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    out = df.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).alias("vec_id"), x.alias("v"))
+    rows = df.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("bigint").alias("vec_id"), x.alias("v"), is_query.alias("q"))
+    out = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n"), F.count_if("q").alias("asked"))
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
 
 
@@ -72,23 +75,33 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return among[np.lexsort((ids[among], -scores[among]))[:k]]
 
 
-def search_block(p: np.ndarray, ids: np.ndarray, norms: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_norms: np.ndarray, bounds: np.ndarray, k: int):
-    """``(query, id, score)`` arrays: the k best of a block for each query, of those that reach its bound (NaN: no bound)."""
+def times(n: np.ndarray, p: np.ndarray, ids: np.ndarray, q: np.ndarray, q_id: int, k: int) -> np.ndarray:
+    """How often each vector may be among the k best of a query: as often as it occurs, the query's own row left out."""
+    out = np.minimum(n, k)
+    for i in np.flatnonzero(ids == q_id):
+        if (p[i] == q).all():
+            out[i] = min(n[i] - 1, k)
+    return out
+
+
+def search_block(p: np.ndarray, ids: np.ndarray, norms: np.ndarray, n: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_norms: np.ndarray, bounds: np.ndarray, k: int):
+    """``(place of the query, id, score)`` arrays: the k best of a block for each query, of those that reach its bound (NaN: no bound). ``n``: how often each vector occurs."""
     order = np.lexsort((ids, -norms))
-    p, ids, norms = p[order], ids[order], norms[order]
+    p, ids, norms, n = p[order], ids[order], norms[order], n[order]
     width = max(p.shape[1], q.shape[1])
     p, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (p, q))
     unit = p / np.where(norms > 0, norms, 1)[:, None]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def keep(i: int, among: np.ndarray | slice, scores: np.ndarray):
-        own = ids[among] != q_ids[i]
-        got, names = scores[own], ids[among][own]
+    def keep(i: int, among: np.ndarray, scores: np.ndarray):
         if not math.isnan(bounds[i]):
-            enough = got >= bounds[i]
-            got, names = got[enough], names[enough]
-        top = best(got, names, k)
-        out.append((np.full(len(top), q_ids[i]), names[top], got[top]))
+            enough = scores >= bounds[i]
+            among, scores = among[enough], scores[enough]
+        often = times(n[among], p[among], ids[among], q[i], q_ids[i], k)
+        among, scores, often = among[often > 0], scores[often > 0], often[often > 0]
+        top = best(scores, ids[among], k)
+        top = np.repeat(top, often[top])[:k]
+        out.append((np.full(len(top), i), ids[among][top], scores[top]))
 
     least = np.where((bounds > 0) & (q_norms > 0), bounds / np.where(q_norms > 0, q_norms, 1), 0.0)
     least = np.where(np.isnan(least), 0.0, least) * (1 - 1e-9)
@@ -101,7 +114,7 @@ def search_block(p: np.ndarray, ids: np.ndarray, norms: np.ndarray, q: np.ndarra
         upto = int(reach[some].max())
         scores = products(p[:upto], q[some])
         for j, i in enumerate(some):
-            keep(int(i), slice(0, int(reach[i])), scores[: reach[i], j])
+            keep(int(i), np.arange(int(reach[i])), scores[: reach[i], j])
     for i in np.flatnonzero((cosine >= HIGH) & (reach > 0)):
         direction, threshold = q[i] / q_norms[i], min(1.0, float(cosine[i]))
         among = np.arange(int(reach[i]))
@@ -141,12 +154,12 @@ def spread(rows: DataFrame, levels: list[tuple[int, int]], level_name: str, bloc
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", vec_id: str = "vec_id", scale: float = 256.0) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's k highest inner products over all rows but its own."""
-    rows = whole_vectors(df, vector, vec_id, scale).withColumn("bucket", level(F.col("norm")))
+    """``query_id, rank, vec_id, score``: each query row's k highest inner products over all rows but itself."""
+    rows = whole_vectors(df, is_query, vector, vec_id, scale).withColumn("bucket", level(F.col("norm")))
     counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # at most some 15,000: the range of a double's logarithm
-    head = rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "v").collect()
+    head = rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "v", "n").collect()
     width = max((len(r["v"]) for r in head), default=0)
-    head_ids = np.array([r["vec_id"] for r in head], np.int64)
+    head_ids, head_n = np.array([r["vec_id"] for r in head], np.int64), np.array([r["n"] for r in head], np.int64)
     head_rows = np.array([[*r["v"], *[0.0] * (width - len(r["v"]))] for r in head]).reshape(len(head), width)
 
     @F.arrow_udf("double")
@@ -155,11 +168,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding"
         for at in range(0, len(q), 256):
             scores = products(head_rows, q[at : at + 256]) if len(head_ids) else np.zeros((0, len(q[at : at + 256])))
             for j, own in enumerate(ids.to_numpy(zero_copy_only=False)[at : at + 256]):
-                got = scores[head_ids != own, j]
+                same = np.zeros(max(width, q.shape[1]))
+                same[: q.shape[1]] = q[at + j]
+                often = times(head_n, np.pad(head_rows, ((0, 0), (0, len(same) - width))) if len(same) > width else head_rows, head_ids, same, own, k)
+                got = np.repeat(scores[:, j], often)
                 out.append(float(np.partition(got, len(got) - k)[len(got) - k]) if len(got) >= k else None)
         return pa.array(out, pa.float64())
 
-    queries = rows.where(is_query).withColumn("bound", bound(F.col("vec_id"), F.col("v")))
+    named = F.md5(F.array_join(F.transform("v", lambda x: x.cast("bigint").cast("string")), ","))
+    queries = rows.where("asked > 0").withColumns({"bound": bound(F.col("vec_id"), F.col("v")), "query_row": named})
     needed = F.when((F.col("bound") > 0) & (F.col("norm") > 0), level(F.col("bound") * (1 - 1e-9) / F.col("norm")) - 1).otherwise(NONE)
     queries = queries.withColumn("need", needed)
     needs = {r["need"]: r["count"] for r in queries.groupBy("need").count().collect()}
@@ -167,24 +184,29 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding"
     blocks = F.map_from_entries(F.lit([]).cast("array<struct<a:int,b:int>>")) if not counts else F.create_map(*(F.lit(x) for b, n in counts.items() for x in (b, block_of(n, BLOCK))))
     shared, merged = grouped_needs(needs)
     q_blocks = {b: block_of(n, QUERIES) for b, n in merged.items()}
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(blocks, "bucket")).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.try_element_at(blocks, "bucket")).cast("int"))
     # Every block of vectors goes to the query blocks that need its bucket, every query block to the blocks of all buckets that it needs.
     # The literals hold buckets, whose number is bounded; blocks are counted off on the executors.
     vectors = spread(dealt, sorted(q_blocks.items()), "need", "q_block", lambda need: need <= F.col("bucket"))
     q_map = F.create_map(*(F.lit(x) for b, n in q_blocks.items() for x in (b, n))) if q_blocks else F.create_map(F.lit(0), F.lit(1))
     lowered = F.create_map(*(F.lit(x) for pair in shared.items() for x in pair)) if shared else F.create_map(F.lit(0), F.lit(0))
-    asked = queries.drop("bucket").withColumn("need", F.try_element_at(lowered, "need")).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.try_element_at(q_map, "need")).cast("int"))
+    asked = queries.drop("bucket").withColumn("need", F.try_element_at(lowered, "need")).withColumn("q_block", F.pmod(F.xxhash64("vec_id", "v"), F.try_element_at(q_map, "need")).cast("int"))
     asked = spread(asked, [(b, block_of(n, BLOCK)) for b, n in sorted(counts.items())], "bucket", "block", lambda bucket: bucket >= F.col("need"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = lambda t, name: t[name].to_numpy()
         if left.num_rows and right.num_rows:
-            c = lambda t, n: t[n].to_numpy()
-            got = search_block(matrix(left["v"]), c(left, "vec_id"), c(left, "norm"), matrix(right["v"]), c(right, "vec_id"), c(right, "norm"), c(right, "bound").astype(float), k)
+            at, ids, scores = search_block(matrix(left["v"]), c(left, "vec_id"), c(left, "norm"), c(left, "n"), matrix(right["v"]), c(right, "vec_id"), c(right, "norm"), c(right, "bound").astype(float), k)
         else:
-            got = [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(g.astype(np.int64)) for g in got), strict=True)))
+            at, ids, scores = [np.zeros(0, np.int64)] * 3
+        asked_by = right.select(["vec_id", "query_row", "asked"]).take(pa.array(at.astype(np.int64)))
+        return pa.table([*asked_by.columns, pa.array(ids.astype(np.int64)), pa.array(scores.astype(np.int64))], names=["query_id", "query_row", "asked", "vec_id", "score"])
 
     key = ("bucket", "block", "need", "q_block")
-    found = vectors.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(tile, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = vectors.drop("asked").groupBy(*key).cogroup(asked.drop("n").groupBy(*key)).applyInArrow(tile, "query_id bigint, query_row string, asked bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
+    best_of = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    # A query row that occurs many times has its results as often, in runs of a bounded length.
+    runs = best_of.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("asked") - 1, F.lit(RUN))))
+    each = runs.withColumn("_", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("asked") - F.col("run")).cast("int"))))
+    return each.select("query_id", "rank", "vec_id", "score")

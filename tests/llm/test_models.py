@@ -214,9 +214,9 @@ def plain_top(rows, k=5):
     width = max((len(v) for _, v in whole), default=0)
     whole = [(i, np.array(v + [0.0] * (width - len(v)))) for i, v in whole]
     out = []
-    for q, v in whole:
+    for own, (q, v) in enumerate(whole):
         if q % 50 == 0:
-            scored = sorted(((-int(v @ w), i) for i, w in whole if i != q))[:k]
+            scored = sorted((-int(v @ w), i) for other, (i, w) in enumerate(whole) if other != own)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -234,6 +234,7 @@ def test_top_k_equals_brute_force(spark, kind):
         base[:250] = base[0]
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(base)]
     rows += [(1000, None), (1001, [1.0, None]), (1050, [float("nan")]), (1100, []), (1150, [3.0]), (1200, [float("inf")] * 8), (1250, [0.0] * 8)]
+    rows += [(0, rows[0][1])] * 3 + [(50, rows[1][1]), (50, rows[2][1]), (100, rows[100][1]), (101, rows[100][1])] + [(7, rows[7][1])] * 9
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<float>, v int")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
     assert sorted(tuple(x) for x in got) == plain_top(rows)
@@ -244,6 +245,9 @@ def test_top_k_small(spark):
     assert topk.top_k(empty, F.col("vec_id") % 50 == 0).count() == 0
     two = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 3, 256 * 512)]
+    probe = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (3, [3.0]), (4, [4.0]), (5, [2.0])], "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(probe, F.col("vec_id") % 50 == 0, k=4).collect())
+    assert got == sorted(2 * [(0, 1, 4, 4 << 16), (0, 2, 3, 3 << 16), (0, 3, 5, 2 << 16), (0, 4, 0, 1 << 16)])
     with pytest.raises(Exception):
         topk.top_k(spark.createDataFrame([(0, [1e30]), (3, [2e30])], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
 
