@@ -4,42 +4,48 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least this share of the rows; so at most 1 / HOT_SHARE keys can be hot.
-HOT_SHARE = 1 / 1000
+#: Keys that hold the most rows are treated one by one: at most so many, of those with so many rows. Any other key of a table has under 1 / MOST_HOT of its
+#: rows; a partition that such a key still makes large is split by Spark's own skew handling, as both joins here are inner or left joins.
+MOST_HOT, LEAST_HOT = 10_000, 256
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none (tests, notebooks).
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named by ``spark.checkpoint.dir``. One of our own only on a single machine (tests, notebooks)."""
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(folder)
+    return folder
 
 
-def hot_keys(counts: DataFrame, n_col: str, total: int) -> DataFrame:
-    """Rows of ``counts`` whose key holds at least ``HOT_SHARE`` of ``total`` rows: 1,000 rows at most, so broadcast is safe.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder. Spark deletes it with the frame if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    ``counts`` has one row per key with its number of rows in ``n_col``.
-    """
-    return counts.where(F.col(n_col) >= F.lit(max(2, int(total * HOT_SHARE))))
+
+def hot_keys(counts: DataFrame, n_col: str) -> DataFrame:
+    """The keys with the most rows, ``MOST_HOT`` at most, so broadcast is safe. ``counts`` has one row per key with its number of rows in ``n_col``."""
+    rest = [c for c in counts.columns if c != n_col]
+    return counts.where(F.col(n_col) >= LEAST_HOT).orderBy(F.desc(n_col), *rest).limit(MOST_HOT)
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str, n_col: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table`` (one row per ``key``, with the key's row count in ``n_col``), safe against hot keys.
+def join_unique(rows: DataFrame, table: DataFrame, keys: str | list[str], n_col: str) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key, with the number of ``rows`` of that key in ``n_col``), safe against hot keys.
 
-    The at most 1,000 hot keys are joined by broadcast, the rest by a shuffle on the key; both are united.
-    ``n_col`` is dropped. ``how``: inner or left.
+    Hot keys are joined by broadcast, the rest by a shuffle on the keys; both are united. ``n_col`` is dropped.
     """
-    hot = F.broadcast(hot_keys(table, n_col, total).drop(n_col))
-    cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold_rows.join(table.drop(n_col), key, how))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hot = F.broadcast(hot_keys(table, n_col).drop(n_col))
+    cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold_rows.join(table.drop(n_col), keys))
 
 
 def text_or_empty(name: str = "text") -> Column:

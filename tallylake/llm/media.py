@@ -1,7 +1,7 @@
 """Interleaved document sequences: text and media in reading order, media payloads resolved by digest.
 
 HTML is parsed into ordered items, each text or a media reference (digest and caption). References are exploded with their positions and
-joined with a media table on the digest; digests that hold a thousandth of all references or more (at most 1,000) are salted on both sides.
+joined with a media table on the digest; the digests with the most references are salted on both sides, some 256 references a salt.
 Media are stored as losslessly compressed images of 8-bit samples: rows of 64 RGB pixels, 192 bytes each.
 
 Cases: a null or empty text or page has no text item; a reference whose digest the media table lacks keeps its place with a null payload; repeated rows
@@ -26,7 +26,7 @@ ROW = 192
 SCHEME = "sha256:"
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 #: References to a hot digest that one salt holds, about.
-PER_SALT = 10_000
+PER_SALT = 256
 
 # ---- stored form: PNG, 8-bit RGB, 64 pixels wide -------------------------------------------------------------------
 
@@ -197,8 +197,7 @@ def resolved(items: DataFrame, media: DataFrame, counts: DataFrame) -> DataFrame
 
     ``counts``: ``digest, n``, the number of references to each digest, from which hot ones are told.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(hot_keys(counts, "n", total).select("digest", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))  # at most 1,000 rows
+    hot = F.broadcast(hot_keys(counts, "n").select("digest", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
     refs = items.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in items.columns if c != "caption"]), salts).cast("int")).drop("salts")
     copies = media.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
@@ -221,8 +220,7 @@ def pages_with_media(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
     html = F.concat(F.lit("<article>"), paragraphs(F.lit(1), half), figure, paragraphs(half + 1, F.size(lines) - half), F.lit("</article>"))
     pages = with_digest.select("doc_id", html.alias("html"))
     counts = with_digest.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
-    total = docs.count()
-    kept = F.broadcast(hot_keys(counts, "n", total).select("digest", "keeper"))
+    kept = F.broadcast(hot_keys(counts, "n").select("digest", "keeper"))
     stored_by = with_digest.join(kept, "digest", "left").where(F.col("keeper").isNull() | (F.col("keeper") == F.col("doc_id")))
     media = stored_by.select("digest", stored_form(F.col("payload")).alias("media"))
     return pages, media, counts.select("digest", "n")

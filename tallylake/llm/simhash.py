@@ -3,16 +3,20 @@
 Candidate pairs come from pigeonring filtering. The 64 bits form a ring of 4 segments of 16 bits. If two fingerprints
 differ in at most 3 bits, some segment starts a chain whose first l segments differ in at most 3 * l / 4 bits for every l:
 0 bits in the first, at most 1 in the first two, at most 2 in the first three. So fingerprints are indexed by each pair of
-consecutive segments, and probe that index with the first segment as it is and the second one with at most one bit flipped;
+consecutive segments, and probe that index with the first segment as it is and the second one with at most one bit cleared (of two
+fingerprints that differ in one bit there, one has it set and meets the other by clearing it);
 the chain of three and the full Hamming distance are checked on what meets.
 
 A group of many fingerprints that share two segments is never expanded into pairs. Its members and probes are linked
 through common neighbours instead: each emits the codes within one flipped bit of the other 32 bits (members also those within two),
-and those that share a code are linked to one of them. This finds the same components and grows with the group, not with its square.
+and those that share a code are linked to one of them, the centre, which has the code within one bit. So a member is within 2 + 1 bits of the centre
+and a probe, whose key differs in one bit, within 1 + 1 + 1: every link made is a true one. And two members within 3 bits share a code that lies one bit from
+one and two from the other, a member and a probe within 3 bits one that lies one bit from both: every true link is made, by way of the
+centre. So the components are the same on both ways, and the work grows with the group, not with its square.
 
 Cases: a text without words (null or empty too) has fingerprint zero and links like any other; equal texts share a
 fingerprint and so a component; repeated rows of a doc_id are kept each; rows with a null doc_id get a component too (null where it
-holds no other id); an empty table gives an empty table; extra columns are carried along unless the output overwrites them.
+holds no other id); an empty table gives an empty table; extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,7 +104,8 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     index = turned_rows.withColumn("key", low(F.col("turned"), LOW32))
     sizes = index.groupBy("segment", "key").agg(F.count("*").alias("size"))
     crowded = checkpointed(sizes.where(F.col("size") > dense).select("segment", "key"))
-    probes = exploded_flips(turned_rows, "turned", "flipped", flips(WIDTH, 2 * WIDTH, 1)).withColumn("key", low(F.col("flipped"), LOW32)).drop("flipped")
+    flipped = exploded_flips(turned_rows, "turned", "flipped", flips(WIDTH, 2 * WIDTH, 1)).where(F.col("flipped").bitwiseAND(F.col("turned")) == F.col("flipped"))
+    probes = flipped.withColumn("key", low(F.col("flipped"), LOW32)).drop("flipped")
     if crowded.isEmpty():
         return close_pairs(index, probes)
     sparse_index, dense_index = index.join(crowded, ["segment", "key"], "left_anti"), index.join(crowded, ["segment", "key"], "left_semi")
@@ -144,10 +149,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = signature(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        lower = edges.join(least, "b").where(F.col("a") != F.col("m")).select(F.col("m"), F.col("a").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        edges = join_unique(both.where(F.col("b") > F.col("a")), least, "a", "n").select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
+        least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        lower = join_unique(edges, least, "b", "n").where(F.col("a") != F.col("m")).select(F.col("m"), F.col("a").alias("b"))
         edges = checkpointed(lower.unionByName(least.select("m", "b")).select(F.col("m").alias("a"), "b").distinct())
         before, state = state, signature(edges)
         if before == state:
@@ -166,8 +171,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(links(fps.select("fp"), dense))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # Roots may be hot, so the components' smallest ids come from an aggregate and go back to the few fingerprints that have links.
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    table = rooted.select("fp", "n", "root").join(smallest, "root").select("fp", "n", "component_id")
-    total = fps.agg(F.sum("n")).first()[0] or 0
-    return join_unique(rows, table, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps"))
+    table = join_unique(rooted.select("fp", "n", "root"), smallest, "root", "fps").select("fp", "n", "component_id")
+    return join_unique(rows, table, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
