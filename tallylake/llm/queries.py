@@ -120,11 +120,20 @@ mail AS (
 line AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM mail),
 leveled AS (
   SELECT conv_id, turn, line, line_no, length(regexp_replace(regexp_extract(line, '^[ \t]*(>[ \t]*)+'), '[^>]', '', 'g')) AS level,
-         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(>[ \t]*)+', '')), '[ \t\r]+', ' ', 'g'), ' ') AS passage FROM line),
-origin AS (SELECT conv_id, passage, min(turn) AS origin FROM leveled WHERE level = 0 AND passage <> '' GROUP BY 1, 2),
-hit AS (
-  SELECT q.conv_id, q.turn, q.level, o.origin FROM leveled q JOIN origin o ON o.conv_id = q.conv_id AND o.passage = q.passage
-  WHERE q.level > 0 AND o.origin < q.turn),
+         trim(regexp_replace(translate(regexp_replace(line, '^[ \t]*(>[ \t]*)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r]+', ' ', 'g'), ' ') AS bare FROM line),
+changed AS (SELECT *, CAST(level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS INT) AS new FROM leveled),
+run AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS place FROM changed),
+passage AS (SELECT conv_id, turn, place, level, string_agg(bare, ' ' ORDER BY line_no) AS passage FROM run WHERE bare <> '' GROUP BY ALL),
+whole AS (
+  SELECT q.conv_id, q.turn, q.place, q.level, max(o.turn) AS origin
+  FROM passage q LEFT JOIN passage o ON o.conv_id = q.conv_id AND o.passage = q.passage AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+own_line AS (SELECT DISTINCT conv_id, turn, bare FROM run WHERE level = 0 AND bare <> ''),
+by_line AS (
+  SELECT r.conv_id, r.turn, r.place, r.level, r.line_no, length(r.bare) AS size, max(o.turn) AS origin
+  FROM whole w JOIN run r ON r.conv_id = w.conv_id AND r.turn = w.turn AND r.place = w.place AND r.bare <> ''
+  JOIN own_line o ON o.conv_id = r.conv_id AND o.bare = r.bare AND o.turn < r.turn WHERE w.origin IS NULL GROUP BY ALL),
+part AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, place ORDER BY size DESC, origin DESC) AS rn FROM (SELECT conv_id, turn, place, level, origin, sum(size) AS size FROM by_line GROUP BY ALL) y),
+hit AS (SELECT conv_id, turn, level, origin FROM whole WHERE origin IS NOT NULL UNION ALL SELECT conv_id, turn, level, origin FROM part WHERE rn = 1),
 link AS (
   SELECT conv_id, turn, max(CASE WHEN level = lowest THEN origin END) AS parent_turn, count(*) AS quoted
   FROM (SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS lowest FROM hit) x GROUP BY 1, 2),

@@ -1,12 +1,15 @@
 """Conversations from messages that quote each other, mail style: native DataFrame operations only.
 
 Each line's quote level is its number of leading ``>`` marks. Consecutive lines of one level form a passage; its text is normalised (marks
-dropped, A-Z lower-cased, white space collapsed) and hashed. Lines of level 0 are a message's own text; each own line is indexed by its
-hash under the first message of the conversation that wrote it. Quoted lines are joined with that index, so a message is linked to the messages that it
-quotes, and replies to the latest one quoted at the lowest level found. Following these links up gives the thread; messages sorted by (thread, turn) come after
-what they reply to, and their text is formatted without the quotes.
+dropped, A-Z lower-cased, white space collapsed, across line breaks too) and hashed. Passages of level 0 are a message's own text. A quoted passage is linked
+to the latest earlier message of its conversation that wrote it, however its lines were wrapped. A passage that no message wrote as a whole, as one quoted in part,
+is linked by its lines: each to the latest earlier message that wrote it, and the message that accounts for the most characters is taken (of equals the latest).
+A message replies to the latest message linked at its lowest linked level. Following these links up gives the thread; messages sorted by
+(thread, turn) come after what they reply to, and their text is formatted without the quotes.
 
-Joins meet one index row per line and conversation, so a line quoted a thousand times gives a thousand links, not their square.
+The search for the latest earlier writer goes in blocks of ``BLOCK`` turns: within a block a window over its few rows, and from block to block the last
+writer of each. So a line that a million messages write and quote is spread over a thousand blocks, and no pairs are made. Each message is parsed once; what is
+kept of it is its own text and hashes.
 
 Cases: a null or empty text has no lines to quote and formats to an empty turn; a quotation of nothing earlier in its conversation stays unlinked
 (and is still dropped from the text); a message without links starts its own thread; repeated rows of a (conv_id, turn) are one message, with the text that
@@ -18,11 +21,14 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_unique
 
 MARKS = "^[ \\t]*(>[ \\t]*)+"
+#: Turns of a conversation that are searched together: 2 ** BLOCK_BITS.
+BLOCK_BITS = 10
 
 
 def level(line: Column) -> Column:
@@ -34,11 +40,39 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "[ \\t\\r]+", " "))
 
 
-def lines(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, line_no, level, passage_hash`` of every line that has text under its marks."""
-    row = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    row = row.select("conv_id", "turn", "line_no", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("passage"))
-    return row.where(F.col("passage") != "").withColumn("passage_hash", F.md5("passage")).drop("passage")
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it occurs in it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def passages(text: Column) -> Column:
+    """``array<struct<level, lines>>``: runs of lines of one level, with their normalised lines that are not empty; runs without any are left out."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(level(x).alias("level"), normalised(x).alias("line")))
+
+    def cut(of: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(of) - 1), lambda i: (i == 0) | (F.get(of, i)["level"] != F.get(of, i - 1)["level"]))
+
+        def run(starts: Column):
+            def one(at: Column, place: Column) -> Column:
+                size = F.coalesce(F.get(starts, place + 1), F.size(of)) - at
+                kept = F.filter(F.transform(F.slice(of, at + 1, size), lambda x: x["line"]), lambda x: x != "")
+                return F.struct(F.get(of, at)["level"].alias("level"), kept.alias("lines"))
+
+            return F.transform(starts, one)
+
+        return bound(starts, run)
+
+    return F.filter(bound(lines, cut), lambda p: F.size(p["lines"]) > 0)
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def hashed(passage: Column) -> Column:
+    """A passage as its level, its hash, and the hash and size of its lines."""
+    lines = F.transform(passage["lines"], lambda x: F.struct(digest(x).alias("hash"), F.length(x).alias("size")))
+    return F.struct(passage["level"].alias("level"), digest(F.array_join(passage["lines"], " ")).alias("hash"), lines.alias("lines"))
 
 
 def distinct_messages(messages: DataFrame) -> DataFrame:
@@ -47,26 +81,55 @@ def distinct_messages(messages: DataFrame) -> DataFrame:
     return known.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", "m.role", "m.text")
 
 
+def parsed(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, body, quoted, own``: the own text without quotes, and the hashed passages of either kind."""
+    own = F.filter(F.split("text", "\n"), lambda x: level(x) == 0)
+    body = F.regexp_replace(F.array_join(own, "\n"), "^\\n+|\\n+\\z", "")
+    row = messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", body.alias("body"), F.transform(passages(F.col("text")), hashed).alias("p"))
+    return row.select("conv_id", "turn", "role", "body", F.filter("p", lambda x: x["level"] > 0).alias("quoted"), F.filter("p", lambda x: x["level"] == 0).alias("own"))
+
+
+def latest_before(asked: DataFrame, written: DataFrame) -> DataFrame:
+    """``asked`` (``conv_id, hash, turn``, distinct) with ``origin``: the latest earlier turn of the conversation in ``written`` (the same columns), else null."""
+    events = asked.select("conv_id", "hash", "turn", F.lit(True).alias("asked")).unionByName(written.select("conv_id", "hash", "turn", F.lit(False).alias("asked")))
+    events = events.withColumn("block", F.shiftright("turn", BLOCK_BITS))
+    writer = F.when(~F.col("asked"), F.col("turn"))
+    earlier = W.partitionBy("conv_id", "hash", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    inside = events.withColumn("inside", F.max(writer).over(earlier)).where("asked")
+    blocks = events.groupBy("conv_id", "hash", "block").agg(F.max(writer).alias("last"))
+    before = W.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select("conv_id", "hash", "block", F.max("last").over(before).alias("carried"))
+    return inside.join(carried, ["conv_id", "hash", "block"]).select("conv_id", "hash", "turn", F.coalesce("inside", "carried").alias("origin"))
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, parent_turn, quoted``: the message each one replies to, and how many of its lines are linked to any."""
-    line = lines(messages)
-    index = line.where("level = 0").groupBy("conv_id", "passage_hash").agg(F.min("turn").alias("origin"))
-    quoted = line.where("level > 0").groupBy("conv_id", "turn", "level", "passage_hash").agg(F.count("*").alias("n"))
-    linked = quoted.join(index, ["conv_id", "passage_hash"]).where(F.col("origin") < F.col("turn"))
-    best = F.min(F.struct("level", (-F.col("origin")).alias("back")))
-    return linked.groupBy("conv_id", "turn").agg(best.alias("best"), F.sum("n").alias("quoted")).select("conv_id", "turn", (-F.col("best.back")).alias("parent_turn"), "quoted")
+    """``conv_id, turn, parent_turn, quoted`` of ``parsed`` messages: the message each one replies to, and how many of its passages are linked to any."""
+    each = lambda name: F.explode(F.array_distinct(F.transform(name, lambda p: p["hash"]))).alias("hash")
+    whole = latest_before(messages.select("conv_id", "turn", each("quoted")), messages.select("conv_id", "turn", each("own")))
+    quoted = messages.select("conv_id", "turn", F.posexplode("quoted").alias("place", "p")).select("conv_id", "turn", "place", "p.*")
+    found = checkpointed(quoted.join(whole, ["conv_id", "turn", "hash"]).select("conv_id", "turn", "place", "level", "origin", F.when(F.col("origin").isNull(), F.col("lines")).alias("lines")))
+    part = found.where("origin IS NULL").select("conv_id", "turn", "place", "level", F.explode("lines").alias("line")).select("conv_id", "turn", "place", "level", "line.*")
+    own_lines = messages.select("conv_id", "turn", F.explode(F.array_distinct(F.flatten(F.transform("own", lambda p: F.transform(p["lines"], lambda x: x["hash"]))))).alias("hash"))
+    by_line = latest_before(part.select("conv_id", "hash", "turn").distinct(), own_lines).where("origin IS NOT NULL")
+    sizes = part.join(by_line, ["conv_id", "turn", "hash"]).groupBy("conv_id", "turn", "place", "level", "origin").agg(F.sum("size").alias("size"))
+    best = sizes.groupBy("conv_id", "turn", "place", "level").agg(F.max(F.struct("size", "origin"))["origin"].alias("origin"))
+    linked = found.where("origin IS NOT NULL").select("conv_id", "turn", "level", "origin").unionByName(best.select("conv_id", "turn", "level", "origin"))
+    parent = F.min(F.struct("level", (-F.col("origin")).alias("back")))["back"]
+    return linked.groupBy("conv_id", "turn").agg((-parent).alias("parent_turn"), F.count("*").alias("quoted"))
 
 
 def threads(links: DataFrame) -> DataFrame:
     """``conv_id, turn, thread_turn, depth``: the message at the end of each linked message's chain of replies.
 
-    Pointer doubling: as many rounds as the logarithm of the longest chain. Messages whose chain has ended take no part in later rounds.
+    Pointer doubling: as many rounds as the logarithm of the longest chain. Messages whose chain has ended take no part in later rounds. A message with very many replies
+    is a hot key, so every message pointed at goes once with the number of those that point at it.
     """
     active = checkpointed(links.select("conv_id", "turn", F.col("parent_turn").alias("thread_turn"), F.lit(1).cast("long").alias("depth")))
     settled = active.limit(0)
     while True:
         up = settled.unionByName(active).select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("above"), F.col("depth").alias("more"))
-        jumped = active.join(up, ["conv_id", "thread_turn"], "left")
+        met = active.groupBy("conv_id", "thread_turn").agg(F.count("*").alias("n")).join(up, ["conv_id", "thread_turn"], "left")
+        jumped = join_unique(active, met, ["conv_id", "thread_turn"], "n")
         after = checkpointed(jumped.select("conv_id", "turn", F.coalesce("above", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")))
         settled = settled.unionByName(after.where("NOT moved").drop("moved"))
         active = after.where("moved").drop("moved")
@@ -79,12 +142,10 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
 
     Sorted by (conv_id, thread_turn, turn) the rows are the conversations in reply order. ``formatted`` is the chat turn without quotes.
     """
-    one = checkpointed(distinct_messages(messages))
+    one = checkpointed(parsed(distinct_messages(messages)))
     links = checkpointed(quote_links(one))
-    own = F.filter(F.split("text", "\n"), lambda x: level(x) == 0)
-    body = F.regexp_replace(F.array_join(own, "\n"), "^\\n+|\\n+\\z", "")
-    out = one.join(links, ["conv_id", "turn"], "left").join(threads(links), ["conv_id", "turn"], "left")
-    formatted = F.concat(F.lit("<|"), "role", F.lit("|>\n"), body, F.lit("\n<|end|>"))
+    out = one.drop("quoted", "own").join(links, ["conv_id", "turn"], "left").join(threads(links), ["conv_id", "turn"], "left")
+    formatted = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "body", F.lit("\n<|end|>"))
     return out.select("conv_id", F.coalesce("thread_turn", "turn").alias("thread_turn"), "turn", "parent_turn", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("quoted", F.lit(0)).alias("quoted"), "role", formatted.alias("formatted"))
 
 

@@ -1,8 +1,11 @@
 """URL filtering, media sequences and quotation linking, against brute force."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,11 +126,61 @@ def test_quotes(spark):
     assert len(out) == 8
     got = {k: (r["thread_turn"], r["parent_turn"], r["depth"], r["quoted"]) for k, r in out.items()}
     assert got[1, 0] == (0, None, 0, 0) and got[1, 1] == (0, 0, 1, 1) and got[1, 2] == (0, 1, 2, 2) and got[1, 3] == (3, None, 0, 0)
-    assert got[1, 4] == (3, 3, 1, 2) and got[2, 0] == (0, None, 0, 0)
+    assert got[1, 4] == (0, 0, 1, 1) and got[2, 0] == (0, None, 0, 0)
     assert out[1, 2]["formatted"] == "<|user|>\nmore\n<|end|>" and out[1, 4]["formatted"] == "<|user|>\nend\n<|end|>" and out[2, 1]["formatted"] == "<|bot|>\n\n<|end|>"
     assert out[2, 2]["formatted"] == "<|bot|>\n\n<|end|>"
 
 
+def plain_replies(rows):
+    """Brute force over one conversation's ``{turn: text}``: ``{turn: (thread_turn, parent_turn, depth, quoted)}``."""
+    def clean(line):
+        m = re.match(r"[ \t]*(>[ \t]*)+", line)
+        bare = line[m.end() :] if m else line
+        return (m[0].count(">") if m else 0), re.sub(r"[ \t\r]+", " ", re.sub("[A-Z]", lambda c: c[0].lower(), bare)).strip(" ")
+
+    parts = {}
+    for turn, text in rows.items():
+        runs = itertools.groupby(map(clean, (text or "").split("\n")), key=lambda x: x[0])
+        parts[turn] = [(lv, kept) for lv, some in runs if (kept := [x for _, x in some if x])]
+    own = {t: {" ".join(x) for lv, x in p if lv == 0} for t, p in parts.items()}
+    own_lines = {t: {y for lv, x in p if lv == 0 for y in x} for t, p in parts.items()}
+    parent, quoted = {}, {}
+    for t, p in parts.items():
+        hits = []
+        for lv, x in p:
+            if lv:
+                whole = [o for o in own if o < t and " ".join(x) in own[o]]
+                by = Counter()
+                for y in x:
+                    if some := [o for o in own_lines if o < t and y in own_lines[o]]:
+                        by[max(some)] += len(y)
+                if whole or by:
+                    hits.append((lv, -max(whole) if whole else -max(by, key=lambda o: (by[o], o))))
+        parent[t], quoted[t] = (-min(hits)[1] if hits else None), len(hits)
+    out = {}
+    for t in rows:
+        top, depth = t, 0
+        while parent[top] is not None:
+            top, depth = parent[top], depth + 1
+        out[t] = (top, parent[t], depth, quoted[t])
+    return out
+
+
+@pytest.mark.parametrize("bits", [1, 10])
+def test_quotes_equal_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(quotes, "BLOCK_BITS", bits)
+    rng = random.Random(bits)
+    words = ["ok", "Yes", "no  way", "a longer line of text", "", "thanks", "x"]
+    talks = {c: {t: "\n".join("> " * rng.choice([0, 0, 1, 1, 2]) + rng.choice(words) for _ in range(rng.randint(0, 7))) for t in range(rng.choice([1, 5, 20, 40]))} for c in range(12)}
+    talks[90] = {0: "ok", 1: "ok", 2: "> ok\nfine"}
+    talks[91] = {0: "A", 1: "B", 3: "A\nB", 4: "> A\n> B\nseen"}
+    talks[92] = {0: "one two three\nfour five", 5: "> one two\n> three four\n> five\nyes", 2000: "> yes", 9000: ">> yes\n> nothing"}
+    df = spark.createDataFrame([(c, t, "u", x) for c, m in talks.items() for t, x in m.items()], "conv_id long, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["thread_turn"], r["parent_turn"], r["depth"], r["quoted"]) for r in quotes.reply_ordered(df).collect()}
+    assert got == {(c, t): v for c, m in talks.items() for t, v in plain_replies(m).items()}
+    assert got[90, 2][1] == 1 and got[91, 4][1] == 3 and got[92, 5][1] == 0 and got[92, 9000][:2] == (0, 5)
+
+
 def test_quotes_of_nothing_and_long_chains(spark):
     assert quotes.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     chain = [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(70)]
