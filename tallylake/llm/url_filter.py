@@ -7,8 +7,10 @@ that pass level 1 without being listed; level 3 the listed keys that pass level
 A key is listed if the first level that rejects it is an even one. This is exact for every key of the corpus.
 
 Only what wrongly passes level 1 is ever materialised, never the corpus's keys. The size of a cascade follows the list: level 1 has about
-1.44 * log2(corpus keys / listed keys) bits a listed key, and its false positives are then about as many as the list. The levels go into the plan as
-binary literals; a list whose level 1 would exceed ``MOST_BYTES`` is refused with an error, never cut.
+1.44 * log2(corpus keys / listed keys) bits a listed key, and its false positives are then about as many as the list. Bits are set in blocks of
+``BLOCK`` bytes on the executors, and only finished blocks come to the driver. The levels go into the plan as binary literals of at most ``MOST_BYTES``
+each. A list whose level 1 would need more than ``MOST_SEGMENTS`` of them (256 MB, some 100 million keys) is split by a hash of its keys, and the pages are judged
+in as many passes: any list is taken whole, and what is sent to the executors at a time is bounded.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; A-Z in hosts are lower-cased; repeated rows
 are judged each; among rules of equal length the one with the longer host wins; a rule both blocked and allowed is refused; no rules: all is allowed.
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Bound of a single level.
-MOST_BYTES = 1 << 24
+#: Bytes of a literal (a power of two), literals of a level, and bytes of a block that an executor fills.
+MOST_BYTES, MOST_SEGMENTS, BLOCK = 1 << 24, 16, 1 << 12
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,25 +59,41 @@ def hashed_bits(key: Column, level: int, hashes: int, bits: int) -> list[Column]
     return [F.pmod(one + F.lit(j).cast("long") * two, F.lit(bits).cast("long")) for j in range(hashes)]
 
 
+def sized(count: int, wrong: float) -> tuple[int, int]:
+    """Hashes and bits of a Bloom filter for ``count`` keys and a share ``wrong`` of false positives."""
+    hashes = max(1, round(-math.log2(wrong)))
+    return hashes, 64 * max(1, math.ceil(count * hashes / math.log(2) / 64))
+
+
+def first_share(count: int, others: int) -> float:
+    """Share of false positives of level 1: they are then about half as many as the list."""
+    return min(0.5, count / (2 * max(1, others)))
+
+
 class Level:
     def __init__(self, keys: DataFrame, level: int, count: int, wrong: float):
         """A Bloom filter over ``keys`` (column ``key``), sized for ``count`` keys and a share ``wrong`` of false positives."""
         self.level = level
-        self.hashes = max(1, round(-math.log2(wrong)))
-        self.bits = 64 * max(1, math.ceil(count * self.hashes / math.log(2) / 64))
-        if self.bits > 8 * MOST_BYTES:
-            raise ValueError(f"a filter of {self.bits // 8} bytes exceeds {MOST_BYTES}: {count} keys are too many for one cascade")
+        self.hashes, self.bits = sized(count, wrong)
         at = F.explode(F.array(*hashed_bits(F.col("key"), level, self.hashes, self.bits)))
-        bytes_set = keys.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at").bitwiseAND(F.lit(7)).cast("int"))).alias("set"))
-        table = bytearray(self.bits // 8)
-        for row in bytes_set.collect():  # at most MOST_BYTES small rows; a level of a thousand keys has some 2,000
-            table[row["byte"]] = row["set"]
-        self.table = F.lit(table)
+        byte = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at").bitwiseAND(F.lit(7)).cast("int")))
+        bytes_set = keys.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(byte.alias("set"))
+        placed = F.map_from_entries(F.collect_list(F.struct(F.col("byte").bitwiseAND(F.lit(BLOCK - 1)).cast("int"), F.hex(F.col("set").cast("long")))))
+        digits = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.lpad(F.coalesce(F.try_element_at(F.col("placed"), i), F.lit("0")), 2, "0"))
+        blocks = bytes_set.groupBy(F.floor(F.col("byte") / BLOCK).alias("block")).agg(placed.alias("placed")).select("block", F.unhex(F.array_join(digits, "")).alias("bytes"))
+        table = bytearray(-(-self.bits // 8 // BLOCK) * BLOCK)
+        for row in blocks.toLocalIterator():  # the filter's own size, block by block
+            table[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = row["bytes"]
+        self.segments = [F.lit(table[i : i + MOST_BYTES]) for i in range(0, len(table), MOST_BYTES)]
 
     def passes(self, key: Column) -> Column:
         def bit(at: Column) -> Column:
-            byte = F.conv(F.hex(F.substring(self.table, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            return F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+            byte = F.shiftright(at, 3)
+            one = lambda table: F.substring(table, (byte.bitwiseAND(F.lit(MOST_BYTES - 1)) + 1).cast("int"), F.lit(1))
+            found = one(self.segments[-1])
+            for i in range(len(self.segments) - 2, -1, -1):
+                found = F.when(byte < (i + 1) * MOST_BYTES, one(self.segments[i])).otherwise(found)
+            return F.getbit(F.conv(F.hex(found), 16, 10).cast("int"), at.bitwiseAND(F.lit(7)).cast("int")) == 1
 
         out = F.lit(True)
         for at in hashed_bits(key, self.level, self.hashes, self.bits):
@@ -100,10 +118,10 @@ class Cascade:
         if not n:
             return
         others = max(1, distinct_keys(universe) if size is None else size)
-        first = Level(inside, 0, n, min(0.5, n / (2 * others)))
+        first = Level(inside, 0, n, first_share(n, others))
         self.levels.append(first)
         passed = universe.select("key").where(first.passes(F.col("key"))).distinct()
-        outside = checkpointed(passed.join(F.broadcast(inside), "key", "left_anti"))  # the list is bounded by MOST_BYTES
+        outside = checkpointed(passed.join(inside, "key", "left_anti"))
         included, excluded = inside, outside
         while m := excluded.count():
             level = Level(excluded, len(self.levels), m, 0.5 if len(self.levels) > 1 else 0.25)
@@ -117,6 +135,17 @@ class Cascade:
         return out
 
 
+def in_pass(n: int, passes: int):
+    """Whether a key belongs to a pass, as a function of one column."""
+    return lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(passes)) == n
+
+
+def found_in(keys: Column, allowed: Cascade, blocked: Cascade) -> Column:
+    """The listed ones of an array of keys, in order, as ``array<struct<key, blocked>>``."""
+    told = F.transform(keys, lambda k: F.struct(k.alias("key"), blocked.contains(k).alias("blocked")))
+    return F.filter(told, lambda s: s["blocked"] | allowed.contains(s["key"]))
+
+
 def judged(pages: DataFrame, allow: DataFrame, block: DataFrame, url: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the longest one that fits, else null) and ``verdict`` (allow or block).
 
@@ -131,14 +160,27 @@ def judged(pages: DataFrame, allow: DataFrame, block: DataFrame, url: str = "url
     keys = candidates(F.col("host"), F.col("path"), sorted(shape[0]), sorted(shape[1]))
     universe = cut.select(F.explode(keys).alias("key"))
     as_keys = lambda df: df.select(F.concat("host", "path").alias("key"))
-    size = distinct_keys(universe)
-    allowed, blocked = Cascade(as_keys(allow), universe, size), Cascade(as_keys(block), universe, size)
     both = as_keys(allow).join(as_keys(block), "key", "left_semi")
     if not both.isEmpty():
         raise ValueError("a rule is both allowed and blocked")
-    hit = F.filter(keys, lambda k: blocked.contains(k) | allowed.contains(k))
-    out = cut.withColumn("rule", F.try_element_at(hit, F.lit(1)))
-    return out.withColumn("verdict", F.when(F.col("rule").isNotNull() & blocked.contains(F.col("rule")), "block").otherwise("allow"))
+    size = distinct_keys(universe)
+    listed = rules.select(F.concat("host", "path")).distinct().count()
+    passes = -(-sized(listed, first_share(listed, size))[1] // (8 * MOST_BYTES * MOST_SEGMENTS))
+    hits = "url_filter_hits"
+    while hits in pages.columns:
+        hits += "_"
+    out = cut.withColumn(hits, F.lit([]).cast("array<struct<key:string,blocked:boolean>>"))
+    for n in range(passes):
+        mine = in_pass(n, passes)
+        of = lambda df: df.where(mine(F.col("key")))  # noqa: B023, E731
+        allowed, blocked = (Cascade(of(as_keys(x)), of(universe), size // passes) for x in (allow, block))
+        found = found_in(F.filter(keys, mine), allowed, blocked)
+        out = out.withColumn(hits, F.concat(hits, found))
+        out = checkpointed(out) if n + 1 < passes else out
+    # The longest key first, as ``keys`` has them; with several passes each of them found its own.
+    ordered = F.col(hits) if passes == 1 else F.filter(F.transform(keys, lambda k: F.get(F.filter(hits, lambda s: s["key"] == k), 0)), lambda s: s.isNotNull())
+    out = out.withColumn(hits, F.try_element_at(ordered, F.lit(1)))
+    return out.withColumns({"rule": F.col(hits)["key"], "verdict": F.when(F.col(hits)["blocked"], "block").otherwise("allow")}).drop(hits)
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:

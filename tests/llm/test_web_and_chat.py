@@ -44,6 +44,23 @@ def test_urls(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == judge(r["url"]), r["url"]
 
 
+def test_long_lists(spark, monkeypatch):
+    """Filters of many literals, and lists that take several passes."""
+    monkeypatch.setattr(url_filter, "MOST_BYTES", 64)
+    monkeypatch.setattr(url_filter, "BLOCK", 16)
+    hosts = [f"h{i}.net" for i in range(400)]
+    df = spark.createDataFrame([(i, f"http://a.{h}/x/{i}", 1) for i, h in enumerate(hosts)], "page_id long, url string, url_filter_hits int")
+    block = url_filter.rules_frame(spark, [(h, "/x/") for h in hosts[::3]])
+    allow = url_filter.rules_frame(spark, [(h, "/x/") for h in hosts[1::3]] + [("net", "/")])
+    for segments in (1, 1000):
+        monkeypatch.setattr(url_filter, "MOST_SEGMENTS", segments)
+        out = url_filter.judged(df, allow, block).collect()
+        assert len(out) == 400 and set(out[0].asDict()) == {"page_id", "url", "url_filter_hits", "host", "path", "rule", "verdict"}
+        for r in out:
+            i = r["page_id"]
+            assert (r["rule"], r["verdict"]) == ((f"{hosts[i]}/x/", "block") if i % 3 == 0 else (f"{hosts[i]}/x/", "allow") if i % 3 == 1 else ("net/", "allow"))
+
+
 def test_urls_without_rules_or_rows(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     none = url_filter.rules_frame(spark, [])
