@@ -1,20 +1,22 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding look-alikes and digit substitutions.
 
 Learning takes at most ``SAMPLE`` labelled documents of either class (those whose ids hash lowest), equal texts of a class once; rows of the held-out
-third are never seen. Terms are folded words and their beginnings of 4 characters or more; a term enters the lexicon with its smoothed log odds if its log-likelihood ratio says that it prefers toxic
-documents, if no better term is its beginning or continues it, and if it either is among the strongest or tells toxic documents that those chosen before it
-do not. (Near copies of one document share many words; without this rule all of them would enter.) Words that hold a term, and pairs of neighbouring words around it, that
-clean documents hold at least as often as toxic ones become exception phrases: what they cover does not count, and weights are counted again without it. A text's score is the logistic function of its weights' sum, normalised
-by the logarithm of its length in words, and of its largest weight, fitted by Newton steps on the same sample.
-
-Cases: a null or empty text has no matches and scores the intercept; equal texts have equal scores; repeated rows are scored each; without any toxic
+third are never seen. Terms are folded words and their beginnings of 4 characters or more. Strong terms, whose log-likelihood ratio is ``STRONG`` of the best one's or more,
+enter the lexicon by rank, unless a chosen term is their beginning or continues them, or tells much the same documents. (Near copies of one document share many words,
+which all tell the same copies: one of them enters.) Then, again and again, the term with the highest ratio over the toxic documents that no chosen term tells, as long as it is ``EVIDENCE`` or more. Longer terms
+under a chosen beginning follow if they have the evidence and weigh clearly more; of the terms at one place the longest counts. Words that hold a term, and
+pairs of neighbouring words around it, that clean documents hold at least as often as toxic ones become exception phrases: what they cover does not count,
+and weights, smoothed log odds, are counted again without it. A text's score is the logistic function of its weights' sum, normalised by the logarithm of its length in words, and of its
+largest weight, fitted by Newton steps on the same sample, where every document is measured with weights that leave it out. Only ``SAMPLE`` bounds what is learned from: no number of terms,
+phrases or characters is cut.
+
+Cases: a null or empty text has no matches and scores the intercept; a null doc_id is held out by no rule, so ``held_out`` is false, and no label belongs to it; equal texts have equal scores; repeated rows are scored each; without any toxic
 label in the sample all texts score the share of toxic rows; labels, language, source and ids are no inputs; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,10 +32,14 @@ from .common import checkpointed
 
 #: At most so many labelled documents of either class are learned from.
 SAMPLE = 4000
-SHORTEST, LONGEST_STEM = 4, 8
-#: Log-likelihood ratio that a term needs; share of the best one's from which a term is strong; the most terms kept; strong terms that come to the driver at once.
-EVIDENCE, STRONG, MOST_TERMS, PAGE = 18.0, 0.25, 500, 4000
+#: Length of the shortest beginning, and length up to which all beginnings are terms; of longer words those of every doubling, too.
+SHORTEST, DENSE_TO = 4, 32
+#: Log-likelihood ratio that a term needs; share of the best one's from which a term is strong; overlap of documents (Jaccard) from which terms tell the same.
+EVIDENCE, STRONG, SAME = 18.0, 0.25, 0.8
+#: How much more a longer term weighs; strong terms that come to the driver at once.
+MARGIN, PAGE = 0.5, 500
 FOUND = [("rank", pa.float64()), ("ratio", pa.float64()), ("term", pa.string()), ("docs", pa.list_(pa.int64())), ("clean", pa.int64())]
+FOUND_SQL = "rank double, ratio double, term string, docs array<bigint>, clean bigint"
 
 # Digits and signs that stand for letters, and look-alikes from Greek and Cyrillic.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -64,11 +70,20 @@ FOLD, BARE = Fold(), Bare()
 
 
 def folded(text: str) -> str:
-    """The folded words, then once more those with accents, without them: accents tell words apart, and are used to hide them."""
-    t = text.translate(FOLD)
+    """The folded words, then once more those with accents, without them: accents tell words apart, and are used to hide them. Words have single spaces around them."""
+    t = " ".join(text.translate(FOLD).split())
     if t.isascii():
         return f" {t} "
-    return f" {t}  {' '.join(w for w in t.split() if not w.isascii()).translate(BARE)} "
+    return f" {t}  {' '.join(' '.join(w for w in t.split(' ') if not w.isascii()).translate(BARE).split())} "
+
+
+def beginnings(size: int) -> list[int]:
+    """Lengths of the beginnings of a word of ``size`` letters that are terms: their sum grows with the word, not with its square."""
+    out, n = list(range(SHORTEST, min(size, DENSE_TO) + 1)), 2 * DENSE_TO
+    while n <= size:
+        out.append(n)
+        n *= 2
+    return out
 
 
 def terms_of(text: str) -> set[str]:
@@ -76,7 +91,7 @@ def terms_of(text: str) -> set[str]:
     out = set()
     for w in set(text.split()):
         out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in range(SHORTEST, min(len(w), LONGEST_STEM) + 1))
+        out.update(f" {w[:n]}" for n in beginnings(len(w)))
     return out
 
 
@@ -118,17 +133,30 @@ class Lexicon:
         """``(start, end, weight)`` in a folded text, without those inside an exception phrase."""
         if not len(self.built()):
             return []
-        found, covered = [], []
+        found: dict[int, tuple[int, float]] = {}
+        ends, covered = -1, []  # phrases in the order of their ends; those inside another one are left out
         for last, (size, w) in self.automaton.iter(text):
-            (found if w is not None else covered).append((last + 1 - size, last + 1, w))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in covered)] if covered else found
+            if w is not None:
+                found[last + 1 - size] = (last + 1, w)  # of terms with one start the longest comes last
+            else:
+                while covered and covered[-1][0] >= last + 1 - size:
+                    covered.pop()
+                covered.append((last + 1 - size, last + 1))
+        if not covered:
+            return [(a, b, w) for a, (b, w) in found.items()]
+        out, at = [], 0
+        for start in sorted(found):
+            while at < len(covered) and covered[at][0] <= start:
+                ends, at = max(ends, covered[at][1]), at + 1
+            if found[start][0] > ends:
+                out.append((start, *found[start]))
+        return out
 
-    def features(self, text: str) -> tuple[float, float]:
+    def features(self, text: str, weights: dict[str, float] | None = None) -> tuple[float, float]:
+        """The sum of weights by the logarithm of the words, and the largest. ``weights``: others than the lexicon's own, for its terms."""
         t = folded(text)
-        weights = [w for _, _, w in self.matches(t)]
-        if not weights:
-            return 0.0, 0.0
-        return sum(weights) / math.log2(2 + t.count(" ")), max(weights)
+        found = [w if weights is None else weights[t[a:b]] for a, b, w in self.matches(t)]
+        return (sum(found) / math.log2(1 + t.count(" ")), max(found)) if found else (0.0, 0.0)
 
     def score(self, text: str) -> float:
         a, b, c = self.logistic
@@ -138,7 +166,7 @@ class Lexicon:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -180,73 +208,87 @@ def candidates(rows: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return enough.withColumn("ratio", ratio(F.size("docs"), F.col("clean")))
 
 
+def free(t: str, chosen: dict, stems: set[str]) -> bool:
+    """Whether no chosen term is a beginning of a term, or continues it."""
+    return t not in chosen and t not in stems and not any(t[: n + 1] in chosen for n in beginnings(len(t) - 2))
+
+
 def chosen_terms(terms: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the lexicon's terms, from ``candidates``, all of which take part.
+    """The lexicon's first terms and their weights, from ``candidates``, all of which take part: strong ones page by page, then a greedy cover of the documents not told.
 
-    Strong terms come first, by their likelihood ratio; then, again and again, the term with the highest ratio over toxic documents that no chosen term tells yet.
-    Where strong terms alone would fill all places, as those of many near copies do, they come last. Each page of strong terms and each term of the cover is one
-    aggregate; the driver holds the chosen terms and the documents that they tell.
+    Each page and each term of the cover is one aggregate. The driver holds a page, the chosen terms and which documents of the sample they tell, as bits of an integer.
     """
     out: dict[str, float] = {}
     stems: set[str] = set()
-    told: set[int] = set()
+    bit: dict[int, int] = {}
+    tells: list[int] = []
 
-    def free(t: str) -> bool:
-        return t not in out and t not in stems and not any(t[:n] in out for n in range(SHORTEST + 1, len(t)))
+    def bits(docs: list[int]) -> int:
+        return sum(1 << bit.setdefault(d, len(bit)) for d in docs)
 
-    def take(t: str, a: int, b: int) -> None:
-        out[t] = log_odds(a, b, n_toxic, n_clean)
-        stems.update(t[:n] for n in range(SHORTEST + 1, len(t)))
+    def take(t: str, docs: list[int], clean: int) -> None:
+        out[t] = log_odds(len(docs), clean, n_toxic, n_clean)
+        stems.update(t[: n + 1] for n in beginnings(len(t.strip())))
+        tells.append(bits(docs))
 
-    def left_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told() -> list[int]:
+        every = 0
+        for x in tells:
+            every |= x
+        return [d for d, i in bit.items() if every >> i & 1]
+
+    best = terms.agg(F.max("ratio")).first()[0]
+    if best is None:
+        return out
+    place = F.struct((-F.col("ratio")).alias("ratio"), F.length("term").alias("size"), "term").alias("place")
+    strong = terms.where(F.col("ratio") >= max(EVIDENCE, STRONG * best)).select(place, "docs", "clean")
+    page = strong.orderBy("place").limit(PAGE).collect()
+    while page:
+        for r in page:
+            if free(t := r["place"]["term"], out, stems):
+                x = bits(r["docs"])
+                if all((x & c).bit_count() < SAME * (x | c).bit_count() for c in tells):
+                    take(t, r["docs"], r["clean"])
+        last = F.struct(*(F.lit(x).alias(n) for n, x in r["place"].asDict().items()))
+        page = strong.where(F.col("place") > last).orderBy("place").limit(PAGE).collect() if len(page) == PAGE else []
+
+    def best_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best free term of these, over the documents not told."""
-        known, left, top = np.array(sorted(told), np.int64), n_toxic - len(told), None
+        top = None
         for batch in batches:
             held = [np.array(d, np.int64) for d in batch["docs"].to_pylist()]
             ends = np.cumsum([len(d) for d in held])
             is_open = np.concatenate(([0], np.cumsum(~np.isin(np.concatenate(held), known)))) if held else np.zeros(1, np.int64)
             for i, (t, b) in enumerate(zip(batch["term"].to_pylist(), batch["clean"].to_pylist(), strict=True)):
                 a = int(is_open[ends[i]] - is_open[ends[i] - len(held[i])])
-                if a >= 3 and a * n_clean > b * left and free(t):
+                if a >= 3 and a * n_clean > b * left and free(t, out, stems):
                     rank = (-likelihood_ratio(a, b, left, n_clean), -batch["ratio"][i].as_py(), len(t), t)
                     if top is None or rank < top[0]:
                         top = rank, t, batch["docs"][i].as_py(), b
         if top is not None and -top[0][0] >= EVIDENCE:
             yield pa.RecordBatch.from_pylist([{"rank": -top[0][0], "ratio": -top[0][1], "term": top[1], "docs": top[2], "clean": top[3]}], pa.schema(FOUND))
 
-    def take_cover() -> None:
-        if out:
-            told.update(r[0] for r in terms.where(F.col("term").isin(*out)).select(F.explode("docs")).distinct().collect())  # at most ``sample`` rows
-        while len(out) < MOST_TERMS and n_toxic - len(told) >= 3:
-            found = terms.mapInArrow(left_best, "rank double, ratio double, term string, docs array<bigint>, clean bigint")
-            r = found.orderBy(F.desc("rank"), F.desc("ratio"), F.length("term"), "term").first()
-            if r is None:
-                break
-            take(r["term"], len(r["docs"]), r["clean"])
-            told.update(r["docs"])
-
-    def take_strong() -> None:
-        page = strong.orderBy("place").limit(PAGE).collect()
-        while page and len(out) < MOST_TERMS:
-            for r in page:
-                if len(out) < MOST_TERMS and free(r["place"]["term"]):
-                    take(r["place"]["term"], r["a"], r["clean"])
-            last = F.struct(*(F.lit(x).alias(n) for n, x in r["place"].asDict().items()))
-            page = strong.where(F.col("place") > last).orderBy("place").limit(PAGE).collect() if len(page) == PAGE else []
-
-    best = terms.agg(F.max("ratio")).first()[0]
-    if best is None:
-        return out
-    place = F.struct((-F.col("ratio")).alias("ratio"), F.length("term").alias("size"), "term")
-    strong = terms.where(F.col("ratio") >= max(EVIDENCE, STRONG * best)).select(place.alias("place"), F.size("docs").alias("a"), "clean")
-    take_strong()
-    if len(out) == MOST_TERMS:
-        out.clear()
-        stems.clear()
-        take_cover()
-        take_strong()
-    else:
-        take_cover()
+    while True:
+        known = np.array(sorted(told()), np.int64)
+        left = n_toxic - len(known)
+        r = terms.mapInArrow(best_open, FOUND_SQL).orderBy(F.desc("rank"), F.desc("ratio"), F.length("term"), "term").first() if left >= 3 else None
+        if r is None:
+            return out
+        take(r["term"], r["docs"], r["clean"])
+
+
+def longer_terms(terms: DataFrame, chosen: dict[str, float], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """``chosen`` and the terms with enough evidence that continue one of them and weigh clearly more than the longest one they continue."""
+    some = F.lit(False)
+    for t in chosen:
+        some = some | F.startswith("term", F.lit(t))
+    rows = terms.where((F.col("ratio") >= EVIDENCE) & some).select("term", F.size("docs").alias("a"), "clean").collect() if chosen else []
+    out = dict(chosen)
+    for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
+        t, w = r["term"], log_odds(r["a"], r["clean"], n_toxic, n_clean)
+        under = max((x for n in range(len(t)) if (x := t[:n]) in out), key=len, default=None)
+        if t not in out and under is not None and w > out[under] + MARGIN:
+            out[t] = w
     return out
 
 
@@ -254,14 +296,15 @@ def around(text: str, lexicon: Lexicon) -> set[str]:
     """Words that hold a match, and pairs of neighbouring words around it."""
     t = folded(text)
     out = set()
-    for start, end, _ in lexicon.matches(t):
-        before, after = t[max(0, start - 100) : start].split(" ")[-1:], re.match(r"\S*", t[start + 1 : start + 101])[0]
-        following = re.match(r"\s*(\S*)", t[start + 1 + len(after) : start + 101 + len(after)])[1]
-        out.add(after)
-        if before and before[0]:
-            out.add(f"{before[0]} {after}")
-        if following:
-            out.add(f"{after} {following}")
+    for start, _, _ in lexicon.matches(t):
+        ends = t.find(" ", start + 1)
+        word = t[start + 1 : ends]
+        before, after = t[t.rfind(" ", 0, start) + 1 : start], t[ends + 1 : max(ends + 1, t.find(" ", ends + 1))]
+        out.add(word)
+        if before:
+            out.add(f"{before} {word}")
+        if after:
+            out.add(f"{word} {after}")
     return out
 
 
@@ -280,7 +323,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from labelled documents. What comes to the driver is bounded by ``sample`` and ``MOST_TERMS``."""
+    """A lexicon from labelled documents. What comes to the driver, terms and phrases of the sample that have the evidence, is bounded by ``sample``."""
     rows = training_rows(docs, labels, sample).persist()
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
@@ -288,14 +331,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
         share = (n_toxic + 0.5) / (n_toxic + n_clean + 1) if n_toxic + n_clean else 0.0
         return Lexicon({}, exceptions, (math.log(share / (1 - share)) if share else -30.0, 0.0, 0.0))
     terms = checkpointed(candidates(rows, n_toxic, n_clean))
-    lexicon = Lexicon(chosen_terms(terms, n_toxic, n_clean), exceptions)
+    lexicon = Lexicon(longer_terms(terms, chosen_terms(terms, n_toxic, n_clean), n_toxic, n_clean), exceptions)
 
     @F.arrow_udf("array<string>")
     def contexts(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(around(t, lexicon)) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     phrases = rows.select("toxic", F.explode(contexts(F.col("text"))).alias("phrase")).groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
-    harmless = phrases.where((F.col("clean") >= 3) & (F.col("toxic") * n_clean <= F.col("clean") * n_toxic)).orderBy(F.desc("clean"), "phrase").limit(MOST_TERMS).collect()
+    harmless = phrases.where((F.col("clean") >= 3) & (F.col("toxic") * n_clean <= F.col("clean") * n_toxic)).orderBy(F.desc("clean"), "phrase").collect()
     lexicon = Lexicon(lexicon.weights, (*exceptions, *(r["phrase"] for r in harmless)))
 
     @F.arrow_udf("array<string>")
@@ -304,15 +347,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
         return pa.array([sorted({t[a:b] for a, b, _ in lexicon.matches(t)}) for t in folds], pa.list_(pa.string()))
 
     again = rows.select("toxic", F.explode(matched(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
-    odds = {r["term"]: log_odds(r["toxic"], r["clean"], n_toxic, n_clean) for r in again.collect()}  # at most MOST_TERMS rows
-    lexicon = Lexicon({t: odds[t] for t in lexicon.weights if odds.get(t, 0) > 0}, lexicon.exceptions)
+    counts = {r["term"]: (r["toxic"], r["clean"]) for r in again.collect() if log_odds(r["toxic"], r["clean"], n_toxic, n_clean) > 0}
+    lexicon = Lexicon({t: log_odds(*counts[t], n_toxic, n_clean) for t in lexicon.weights if t in counts}, lexicon.exceptions)
+    # A document's own count is taken off the weights that it is measured with.
+    without = [{t: log_odds(a - k, max(0, b - 1 + k), n_toxic - k, n_clean - 1 + k) if a - k >= 0 else 0.0 for t, (a, b) in counts.items()} for k in (0, 1)]
 
     @F.arrow_udf("struct<x:double,y:double>")
-    def measured(texts: pa.Array) -> pa.Array:
-        x, y = zip(*map(lexicon.features, texts.to_pylist()), strict=True) if len(texts) else ((), ())
+    def measured(texts: pa.Array, toxic: pa.Array) -> pa.Array:
+        pairs = [lexicon.features(t, without[k]) for t, k in zip(texts.to_pylist(), toxic.to_pylist(), strict=True)]
+        x, y = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.StructArray.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64())], ["x", "y"])
 
-    data = np.array([tuple(r) for r in rows.select(measured(F.col("text")).alias("m"), "toxic").select("m.x", "m.y", "toxic").collect()])  # 2 * sample rows at most
+    data = np.array([tuple(r) for r in rows.select(measured(F.col("text"), F.col("toxic")).alias("m"), "toxic").select("m.x", "m.y", "toxic").collect()])  # 2 * sample rows at most
     order = np.lexsort(data.T)
     lexicon.logistic = logistic_fit(data[order, :2], data[order, 2])
     rows.unpersist()
@@ -320,7 +366,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
 
 
 def score(text: Column, lexicon: Lexicon) -> Column:
-    """Toxicity of a text column, from 0 to 1. The lexicon is sent with the function: at most 2 * MOST_TERMS short strings."""
+    """Toxicity of a text column, from 0 to 1. The lexicon is sent with the function."""
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:

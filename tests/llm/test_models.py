@@ -206,6 +206,67 @@ def test_copies_leave_room_for_other_terms(spark):
         assert any(t.startswith(" zlos") for t in lexicon.weights) and any(t.startswith(" qidi") for t in lexicon.weights)
 
 
+def plain_score(lexicon, text):
+    """The score by comparing every term and phrase at every place."""
+    t = toxicity.folded(text)
+    phrases = [f" {toxicity.folded(p).strip()} " for p in lexicon.exceptions]
+    covered = [(i, i + len(p)) for p in phrases for i in range(len(t)) if t.startswith(p, i)]
+    weights = []
+    for i in range(len(t)):
+        here = max((x for x in lexicon.weights if t.startswith(x, i)), key=len, default=None)
+        if here is not None and not any(a <= i and i + len(here) <= b for a, b in covered):
+            weights.append(lexicon.weights[here])
+    a, b, c = lexicon.logistic
+    z = a + (b * sum(weights) / np.log2(len(t.split(" ")))) + c * max(weights) if weights else a
+    return 1 / (1 + np.exp(-z)), weights
+
+
+def test_scores_equal_brute_force():
+    rng = random.Random(11)
+    lexicon = toxicity.Lexicon({" trash": 3.0, " trash ": 4.5, " idio": 2.0, " idiotic ": 5.0, " scum ": 3.5, " can": 0.5}, ("trash can", "the trash can today", "idio", "scum", "can trash"), (-3.0, 1.3, 0.7))
+    words = ["trash", "trashy", "tr4sh", "can", "the", "today", "idio", "1diot", "idiotic", "scum", "SCUM!", "cån", "scumbag", ",", "trash-can", "x"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))
+        assert lexicon.score(text) == pytest.approx(plain_score(lexicon, text)[0]), text
+
+
+def test_learned_weights_equal_brute_force(spark):
+    """Every term, its weight and every exception recounted by hand from the training rows."""
+    rows = labelled(spark)
+    lexicon = toxicity.learn(rows.drop("toxic"), rows.select("doc_id", "toxic"))
+    train = {(r["text"], r["toxic"]) for r in rows.where(~toxicity.held_out(F.col("doc_id"))).collect()}
+    n = [sum(k == y for _, y in train) for k in (0, 1)]
+    for term, weight in lexicon.weights.items():
+        held = [0, 0]
+        for text, y in train:
+            t = toxicity.folded(text)
+            held[y] += any(t[a:b] == term for a, b, _ in lexicon.matches(t))
+        assert weight == pytest.approx(toxicity.log_odds(held[1], held[0], n[1], n[0])) and weight > 0
+        plain = [sum(term in toxicity.folded(text) for text, y in train if y == k) for k in (0, 1)]
+        assert toxicity.likelihood_ratio(plain[1], plain[0], n[1], n[0]) > 10
+    for phrase in set(lexicon.exceptions) - set(toxicity.EXCEPTIONS):
+        held = [sum(f" {phrase} " in toxicity.folded(text) for text, y in train if y == k) for k in (0, 1)]
+        assert held[0] >= 3 and held[1] * n[0] <= held[0] * n[1]
+
+
+def test_beginnings_and_long_words():
+    assert toxicity.beginnings(3) == [] and toxicity.beginnings(6) == [4, 5, 6] and toxicity.beginnings(300)[-3:] == [64, 128, 256]
+    assert len(toxicity.terms_of(toxicity.folded("x" * 1_000_000))) < 60
+    lexicon = toxicity.Lexicon({" bad": 3.0})
+    assert toxicity.around(f"one {'a' * 500}, bad{'c' * 900} two", lexicon) == {f"bad{'c' * 900}", f"{'a' * 500} bad{'c' * 900}", f"bad{'c' * 900} two"}
+    assert toxicity.around("bad", lexicon) == {"bad"} and toxicity.around("x bad", lexicon) == {"bad", "x bad"}
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = labelled(spark, 300)
+    docs = rows.drop("toxic").unionByName(spark.createDataFrame([(None, "qidiotic end", "en", "s"), (3, None, "en", "s"), (3, "", "en", "s")], rows.drop("toxic").schema)).withColumn("toxic", F.lit(1)).withColumn("score", F.lit(2.0))
+    labels = rows.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, toxic int")).withColumn("text", F.lit("x"))
+    lexicon = toxicity.learn(docs, labels)
+    assert docs.select(toxicity.held_out(F.col("doc_id")).alias("h")).where("h IS NULL").count() == 0
+    assert not docs.where("doc_id IS NULL").select(toxicity.held_out(F.col("doc_id"))).first()[0]
+    assert docs.select(toxicity.score(F.col("text"), lexicon).alias("s")).where("s IS NULL OR s < 0 OR s > 1").count() == 0
+
+
 # ---- exact search ----------------------------------------------------------------------------------------------------
 
 
