@@ -7,8 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that hold the most rows are treated one by one: at most so many, of those with so many rows. Any other key of a table has under 1 / MOST_HOT of its
-#: rows; a partition that such a key still makes large is split by Spark's own skew handling, as both joins here are inner or left joins.
+#: Keys that hold the most rows are treated one by one: at most so many, of those with so many rows. Any other key of a table has under 1 / MOST_HOT of its rows.
 MOST_HOT, LEAST_HOT = 10_000, 256
 
 
@@ -37,15 +36,13 @@ def hot_keys(counts: DataFrame, n_col: str) -> DataFrame:
     return counts.where(F.col(n_col) >= LEAST_HOT).orderBy(F.desc(n_col), *rest).limit(MOST_HOT)
 
 
-def join_unique(rows: DataFrame, table: DataFrame, keys: str | list[str], n_col: str) -> DataFrame:
-    """``rows`` joined with ``table`` (one row per key, with the number of ``rows`` of that key in ``n_col``), safe against hot keys.
+def join_skewed(rows: DataFrame, table: DataFrame, keys: str | list[str]) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key), where a few keys may hold most of ``rows``.
 
-    Hot keys are joined by broadcast, the rest by a shuffle on the keys; both are united. ``n_col`` is dropped.
+    The table is checkpointed, so that both sides come to the join straight from their shuffles: then Spark's adaptive skew join splits the partitions that hot
+    keys make large, whatever their number, which it doesn't where an aggregate stands in between.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = F.broadcast(hot_keys(table, n_col).drop(n_col))
-    cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(cold_rows.join(table.drop(n_col), keys))
+    return rows.join(checkpointed(table), keys)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_unique
+from .common import checkpointed, join_skewed
 
 MARKS = "^[ \\t]*(>[ \\t]*)+"
 #: Turns of a conversation that are searched together: 2 ** BLOCK_BITS.
@@ -122,14 +122,14 @@ def threads(links: DataFrame) -> DataFrame:
     """``conv_id, turn, thread_turn, depth``: the message at the end of each linked message's chain of replies.
 
     Pointer doubling: as many rounds as the logarithm of the longest chain. Messages whose chain has ended take no part in later rounds. A message with very many replies
-    is a hot key, so every message pointed at goes once with the number of those that point at it.
+    is a hot key, which the join splits.
     """
     active = checkpointed(links.select("conv_id", "turn", F.col("parent_turn").alias("thread_turn"), F.lit(1).cast("long").alias("depth")))
     settled = active.limit(0)
     while True:
         up = settled.unionByName(active).select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("above"), F.col("depth").alias("more"))
-        met = active.groupBy("conv_id", "thread_turn").agg(F.count("*").alias("n")).join(up, ["conv_id", "thread_turn"], "left")
-        jumped = join_unique(active, met, ["conv_id", "thread_turn"], "n")
+        met = active.select("conv_id", "thread_turn").distinct().join(up, ["conv_id", "thread_turn"], "left")
+        jumped = join_skewed(active, met, ["conv_id", "thread_turn"])
         after = checkpointed(jumped.select("conv_id", "turn", F.coalesce("above", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")))
         settled = settled.unionByName(after.where("NOT moved").drop("moved"))
         active = after.where("moved").drop("moved")

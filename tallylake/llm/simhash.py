@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_unique
+from .common import checkpointed, join_skewed
 
 SEGMENTS, WIDTH, BITS = 4, 16, 3
 LOW32, LOW16 = (1 << 32) - 1, (1 << 16) - 1
@@ -149,10 +149,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = signature(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        edges = join_unique(both.where(F.col("b") > F.col("a")), least, "a", "n").select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
-        least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        lower = join_unique(edges, least, "b", "n").where(F.col("a") != F.col("m")).select(F.col("m"), F.col("a").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        edges = join_skewed(both.where(F.col("b") > F.col("a")), least, "a").select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
+        least = edges.groupBy("b").agg(F.min("a").alias("m"))
+        lower = join_skewed(edges, least, "b").where(F.col("a") != F.col("m")).select(F.col("m"), F.col("a").alias("b"))
         edges = checkpointed(lower.unionByName(least.select("m", "b")).select(F.col("m").alias("a"), "b").distinct())
         before, state = state, signature(edges)
         if before == state:
@@ -168,9 +168,9 @@ def signature(edges: DataFrame) -> tuple:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dense: int = DENSE) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id it reaches."""
     rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text).cast("string")).alias("fp")))
-    fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(fps.select("fp"), dense))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps"))
-    table = join_unique(rooted.select("fp", "n", "root"), smallest, "root", "fps").select("fp", "n", "component_id")
-    return join_unique(rows, table, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    table = join_skewed(rooted.select("fp", "root"), smallest, "root").select("fp", "component_id")
+    return join_skewed(rows, table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
