@@ -3,20 +3,20 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each result as Parquet and reads it again for the next stage.
 Stages keep the columns of documents (``n_chars`` follows the text); the last one returns the pieces of packed sequences.
 
-Cases: a null text is an empty document; rows with a null doc_id are judged as any other, and of a group of near duplicates the smallest known doc_id stays
-(in a group without any, the row whose text hashes lowest); equal rows of a kept doc_id stay once, and its other texts are judged by themselves; extra columns are
-carried to the last stage.
+Cases: a null text is an empty document; rows with a null doc_id are judged as any other. Of a group of near duplicates the row with the smallest known doc_id stays (in a
+group without any, and among rows of one doc_id, the one whose text hashes lowest); rows are told apart by all their columns, so other texts under a repeated
+doc_id are judged by themselves, and of equal rows one stays; extra columns are carried to the last stage; no rows give no rows.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylake.llm import packing, pii, simhash, toxicity
+from tallylake.llm.common import shared_folder
 from tallylake.llm.queries import WORD_VOCABULARY, table
 
 
@@ -26,13 +26,22 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.where(toxicity.score(F.col("text").cast("string"), lexicon) < 0.7)
 
 
-def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each near-duplicate group, once. Rows are told apart by doc_id and text; those without a doc_id come last."""
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows apart, in the order in which they are kept: known doc_ids first, then the doc_id, the text's hash, and a hash of all columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("near_duplicate_key", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.unhex(F.md5(text)).alias("hash")))
-    found = simhash.near_duplicates(keyed, doc_id="near_duplicate_key")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("near_duplicate_key")).distinct()
-    return keyed.join(kept, "near_duplicate_key", "left_semi").dropDuplicates(["near_duplicate_key"]).select(docs.columns)
+    every = F.xxhash64(*(F.to_json(c) if "map<" in kind else F.col(c) for c, kind in docs.dtypes))
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.unhex(F.md5(text)).alias("hash"), every.alias("row"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first row of each near-duplicate group, by ``row_key``."""
+    key = "near_duplicate_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, row_key(docs))
+    found = simhash.near_duplicates(keyed, doc_id=key)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +61,18 @@ STAGES = [("toxicity", without_toxic), ("near duplicates", without_near_duplicat
 ORACLE_SQL = None
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Results between stages go to the folder that the cluster shares."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    """All stages over ``documents``. Results between stages go to the folder that the cluster shares, each until the next one is written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            deleted(spark, f"{folder}/{i - 1}")
     return docs
