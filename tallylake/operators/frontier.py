@@ -8,23 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallylake.operators.ranges import PER_RANGE, cuts, with_before
 
-def skyline(points: DataFrame, groups: Sequence[str], x: str, y: str, point_id: str) -> DataFrame:
-    """Points in order of x (then falling y, then id) that raise y above all before."""
-    before = W.partitionBy(*groups).orderBy(F.col(x), F.desc(y), F.col(point_id)).rowsBetween(W.unboundedPreceding, -1)
-    return points.withColumn("_top", F.max(y).over(before)).where(F.col("_top").isNull() | (F.col(y) > F.col("_top"))).drop("_top")
 
-
-def pareto_frontier(points: DataFrame, x: str = "gen_tokens", y: str = "accuracy", point_id: str = "policy", groups: Sequence[str] = ("benchmark",), buckets: int = 0) -> DataFrame:
+def pareto_frontier(points: DataFrame, x: str = "gen_tokens", y: str = "accuracy", point_id: str = "policy", groups: Sequence[str] = ("benchmark",), many: bool = False, per_range: int = PER_RANGE) -> DataFrame:
     """Points that no other one of their group beats at the same or a lower x. NaN and null are never kept.
 
-    ``buckets``: for groups of many points, first keep the frontier of each of so many hash buckets; a point off a bucket's frontier is off the whole one.
+    Of the points at one x only the best (then the one with the smallest id) can be kept, so these come first, combined before the shuffle; each is then compared
+    with the best y at any smaller x. ``many``: groups of any number of different x, whose order is cut into ranges.
     """
     known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    if buckets:
-        dealt = known.withColumn("_bucket", F.pmod(F.xxhash64(point_id), F.lit(buckets)))
-        known = skyline(dealt, [*groups, "_bucket"], x, y, point_id).drop("_bucket")
-    return skyline(known, groups, x, y, point_id)
+    rest = [c for c in points.columns if c not in (*groups, x, y)]
+    best = F.min_by(F.struct(F.col(y).alias("_y"), *rest), F.struct((-F.col(y)).alias("y"), F.col(point_id).alias("id"))).alias("_p")
+    at_x = known.groupBy(*groups, x).agg(best).select(*groups, x, F.col("_p._y").alias(y), *(f"_p.{c}" for c in rest))
+    compared = with_before(at_x, groups, x, F.max, y, "_top", cuts(at_x, x, per_range) if many else [])
+    return compared.where(F.col("_top").isNull() | (F.col(y) > F.col("_top"))).select(*points.columns)
 
 
 def segments(frontier: DataFrame, x: str = "gen_tokens", y: str = "accuracy", groups: Sequence[str] = ("benchmark",)) -> DataFrame:
@@ -64,7 +62,7 @@ def marginal_efficiency(rows: DataFrame, reference: str, x: str = "gen_tokens",
     base = rows.where(F.col("policy") == reference).select("benchmark", F.col(x).alias("_x"), F.col(y).alias("_y"))
     more = F.col(x) - F.col("_x")
     gain = F.when(more > 0, (F.col(y) - F.col("_y")) / more)
-    return rows.join(F.broadcast(base), "benchmark", "left").withColumn("marginal_efficiency", gain).drop("_x", "_y")
+    return rows.join(base, "benchmark", "left").withColumn("marginal_efficiency", gain).drop("_x", "_y")
 
 
 def with_frontier_flag(rows: DataFrame, x: str = "gen_tokens", y: str = "accuracy") -> DataFrame:

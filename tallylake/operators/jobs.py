@@ -15,7 +15,7 @@ def supported(policies: DataFrame) -> DataFrame:
     """``policy, stages, needs_math`` -> ``policy, kinds``: a voting policy takes math alone, a cascade what all its stages take."""
     own = policies.select("policy", "needs_math", F.explode_outer("stages").alias("stage"))
     stage = policies.select(F.col("policy").alias("stage"), F.col("needs_math").alias("stage_math"))
-    needs = own.join(F.broadcast(stage), "stage", "left").groupBy("policy").agg(F.max(F.col("needs_math") | F.coalesce("stage_math", F.lit(False))).alias("math"))
+    needs = own.join(stage, "stage", "left").groupBy("policy").agg(F.max(F.col("needs_math") | F.coalesce("stage_math", F.lit(False))).alias("math"))
     return needs.select("policy", F.when(F.col("math"), F.array(F.lit("math"))).otherwise(F.array(F.lit("math"), F.lit("code"))).alias("kinds"))
 
 

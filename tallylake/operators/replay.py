@@ -10,10 +10,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylake.operators.summary import share
-from tallylake.schemas import TASK_SEED
+from tallylake.operators.ranges import PER_RANGE, cuts, with_before
+from tallylake.operators.summary import present, share
+from tallylake.schemas import COST_FIELDS, TASK_SEED
 
-COSTS = ("calls", "prefill_tokens", "generated_tokens", "thinking_tokens")
+#: What a record carries besides its result and cost, where the records have it.
+CARRIED = ("level", "meta")
 
 
 def of_policies(records: DataFrame, policies: Sequence[str]) -> DataFrame:
@@ -29,31 +31,32 @@ def common_keys(records: DataFrame, policies: Sequence[str]) -> DataFrame:
 def oracle(records: DataFrame, policies: Sequence[str], name: str = "oracle") -> DataFrame:
     """Per task and seed the cheapest correct record, else the cheapest; ties go by the order of ``policies``; errors count with no tokens.
 
-    Columns: key with ``policy = name``, ``chosen``, ``correct, error`` and the costs. No policies: no rows.
+    Columns: key with ``policy = name``, ``chosen``, ``correct, error``, and of the costs, ``level`` and ``meta`` those that the records have. No policies: no rows.
     """
     order = F.coalesce(*(F.when(F.col("policy") == p, i) for i, p in enumerate(policies))) if policies else F.lit(0)
     tokens = F.coalesce("generated_tokens", F.lit(0))
     right = F.coalesce("correct", F.lit(False)) & F.col("error").isNull()
-    keep = F.struct(F.col("policy").alias("chosen"), "correct", "error", *COSTS)
+    keep = F.struct(F.col("policy").alias("chosen"), "correct", "error", *present(records, COST_FIELDS), *present(records, CARRIED))
     picked = F.min_by(keep, F.struct((~right).alias("wrong"), tokens.alias("tokens"), order.alias("order")))
     out = of_policies(records, policies).groupBy(*TASK_SEED).agg(picked.alias("r"), F.count_distinct("policy").alias("n"))
     return out.where(F.col("n") == len({*policies})).select(*TASK_SEED, F.lit(name).alias("policy"), "r.*")
 
 
 def cascade_name(stages: Sequence[str], thresholds: Sequence[float]) -> str:
+    # Fixed value: the form of a replay's name.
     return "sim:" + ">".join(stages) + "@" + ",".join(f"{t:g}" for t in thresholds)
 
 
 def staged(records: DataFrame, stages: Sequence[str], scores: Sequence[Column]) -> DataFrame:
-    """One row per task and seed that all stages ran: ``stages``, an array in stage order of ``score, correct, error`` and costs.
+    """One row per task and seed that all stages ran: ``stages``, an array in stage order of ``score, correct, error``, and of the costs, ``level``, ``meta`` and ``steps`` those that the records have.
 
     ``scores``: one expression over a record for each boundary (or one for all). NaN and null scores never stop.
     """
     scores = list(scores) * (len(stages) - 1) if len(scores) == 1 else list(scores)
     per_stage = F.coalesce(*(F.when(F.col("policy") == s, e.cast("double")) for s, e in zip(stages, scores, strict=False)), F.lit(None).cast("double")) if len(stages) > 1 else F.lit(None).cast("double")
     score = F.when(~F.isnan(per_stage), per_stage)
-    costs = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COSTS]
-    entry = F.struct(score.alias("score"), F.coalesce("correct", F.lit(False)).alias("correct"), "error", *costs)
+    costs = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in present(records, COST_FIELDS)]
+    entry = F.struct(score.alias("score"), F.coalesce("correct", F.lit(False)).alias("correct"), "error", *costs, *present(records, (*CARRIED, "steps")))
     wide = of_policies(records, stages).groupBy(*TASK_SEED).agg(*(F.first(F.when(F.col("policy") == s, entry), ignorenulls=True).alias(f"s{i}") for i, s in enumerate(stages)))
     complete = wide.where(" AND ".join(f"s{i} IS NOT NULL" for i in range(len(stages))))
     return complete.select(*TASK_SEED, F.array(*(f"s{i}" for i in range(len(stages)))).alias("stages"))
@@ -68,16 +71,27 @@ def stopping_stage(n: int, threshold: Callable[[int], Column]) -> Column:
 
 
 def run_cost(cost: str, stop: Column) -> Column:
-    return F.aggregate(F.slice("stages", F.lit(1), stop + 1), F.lit(0).cast("bigint"), lambda a, s: a + s[cost].cast("bigint"))
+    """The sum of a cost over the stages that ran."""
+    kind = "double" if cost == "latency_s" else "bigint"
+    return F.aggregate(F.slice("stages", F.lit(1), stop + 1), F.lit(0).cast(kind), lambda a, s: a + s[cost].cast(kind))
+
+
+def stopped(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], thresholds: Sequence[float]) -> DataFrame:
+    """``staged`` with ``stop``, the place of the stage that the cascade stops at."""
+    return staged(records, stages, scores).withColumn("stop", stopping_stage(len(stages), lambda i: F.lit(float(thresholds[i]))))
+
+
+def outcome(records: DataFrame, stages: Sequence[str]) -> list[Column]:
+    """Of ``stopped`` rows: result, ``level`` and ``meta`` of the stage that stopped, its name, and the costs of all that ran."""
+    at = F.col("stages")[F.col("stop")]
+    own = [at[c].alias(c) for c in ("correct", "error", *present(records, CARRIED))]
+    return [*own, F.array(*map(F.lit, stages))[F.col("stop")].alias("stopped_at"), *(run_cost(c, F.col("stop")).alias(c) for c in present(records, COST_FIELDS))]
 
 
 def replayed(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], thresholds: Sequence[float], name: str | None = None, tasks: Column | None = None) -> DataFrame:
     """A cascade over logged stages: every stage run adds its cost; the stage that stops gives the result."""
     some = records.where(tasks) if tasks is not None else records
-    stop = staged(some, stages, scores).withColumn("stop", stopping_stage(len(stages), lambda i: F.lit(float(thresholds[i]))))
-    at = F.col("stages")[F.col("stop")]
-    names = F.array(*map(F.lit, stages))
-    return stop.select(*TASK_SEED, F.lit(name or cascade_name(stages, thresholds)).alias("policy"), at["correct"].alias("correct"), at["error"].alias("error"), names[F.col("stop")].alias("stopped_at"), *(run_cost(c, F.col("stop")).alias(c) for c in COSTS))
+    return stopped(some, stages, scores, thresholds).select(*TASK_SEED, F.lit(name or cascade_name(stages, thresholds)).alias("policy"), *outcome(records, stages))
 
 
 def swept(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], grid: Sequence[float], tasks: Column | None = None) -> DataFrame:
@@ -86,18 +100,32 @@ def swept(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], g
     The stages come together once; the grid is expanded map-side and combined by task before it is shuffled.
     """
     some = records.where(tasks) if tasks is not None else records
-    points = staged(some, stages, scores).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in grid))))
+    points = staged(some.drop("steps", *CARRIED), stages, scores).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in grid))))
     points = points.withColumn("stop", stopping_stage(len(stages), lambda _: F.col("threshold")))
     right = F.count_if(F.col("stages")[F.col("stop")]["correct"])
     by_task = points.groupBy("benchmark", "threshold", "task_id").agg(F.count("*").alias("n"), right.alias("right"), F.sum(run_cost("generated_tokens", F.col("stop"))).alias("tokens"), F.count_if(F.col("stop") > 0).alias("escalated"))
     return by_task.groupBy("benchmark", "threshold").agg(F.avg(share(F.col("right"), F.col("n"))).alias("accuracy"), share(F.sum("tokens"), F.sum("n")).alias("gen_tokens"), share(F.sum("escalated"), F.sum("n")).alias("escalation_rate"))
 
 
+def quantiles(records: DataFrame, first_stage: str, signal: str, points: int = 21, per_range: int = PER_RANGE) -> DataFrame:
+    """``place, threshold``: even quantiles (interpolated) of a signal over the first stage's records of all benchmarks. Nulls and NaN are left out.
+
+    Rows collapse to distinct values with counts, and ranks come from running counts over ranges of values, so no task holds all of them.
+    """
+    x = F.col(signal).cast("double")
+    counts = records.where((F.col("policy") == first_stage) & x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("v")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    places = [(i, s * (total - 1)) for i, s in enumerate(even_grid(points))] if total else []
+    asked = F.lit([]).cast("array<struct<place:int,rank:bigint,part:double>>") if not places else F.array(*(F.struct(F.lit(i).alias("place"), F.lit(int(at) + up).cast("bigint").alias("rank"), F.lit(float(at - int(at) if up else 1 - (at - int(at)))).alias("part")) for i, at in places for up in (0, 1)))
+    ranked = with_before(counts, [], "v", F.sum, "n", "_before", cuts(counts, "v", per_range))
+    first = F.coalesce("_before", F.lit(0))
+    hit = ranked.select("v", F.explode(F.filter(asked, lambda a: (a["part"] > 0) & (a["rank"] >= first) & (a["rank"] < first + F.col("n")))).alias("a"))
+    return hit.groupBy(F.col("a.place").alias("place")).agg(F.sum(F.col("v") * F.col("a.part")).alias("threshold"))
+
+
 def quantile_grid(records: DataFrame, first_stage: str, signal: str, points: int = 21) -> list[float]:
-    """Even quantiles of a signal over the first stage's records of all benchmarks: the thresholds of a sweep. Nulls are left out."""
-    shares = [i / (points - 1) for i in range(points)]
-    row = records.where(F.col("policy") == first_stage).agg(F.percentile(signal, F.array(*map(F.lit, shares)))).first()
-    return list(row[0] or ())
+    """The thresholds of a sweep without a router: ``quantiles`` as a list of ``points`` numbers, empty without any value."""
+    return [r["threshold"] for r in quantiles(records, first_stage, signal, points).orderBy("place").collect()]
 
 
 def even_grid(points: int = 21) -> list[float]:
@@ -123,12 +151,12 @@ def paired_difference(records: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def live_records(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], thresholds: Sequence[float], name: str) -> DataFrame:
-    """As ``replayed``, in the form that a live cascade logs: with ``signals`` of the scores met and ``stages_run``."""
-    stop = staged(records, stages, scores).withColumn("stop", stopping_stage(len(stages), lambda i: F.lit(float(thresholds[i]))))
-    at = F.col("stages")[F.col("stop")]
+    """As ``replayed``, in the form that a live cascade logs: with ``signals`` of the scores met and ``stages_run``, and the steps of all stages that ran, one after the other."""
+    stop = stopped(records, stages, scores, thresholds)
     scored = [F.when((F.col("stop") >= i) & F.col("stages")[i]["score"].isNotNull(), F.create_map(F.lit(f"score_{s}"), F.col("stages")[i]["score"])).otherwise(F.create_map().cast("map<string,double>")) for i, s in enumerate(stages[:-1])]
     ran = F.create_map(F.lit("stages_run"), (F.col("stop") + 1).cast("double"))
-    return stop.select(*TASK_SEED, F.lit(name).alias("policy"), at["correct"].alias("correct"), at["error"].alias("error"), F.array(*map(F.lit, stages))[F.col("stop")].alias("stopped_at"), F.map_concat(ran, *scored).alias("signals"), *(run_cost(c, F.col("stop")).alias(c) for c in COSTS))
+    steps = [F.flatten(F.filter(F.transform(F.slice("stages", F.lit(1), F.col("stop") + 1), lambda s: s["steps"]), lambda x: x.isNotNull())).alias("steps")] if "steps" in records.columns else []
+    return stop.select(*TASK_SEED, F.lit(name).alias("policy"), *outcome(records, stages), F.map_concat(ran, *scored).alias("signals"), *steps)
 
 
 def disagreements(replay: DataFrame, live: DataFrame) -> DataFrame:
@@ -139,3 +167,21 @@ def disagreements(replay: DataFrame, live: DataFrame) -> DataFrame:
     for c in say:
         same = same & F.col(c).eqNullSafe(F.col(f"live_{c}"))
     return both.where(~same)
+
+
+def against_fixed(records: DataFrame, points: DataFrame, sweep: DataFrame, chosen: DataFrame, stages: Sequence[str], scores: Sequence[Column]) -> DataFrame:
+    """``benchmark, task_id, threshold, fixed, acc_a, tok_a, acc_b, tok_b, value``: per task the cascade at its chosen threshold (a) against the best fixed policy at its budget (b).
+
+    ``chosen``: ``benchmark, threshold``; ``sweep``: its points, whose mean tokens are the budget; ``points``: the fixed policies' tokens and accuracy. The best fixed policy is the most accurate one
+    within the budget (of equals the cheapest, then by name); a benchmark without one has no rows. The replays of the few thresholds come from one staging.
+    """
+    budget = sweep.join(chosen, ["benchmark", "threshold"]).select("benchmark", "threshold", F.col("gen_tokens").alias("budget"))
+    within = points.join(budget, "benchmark").where(F.col("gen_tokens") <= F.col("budget"))
+    best = F.max_by(F.col("policy"), F.struct(F.col("accuracy"), (-F.col("gen_tokens")).alias("tokens"), "policy")).alias("fixed")
+    within = within.groupBy("benchmark", "threshold").agg(best)
+    at = staged(records.drop("steps", *CARRIED), stages, scores).join(within, "benchmark").withColumn("stop", stopping_stage(len(stages), lambda _: F.col("threshold")))
+    one = lambda c: F.col("stages")[F.col("stop")][c]
+    run = at.groupBy("benchmark", "task_id", "threshold", "fixed").agg(F.avg((one("correct") & one("error").isNull()).cast("int")).alias("acc_a"), F.avg(run_cost("generated_tokens", F.col("stop"))).alias("tok_a"))
+    right = F.coalesce("correct", F.lit(False)) & F.col("error").isNull()
+    fixed = records.groupBy("benchmark", "task_id", F.col("policy").alias("fixed")).agg(F.avg(right.cast("int")).alias("acc_b"), F.avg(F.coalesce("generated_tokens", F.lit(0))).alias("tok_b"))
+    return run.join(fixed, ["benchmark", "task_id", "fixed"]).withColumn("value", F.col("acc_a") - F.col("acc_b"))

@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallylake.functions.signals import FEATURES
+from tallylake.operators.ranges import PER_RANGE, cuts, with_before
 from tallylake.operators.summary import share
 from tallylake.schemas import ROUTERS
 
@@ -57,11 +57,16 @@ def training_rows(records: DataFrame, policy: str, benchmarks: Sequence[str] | N
     return out.where(F.size(signals) > 0) if signals else out
 
 
-def present_features(rows: DataFrame, candidates: Sequence[str] = FEATURES, signals: str | None = "signals") -> list[str]:
-    """The candidates that any row has, in order: one aggregate for all."""
+def feature_counts(rows: DataFrame, candidates: Sequence[str] = FEATURES, signals: str | None = "signals") -> DataFrame:
+    """``candidate, feature, n``: the place of each candidate and the rows that have it, one aggregate for all."""
     value = lambda f: F.try_element_at(F.col(signals), F.lit(f)) if signals else F.col(f)
-    row = rows.agg(*(F.count_if(value(f).isNotNull()).alias(f"f{i}") for i, f in enumerate(candidates))).first()
-    return [f for i, f in enumerate(candidates) if row[i]]
+    counts = F.array(*(F.struct(F.lit(i).alias("candidate"), F.lit(f).alias("feature"), F.count_if(value(f).isNotNull()).alias("n")) for i, f in enumerate(candidates)))
+    return rows.agg(counts.alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
+def present_features(rows: DataFrame, candidates: Sequence[str] = FEATURES, signals: str | None = "signals") -> list[str]:
+    """The candidates that any row has, in order."""
+    return [r["feature"] for r in feature_counts(rows, candidates, signals).where("n > 0").orderBy("candidate").collect()]
 
 
 def feature_columns(rows: DataFrame, features: Sequence[str], label: str = "correct", signals: str = "signals") -> DataFrame:
@@ -106,34 +111,31 @@ def fitted(rows: DataFrame, features: Sequence[str], label: str = "y", l2: float
     return Logistic(list(features), [float(v) for v in w[1:]], float(w[0]), mean, std, meta or {})
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "y", groups: Sequence[str] = (), ranges: int = 64) -> DataFrame:
+def auc(scored: DataFrame, score: str = "score", label: str = "y", groups: Sequence[str] = (), per_range: int = PER_RANGE) -> DataFrame:
     """``groups, n, auc``: the share of (correct, wrong) pairs that are in order, ties counting half; null for one class.
 
-    Rows collapse to distinct scores first. Ranks need a running count over scores, taken in ranges: within each range, and over the few totals of the ranges.
+    Rows collapse to distinct scores first, combined before the shuffle. Ranks need the number of wrong ones below each score: a running count over ranges of scores.
     """
     groups = list(groups)
     known = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     by_score = known.groupBy(*groups, score).agg(F.count_if(F.col(label).cast("int") == 1).alias("pos"), F.count_if(F.col(label).cast("int") == 0).alias("neg"))
-    cuts = by_score.select(F.percentile_approx(score, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    place = sum((F.when(F.col(score) > c, 1).otherwise(0) for c in sorted({*cuts})), F.lit(0))
-    dealt = by_score.withColumn("_range", place)
-    inside = W.partitionBy(*groups, "_range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    local = dealt.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    ranges_of = dealt.groupBy(*groups, "_range").agg(F.sum("neg").alias("_neg"))
-    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges_of.select(*groups, "_range", F.coalesce(F.sum("_neg").over(before), F.lit(0)).alias("_offset"))
-    ranked = local.join(F.broadcast(offsets), [*groups, "_range"])
-    wins = F.sum(F.col("pos") * (2 * (F.col("_below") + F.col("_offset")) + F.col("neg")))
+    ranked = with_before(by_score, groups, score, F.sum, "neg", "_below", cuts(by_score, score, per_range))
+    wins = F.sum(F.col("pos") * (2 * F.coalesce("_below", F.lit(0)) + F.col("neg")).cast("decimal(38,0)"))
     pos, neg = F.sum("pos"), F.sum("neg")
-    aggs = ((pos + neg).alias("n"), (wins.cast("double") / F.nullif(2 * pos * neg, F.lit(0)).cast("double")).alias("auc"))
+    pairs = pos.cast("double") * neg.cast("double") * 2
+    aggs = ((pos + neg).alias("n"), (wins.cast("double") / F.nullif(pairs, F.lit(0.0))).alias("auc"))
     return ranked.groupBy(*groups).agg(*aggs) if groups else ranked.agg(*aggs)
 
 
+def rated(scored: DataFrame, groups: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
+    """``groups, n, base_rate, auc`` of scored rows."""
+    rates = scored.groupBy(*groups).agg(share(F.count_if(F.col(label) == 1), F.count("*")).alias("base_rate"))
+    return auc(scored, score, label, groups).join(rates, list(groups))
+
+
 def evaluated(rows: DataFrame, router: Logistic, split: Column, label: str = "y") -> DataFrame:
     """``split, n, base_rate, auc`` of a router on each side of a split."""
-    scored = rows.select(router.score().alias("score"), F.col(label).cast("int").alias("y"), split.alias("split"))
-    rates = scored.groupBy("split").agg(share(F.count_if(F.col("y") == 1), F.count("*")).alias("base_rate"))
-    return auc(scored, groups=["split"]).join(F.broadcast(rates), "split")
+    return rated(rows.select(router.score().alias("score"), F.col(label).cast("int").alias("y"), split.alias("split")), ["split"])
 
 
 def stage_scores(scorers: Sequence[Column], stages: Sequence[str]) -> list[Column]:

@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylake.functions.usage import flops
+from tallylake.operators.bootstrap import histogram_intervals
 
-COSTS = ("calls", "prefill_tokens", "generated_tokens", "thinking_tokens")
+COSTS = ("calls", "prefill_tokens", "generated_tokens", "thinking_tokens", "latency_s")
+
+
+def present(records: DataFrame, names: Sequence[str]) -> list[str]:
+    """The names that are columns of the records, in order."""
+    return [c for c in names if c in records.columns]
 
 
 def share(part: Column, whole: Column) -> Column:
     """Two counts as a double, null over nothing."""
-    return part.cast("double") / F.nullif(whole, F.lit(0)).cast("double")
+    return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
 def per_task(records: DataFrame, value: Column, extra: Sequence[str] = ("policy",)) -> DataFrame:
@@ -23,22 +29,31 @@ def per_task(records: DataFrame, value: Column, extra: Sequence[str] = ("policy"
 
 
 def task_counts(records: DataFrame, costs: Sequence[str] = COSTS) -> DataFrame:
-    """``benchmark, policy, task_id`` with records, errors, correct ones, and cost sums over the records without error."""
+    """``benchmark, policy, task_id`` with records, errors, correct ones, and sums of the costs that there are over the records without error."""
     ok = F.col("error").isNull()
-    sums = [F.sum(F.when(ok, F.coalesce(F.col(c), F.lit(0)))).alias(c) for c in costs]
+    sums = [F.sum(F.when(ok, F.coalesce(F.col(c), F.lit(0)))).alias(c) for c in present(records, costs)]
     right = F.count_if(F.col("correct") & ok).alias("n_correct")
     return records.groupBy("benchmark", "policy", "task_id").agg(F.count("*").alias("n"), F.count_if(~ok).alias("n_errors"), right, *sums)
 
 
-def summary(records: DataFrame, params_b: float | None = None, costs: Sequence[str] = COSTS, counts: DataFrame | None = None) -> DataFrame:
-    """Per (benchmark, policy): tasks, records, errors, accuracy (mean of the tasks' means; errors are wrong), mean costs over records without error."""
-    by_task = task_counts(records, costs) if counts is None else counts
+def summary(records: DataFrame, params_b: float | None = None, costs: Sequence[str] = COSTS, n_boot: int = 0) -> DataFrame:
+    """Per (benchmark, policy): tasks, records, errors, accuracy (mean of the tasks' means; errors are wrong), mean costs over records without error.
+
+    ``n_boot``: replicates of a bootstrap over tasks for ``acc_low`` and ``acc_high``, 95 % bounds of the accuracy; from the same counts per task.
+    """
+    by_task = task_counts(records, costs)
+    costs = present(by_task, costs)
     ok = F.sum("n") - F.sum("n_errors")
     out = by_task.groupBy("benchmark", "policy").agg(
         F.count("*").alias("tasks"), F.sum("n").alias("records"), F.sum("n_errors").alias("errors"), F.avg(share(F.col("n_correct"), F.col("n"))).alias("accuracy"),
         *(share(F.sum(c), ok).alias(c) for c in costs),
     )
-    return out.withColumn("tflops", flops(params_b, F.col("prefill_tokens"), F.col("generated_tokens")) / 1e12) if params_b else out
+    out = out.withColumn("tflops", flops(params_b, F.col("prefill_tokens"), F.col("generated_tokens")) / 1e12) if params_b else out
+    if not n_boot:
+        return out
+    values = by_task.select("benchmark", "policy", share(F.col("n_correct"), F.col("n")).alias("value"))
+    bounds = histogram_intervals(values, ["benchmark", "policy"], n_boot=n_boot).select("benchmark", "policy", F.col("ci_low").alias("acc_low"), F.col("ci_high").alias("acc_high"))
+    return out.join(bounds, ["benchmark", "policy"], "left")
 
 
 def accuracy_by_level(records: DataFrame, level: str = "level") -> DataFrame:
@@ -60,7 +75,8 @@ def base_rate(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n"), share(right, F.count("*")).alias("base_rate"), F.array_sort(F.collect_set("benchmark")).alias("benchmarks"))
 
 
-def progress(records: DataFrame) -> DataFrame:
-    """Finished, accuracy so far, errors."""
+def progress(records: DataFrame, seconds: Column | None = None, workers: int = 1) -> DataFrame:
+    """Finished, accuracy so far, errors; and ``jobs_per_s`` where the seconds of a job are given: finished jobs by the time that so many workers spent on them."""
     right = F.count_if(F.coalesce(F.col("correct"), F.lit(False)))
-    return records.groupBy("benchmark", "policy").agg(F.count("*").alias("finished"), share(right, F.count("*")).alias("accuracy"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"))
+    rate = [share(F.count("*") * F.lit(workers), F.sum(F.coalesce(seconds.cast("double"), F.lit(0.0)))).alias("jobs_per_s")] if seconds is not None else []
+    return records.groupBy("benchmark", "policy").agg(F.count("*").alias("finished"), share(right, F.count("*")).alias("accuracy"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"), *rate)

@@ -24,6 +24,8 @@ SELECT p_type AS benchmark,
        CASE WHEN l_tax < 0.08 THEN (1 + (l_suppkey % 5) * (l_suppkey % 5)) * (10 + CAST(floor(l_extendedprice / 1000) AS BIGINT)) END AS generated_tokens,
        CASE WHEN l_tax < 0.08 THEN CASE WHEN l_suppkey % 5 >= 2 THEN (l_suppkey % 5) * (10 + CAST(floor(l_extendedprice / 1000) AS BIGINT)) ELSE 0 END END AS thinking_tokens,
        CASE WHEN l_tax < 0.08 THEN 100 + CAST(l_quantity AS BIGINT) END AS prefill_tokens,
+       CASE WHEN l_tax < 0.08 THEN CASE WHEN l_suppkey % 5 >= 2 THEN 250 ELSE 100 END + CAST(l_quantity AS BIGINT) END AS prompt_tokens,
+       CASE WHEN l_tax < 0.08 THEN l_extendedprice / 8192 END AS latency_s,
        CASE WHEN l_tax < 0.08 AND l_discount <> 0.05 THEN l_quantity / 50 - 1 - l_discount END AS mean_logprob,
        CASE WHEN l_tax < 0.08 THEN CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END END AS finished
 FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -69,8 +71,23 @@ SELECT benchmark, task_id, policy, seed, 'math' AS kind, CAST(seq % 6 AS INT) AS
 FROM (SELECT a.*, CAST(CAST(l_quantity AS INT) AS STRING) AS q FROM attempts a) y
 """
 
+#: What a live cascade (B0, then B2-1k below -0.3, then B3 below -0.5) would have logged, stage by stage; a run whose order number ends in 7 logged one token more.
+LIVE_SQL = """
+SELECT a.benchmark, a.task_id, a.seed, 'B0' AS stopped_at, a.correct, coalesce(a.generated_tokens, 0) + CASE WHEN a.seq % 10 = 7 THEN 1 ELSE 0 END AS generated_tokens
+ FROM attempts a JOIN attempts b ON b.benchmark = a.benchmark AND b.task_id = a.task_id AND b.seed = a.seed AND b.policy = 'B2-1k' JOIN attempts c ON c.benchmark = a.benchmark AND c.task_id = a.task_id AND c.seed = a.seed AND c.policy = 'B3'
+ WHERE a.policy = 'B0' AND a.mean_logprob >= -0.3
+UNION ALL
+SELECT a.benchmark, a.task_id, a.seed, 'B2-1k', b.correct, coalesce(a.generated_tokens, 0) + coalesce(b.generated_tokens, 0)
+ FROM attempts a JOIN attempts b ON b.benchmark = a.benchmark AND b.task_id = a.task_id AND b.seed = a.seed AND b.policy = 'B2-1k' JOIN attempts c ON c.benchmark = a.benchmark AND c.task_id = a.task_id AND c.seed = a.seed AND c.policy = 'B3'
+ WHERE a.policy = 'B0' AND NOT coalesce(a.mean_logprob >= -0.3, false) AND b.mean_logprob >= -0.5
+UNION ALL
+SELECT a.benchmark, a.task_id, a.seed, 'B3', c.correct, coalesce(a.generated_tokens, 0) + coalesce(b.generated_tokens, 0) + coalesce(c.generated_tokens, 0)
+ FROM attempts a JOIN attempts b ON b.benchmark = a.benchmark AND b.task_id = a.task_id AND b.seed = a.seed AND b.policy = 'B2-1k' JOIN attempts c ON c.benchmark = a.benchmark AND c.task_id = a.task_id AND c.seed = a.seed AND c.policy = 'B3'
+ WHERE a.policy = 'B0' AND NOT coalesce(a.mean_logprob >= -0.3, false) AND NOT coalesce(b.mean_logprob >= -0.5, false)
+"""
+
 #: The views in the order in which they build on each other.
-VIEWS = {"attempts_raw": RAW_SQL, "attempts": ATTEMPTS_SQL, "calls": CALLS_SQL, "samples": SAMPLES_SQL, "outputs": OUTPUTS_SQL}
+VIEWS = {"attempts_raw": RAW_SQL, "attempts": ATTEMPTS_SQL, "calls": CALLS_SQL, "samples": SAMPLES_SQL, "outputs": OUTPUTS_SQL, "live": LIVE_SQL}
 
 
 def with_views(query: str, *names: str) -> str:
@@ -115,6 +132,10 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on(spark, OUTPUTS_SQL, attempts=attempts(spark, sf_dir))
 
 
+def live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return on(spark, LIVE_SQL, attempts=attempts(spark, sf_dir))
+
+
 def points(records: DataFrame) -> DataFrame:
     """A summary as points: ``benchmark, policy, gen_tokens, accuracy``."""
     return records.select("benchmark", "policy", F.col("generated_tokens").alias("gen_tokens"), "accuracy")

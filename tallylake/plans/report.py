@@ -9,19 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylake.functions.splits import held_out
-from tallylake.operators.bootstrap import histogram_intervals, poisson_intervals
+from tallylake.operators.bootstrap import histogram_intervals
 from tallylake.operators.frontier import compute_to_target, pareto_frontier, with_frontier_flag
-from tallylake.operators.replay import oracle, paired_tasks, swept
-from tallylake.operators.summary import accuracy_by_level, per_task, summary
+from tallylake.operators.replay import against_fixed, oracle, swept
+from tallylake.operators.summary import accuracy_by_level, summary
 
 SLACK, BAR = 0.01, 0.60
 
 
-def policy_table(records: DataFrame, oracle_of: Sequence[str] = (), params_b: float | None = None) -> DataFrame:
-    """Summary of all policies and of the hindsight oracle, with the frontier marked; sort by (benchmark, gen_tokens, policy)."""
-    rows = summary(records, params_b)
+def policy_table(records: DataFrame, oracle_of: Sequence[str] = (), params_b: float | None = None, n_boot: int = 0) -> DataFrame:
+    """Summary of all policies and of the hindsight oracle, with the frontier marked, and with bounds of the accuracy by ``n_boot`` replicates; sort by (benchmark, gen_tokens, policy)."""
+    rows = summary(records, params_b, n_boot=n_boot)
     if oracle_of:
-        rows = rows.unionByName(summary(oracle(records, oracle_of), params_b))
+        rows = rows.unionByName(summary(oracle(records, oracle_of), params_b, n_boot=n_boot))
     return with_frontier_flag(rows.withColumnRenamed("generated_tokens", "gen_tokens"))
 
 
@@ -52,8 +52,19 @@ def success_bar(check: DataFrame, differences: DataFrame, least: int = 2) -> Dat
     return both.agg(F.count("*").alias("benchmarks"), F.count_if("meets").alias("target_met"), F.count_if(F.col("meets") & clear).alias("bar_met")).withColumn("success", F.col("bar_met") >= least)
 
 
-def paired_intervals(records: DataFrame, a: str, b: str, replicates: int = 100) -> DataFrame:
-    return poisson_intervals(paired_tasks(records, a, b), ["benchmark"], replicates=replicates)
+def chosen_thresholds(sweep: DataFrame, check: DataFrame) -> DataFrame:
+    """``benchmark, threshold``: of the sweep's points that reach the target the one with the fewest tokens, of equals the lowest. Benchmarks without one have no row."""
+    reached = sweep.join(check.select("benchmark", "target"), "benchmark").where(F.col("accuracy") >= F.col("target"))
+    return reached.groupBy("benchmark").agg(F.min_by("threshold", F.struct("gen_tokens", "threshold")).alias("threshold"))
+
+
+def cascade_intervals(records: DataFrame, points: DataFrame, sweep: DataFrame, check: DataFrame, stages: Sequence[str], scores: Sequence[Column], n_boot: int = 2000) -> DataFrame:
+    """``benchmark, mean, ci_low, ci_high`` of the paired difference per task between the cascade at its chosen threshold and the best fixed policy at its budget.
+
+    The bootstrap draws from the histogram of differences, so 2,000 replicates cost the same for any number of tasks.
+    """
+    pairs = against_fixed(records, points, sweep, chosen_thresholds(sweep, check), stages, scores)
+    return histogram_intervals(pairs.withColumn("value", F.round("value", 9)), ["benchmark"], n_boot=n_boot)
 
 
 @dataclass
@@ -61,10 +72,10 @@ class Report:
     """Result tables of a report, each a DataFrame over few rows."""
 
     policies: DataFrame
-    intervals: DataFrame
-    levels: DataFrame
+    levels: DataFrame | None
     sweep: DataFrame | None
     target: DataFrame | None
+    differences: DataFrame | None
 
     def write(self, path: str) -> None:
         for name, df in vars(self).items():
@@ -72,15 +83,43 @@ class Report:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
 
     def markdown(self) -> str:
-        """Tables as Markdown: a collect of a few rows a benchmark."""
-        return "\n\n".join(f"## {name}\n\n{markdown(df)}" for name, df in vars(self).items() if df is not None)
-
-
-def markdown(df: DataFrame, digits: int = 3) -> str:
-    cells = [F.coalesce(F.format_number(c, digits) if kind == "double" else F.col(c).cast("string"), F.lit("-")).alias(c) for c, kind in df.dtypes]
-    lines = df.orderBy(*df.columns[:2]).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")).collect()
-    head = [f"| {' | '.join(df.columns)} |", f"|{' --- |' * len(df.columns)}"]
-    return "\n".join([*head, *(r["line"] for r in lines)])
+        """A section for each benchmark, from a collect of a few rows a benchmark: policies, sweep, target, levels."""
+        parts = {name: df.collect() for name, df in vars(self).items() if df is not None}
+        sections = []
+        for benchmark in sorted({r["benchmark"] for r in parts["policies"]}):
+            own = {name: [r.asDict() for r in rows if r["benchmark"] == benchmark] for name, rows in parts.items()}
+            sections.append("\n\n".join([f"## {benchmark}", *section(own)]))
+        return "\n\n".join(sections)
+
+
+def shown(value, digits: int = 3) -> str:
+    return "-" if value is None else f"{value:.{digits}f}" if isinstance(value, float) else str(value)
+
+
+def lined(head: Sequence[str], rows: Sequence[Sequence[str]]) -> str:
+    return "\n".join("| " + " | ".join(cells) + " |" for cells in (head, ["---"] * len(head), *rows))
+
+
+def section(own: dict[str, list[dict]]) -> list[str]:
+    """The text blocks of one benchmark."""
+    columns = [("accuracy", 3), ("acc_low", 3), ("acc_high", 3), ("gen_tokens", 0), ("thinking_tokens", 0), ("latency_s", 2), ("calls", 1), ("tflops", 2)]
+    columns = [(c, d) for c, d in columns if c in own["policies"][0]]
+    policies = sorted(own["policies"], key=lambda r: (r["gen_tokens"] is None, r["gen_tokens"], r["policy"]))
+    mark = lambda r: f"{r['errors']} errors" if r["errors"] else ""
+    out = [lined(["policy", *(c for c, _ in columns), "frontier", "errors"], [[r["policy"], *(shown(r[c], d) for c, d in columns), "yes" if r["on_frontier"] else "", mark(r)] for r in policies])]
+    if own.get("sweep"):
+        rows = [[shown(r["threshold"]), shown(r["accuracy"]), shown(r["gen_tokens"], 0), shown(r["escalation_rate"], 2)] for r in sorted(own["sweep"], key=lambda r: r["threshold"])]
+        out += ["### Cascade sweep", lined(["threshold", "accuracy", "gen_tokens", "escalated"], rows)]
+    for r in own.get("target", ()):
+        verdict = "meets the bar" if r["meets"] else "does not meet the bar"
+        out.append(f"### Tokens to reach an accuracy of {shown(r['target'])}\n\n- fixed policies: {shown(r['fixed_tokens'], 0)} ({shown(r['fixed_ratio'], 2)} of the reference's)\n- cascade: {shown(r['cascade_tokens'], 0)} ({shown(r['cascade_ratio'], 2)} of the reference's), {verdict}")
+    for r in own.get("differences", ()):
+        out.append(f"Cascade against the best fixed policy at its budget: {shown(r['mean'])} ({shown(r['ci_low'])} to {shown(r['ci_high'])})")
+    if own.get("levels"):
+        levels = sorted({r["level"] for r in own["levels"]})
+        at = {(r["policy"], r["level"]): r["accuracy"] for r in own["levels"]}
+        out += ["### Accuracy by level", lined(["policy", *map(str, levels)], [[p, *(shown(at.get((p, x)), 2) for x in levels)] for p in sorted({p for p, _ in at})])]
+    return out
 
 
 def report(records: DataFrame, oracle_of: Sequence[str] = (), stages: Sequence[str] = (), scores: Sequence[Column] = (), grid: Sequence[float] = (), reference: str | None = None, split: float | None = None, params_b: float | None = None, n_boot: int = 2000) -> Report:
@@ -89,9 +128,10 @@ def report(records: DataFrame, oracle_of: Sequence[str] = (), stages: Sequence[s
     Records are dealt by (benchmark, task) once; grouping by key, by task and seed, and by task reuses that.
     """
     some = held_out(records, split).repartition("benchmark", "task_id")
-    policies = policy_table(some, oracle_of, params_b)
-    right = F.coalesce("correct", F.lit(False)) & F.col("error").isNull()
-    intervals = histogram_intervals(per_task(some, right.cast("int")), ["benchmark", "policy"], n_boot=n_boot)
+    policies = policy_table(some, oracle_of, params_b, n_boot)
     sweep = swept(some, stages, scores, grid) if stages else None
-    target = target_check(policies.select("benchmark", "policy", "gen_tokens", "accuracy"), sweep, reference) if reference else None
-    return Report(policies, intervals, accuracy_by_level(some) if "level" in records.columns else None, sweep, target)
+    points = policies.select("benchmark", "policy", "gen_tokens", "accuracy")
+    target = target_check(points, sweep, reference) if reference else None
+    fixed = points.where(~F.startswith("policy", F.lit("B5")) & (F.col("policy") != "oracle"))
+    differences = cascade_intervals(some, fixed, sweep, target, stages, scores, n_boot) if stages and reference else None
+    return Report(policies, accuracy_by_level(some) if "level" in records.columns else None, sweep, target, differences)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallylake.functions import answers, prompts, signals, splits, usage
 from tallylake.operators import bootstrap, calls, frontier, grading, jobs, replay, routing, summary
 from tallylake.plans import fixtures, report
 from tallylake.plans.fixtures import POLICIES, table, with_views
+from tallylake.schemas import log_fields
 from tallylake.sources import runlog, tasks
+from tallylake.sources.runlog import shared_folder
 from tallylake.streaming import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,12 +50,13 @@ SUMMARY_SQL = """
 by_task AS (
   SELECT benchmark, policy, task_id, count(*) AS n, count(*) FILTER (error IS NOT NULL) AS n_errors, count(*) FILTER (correct AND error IS NULL) AS n_right,
          sum(calls) FILTER (error IS NULL) AS calls, sum(prefill_tokens) FILTER (error IS NULL) AS prefill, sum(generated_tokens) FILTER (error IS NULL) AS gen,
-         sum(thinking_tokens) FILTER (error IS NULL) AS think
+         sum(thinking_tokens) FILTER (error IS NULL) AS think, sum(latency_s) FILTER (error IS NULL) AS latency
   FROM {source} GROUP BY ALL),
 summarised AS (
   SELECT benchmark, policy, count(*) AS tasks, CAST(sum(n) AS BIGINT) AS records, CAST(sum(n_errors) AS BIGINT) AS errors, avg(CAST(n_right AS DOUBLE) / n) AS accuracy,
          CAST(sum(calls) AS DOUBLE) / nullif(sum(n) - sum(n_errors), 0) AS calls, CAST(sum(prefill) AS DOUBLE) / nullif(sum(n) - sum(n_errors), 0) AS prefill_tokens,
-         CAST(sum(gen) AS DOUBLE) / nullif(sum(n) - sum(n_errors), 0) AS generated_tokens, CAST(sum(think) AS DOUBLE) / nullif(sum(n) - sum(n_errors), 0) AS thinking_tokens
+         CAST(sum(gen) AS DOUBLE) / nullif(sum(n) - sum(n_errors), 0) AS generated_tokens, CAST(sum(think) AS DOUBLE) / nullif(sum(n) - sum(n_errors), 0) AS thinking_tokens,
+         sum(latency) / nullif(sum(n) - sum(n_errors), 0) AS latency_s
   FROM by_task GROUP BY benchmark, policy)"""
 POINTS_SQL = "WITH " + SUMMARY_SQL.format(source="attempts").strip() + ", points AS (SELECT benchmark, policy, generated_tokens AS gen_tokens, accuracy FROM summarised WHERE generated_tokens IS NOT NULL)"
 FRONTIER_SQL = """, front AS (
@@ -61,7 +64,7 @@ FRONTIER_SQL = """, front AS (
   WHERE top IS NULL OR accuracy > top)"""
 ORACLE_SQL = """
 oracle AS (
-  SELECT benchmark, task_id, seed, 'oracle' AS policy, policy AS chosen, correct, error, calls, prefill_tokens, generated_tokens, thinking_tokens
+  SELECT benchmark, task_id, seed, 'oracle' AS policy, policy AS chosen, correct, error, calls, prompt_tokens, prefill_tokens, generated_tokens, thinking_tokens, latency_s, level
   FROM (SELECT *, row_number() OVER (PARTITION BY benchmark, task_id, seed ORDER BY NOT (correct AND error IS NULL), coalesce(generated_tokens, 0), policy) AS place,
                count(*) OVER (PARTITION BY benchmark, task_id, seed) AS policies FROM attempts) x
   WHERE place = 1 AND policies = 5)"""
@@ -69,7 +72,7 @@ oracle AS (
 
 def staged_sql(policies: list[str]) -> str:
     """One row per task and seed that all stages ran, with each stage's columns numbered."""
-    one = lambda i, p: ", ".join(f"max(CASE WHEN policy = '{p}' THEN {e} END) AS {n}{i}" for n, e in (("ok", "CAST(correct AS INT)"), ("err", "error"), ("tok", "coalesce(generated_tokens, 0)"), ("cl", "coalesce(calls, 0)"), ("pre", "coalesce(prefill_tokens, 0)"), ("th", "coalesce(thinking_tokens, 0)"), ("sc", "mean_logprob")))
+    one = lambda i, p: ", ".join(f"max(CASE WHEN policy = '{p}' THEN {e} END) AS {n}{i}" for n, e in (("ok", "CAST(correct AS INT)"), ("err", "error"), ("tok", "coalesce(generated_tokens, 0)"), ("cl", "coalesce(calls, 0)"), ("pre", "coalesce(prefill_tokens, 0)"), ("th", "coalesce(thinking_tokens, 0)"), ("pt", "coalesce(prompt_tokens, 0)"), ("la", "coalesce(latency_s, 0)"), ("lv", "level"), ("fi", "finished"), ("sc", "mean_logprob")))
     every = ", ".join(one(i, p) for i, p in enumerate(policies))
     names = ", ".join(f"'{p}'" for p in policies)
     return f"wide AS (SELECT benchmark, task_id, seed, {every} FROM attempts WHERE policy IN ({names}) GROUP BY ALL HAVING count(*) = {len(policies)})"
@@ -78,13 +81,13 @@ def staged_sql(policies: list[str]) -> str:
 def replay_columns(stop: str) -> str:
     total = lambda n: f"CAST({n}0 + CASE WHEN {stop} > 0 THEN {n}1 ELSE 0 END + CASE WHEN {stop} > 1 THEN {n}2 ELSE 0 END AS BIGINT)"
     at = lambda n: f"CASE {stop} WHEN 0 THEN {n}0 WHEN 1 THEN {n}1 ELSE {n}2 END"
-    return f"({at('ok')}) = 1 AS correct, {at('err')} AS error, CASE {stop} WHEN 0 THEN 'B0' WHEN 1 THEN 'B2-1k' ELSE 'B3' END AS stopped_at, {total('cl')} AS calls, {total('pre')} AS prefill_tokens, {total('tok')} AS generated_tokens, {total('th')} AS thinking_tokens"
+    return f"({at('ok')}) = 1 AS correct, {at('err')} AS error, CASE {stop} WHEN 0 THEN 'B0' WHEN 1 THEN 'B2-1k' ELSE 'B3' END AS stopped_at, {at('lv')} AS level, {total('cl')} AS calls, {total('pt')} AS prompt_tokens, round(la0 + CASE WHEN {stop} > 0 THEN la1 ELSE 0 END + CASE WHEN {stop} > 1 THEN la2 ELSE 0 END, 9) AS latency_s, {total('pre')} AS prefill_tokens, {total('tok')} AS generated_tokens, {total('th')} AS thinking_tokens"
 
 
 # ---- run log: latest, completed, summaries -------------------------------------------------------------------------
 
 
-@query("WITH " + SUMMARY_SQL.format(source="attempts").strip() + " SELECT benchmark, policy, tasks, records, errors, round(accuracy, 9) AS accuracy, round(calls, 9) AS calls, round(prefill_tokens, 9) AS prefill_tokens, round(generated_tokens, 9) AS generated_tokens, round(thinking_tokens, 9) AS thinking_tokens, round(2 * 8.2e9 * (prefill_tokens + generated_tokens) / 1e12, 9) AS tflops FROM summarised", "attempts")
+@query("WITH " + SUMMARY_SQL.format(source="attempts").strip() + " SELECT benchmark, policy, tasks, records, errors, round(accuracy, 9) AS accuracy, round(calls, 9) AS calls, round(prefill_tokens, 9) AS prefill_tokens, round(generated_tokens, 9) AS generated_tokens, round(thinking_tokens, 9) AS thinking_tokens, round(latency_s, 9) AS latency_s, round(2 * 8.2e9 * (prefill_tokens + generated_tokens) / 1e12, 9) AS tflops FROM summarised", "attempts")
 def policy_summary(spark, sf_dir):
     return rounded(summary.summary(fixtures.attempts(spark, sf_dir), params_b=8.2))
 
@@ -101,12 +104,22 @@ def completed_keys(spark, sf_dir):
 
 @query("SELECT benchmark, task_id, policy, seed, correct, error, generated_tokens AS gen_tokens, CAST(level AS VARCHAR) AS level FROM attempts_raw", "attempts_raw")
 def run_log_lines(spark, sf_dir):
-    """Records written as JSON lines, between blank and broken ones, and read back."""
+    """Records written as JSON lines, between blank and broken ones, to the shared folder, and read back from its files."""
     raw = fixtures.attempts_raw(spark, sf_dir)
     record = F.struct("benchmark", "task_id", "policy", F.col("seed").cast("string").alias("seed"), "correct", "error", F.struct("calls", "prefill_tokens", "generated_tokens").alias("cost"), F.create_map(F.lit("level"), F.col("level").cast("string")).alias("meta"))
-    line = F.to_json(record)
-    lines = raw.select(F.explode(F.array(line, F.lit("  "), F.substring(line, 1, 40))).alias("value"))
-    return runlog.parsed(lines).select("benchmark", "task_id", "policy", "seed", "correct", "error", F.col("cost.generated_tokens").alias("gen_tokens"), F.col("meta")["level"].alias("level"))
+    lines = raw.select(F.to_json(record).alias("line")).select(F.explode(F.array("line", F.lit("  "), F.substring("line", 1, 40))).alias("value"))
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    records = runlog.read_run_log(spark, [folder], log_fields("benchmark", "task_id", "policy", "correct", "error", "meta", "cost"))
+    return records.select("benchmark", "task_id", "policy", "seed", "correct", "error", F.col("cost.generated_tokens").alias("gen_tokens"), F.col("meta")["level"].alias("level"))
+
+
+@query("SELECT benchmark, policy, task_id, seed, correct, error, generated_tokens AS gen_tokens FROM attempts", "attempts")
+def written_run_log(spark, sf_dir):
+    """The latest records written as a compacted log, partitioned by benchmark and policy, and read back."""
+    folder = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    runlog.write_run_log(runlog.compacted(fixtures.attempts(spark, sf_dir).select("benchmark", "policy", "task_id", "seed", "correct", "error", F.col("generated_tokens").alias("gen_tokens"))), folder)
+    return spark.read.parquet(folder).select("benchmark", "policy", "task_id", "seed", "correct", "error", "gen_tokens")
 
 
 @query("SELECT benchmark, policy, task_id, round(avg(CAST(correct AND error IS NULL AS INT)), 9) AS value FROM attempts GROUP BY ALL", "attempts")
@@ -133,9 +146,9 @@ def base_rate(spark, sf_dir):
     return rounded(summary.base_rate(fixtures.attempts(spark, sf_dir)).withColumn("benchmarks", F.array_join("benchmarks", "|")))
 
 
-@query("SELECT benchmark, policy, count(*) AS finished, round(CAST(count(*) FILTER (correct) AS DOUBLE) / count(*), 9) AS accuracy, count(*) FILTER (error IS NOT NULL) AS errors FROM attempts_raw GROUP BY ALL", "attempts_raw")
+@query("SELECT benchmark, policy, count(*) AS finished, round(CAST(count(*) FILTER (correct) AS DOUBLE) / count(*), 9) AS accuracy, count(*) FILTER (error IS NOT NULL) AS errors, round(count(*) * 32 / nullif(sum(coalesce(latency_s, 0)), 0), 9) AS jobs_per_s FROM attempts_raw GROUP BY ALL", "attempts_raw")
 def log_progress(spark, sf_dir):
-    return rounded(summary.progress(fixtures.attempts_raw(spark, sf_dir)))
+    return rounded(summary.progress(fixtures.attempts_raw(spark, sf_dir), F.col("latency_s"), workers=32))
 
 
 # ---- splits and filters ----------------------------------------------------------------------------------------------
@@ -169,9 +182,9 @@ def common_keys(spark, sf_dir):
     return replay.common_keys(fixtures.attempts(spark, sf_dir), POLICIES)
 
 
-@query("WITH " + ORACLE_SQL.strip() + " SELECT * FROM oracle", "attempts")
+@query("WITH " + ORACLE_SQL.strip() + " SELECT * REPLACE (round(latency_s, 9) AS latency_s) FROM oracle", "attempts")
 def hindsight_oracle(spark, sf_dir):
-    return replay.oracle(fixtures.attempts(spark, sf_dir), POLICIES)
+    return rounded(replay.oracle(fixtures.attempts(spark, sf_dir), POLICIES))
 
 
 REPLAY_SQL = "WITH " + staged_sql(STAGES) + ", stopped AS (SELECT *, CASE WHEN sc0 >= -0.3 THEN 0 WHEN sc1 >= -0.5 THEN 1 ELSE 2 END AS stop FROM wide)"
@@ -179,7 +192,7 @@ REPLAY_SQL = "WITH " + staged_sql(STAGES) + ", stopped AS (SELECT *, CASE WHEN s
 
 @query(REPLAY_SQL + f" SELECT benchmark, task_id, seed, 'sim:B0>B2-1k>B3@-0.3,-0.5' AS policy, {replay_columns('stop')} FROM stopped", "attempts")
 def cascade_replay(spark, sf_dir):
-    return replay.replayed(fixtures.attempts(spark, sf_dir), STAGES, [logprob_score()], [-0.3, -0.5])
+    return rounded(replay.replayed(fixtures.attempts(spark, sf_dir), STAGES, [logprob_score()], [-0.3, -0.5]))
 
 
 SWEEP_SQL = "WITH " + staged_sql(STAGES) + """, grid AS (SELECT i / 20.0 - 1 AS t FROM range(21) r(i)),
@@ -201,9 +214,7 @@ def sweep(records: DataFrame) -> DataFrame:
 @query(f"WITH q AS (SELECT quantile_cont(mean_logprob, {replay.even_grid()!r}) AS q FROM attempts WHERE policy = 'B0') SELECT CAST(i AS INT) AS place, round(q[i + 1], 9) AS threshold FROM q, range(21) r(i)", "attempts")
 def quantile_grid(spark, sf_dir):
     """The 21 thresholds of a sweep without a router, one row each."""
-    shares = replay.even_grid()
-    first = fixtures.attempts(spark, sf_dir).where("policy = 'B0'").agg(F.percentile("mean_logprob", F.array(*map(F.lit, shares))).alias("q"))
-    return rounded(first.select(F.posexplode("q").alias("place", "threshold")))
+    return rounded(replay.quantiles(fixtures.attempts(spark, sf_dir), "B0", "mean_logprob"))
 
 
 PAIRED_SQL = """WITH sided AS (
@@ -219,20 +230,26 @@ def paired_difference(spark, sf_dir):
 
 
 @query(REPLAY_SQL + f""" SELECT benchmark, task_id, seed, 'live' AS policy, {replay_columns('stop')}, CAST(stop + 1 AS DOUBLE) AS stages_run,
-  CASE WHEN sc0 IS NOT NULL THEN round(sc0, 9) ELSE '-Infinity'::DOUBLE END AS score_b0, CASE WHEN stop >= 1 THEN CASE WHEN sc1 IS NOT NULL THEN round(sc1, 9) ELSE '-Infinity'::DOUBLE END END AS score_b2 FROM stopped""", "attempts")
+  CASE WHEN sc0 IS NOT NULL THEN round(sc0, 9) ELSE '-Infinity'::DOUBLE END AS score_b0, CASE WHEN stop >= 1 THEN CASE WHEN sc1 IS NOT NULL THEN round(sc1, 9) ELSE '-Infinity'::DOUBLE END END AS score_b2,
+  concat_ws('>', nullif(array_to_string(['B0' FOR x IN range(cl0)], '>'), ''), CASE WHEN stop > 0 THEN nullif(array_to_string(['B2-1k' FOR x IN range(cl1)], '>'), '') END, CASE WHEN stop > 1 THEN nullif(array_to_string(['B3' FOR x IN range(cl2)], '>'), '') END) AS steps FROM stopped""", "attempts")
 def live_cascade_records(spark, sf_dir):
-    live = replay.live_records(fixtures.attempts(spark, sf_dir), STAGES, [logprob_score()], [-0.3, -0.5], "live")
+    step = F.struct(F.col("policy").alias("name"), F.col("generated_tokens").alias("completion_tokens"))
+    records = fixtures.attempts(spark, sf_dir).withColumn("steps", F.when(F.col("error").isNull(), F.array_repeat(step, F.col("calls"))))
+    live = replay.live_records(records, STAGES, [logprob_score()], [-0.3, -0.5], "live").withColumn("steps", F.concat_ws(">", F.transform("steps", lambda s: s["name"])))
     met = lambda name: F.try_element_at("signals", F.lit(name))
     return rounded(live.withColumns({"stages_run": met("stages_run"), "score_b0": met("score_B0"), "score_b2": met("score_B2-1k")}).drop("signals"))
 
 
-@query("SELECT count(*) AS checked, CAST(0 AS BIGINT) AS differing FROM (SELECT 1 FROM attempts WHERE policy IN ('B0', 'B2-1k', 'B3') GROUP BY benchmark, task_id, seed HAVING count(*) = 3) x", "attempts")
+@query(REPLAY_SQL + f""", sim AS (SELECT benchmark, task_id, seed, {replay_columns('stop')} FROM stopped)
+SELECT s.benchmark, count(*) AS checked, count(*) FILTER (l.correct IS DISTINCT FROM s.correct OR l.generated_tokens IS DISTINCT FROM s.generated_tokens OR l.stopped_at IS DISTINCT FROM s.stopped_at) AS differing
+FROM sim s JOIN live l ON l.benchmark = s.benchmark AND l.task_id = s.task_id AND l.seed = s.seed GROUP BY ALL""", "live")
 def replay_vs_live(spark, sf_dir):
-    records = fixtures.attempts(spark, sf_dir)
-    simulated = replay.replayed(records, STAGES, [logprob_score()], [-0.3, -0.5])
-    live = replay.live_records(records, STAGES, [logprob_score()], [-0.3, -0.5], "live").withColumn("error", F.lit(None).cast("string"))
-    wrong = replay.disagreements(simulated, live).agg(F.count("*").alias("differing"))
-    return simulated.agg(F.count("*").alias("checked")).join(wrong, F.lit(True))
+    """Per benchmark: runs of a live cascade's log (made stage by stage) that are also replayed, and those on which the two differ."""
+    simulated = replay.replayed(fixtures.attempts(spark, sf_dir), STAGES, [logprob_score()], [-0.3, -0.5])
+    live = fixtures.live(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    wrong = replay.disagreements(simulated, live).groupBy("benchmark").agg(F.count("*").alias("differing"))
+    met = simulated.join(live.select("benchmark", "task_id", "seed"), ["benchmark", "task_id", "seed"]).groupBy("benchmark").agg(F.count("*").alias("checked"))
+    return met.join(wrong, "benchmark", "left").select("benchmark", "checked", F.coalesce("differing", F.lit(0)).alias("differing"))
 
 
 # ---- bootstrap -------------------------------------------------------------------------------------------------------
@@ -277,9 +294,9 @@ def pareto_frontier(spark, sf_dir):
 @query("""WITH points AS (SELECT benchmark, seq * 8 + seed AS id, CAST(generated_tokens AS DOUBLE) AS x, mean_logprob AS y FROM attempts WHERE generated_tokens IS NOT NULL AND mean_logprob IS NOT NULL)
 SELECT benchmark, x, round(max(y), 9) AS y FROM (SELECT *, max(y) OVER (PARTITION BY benchmark ORDER BY x, y DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM points) p WHERE top IS NULL OR y > top GROUP BY benchmark, x""", "attempts")
 def attempt_frontier(spark, sf_dir):
-    """The frontier over single attempts: many points a benchmark, so local frontiers come first."""
+    """The frontier over single attempts: many points a benchmark, so their order is cut into ranges."""
     points = fixtures.attempts(spark, sf_dir).select("benchmark", (F.col("seq") * 8 + F.col("seed")).alias("id"), F.col("generated_tokens").cast("double").alias("x"), F.col("mean_logprob").alias("y"))
-    return rounded(frontier.pareto_frontier(points, "x", "y", "id", buckets=16).select("benchmark", "x", "y"))
+    return rounded(frontier.pareto_frontier(points, "x", "y", "id", many=True).select("benchmark", "x", "y"))
 
 
 @query(POINTS_SQL + FRONTIER_SQL + """, seg AS (SELECT benchmark, gen_tokens AS x0, accuracy AS y0, lead(gen_tokens) OVER w AS x1, lead(accuracy) OVER w AS y1 FROM front WINDOW w AS (PARTITION BY benchmark ORDER BY gen_tokens)),
@@ -311,12 +328,12 @@ def marginal_efficiency(spark, sf_dir):
     return rounded(frontier.marginal_efficiency(policy_points(spark, sf_dir).where("gen_tokens IS NOT NULL"), "B0"))
 
 
-@query("WITH " + ORACLE_SQL.strip() + ", everyone AS (SELECT benchmark, task_id, policy, correct, error, calls, prefill_tokens, generated_tokens, thinking_tokens FROM attempts UNION ALL SELECT benchmark, task_id, policy, correct, error, calls, prefill_tokens, generated_tokens, thinking_tokens FROM oracle)," + SUMMARY_SQL.format(source="everyone") + ", points AS (SELECT *, generated_tokens AS gen_tokens FROM summarised)" + FRONTIER_SQL + """
-SELECT p.benchmark, p.policy, p.tasks, p.records, p.errors, round(p.accuracy, 9) AS accuracy, round(p.gen_tokens, 9) AS gen_tokens, f.policy IS NOT NULL AS on_frontier
+@query("WITH " + ORACLE_SQL.strip() + ", everyone AS (SELECT benchmark, task_id, policy, correct, error, calls, prefill_tokens, generated_tokens, thinking_tokens, latency_s FROM attempts UNION ALL SELECT benchmark, task_id, policy, correct, error, calls, prefill_tokens, generated_tokens, thinking_tokens, latency_s FROM oracle)," + SUMMARY_SQL.format(source="everyone") + ", points AS (SELECT *, generated_tokens AS gen_tokens FROM summarised)" + FRONTIER_SQL + """
+SELECT p.benchmark, p.policy, p.tasks, p.records, p.errors, round(p.accuracy, 9) AS accuracy, round(p.gen_tokens, 9) AS gen_tokens, round(p.latency_s, 9) AS latency_s, f.policy IS NOT NULL AS on_frontier
 FROM points p LEFT JOIN front f ON f.benchmark = p.benchmark AND f.policy = p.policy""", "attempts")
 def policy_table(spark, sf_dir):
     out = report.policy_table(fixtures.attempts(spark, sf_dir), POLICIES)
-    return rounded(out.select("benchmark", "policy", "tasks", "records", "errors", "accuracy", "gen_tokens", "on_frontier"))
+    return rounded(out.select("benchmark", "policy", "tasks", "records", "errors", "accuracy", "gen_tokens", "latency_s", "on_frontier"))
 
 
 TARGET_SQL = "WITH " + SUMMARY_SQL.format(source="attempts").strip() + ", points AS (SELECT benchmark, policy, generated_tokens AS gen_tokens, accuracy FROM summarised WHERE generated_tokens IS NOT NULL)" + FRONTIER_SQL + TO_TARGET + SWEEP_SQL.replace("WITH ", ", ", 1).replace("by_task", "by_sweep") + """,
@@ -340,10 +357,42 @@ def target_check(spark, sf_dir):
     return rounded(checked_targets(spark, sf_dir))
 
 
+@query(TARGET_SQL + """, chosen AS (SELECT s.benchmark, s.threshold, s.gen_tokens AS budget, row_number() OVER (PARTITION BY s.benchmark ORDER BY s.gen_tokens, s.threshold) AS place FROM sweep s JOIN base b ON b.benchmark = s.benchmark AND s.accuracy >= b.target),
+best AS (SELECT c.benchmark, c.threshold, p.policy AS fixed, row_number() OVER (PARTITION BY c.benchmark ORDER BY p.accuracy DESC, p.gen_tokens, p.policy DESC) AS rank FROM chosen c JOIN points p ON p.benchmark = c.benchmark AND p.gen_tokens <= c.budget WHERE c.place = 1),
+casc AS (SELECT r.benchmark, r.task_id, b.threshold, b.fixed, avg(ok) AS acc_a, avg(tok) AS tok_a FROM run r JOIN best b ON b.benchmark = r.benchmark AND b.threshold = CAST(r.t AS DOUBLE) AND b.rank = 1 GROUP BY ALL),
+flat AS (SELECT benchmark, task_id, policy AS fixed, avg(CAST(correct AND error IS NULL AS INT)) AS acc_b, avg(coalesce(generated_tokens, 0)) AS tok_b FROM attempts GROUP BY ALL)
+SELECT c.benchmark, round(c.threshold, 9) AS threshold, c.fixed, count(*) AS tasks, round(avg(acc_a - acc_b), 9) AS accuracy_diff, round(avg(tok_a) / avg(tok_b), 9) AS token_ratio
+FROM casc c JOIN flat f ON f.benchmark = c.benchmark AND f.task_id = c.task_id AND f.fixed = c.fixed GROUP BY ALL""", "attempts")
+def cascade_against_fixed(spark, sf_dir):
+    """Per benchmark the cascade at its chosen threshold against the best fixed policy at its budget, over the tasks of both."""
+    records = fixtures.attempts(spark, sf_dir)
+    points, curve = fixtures.points(summary.summary(records)), sweep(records)
+    chosen = report.chosen_thresholds(curve, report.target_check(points, curve, "B3"))
+    pairs = replay.against_fixed(records, points, curve, chosen, STAGES, [logprob_score()])
+    return rounded(pairs.groupBy("benchmark", "threshold", "fixed").agg(F.count("*").alias("tasks"), F.avg("value").alias("accuracy_diff"), (F.avg("tok_a") / F.avg("tok_b")).alias("token_ratio")))
+
+
 @query()
 def success_bar(spark, sf_dir):
+    """Benchmarks on which the cascade needs few enough tokens and differs from the best fixed policy at its budget, by 2,000 replicates of their paired tasks."""
     records = fixtures.attempts(spark, sf_dir)
-    return report.success_bar(checked_targets(spark, sf_dir), report.paired_intervals(records, "B3", "B0", 100))
+    points, curve = fixtures.points(summary.summary(records)), sweep(records)
+    check = report.target_check(points, curve, "B3")
+    return report.success_bar(check, report.cascade_intervals(records, points, curve, check, STAGES, [logprob_score()]))
+
+
+@query()
+def policy_intervals(spark, sf_dir):
+    """The summary with 95 % bounds of the accuracy by 2,000 replicates."""
+    return rounded(summary.summary(fixtures.attempts(spark, sf_dir), n_boot=2000).select("benchmark", "policy", "tasks", "accuracy", "acc_low", "acc_high", "latency_s"))
+
+
+@query(PAIRED_SQL + f""", drawn AS (SELECT benchmark, value, i AS replicate, CAST(('0x' || substr(md5(task_id || '|' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM paired, range(200) r(i)),
+means AS (SELECT benchmark, replicate, sum(w * value) / nullif(sum(w), 0) AS mean FROM (SELECT benchmark, replicate, value, {" + ".join(f"CAST(u >= {b!r} AS INT)" for b in CUM)} AS w FROM drawn) x GROUP BY ALL)
+SELECT benchmark, round(quantile_cont(mean, 0.025), 9) AS ci_low, round(quantile_cont(mean, 0.975), 9) AS ci_high FROM means GROUP BY ALL""", "attempts")
+def poisson_intervals(spark, sf_dir):
+    pairs = replay.paired_tasks(fixtures.attempts(spark, sf_dir), "B3", "B0")
+    return rounded(bootstrap.poisson_intervals(pairs, ["benchmark"], replicates=200))
 
 
 # ---- routing ---------------------------------------------------------------------------------------------------------
@@ -396,6 +445,41 @@ def router_evaluation(spark, sf_dir):
     return rounded(routing.evaluated(rows, router, F.when(train, "train").otherwise("test")), 6)
 
 
+ROUTED = "(1 / (1 + exp(-(-0.2 + 1.5 * (coalesce({sc}, -0.5) + 0.5) / 0.3 + 0.4 * (coalesce({fi}, 0.6) - 0.6) / 0.5))))"
+
+
+@query(f"WITH scored AS (SELECT CASE WHEN {POSITION} < 0.5 THEN 'train' ELSE 'test' END AS split, round({ROUTED.format(sc='mean_logprob', fi='finished')}, 9) AS s, CAST(correct AS INT) AS y FROM attempts WHERE policy = 'B0' AND error IS NULL)," + AUC_SQL.format(g="split,", p="split").replace("AS auc FROM totals", "AS auc, round(CAST(pos AS DOUBLE) / n, 9) AS base_rate FROM totals"), "attempts")
+def fixed_router_evaluation(spark, sf_dir):
+    """AUC and base rate of a given router on either half."""
+    rows = routing.training_rows(fixtures.attempts(spark, sf_dir), "B0", signals=None)
+    split = F.when(splits.in_train_split(F.col("task_id"), 0.5), "train").otherwise("test")
+    scored = rows.select(F.round(FIXED_ROUTER.score(), 9).alias("score"), F.col("correct").cast("int").alias("y"), split.alias("split"))
+    return rounded(routing.rated(scored, ["split"]))
+
+
+@query("SELECT CAST(place AS INT) AS place, feature, n FROM (SELECT 0 AS place, 'mean_logprob' AS feature, count(mean_logprob) AS n FROM attempts WHERE policy = 'B0' AND error IS NULL UNION ALL SELECT 1, 'finished', count(finished) FROM attempts WHERE policy = 'B0' AND error IS NULL) x WHERE n > 0", "attempts")
+def router_features(spark, sf_dir):
+    """The features that a policy's training rows have, in their order, and how many rows have each."""
+    known = signals.as_map({"mean_logprob": F.col("mean_logprob"), "finished": F.col("finished")})
+    rows = routing.training_rows(fixtures.attempts(spark, sf_dir).withColumn("signals", known), "B0")
+    return routing.feature_counts(rows).where("n > 0").select(F.row_number().over(W.orderBy("candidate")).cast("int").alias("row"), "feature", "n").select((F.col("row") - 1).alias("place"), "feature", "n")
+
+
+@query("WITH " + staged_sql(STAGES) + f", stopped AS (SELECT *, CASE WHEN round({ROUTED.format(sc='sc0', fi='fi0')}, 9) >= 0.6 THEN 0 WHEN sc1 >= -0.4 THEN 1 ELSE 2 END AS stop FROM wide) SELECT benchmark, task_id, seed, 'routed' AS policy, {replay_columns('stop')} FROM stopped", "attempts")
+def routed_replay(spark, sf_dir):
+    """A cascade with a scorer of its own at each boundary: a router after the first stage, which sees its mean features where a record failed, and a signal after the second."""
+    scores = routing.stage_scores([F.round(FIXED_ROUTER.score(), 9), logprob_score()], STAGES)
+    return rounded(replay.replayed(fixtures.attempts(spark, sf_dir), STAGES, scores, [0.6, -0.4], "routed"))
+
+
+@query(f"SELECT benchmark, task_id, seed, round({ROUTED.format(sc='mean_logprob', fi='finished')}, 9) AS score FROM attempts WHERE policy = 'B1'", "attempts")
+def saved_router_score(spark, sf_dir):
+    """Scores of a router that was saved and loaded again."""
+    path = f"{shared_folder(spark)}/router-{uuid.uuid4().hex}"
+    FIXED_ROUTER.save(spark, path)
+    return rounded(fixtures.attempts(spark, sf_dir).where("policy = 'B1'").select("benchmark", "task_id", "seed", routing.Logistic.load(spark, path).score().alias("score")))
+
+
 @query()
 def document_quality_router(spark, sf_dir):
     """The same training on documents: quality labels from length and language."""
@@ -416,15 +500,32 @@ def answer_extraction(spark, sf_dir):
 @query("SELECT benchmark, task_id, policy, seed, expected_pred AS pred, expected_correct AS correct FROM outputs", "outputs")
 def answer_grading(spark, sf_dir):
     out = fixtures.outputs(spark, sf_dir)
-    pred = answers.extracted_answer(F.col("output"))
-    graded = out.withColumn("pred", pred)
-    return graded.select("benchmark", "task_id", "policy", "seed", "pred", answers.equivalent(F.col("pred"), F.col("reference")).alias("correct"))
+    return out.select("benchmark", "task_id", "policy", "seed", answers.extracted_answer(F.col("output")).alias("pred"), "reference").select("benchmark", "task_id", "policy", "seed", "pred", answers.equivalent(F.col("pred"), F.col("reference")).alias("correct"))
+
 
+@query("""WITH refs AS (SELECT DISTINCT benchmark, task_id, CAST(level * 10 AS VARCHAR) AS reference FROM attempts)
+SELECT o.benchmark, o.task_id, policy, seed, expected_pred AS pred, CASE WHEN form = 5 THEN CAST(q AS DOUBLE) / 2 ELSE CAST(q AS DOUBLE) END = CAST(r.reference AS DOUBLE) AS correct, '' AS grade_detail, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT *, regexp_extract(expected_pred, '[0-9]+') AS q FROM outputs) o JOIN refs r ON r.benchmark = o.benchmark AND r.task_id = o.task_id""", "outputs")
+def graded_outputs(spark, sf_dir):
+    """Outputs graded against a table of tasks with one reference each."""
+    known = fixtures.attempts(spark, sf_dir).select("benchmark", "task_id", F.lit("math").alias("kind"), (F.col("level") * 10).cast("string").alias("reference")).distinct()
+    graded = grading.graded_math(fixtures.outputs(spark, sf_dir).drop("reference", "kind"), known)
+    return graded.select("benchmark", "task_id", "policy", "seed", "pred", "correct", "grade_detail", "error")
 
-@query(r"SELECT doc_id, regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?')[-1] AS pred FROM documents WHERE text NOT ILIKE '%answer is%' AND text NOT LIKE '%####%' AND text NOT LIKE '%boxed%' AND text NOT LIKE '%</think>%'")
+
+LAST_NUMBER_SQL = r"""WITH tail AS (SELECT doc_id, regexp_replace(text, '(?s)^.*</think>', '') AS t FROM documents),
+box AS (SELECT *, regexp_extract(t, '(?s)^.*(\\(?:boxed|fbox).*)$', 1) AS b FROM tail),
+cut AS (SELECT *, CASE WHEN contains(b, '{') THEN CASE WHEN regexp_matches(b, '^[^{]*\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}') THEN trim(regexp_extract(b, '^[^{]*\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1)) END
+    WHEN regexp_matches(b, '^\\boxed\s+[^\s$]') THEN regexp_extract(b, '^\\boxed\s+([^\s$]+)', 1) END AS boxed,
+  CASE WHEN regexp_matches(t, '####\s*[^\n]') THEN trim(regexp_extract(t, '####\s*([^\n]+)', 1)) END AS marked,
+  CASE WHEN regexp_matches(t, '(?i)answer is[:\s]*\$?[^\n$]') THEN regexp_replace(trim(regexp_extract(t, '(?i)answer is[:\s]*\$?([^\n$]+)', 1)), '\.+$', '') END AS stated FROM box)
+SELECT doc_id, coalesce(boxed, marked, stated, regexp_extract_all(t, '-?[0-9][0-9,]*(?:\.[0-9]+)?')[-1]) AS pred FROM cut"""
+
+
+@query(LAST_NUMBER_SQL)
 def last_number_of_documents(spark, sf_dir):
-    plain = "text NOT ILIKE '%answer is%' AND text NOT LIKE '%####%' AND text NOT LIKE '%boxed%' AND text NOT LIKE '%</think>%'"
-    return table(spark, sf_dir, "documents").where(plain).select("doc_id", answers.extracted_answer(F.col("text")).alias("pred"))
+    """The final answer of every document: of prose, mostly the last number, else none."""
+    return table(spark, sf_dir, "documents").select("doc_id", answers.extracted_answer(F.col("text")).alias("pred"))
 
 
 @query("SELECT benchmark, task_id, policy, seed, concat('x = ', q, chr(10), 'y') AS code, (l_tax < 0.04) AS correct, CASE WHEN l_tax >= 0.06 THEN 'timeout' WHEN l_tax >= 0.04 THEN 'AssertionError' ELSE '' END AS grade_detail FROM (SELECT *, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM attempts) x WHERE error IS NULL", "attempts")
@@ -538,6 +639,16 @@ def school_math_tasks(spark, sf_dir):
     return part_tasks(spark, sf_dir).drop("code_reference", "meta")
 
 
+@query("""SELECT concat('gsm8k-', CAST(p_partkey AS VARCHAR)) AS task_id, 'math' AS kind, p_name AS question, CAST(p_size * 1000 AS VARCHAR) AS reference, NULL AS test FROM part
+UNION ALL SELECT concat('mbppplus-', CAST(p_partkey AS VARCHAR)), 'code', p_name, NULL, concat('assert f() == ', CAST(p_size AS VARCHAR)) FROM part""")
+def written_tasks(spark, sf_dir):
+    """Tasks of both kinds written as JSON lines and read back."""
+    folder = f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("prompt"), F.concat(F.lit("assert f() == "), "p_size").alias("test"), F.col("p_partkey").alias("src_index"))
+    tasks.write_tasks(part_tasks(spark, sf_dir).unionByName(tasks.code_tasks(rows)), folder)
+    return tasks.read_tasks(spark, folder).select("task_id", "kind", "question", "reference", F.col("code_reference.test").alias("test"))
+
+
 @query("SELECT CASE WHEN p_partkey % 2 = 0 THEN concat('u', CAST(p_partkey AS VARCHAR)) ELSE concat('math500-', CAST(p_partkey AS VARCHAR)) END AS task_id, p_name AS question, p_brand AS reference, CAST(p_size AS VARCHAR) AS level, p_type AS subject FROM part")
 def competition_tasks(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("problem"), F.col("p_brand").alias("answer"), F.concat(F.lit("Level "), "p_size").alias("level"), F.col("p_type").alias("subject"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("u"), "p_partkey")).alias("unique_id"), F.col("p_partkey").alias("src_index"))
@@ -575,7 +686,7 @@ def first_tasks(spark, sf_dir):
     return tasks.chosen(part_tasks(spark, sf_dir), limit=50).select("task_id", "src_index")
 
 
-@query()
+@query(f"SELECT task_id, src_index FROM ({PART_TASKS_SQL}) x ORDER BY md5(concat('7|', task_id)), task_id LIMIT 50")
 def shuffled_tasks(spark, sf_dir):
     return tasks.chosen(part_tasks(spark, sf_dir), limit=50, shuffle_seed=7).select("task_id", "src_index")
 
@@ -611,7 +722,7 @@ def supported_tasks(spark, sf_dir):
     policies = spark.createDataFrame([("B0", False, []), ("B4", True, []), ("B5", False, ["B0", "B4"]), ("B6", False, ["B0"])], "policy string, needs_math boolean, stages array<string>")
     kinds = jobs.supported(policies).select("policy", F.explode("kinds").alias("kind"))
     rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("benchmark"), F.concat(F.lit("part-"), "p_partkey").alias("task_id"), F.when(F.col("p_size") % 2 == 0, "math").otherwise("code").alias("kind"))
-    return rows.join(F.broadcast(kinds), "kind").select("benchmark", "task_id", "policy")
+    return rows.join(kinds, "kind").select("benchmark", "task_id", "policy")
 
 
 @query("""SELECT benchmark, task_id, policy, seed, correct AND error IS NULL AS correct, CASE WHEN error IS NULL THEN CAST(l_quantity AS BIGINT) END AS pred, CASE WHEN l_suppkey % 2 = 0 THEN 'r' END AS reference, error,
@@ -650,8 +761,3 @@ def stream_latest(spark, sf_dir):
     kept = log.LatestTable(spark, f"{folder}/table", ["seq", *fixtures.TIES])
     kept.start(records, f"{folder}/progress").awaitTermination()
     return kept.read().select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, else one of our own (tests, notebooks)."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")

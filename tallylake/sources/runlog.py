@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,18 +14,29 @@ from tallylake.schemas import KEY, LOG
 ORDER = ("file_ord", "file_path", "block_start", "line_id")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by ``spark.checkpoint.dir``; one of our own only on a single machine (tests, notebooks)."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+    return folder or tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def parsed(lines: DataFrame, schema: str = LOG) -> DataFrame:
-    """``lines`` (column ``value``) as records: blank and broken lines are dropped, ``seed`` becomes an int."""
+    """``lines`` (column ``value``) as records: blank and broken lines are dropped, ``seed`` becomes an int.
+
+    Every line is parsed once: a generator stands between the parser and what uses its result, which the optimizer would else repeat.
+    """
     record = F.from_json("value", f"{schema}, broken string", {"columnNameOfCorruptRecord": "broken"})
-    whole = lines.where(F.trim("value") != "").withColumn("r", record).where(F.col("r.broken").isNull())
     rest = [c for c in lines.columns if c != "value"]
+    whole = lines.where(F.trim("value") != "").select(*rest, F.explode(F.array(record)).alias("r")).where(F.col("r.broken").isNull())
     return whole.select("r.*", *rest).drop("broken").withColumn("seed", F.try_to_number("seed", F.lit("S999999999")).cast("int"))
 
 
 def read_run_log(spark: SparkSession, paths: Sequence[str], schema: str = LOG) -> DataFrame:
     """Records of all files, with ``file_ord`` (place of the path in ``paths``) and the place of the line in its file.
 
-    Ask for a schema without ``steps`` where they are not needed: text is never parsed then.
+    Name only the fields that are needed in ``schema`` (with ``log_fields``): the others, long ``steps`` among them, are skipped and never built.
     """
     frames = []
     for i, path in enumerate(paths):

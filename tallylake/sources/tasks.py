@@ -85,7 +85,7 @@ def code_tasks(df: DataFrame, name: str = "mbppplus") -> DataFrame:
 
 def chosen(tasks: DataFrame, limit: int = 0, shuffle_seed: int | None = None) -> DataFrame:
     """A deterministic shuffle where a seed is given, then the first ``limit`` tasks (0: all)."""
-    order = [F.xxhash64(F.lit(shuffle_seed), "task_id"), F.col("task_id")] if shuffle_seed is not None else [F.col("src_index"), F.col("task_id")]
+    order = [F.md5(F.concat_ws("|", F.lit(str(shuffle_seed)), "task_id")), F.col("task_id")] if shuffle_seed is not None else [F.col("src_index"), F.col("task_id")]
     return tasks.orderBy(*order).limit(limit) if limit > 0 else tasks.orderBy(*order)
 
 

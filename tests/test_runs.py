@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallylake.functions import signals, splits, usage
-from tallylake.operators import bootstrap, calls, frontier, jobs, replay, routing, summary
+from tallylake.operators import bootstrap, calls, frontier, jobs, ranges, replay, routing, summary
 from tallylake.plans import report
 from tallylake.sources import runlog, tasks
 from tallylake.streaming import log
@@ -197,7 +197,7 @@ def test_frontier(spark):
     points = spark.createDataFrame([("x", "a", 10.0, 0.5), ("x", "b", 100.0, 0.9), ("x", "c", 200.0, 0.8), ("x", "b2", 100.0, 0.9), ("x", "n", 5.0, float("nan")), ("x", "u", None, 0.99)], "benchmark string, policy string, gen_tokens double, accuracy double")
     front = frontier.pareto_frontier(points)
     assert [r["policy"] for r in front.orderBy("gen_tokens").collect()] == ["a", "b"]
-    assert frontier.pareto_frontier(points, buckets=3).count() == 2
+    assert frontier.pareto_frontier(points, many=True, per_range=1).count() == 2
     budgets = spark.createDataFrame([("x", 55.0), ("x", 5.0), ("x", 1e9)], "benchmark string, budget double")
     assert {r["budget"]: r["value"] for r in frontier.accuracy_at_budget(front, budgets).collect()} == {55.0: pytest.approx(0.7), 5.0: None, 1e9: 0.9}
     targets = spark.createDataFrame([("x", 0.7), ("x", 0.95), ("x", 0.1)], "benchmark string, target double")
@@ -246,8 +246,8 @@ def test_auc(spark):
     df = spark.createDataFrame(rows, "score double, y int")
     known = [r for r in rows if r[0] is not None]
     pairs = [(p > n) + 0.5 * (p == n) for p, a in known if a for n, b in known if not b]
-    for ranges in (2, 64):
-        assert routing.auc(df, ranges=ranges).first()["auc"] == pytest.approx(sum(pairs) / len(pairs))
+    for per_range in (1, 2, 1000):
+        assert routing.auc(df, per_range=per_range).first()["auc"] == pytest.approx(sum(pairs) / len(pairs))
     assert routing.auc(df.where("y = 1")).first()["auc"] is None
 
 
@@ -260,14 +260,59 @@ def test_splits(spark):
 
 
 def test_report(spark, tmp_path):
-    df = generated(spark)
+    df = generated(spark).withColumn("latency_s", F.col("generated_tokens") / 500)
     made = report.report(df, ["A", "B", "C"], ["A", "B", "C"], [routing.signal_score(F.col("score"))], [0.0, 0.5], "C", params_b=1.0, n_boot=50)
     text = made.markdown()
-    assert "## policies" in text and "| b | oracle |" in text and "## target" in text
+    assert text.startswith("## b\n") and "| oracle |" in text and "acc_low" in text and "latency_s" in text and "### Cascade sweep" in text and " errors |" in text and "the bar" in text and "### Accuracy by level" in text
     made.write(f"{tmp_path}/report")
     assert spark.read.parquet(f"{tmp_path}/report/policies").count() == 4
-    bar = report.success_bar(made.target, report.paired_intervals(df, "C", "A", 50), least=1).first()
+    table = {r["policy"]: r for r in made.policies.collect()}
+    assert all(r["acc_low"] <= r["accuracy"] <= r["acc_high"] for r in table.values())
+    bar = report.success_bar(made.target, made.differences, least=1).first()
     assert bar["benchmarks"] == 1
+    # The differences by hand: the cheapest replay that reaches the target, against the best fixed policy within its tokens.
+    target = table["C"]["accuracy"] - 0.01
+    sweep = {r["threshold"]: r for r in made.sweep.collect() if r["accuracy"] >= target}
+    assert (made.differences.count() == 1) == bool(sweep)
+    if sweep:
+        chosen = min(sweep.values(), key=lambda r: (r["gen_tokens"], r["threshold"]))
+        fixed = max((r for p, r in table.items() if p != "oracle" and r["gen_tokens"] <= chosen["gen_tokens"]), key=lambda r: (r["accuracy"], -r["gen_tokens"]))
+        assert made.differences.first()["mean"] == pytest.approx(chosen["accuracy"] - fixed["accuracy"])
+
+
+def test_quantiles_and_ranges(spark):
+    rng = random.Random(3)
+    values = [round(rng.gauss(0, 1), 1) for _ in range(500)]
+    df = spark.createDataFrame([("A", v, i) for i, v in enumerate(values)] + [("A", None, 0), ("A", float("nan"), 0), ("B", 99.0, 0)], "policy string, v double, i int")
+    for per_range in (3, 1_000_000):
+        got = [r["threshold"] for r in replay.quantiles(df, "A", "v", 7, per_range).orderBy("place").collect()]
+        assert got == pytest.approx(np.quantile(values, np.linspace(0, 1, 7)))
+    assert replay.quantile_grid(df, "Z", "v") == []
+    points = spark.createDataFrame([("g", str(i), float(rng.randint(0, 40)), rng.random()) for i in range(300)] + [("g", "1000", 5.0, 2.0), ("g", "1001", 5.0, 2.0)], "benchmark string, policy string, gen_tokens double, accuracy double")
+    want, top = [], None
+    for r in sorted(points.collect(), key=lambda r: (r["gen_tokens"], -r["accuracy"], r["policy"])):
+        if top is None or r["accuracy"] > top:
+            want, top = [*want, r["policy"]], r["accuracy"]
+    for many in (True, False):
+        assert sorted(r["policy"] for r in frontier.pareto_frontier(points, many=many, per_range=2).collect()) == sorted(want)
+    cuts = [1.0, 2.0, 2.5, 9.0]
+    at = spark.createDataFrame([(x,) for x in (0.0, 1.0, 1.5, 2.0, 2.2, 3.0, 9.0, 10.0)], "x double").select("x", ranges.range_of(F.col("x"), cuts).alias("r")).collect()
+    assert all(r["r"] == sum(c < r["x"] for c in cuts) for r in at)
+
+
+def test_replay_keeps_levels_latency_and_steps(spark):
+    step = lambda n: [{"name": n, "prompt_tail": "", "text": "t", "finish_reason": "stop", "completion_tokens": 1}]
+    rows = [("b", "1", "A", 0, False, None, 0.1, 1, 10, 7, 0.5, 3, {"subject": "x"}, step("a")), ("b", "1", "B", 0, True, None, None, 2, 20, 9, 1.5, 3, {"subject": "x"}, step("b") * 2), ("b", "2", "A", 0, True, None, 0.9, 1, 10, 7, 0.25, 4, {}, step("a")), ("b", "2", "B", 0, False, "E", None, None, None, None, None, 4, None, None)]
+    df = spark.createDataFrame(rows, "benchmark string, task_id string, policy string, seed int, correct boolean, error string, score double, calls long, generated_tokens long, prompt_tokens long, latency_s double, level int, meta map<string,string>, steps array<struct<name:string,prompt_tail:string,text:string,finish_reason:string,completion_tokens:bigint>>")
+    score = [routing.signal_score(F.col("score"))]
+    got = {r["task_id"]: r for r in replay.live_records(df, ["A", "B"], score, [0.5], "live").collect()}
+    assert [s["name"] for s in got["1"]["steps"]] == ["a", "b", "b"] and [s["name"] for s in got["2"]["steps"]] == ["a"]
+    assert (got["1"]["latency_s"], got["1"]["prompt_tokens"], got["1"]["level"], got["1"]["meta"]) == (2.0, 16, 3, {"subject": "x"})
+    best = {r["task_id"]: r for r in replay.oracle(df, ["A", "B"]).collect()}
+    assert best["1"]["chosen"] == "B" and best["1"]["level"] == 3 and best["2"]["latency_s"] == 0.25 and best["2"]["meta"] == {}
+    assert summary.accuracy_by_level(replay.replayed(df, ["A", "B"], score, [0.5])).count() == 2
+    rate = {r["policy"]: r["jobs_per_s"] for r in summary.progress(df, F.col("latency_s"), workers=3).collect()}
+    assert rate == {"A": pytest.approx(2 * 3 / 0.75), "B": pytest.approx(2 * 3 / 1.5)}
 
 
 def test_streams(spark, tmp_path):
