@@ -9,10 +9,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What marks an answer, and what a number looks like.
+BOX, BARE_BOX, MARKED, STATED = r"(?s)^.*(\\(?:boxed|fbox).*)$", r"^\\boxed\s+([^\s$]+)", r"(?d)####\s*(.+)", r"(?di)answer is[:\s]*\$?([^\n$]+)"
 NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
 # Tokens removed when answers are normalised, in this order.
 REMOVED = ("\\left", "\\right", "\\!", "\\,", "\\;", "\\:", "\\displaystyle", "$", "^\\circ", "^{\\circ}", "\\%", "%", "\\$")
 RENAMED = (("\\dfrac", "\\frac"), ("\\tfrac", "\\frac"), ("\\neq", "\\ne"), ("\\leq", "\\le"), ("\\geq", "\\ge"))
+# Patterns and what takes their place, in this order: text wrappers; then, after the tokens, units, spaces, a variable and full stops; last, short fractions and decimals.
+WRAPPERS = ((r"\\text\{\s*([^}]*)\}", "$1"), (r"\\(?:mathrm|textbf|mbox)\{([^}]*)\}", "$1"))
+AROUND = ((r"^(-?[0-9.,/]+)\s*(?:[a-zA-Z]+\^?[0-9]*)$", "$1"), (" ", ""), (r"^[a-zA-Z]=", ""), (r"\.+\z", ""))
+THOUSANDS = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\z"
+SHORT = ((r"\\frac([0-9])([0-9])", r"\\frac{$1}{$2}"), (r"\\frac\{([^{}]*)\}([0-9])", r"\\frac{$1}{$2}"), (r"(^|[^0-9])\.([0-9])", "$10.$2"))
 
 
 def bound(value: Column, use) -> Column:
@@ -40,7 +47,7 @@ def last_boxed(text: Column) -> Column:
 
     Only what follows the last box is looked at, brace by brace: the depth after the n-th brace is a running sum over the braces alone.
     """
-    tail = F.regexp_extract(text, r"(?s)^.*(\\(?:boxed|fbox).*)$", 1)
+    tail = F.regexp_extract(text, BOX, 1)
     at = F.instr(tail, "{")
     body = F.substring(tail, at + 1, F.length(tail))
     # Pieces between braces: where the depth first falls below zero, the content ends.
@@ -55,37 +62,33 @@ def last_boxed(text: Column) -> Column:
 
     end = F.aggregate(pieces, start, step)["end"]
     braced = F.when(end >= 0, F.substring(body, F.lit(1), end))
-    bare = first_match(tail, r"^\\boxed\s+([^\s$]+)", 1)
+    bare = first_match(tail, BARE_BOX, 1)
     return F.when(tail == "", F.lit(None)).when(at > 0, braced).otherwise(bare)
 
 
 def extracted_answer(text: Column) -> Column:
     """The final answer: last box, else first ``#### x``, else ``answer is x``, else the last number, else null."""
     t = without_thinking(text)
-    marked = stripped(first_match(t, r"(?d)####\s*(.+)", 1))
-    stated = F.regexp_replace(stripped(first_match(t, r"(?di)answer is[:\s]*\$?([^\n$]+)", 1)), r"\.+\z", "")
+    marked = stripped(first_match(t, MARKED, 1))
+    stated = F.regexp_replace(stripped(first_match(t, STATED, 1)), r"\.+\z", "")
     last_number = F.try_element_at(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)), F.lit(-1))
     return F.coalesce(stripped(last_boxed(t)), marked, stated, last_number)
 
 
+def rewritten(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new)
+    return text
+
+
 def normalised(answer: Column) -> Column:
     """A chain of rewrites under which answers that differ in formatting alone become equal."""
-    s = stripped(answer)
-    s = F.regexp_replace(s, r"\\text\{\s*([^}]*)\}", "$1")
-    s = F.regexp_replace(s, r"\\(?:mathrm|textbf|mbox)\{([^}]*)\}", "$1")
-    for token in REMOVED:
-        s = F.replace(s, F.lit(token), F.lit(""))
-    for old, new in RENAMED:
+    s = rewritten(stripped(answer), WRAPPERS)
+    for old, new in (*((token, "") for token in REMOVED), *RENAMED):
         s = F.replace(s, F.lit(old), F.lit(new))
-    s = F.regexp_replace(s, r"^(-?[0-9.,/]+)\s*(?:[a-zA-Z]+\^?[0-9]*)$", "$1")
-    s = F.replace(s, F.lit(" "), F.lit(""))
-    s = F.regexp_replace(s, r"^[a-zA-Z]=", "")
-    s = F.regexp_replace(s, r"\.+\z", "")
-    thousands = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\z"
-    s = bound(s, lambda x: F.when(x.rlike(thousands), F.replace(x, F.lit(","), F.lit(""))).otherwise(x))
-    s = F.regexp_replace(s, r"\\frac([0-9])([0-9])", r"\\frac{$1}{$2}")
-    s = F.regexp_replace(s, r"\\frac\{([^{}]*)\}([0-9])", r"\\frac{$1}{$2}")
-    return F.regexp_replace(s, r"(^|[^0-9])\.([0-9])", "$10.$2")
+    s = rewritten(s, AROUND)
+    s = bound(s, lambda x: F.when(x.rlike(THOUSANDS), F.replace(x, F.lit(","), F.lit(""))).otherwise(x))
+    return rewritten(s, SHORT)
 
 
 def rational(text: Column) -> Column:

@@ -2,41 +2,32 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .answers import stripped
 
-# Instructions and the chat template of one model family.
+# Instructions.
 STEP_BY_STEP = "Please reason step by step, and put your final answer within \\boxed{}."
 DIRECT = "Give only the final answer within \\boxed{}, with no explanation."
 SHOWN_TEST = "Your code should pass this test:\n"
 PLAN_CODE = "Briefly plan the solution, then give the complete code in one ```python block."
 ONLY_CODE = "Return only the complete code in one ```python block."
 
+# What one model family has before and after a message, by kind of prompt.
+TEMPLATES = {
+    "plain": ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"),
+    "thinking": ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n<think>\n"),
+    "not thinking": ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"),
+    "closed thoughts": ("", "\n</think>\n\n"),
+}
 
-@dataclass(frozen=True)
-class ChatFormat:
-    user_start: str = "<|im_start|>user\n"
-    user_end: str = "<|im_end|>\n"
-    assistant_start: str = "<|im_start|>assistant\n"
-    think_open: str = "<think>\n"
-    think_close: str = "\n</think>\n\n"
-
-    def chat(self, message: Column) -> Column:
-        return F.concat(F.lit(self.user_start), message, F.lit(self.user_end + self.assistant_start))
-
-    def thinking(self, message: Column) -> Column:
-        return F.concat(self.chat(message), F.lit(self.think_open))
-
-    def non_thinking(self, message: Column) -> Column:
-        return F.concat(self.chat(message), F.lit(self.think_open + self.think_close))
 
-    def close_thinking(self, prefix: Column) -> Column:
-        """Thoughts shut wherever they stopped: trailing newlines go, the closing tag comes."""
-        return F.concat(F.regexp_replace(prefix, r"\n+\z", ""), F.lit(self.think_close))
+def prompt(text: Column | str, kind: str, templates: dict[str, tuple[str, str]] = TEMPLATES) -> Column:
+    """A text as a prompt of some kind. Thoughts that are closed lose their trailing newlines."""
+    text = F.col(text) if isinstance(text, str) else text
+    before, after = map(F.lit, templates[kind])
+    return F.concat(before, F.regexp_replace(text, r"\n+\z", "") if kind == "closed thoughts" else text, after)
 
 
 def cut_thoughts(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .answers import extracted_answer, extracted_code
 
 TAIL = 16
-#: Signals that a router may use, in order.
+# The names of signals that a router may use, in order.
 FEATURES = ("mean_logprob", "min_logprob", "tail_mean_logprob", "frac_low_conf", "mean_topk_entropy", "completion_tokens_log", "finished", "has_answer", "question_chars_log")
 
 

@@ -695,9 +695,9 @@ def shuffled_tasks(spark, sf_dir):
   concat('<|im_start|>user', chr(10), question, chr(10), chr(10), 'Please reason step by step, and put your final answer within ', chr(92), 'boxed{{}}.', '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10), '<think>', chr(10)) AS thinking,
   concat(question, chr(10), '</think>', chr(10), chr(10)) AS closed FROM ({PART_TASKS_SQL}) x""")
 def chat_prompts(spark, sf_dir):
-    chat, rows = prompts.ChatFormat(), part_tasks(spark, sf_dir)
+    rows = part_tasks(spark, sf_dir)
     thoughts = prompts.cut_thoughts(F.concat("question", F.lit("\n\n</think> more </think>")))
-    return rows.select("task_id", chat.non_thinking(prompts.user_message("direct")).alias("direct"), chat.thinking(prompts.user_message("think")).alias("thinking"), chat.close_thinking(thoughts).alias("closed"))
+    return rows.select("task_id", prompts.prompt(prompts.user_message("direct"), "not thinking").alias("direct"), prompts.prompt(prompts.user_message("think"), "thinking").alias("thinking"), prompts.prompt(thoughts, "closed thoughts").alias("closed"))
 
 
 @query("""SELECT t.benchmark, t.task_id, p.policy, CAST(s.seed AS INT) AS seed FROM (SELECT DISTINCT benchmark, task_id FROM attempts_raw) t, (VALUES ('B0'), ('B1'), ('B3')) p(policy), (VALUES (0), (1), (2)) s(seed)

@@ -86,9 +86,10 @@ def test_prompts(spark):
     direct = [r[0] for r in df.select(prompts.user_message("direct")).collect()]
     assert direct[0] == "1+1?\n\n" + prompts.DIRECT and direct[1] == f"add\n\n{prompts.SHOWN_TEST}assert f()\n\n{prompts.ONLY_CODE}" and direct[2] == f"sub\n\n{prompts.ONLY_CODE}"
     assert df.select(prompts.user_message("cot")).collect()[1][0].endswith(prompts.PLAN_CODE)
-    chat = prompts.ChatFormat()
-    texts = df.limit(1).select(chat.thinking(F.col("question")), chat.non_thinking(F.col("question")), chat.close_thinking(F.concat(chat.thinking(F.col("question")), F.lit("hm\n\n")))).first()
-    assert texts[0].endswith("assistant\n<think>\n") and texts[1].endswith("<think>\n\n</think>\n\n") and texts[2].endswith("hm\n</think>\n\n")
+    thought = F.concat(prompts.prompt("question", "thinking"), F.lit("hm\n\n"))
+    texts = df.limit(1).select(*(prompts.prompt("question", k) for k in ("plain", "thinking", "not thinking")), prompts.prompt(thought, "closed thoughts")).first()
+    assert texts[0] == "<|im_start|>user\n1+1?<|im_end|>\n<|im_start|>assistant\n"
+    assert texts[1].endswith("assistant\n<think>\n") and texts[2].endswith("<think>\n\n</think>\n\n") and texts[3].endswith("hm\n</think>\n\n")
     assert spark.range(1).select(prompts.cut_thoughts(F.lit("a</think>b</think>c"))).first()[0] == "a"
     with pytest.raises(Exception):
         df.withColumn("kind", F.lit("art")).select(prompts.user_message("cot")).collect()
