@@ -5,10 +5,11 @@
    large lengths are split into groups of equal cardinality and rounded up to the largest of their group, the best configurations of
    these few sizes are found by column generation, the configurations' slots are given to the actual lengths of each group, and small lengths go
    best-fit into the room that is left. Of a few bounds between large and small the one with the fewest sequences is taken. Runs of alike sequences are planned as one, so the plan's size depends on the capacity alone.
-3. Every piece is ranked among the pieces of its length, group-wise in bounded groups, and reads its place off the broadcast plan.
+3. Every piece is ranked among the pieces of its length, in groups of about ``RANKED`` whose offsets come from running sums over groups of groups, and reads its
+   place off the broadcast plan.
 
-Cases: a null or empty text is one piece of one token (the end id); ties among equal lengths go by doc_id and piece; repeated
-rows are packed each; an empty table gives an empty table.
+Cases: a null or empty text is one piece of one token (the end id); pieces of equal length take their places in an order that a hash of their row fixes; repeated
+rows are packed each; an empty table gives an empty table; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ CAPACITY = 2048
 GROUPS = 48
 #: Lengths up to such a part of the capacity are small; the plan with the fewest sequences is taken.
 SMALL = (1 / 4, 1 / 3, 1 / 2)
-#: Pieces that are ranked together.
-RANKED = 100_000
+#: Pieces that are ranked together, and groups of them whose sizes are summed together.
+RANKED, SUMMED = 1_000, 1_000
 
 
 # ---- pieces ------------------------------------------------------------------------------------------------------------
@@ -225,8 +226,9 @@ def plan_at(histogram: dict[int, int], capacity: int, groups: int, small: float)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``rows`` of pieces (``doc_id``, ``piece``, ``length``, more) with ``sequence_id`` and ``offset``: gapless from 0 in each sequence."""
-    by_group = rows.withColumn("salt", F.lit(0)).groupBy("length").count().collect()  # at most ``capacity`` rows
+    """``rows`` of pieces (``length``, more) with ``sequence_id`` and ``offset``: gapless from 0 in each sequence."""
+    numbered = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))  # the numbers are fixed by the checkpoint
+    by_group = numbered.groupBy("length").count().collect()  # at most ``capacity`` rows
     histogram = {int(r["length"]): r["count"] for r in by_group}
     runs, _ = plan(histogram, capacity)
     by_length = sorted(runs, key=lambda r: r[0])  # stable: the runs of a length keep their order
@@ -240,12 +242,13 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     splits = F.lit(np.array([-(-histogram.get(x, 0) // RANKED) or 1 for x in range(capacity + 1)]).tolist())
     bases = F.lit([base.get(x, 0) for x in range(capacity + 1)])
     at = lambda a: F.element_at(a, (F.col("length") + 1).cast("int"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), at(splits).cast("long")))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("length", "salt", before.alias("before"))
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(offsets, ["length", "salt"])
+    salted = numbered.withColumn("salt", F.pmod(F.xxhash64("row"), at(splits).cast("long")))
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("salt") / SUMMED))
+    earlier = lambda n, *keys: F.coalesce(F.sum(n).over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", earlier("n", "length", "block").alias("blocks_before"))
+    inside = sizes.select("length", "block", "salt", earlier("n", "length", "block", "salt").alias("inside"))
+    offsets = inside.join(blocks, ["length", "block"]).select("length", "salt", (F.col("inside") + F.col("blocks_before")).alias("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("row")) - 1).join(offsets, ["length", "salt"])
     position = F.col("rank") + F.col("before") + at(bases)
 
     @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
@@ -262,4 +265,4 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed_documents(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every document: where it lies in which sequence."""
     cut = docs.select(F.col(doc_id).alias("doc_id"), F.explode(pieces(F.col(text).cast("string"), vocabulary, capacity)).alias("p")).select("doc_id", "p.*")
-    return pack(checkpointed(cut), capacity)
+    return pack(cut, capacity)
