@@ -24,7 +24,7 @@ from .common import hot_keys, text_or_empty
 
 ROW = 192
 SCHEME = "sha256:"
-ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+ITEMS = "array<struct<position:int,items:int,kind:string,text:string,digest:string,caption:string>>"
 #: References to a hot digest that one salt holds, about.
 PER_SALT = 256
 
@@ -165,7 +165,7 @@ def parsed(html: str) -> list[dict]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return [item | {"position": i} for i, item in enumerate(parser.items)]
+    return [item | {"position": i, "items": len(parser.items)} for i, item in enumerate(parser.items)]
 
 
 def items_of(html: Column) -> Column:
@@ -174,7 +174,7 @@ def items_of(html: Column) -> Column:
 
 
 def parsed_all(pages: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+    kind = pa.list_(pa.struct([("position", pa.int32()), ("items", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
     return pa.array([[] if p is None else parsed(p) for p in pages.to_pylist()], kind)
 
 
@@ -182,7 +182,7 @@ def parsed_all(pages: pa.Array) -> pa.Array:
 
 
 def sequence(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per item of every page: its columns but ``html``, then ``position, kind, text, digest, caption``."""
+    """One row per item of every page: its columns but ``html``, then ``position, items, kind, text, digest, caption``: its place, and the number of items of its page."""
     return pages.withColumn("item", F.explode(items_of(F.col(html)))).drop(html, "text").select("*", "item.*").drop("item")
 
 

@@ -43,7 +43,7 @@ def op4_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = media.sequence(pages).where("kind = 'media'")
     found = media.resolved(items, stored, counts).withColumn("probe", media.probed(F.col("media")))
     n_bytes = F.split("caption", " ")[0].cast("long").alias("n_bytes")
-    return found.select("doc_id", n_bytes, "probe.*", "position", "caption")
+    return found.select("doc_id", n_bytes, "probe.*", "position", "items", "caption")
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,8 @@ def test_op4(spark, tables, rows):
     out = answer(spark, tables, "op4_media_sequences")
     assert [k for _, k in out.select("doc_id", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes").dtypes] == ["bigint"] * 5
     same(out, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], want)
+    lines = lambda t: [bool(x.strip()) for x in (t or "").split("\n")]
+    same(out, ["doc_id", "position", "items"], [(i, sum(lines(t)[: (len(lines(t)) + 1) // 2]), sum(lines(t)) + 1) for i, t in rows])
 
 
 def test_op5(spark, tables):
