@@ -3,8 +3,10 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tallylake.llm import simhash
+from tallylake.llm.common import join_skewed
 
 
 def plain_fingerprint(text):
@@ -108,3 +110,19 @@ def test_chain_of_links(spark):
         fps.append(f)
     roots = linked(spark, fps, simhash.DENSE)
     assert len(set(roots.values())) == 1 and len(roots) == 20
+
+
+def test_hot_keys_are_split(spark):
+    """Both sides come straight from a shuffle, so Spark splits the partition of a key that a third of the rows have."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1000).alias("a"), F.col("id").alias("b"))
+        joined = join_skewed(rows, rows.groupBy("a").agg(F.min("b").alias("m")), "a")
+        assert len(joined.collect()) == 200_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
