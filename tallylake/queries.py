@@ -590,6 +590,19 @@ def task_and_thinking_signals(spark, sf_dir):
     return rounded(rows.select("conv_id", "turn", *(c.alias(n) for n, c in parts.items())))
 
 
+@query("""SELECT benchmark, task_id, policy, seed, round(ln(1 + CAST(length(output) AS DOUBLE)), 9) AS completion_tokens_log, CASE WHEN form % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS finished,
+  CASE WHEN form IN (0, 1, 5) THEN 1.0 ELSE 0.0 END::DOUBLE AS has_answer, CASE WHEN form < 5 THEN round(-0.25 * form - 0.25, 9) END::DOUBLE AS mean_logprob, CASE WHEN form < 5 THEN -0.5 * form - 0.5 END::DOUBLE AS min_logprob,
+  CASE WHEN form < 5 THEN CASE WHEN -0.5 * form - 0.5 < ln(0.5) THEN 0.5 ELSE 0.0 END END::DOUBLE AS frac_low_conf FROM outputs""", "outputs")
+def call_signals(spark, sf_dir):
+    """All signals of one generation as a map without those that cannot be told, and some of them read off it."""
+    low = F.col("form") * -0.5 - 0.5
+    rows = fixtures.outputs(spark, sf_dir).withColumns({"logprobs": F.when(F.col("form") < 5, F.array(low, F.lit(0.0))), "top": F.lit(None).cast("array<map<string,double>>")})
+    every = signals.call_signals(F.col("kind"), F.col("output"), F.length("output"), F.when(F.col("form") % 2 == 0, "stop").otherwise("length"), F.col("logprobs"), F.col("top"))
+    known = rows.select("benchmark", "task_id", "policy", "seed", signals.as_map(every).alias("signals"))
+    names = ("completion_tokens_log", "finished", "has_answer", "mean_logprob", "min_logprob", "frac_low_conf")
+    return rounded(known.select("benchmark", "task_id", "policy", "seed", *(F.try_element_at("signals", F.lit(n)).alias(n) for n in names)))
+
+
 @query("""WITH by_vote AS (SELECT benchmark, task_id, policy, seed, vote, count(*) AS n, min(sample_no) AS first FROM samples GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY benchmark, task_id, policy, seed ORDER BY vote IS NULL, n DESC, first) AS place FROM by_vote),
 whole AS (SELECT benchmark, task_id, policy, seed, count(*) AS samples, count(DISTINCT vote) AS distinct_answers, avg(mean_logprob) AS mean_logprob, CAST(sum(generated_tokens) AS BIGINT) AS total_generated_tokens FROM samples GROUP BY ALL)
@@ -700,6 +713,15 @@ def chat_prompts(spark, sf_dir):
     return rows.select("task_id", prompts.prompt(prompts.user_message("direct"), "not thinking").alias("direct"), prompts.prompt(prompts.user_message("think"), "thinking").alias("thinking"), prompts.prompt(thoughts, "closed thoughts").alias("closed"))
 
 
+@query("""WITH shown AS (SELECT concat('mbppplus-', CAST(p_partkey AS VARCHAR)) AS task_id, concat(p_name, CASE WHEN p_size % 2 = 0 THEN concat(chr(10), chr(10), 'Your code should pass this test:', chr(10), 'assert ', p_brand) ELSE '' END, chr(10), chr(10)) AS head FROM part)
+SELECT task_id, concat(head, 'Return only the complete code in one ```python block.') AS direct,
+  concat('<|im_start|>user', chr(10), head, 'Briefly plan the solution, then give the complete code in one ```python block.', '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10)) AS planned FROM shown""")
+def code_prompts(spark, sf_dir):
+    """Prompts of code tasks, with the test that they show where they have one."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("prompt"), F.lit("assert f()").alias("test"), F.when(F.col("p_size") % 2 == 0, F.array(F.concat(F.lit("assert "), "p_brand"))).otherwise(F.array().cast("array<string>")).alias("test_list"), F.col("p_partkey").alias("src_index"))
+    return tasks.code_tasks(rows).select("task_id", prompts.user_message("direct").alias("direct"), prompts.prompt(prompts.user_message("cot"), "plain").alias("planned"))
+
+
 @query("""SELECT t.benchmark, t.task_id, p.policy, CAST(s.seed AS INT) AS seed FROM (SELECT DISTINCT benchmark, task_id FROM attempts_raw) t, (VALUES ('B0'), ('B1'), ('B3')) p(policy), (VALUES (0), (1), (2)) s(seed)
 WHERE NOT EXISTS (SELECT 1 FROM attempts_raw a WHERE a.benchmark = t.benchmark AND a.task_id = t.task_id AND a.policy = p.policy AND a.seed = s.seed AND a.error IS NULL)""", "attempts_raw")
 def pending_jobs(spark, sf_dir):
