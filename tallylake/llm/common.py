@@ -30,6 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder, where it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def hot_keys(counts: DataFrame, n_col: str) -> DataFrame:
     """The keys with the most rows, ``MOST_HOT`` at most, so broadcast is safe. ``counts`` has one row per key with its number of rows in ``n_col``."""
     rest = [c for c in counts.columns if c != n_col]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, media, packing, pii, quotes, simhash, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, filter_audit, media, packing, pii, quotes, simhash, token_counts, topk, toxicity, url_filter
 from .common import text_or_empty
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_media_sequences, op5_quotation_linking, op6_pii, op7_exact_topk, op8_best_fit_packing, op9_toxicity, op10_simhash, pipeline)
+    ops = (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_media_sequences, op5_quotation_linking, op6_pii, op7_exact_topk, op8_best_fit_packing, op9_toxicity, op10_simhash, op12_filter_audit, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -160,6 +164,31 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE shape AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+') IF w <> ''] AS words FROM documents),
+least AS (SELECT text, min(doc_id) AS least FROM shape GROUP BY text),
+label AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+doc AS (
+  SELECT s.part, coalesce(b.good, false) AS good, coalesce(b.toxic, false) AS toxic, concat(
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * len(regexp_replace(s.text, '[^A-Z]', '', 'g')) > 2 * length(s.text) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(s.text, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN coalesce(s.doc_id > l.least, false) THEN 'E' ELSE '' END) AS failed
+  FROM shape s JOIN least l ON l.text = s.text LEFT JOIN label b ON b.doc_id = s.doc_id),
+counts AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM doc GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL SELECT o || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE length(o) < 5 AND NOT contains(o, f)),
+steps AS (SELECT o AS filter_order, CAST(i AS INT) AS step, substr(o, i, 1) AS f, substr(o, 1, i - 1) AS earlier FROM orders, range(1, 6) r(i) WHERE length(o) = 5),
+flat AS (
+  SELECT part, filter_order, step, f, n, good, toxic, failed, contains(failed, f) AS fails, length(translate(failed, earlier, '')) < length(failed) AS gone FROM counts, steps),
+summed AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (failed = f), 0) AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+  FROM flat GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_quotation_linking": OP5_SQL, "op7_exact_topk": OP7_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_quotation_linking": OP5_SQL, "op7_exact_topk": OP7_SQL, "op12_filter_audit": OP12_SQL}
