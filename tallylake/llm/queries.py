@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, filter_audit, media, packing, pii, quotes, simhash, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, filter_audit, media, packing, pii, quotes, simhash, spelling, token_counts, topk, toxicity, url_filter
 from .common import text_or_empty
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +84,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_media_sequences, op5_quotation_linking, op6_pii, op7_exact_topk, op8_best_fit_packing, op9_toxicity, op10_simhash, op12_filter_audit, pipeline)
+    ops = (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_media_sequences, op5_quotation_linking, op6_pii, op7_exact_topk, op8_best_fit_packing, op9_toxicity, op10_simhash, op12_filter_audit, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -189,6 +193,30 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)) x),
+run AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) x GROUP BY ALL),
+coded AS (SELECT doc_id, run, n, hex(concat(doc_id, ':', run)) AS x FROM run WHERE length(run) >= 5),
+hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || [CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT) FOR i IN range(length(x) // 2)], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+slipped AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+word AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gap AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM word) x),
+near AS (
+  SELECT g.word, w.word AS near, w.n AS near_n FROM gap g JOIN word w ON w.word = g.rest
+  UNION SELECT w.word, g.word, g.n FROM gap g JOIN word w ON w.word = g.rest
+  UNION SELECT a.word, b.word, b.n FROM gap a JOIN gap b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS rn FROM near),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM word w LEFT JOIN best b ON b.word = w.word AND b.rn = 1),
+chain AS (SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word JOIN formed e ON e.word = c.at AND e.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_quotation_linking": OP5_SQL, "op7_exact_topk": OP7_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_quotation_linking": OP5_SQL, "op7_exact_topk": OP7_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling_variants": OP13_SQL}
