@@ -5,8 +5,9 @@ a smaller id holds, in any file: state keyed by the text holds the smallest id m
 documents held before turn out to be copies: their old masks are taken back from the counters of their parts, and counted again with E. Counters per part and mask are
 all that is left of a micro-batch; they are written under its number, so a batch that is run again replaces itself, and a stream started again on the same folder reads new files only.
 
-Before the state each task keeps, of equal texts, the smallest id: other rows are known to be copies, and come along as counts. So a text that a third of all rows hold
-reaches its state as one row a task. At most 32 masks a part remain, from which the rows of all 120 orders follow without any further shuffle.
+An entry of the state holds a few hundred texts, because each one costs a call of Python; their number follows the table when the stream begins, and the session's state store (RocksDB for
+states beyond memory) holds them. Before the state each batch of rows of a task keeps, of equal texts, the smallest id: other rows are known to be copies, and come along as counts. So a text that a third of all rows hold
+reaches its state as one row for each of their batches. At most 32 masks a part remain, from which the rows of all 120 orders follow without any further shuffle.
 
 Cases: a null text is an empty one, equal to other empty ones; rows that repeat an id hold no smaller one, so they are no copies of each other; a null doc_id is no copy and makes none;
 a null source is the part ``''``; a label counts if any of its rows for the id has it; null labels count for nothing; empty tables give no rows; other columns are never read.
@@ -33,13 +34,13 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Micro-batches that a table is read in, about.
 BATCHES = 4
-ENTRY = "part string, mask int, good boolean, toxic boolean"
-ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+COUNTERS = "part string, mask int, good boolean, toxic boolean, n bigint"
+#: Texts, about, that share an entry of the state.
+TOGETHER = 256
 
 
-def text_mask(text: Column) -> Column:
+def text_mask(text: Column, words: Column) -> Column:
     """The bits of the failed filters A to D."""
-    words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
     capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     fails = (F.size(words) < 200, 100 * F.size(F.array_distinct(words)) < 50 * F.size(words), 100 * capitals > 2 * F.length(text), F.regexp_like(text, F.lit("[#$%&*|]")))
     return sum((f.cast("int") * (1 << i) for i, f in enumerate(fails)), F.lit(0))
@@ -48,7 +49,9 @@ def text_mask(text: Column) -> Column:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text_key, doc_id, part, mask, good, toxic``. Texts end here: what follows carries a digest."""
     known = labels.groupBy("doc_id").agg(F.max(F.col("quality").eqNullSafe(1)).alias("good"), F.max(F.col("toxic").eqNullSafe(1)).alias("toxic"))
-    rows = docs.select(F.sha2(text_or_empty().cast("binary"), 256).alias("text_key"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_mask(text_or_empty()).alias("mask"))
+    words = F.filter(F.split(text_or_empty(), r"[ \t-\r]+"), lambda w: w != "").alias("words")
+    texts = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_or_empty().alias("text"), words)
+    rows = texts.select(F.left(F.sha2(F.col("text").cast("binary"), 256), F.lit(32)).alias("text_key"), "doc_id", "part", text_mask(F.col("text"), F.col("words")).alias("mask"))
     return rows.join(known, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
 
 
@@ -79,35 +82,34 @@ def copies(counts: dict) -> dict:
 
 
 def written(counts: dict) -> str:
-    return json.dumps([[*k, n] for k, n in counts.items()])
+    return "" if not counts else json.dumps([[*k, n] for k, n in counts.items()])
 
 
 def read(counts: str) -> Counter:
-    return Counter({tuple(k): n for *k, n in json.loads(counts)})
+    return Counter({tuple(k): n for *k, n in json.loads(counts)}) if counts else Counter()
 
 
 def retracting(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes of the counters that new rows of a text make. The state holds its smallest id and, as JSON, the counts of the documents that have it."""
-    least, held = state.get if state.exists else (None, "[]")
-    held, change = read(held), Counter()
+    """The changes of the counters that new rows make. The state of a few hundred texts holds of each its smallest id and the counts of the documents that have it, as JSON."""
+    texts, change = json.loads(state.get[0]) if state.exists else {}, Counter()
     for frame in frames:
-        for doc_id, own, lost in zip(frame["doc_id"], frame["held"], frame["lost"], strict=True):
+        for text, doc_id, own, lost in zip(frame["text_key"], frame["doc_id"], frame["held"], frame["lost"], strict=True):
             change.update(read(lost))
             if pd.isna(doc_id):
                 continue
             doc_id, own = int(doc_id), read(own)
+            least, held = texts.get(text) or (None, "")
             if least is not None and doc_id > least:
                 change.update(copies(own))
                 continue
             change.update(own)
-            if least is not None and doc_id < least:
-                change.subtract(held)
-                change.update(copies(held))
-                held = Counter()
-            least = doc_id
-            held.update(own)
-    if least is not None:
-        state.update((least, written(held)))
+            if doc_id == least:
+                own.update(read(held))
+            elif least is not None:
+                change.subtract(read(held))
+                change.update(copies(read(held)))
+            texts[text] = doc_id, written(own)
+    state.update((json.dumps(texts),))
     rows = [(*k, n) for k, n in change.items() if n]
     yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
 
@@ -121,34 +123,33 @@ def stream_of(spark: SparkSession, path: str, files: int) -> DataStreamReader:
     return reader.option("path", path)
 
 
-def counted(spark: SparkSession, path: str, labels: DataFrame, folder: str, batches: int = BATCHES) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def counted(spark: SparkSession, path: str, labels: DataFrame, folder: str, batches: int = BATCHES, together: int = TOGETHER) -> DataFrame:
     """``part, mask, good, toxic, n`` after all files of ``path`` that the stream of ``folder`` has not read yet, and those that it has: one more run of the stream.
 
-    ``folder`` is one that the cluster shares; it keeps the state and the counters. A batch takes as many files as make about ``batches`` of the present ones.
+    ``folder`` is one that the cluster shares; it keeps the state, the counters and the number of the state's entries. A batch takes as many files as make about ``batches`` of the present ones.
     """
     table = spark.read.parquet(path)
     files = len(table.inputFiles())
+    if not exists(spark, f"{folder}/entries"):
+        spark.createDataFrame([(max(1, -(-table.count() // together)),)], "entries bigint").coalesce(1).write.parquet(f"{folder}/entries")
+    entries = spark.read.parquet(f"{folder}/entries").first()[0]
     docs = stream_of(spark, path, max(1, -(-files // batches))).schema(table.schema).load()
     rows = judged(docs, labels).mapInArrow(combined, "text_key string, doc_id bigint, held string, lost string")
-    changes = rows.groupBy("text_key").applyInPandasWithState(retracting, f"{ENTRY}, n bigint", "least bigint, held string", "update", GroupStateTimeout.NoTimeout)
+    dealt = rows.withColumn("entry", F.pmod(F.xxhash64("text_key"), F.lit(entries)))
+    changes = dealt.groupBy("entry").applyInPandasWithState(retracting, COUNTERS, "texts string", "update", GroupStateTimeout.NoTimeout)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
 
-    before = {c: spark.conf.get(c, None) for c in ROCKS}
-    try:
-        for c, v in ROCKS.items():
-            spark.conf.set(c, v)
-        changes.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for c, v in before.items():
-            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
-    schema = f"{ENTRY}, n bigint"
-    none = spark.createDataFrame([], schema)
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/counters")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return none
-    found = spark.read.schema(schema).option("basePath", f"{folder}/counters").parquet(f"{folder}/counters/batch=*")
+    changes.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start().awaitTermination()
+    if not exists(spark, f"{folder}/counters"):
+        return spark.createDataFrame([], COUNTERS)
+    found = spark.read.schema(COUNTERS).option("basePath", f"{folder}/counters").parquet(f"{folder}/counters/batch=*")
     return found.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
