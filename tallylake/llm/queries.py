@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, filter_audit, media, packing, pii, quotes, simhash, spelling, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, class_ngrams, filter_audit, media, packing, pii, quotes, simhash, spelling, token_counts, topk, toxicity, url_filter
 from .common import text_or_empty
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngrams.scored(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
@@ -95,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_media_sequences, op5_quotation_linking, op6_pii, op7_exact_topk, op8_best_fit_packing, op9_toxicity, op10_simhash, op12_filter_audit, op13_spelling_variants, pipeline)
+    ops = (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_media_sequences, op5_quotation_linking, op6_pii, op7_exact_topk, op8_best_fit_packing, op9_toxicity, op10_simhash, op11_class_ngrams, op12_filter_audit, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in ops}
 
 
