@@ -18,10 +18,11 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, deleted, shared_folder, text_or_empty
@@ -34,6 +35,12 @@ BLOCK, HELD, TOKENS = 256, 1_000_000, 2_000_000
 PARTS = 64
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df``, written and read again."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 10 == 0, F.lit(False))
 
@@ -382,46 +389,70 @@ def transitions(counts: np.ndarray, unknown: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(every, 1e-300))
 
 
-def scored(spark: SparkSession, docs: DataFrame, k: int = CLASSES, top: int = TOP, dictionary: int = DICTIONARY, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every text. What is kept between steps lies in a folder that the cluster shares, and goes in the end."""
-    folder = f"{shared_folder(spark)}/classes-{uuid.uuid4().hex}"
+@dataclass
+class Fit:
+    """Texts as numbers, and the words of the training texts: ``known``, the dictionary with counts, ``of``, the classes of its first words, and ``others``, a frame of all beyond them."""
+
+    ids: DataFrame
+    known: list[tuple[str, int]]
+    of: np.ndarray
+    others: DataFrame
+    top: int
+    tokens: int
+    types: int
+    ends: int
+    discount: float
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+def fitted(docs: DataFrame, folder: str, k: int = CLASSES, top: int = TOP, dictionary: int = DICTIONARY, rounds: int = ROUNDS) -> Fit:
+    """Count, number, exchange and place. Tables between the steps go to ``folder``, which the cluster shares."""
+    spark = docs.sparkSession
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    counts = stored(texts.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    n_all, n_types, n_ends, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    training = texts.where(~held_out(F.col("doc_id"))).select("text")
+    counts = stored(training.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), f"{folder}/counts")
+    n, types, ends, once, twice = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == "", F.col("n"))), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     known = frequent(counts, dictionary)
     words = spark.sparkContext.broadcast([w for w, _ in known])
     top = min(top, len(known))
-    ids = stored(numbered(texts, words), "ids")
-    training = ids.where(~F.col("held_out"))
-    of, bigrams = exchanged(training, len(known), top, k, rounds)
-    others = stored(placed(training, words, of, bigrams, top), "words")
+    ids = stored(numbered(texts, words), f"{folder}/ids")
+    of, bigrams = exchanged(ids.where(~F.col("held_out")), len(known), top, k, rounds)
+    others = stored(placed(ids.where(~F.col("held_out")), words, of, bigrams, top), f"{folder}/words")
+    return Fit(ids, known, of, others, top, n or 0, types, ends or 0, (once + 0.5) / (once + 2 * twice + 1))
+
 
-    d = (once + 0.5) / (once + 2 * twice + 1)
-    of, sizes, n_top = of[: len(known) + 1], np.zeros((2, k)), [n for _, n in known[:top]]
+def clusters(docs: DataFrame, folder: str, **options: int) -> DataFrame:
+    """``word, class, n`` of every word of the training texts."""
+    fit = fitted(docs, folder, **options)
+    first = [(w, int(fit.of[i + 1]), n) for i, (w, n) in enumerate(fit.known[: fit.top])]
+    return fit.others.unionByName(docs.sparkSession.createDataFrame(first, "word string, class int, n bigint"))
+
+
+def scored(docs: DataFrame, k: int = CLASSES, top: int = TOP, dictionary: int = DICTIONARY, rounds: int = ROUNDS) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every text. What is kept between steps lies in a folder that the cluster shares, and goes in the end."""
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/classes-{uuid.uuid4().hex}"
+    fit = fitted(docs, folder, k, top, dictionary, rounds)
+    known, d, others = fit.known, fit.discount, fit.others
+    of, sizes, n_top = fit.of[: len(known) + 1].copy(), np.zeros((2, k)), [n for _, n in known[: fit.top]]
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
         sizes[:, r["class"]] += r["n"], r["types"]
-    sizes[0] += np.bincount(of[1 : top + 1], weights=n_top, minlength=k)
-    sizes[1] += np.bincount(of[1 : top + 1], minlength=k)
+    sizes[0] += np.bincount(of[1 : fit.top + 1], weights=n_top, minlength=k)
+    sizes[1] += np.bincount(of[1 : fit.top + 1], minlength=k)
     share = d * sizes[1] / np.maximum(sizes[0], 1)
 
     # What a word adds: the base's logarithm, and that of its discounted share of its class.
-    total = np.log10(n_all + 0.1 * (n_types + 1))
+    total = np.log10(fit.tokens + 0.1 * (fit.types + 1))
     least = known[-1][1] if known else 0
     numbered_others = others.where(F.col("n") >= least).toArrow()  # within the dictionary
     place = {w: i + 1 for i, (w, _) in enumerate(known)}
     of[[place[w] for w in numbered_others["word"].to_pylist()]] = numbered_others["class"].to_numpy()
-    n = np.array([n_ends, *(n for _, n in known)], np.float64)
+    n = np.array([fit.ends, *(n for _, n in known)], np.float64)
     score = np.concatenate(([0.0], np.log10((n[1:] - d) / np.maximum(sizes[0], 1)[of[1:]])))
-    of[0] = 0 if n_ends else k
+    of[0] = 0 if fit.ends else k
     tokens = spark.sparkContext.broadcast((of, np.log10(n + 0.1) - total, score, k, np.log10(0.1) - total))
     by_size = F.element_at(F.lit([float(x) for x in np.maximum(sizes[0], 1)]), F.col("class") + 1)
     info = others.where(F.col("n") < least).select("word", "class", (F.log10(F.col("n") + 0.1) - float(total)).alias("base"), F.log10((F.col("n") - d) / by_size).alias("score"))
-    parts = stored(classed(ids, info, tokens), "classes")
+    parts = stored(classed(fit.ids, info, tokens), f"{folder}/classes")
 
     table = spark.sparkContext.broadcast(transitions(trigrams(parts.where(~F.col("held_out")), k), share))
 
@@ -435,9 +466,9 @@ def scored(spark: SparkSession, docs: DataFrame, k: int = CLASSES, top: int = TO
                 scores = pa.array(own + batch["words_score"].to_numpy(), pa.float64())
                 yield pa.RecordBatch.from_pydict({**{c: batch[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}, "score": scores})
 
-    kind = dict(texts.dtypes)["doc_id"]
+    kind = dict(docs.dtypes)["doc_id"]
     out = parts.mapInArrow(summed, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(fit.tokens)).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
     out = checkpointed(out)
     deleted(spark, folder)
     return out

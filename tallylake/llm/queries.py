@@ -81,7 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_ngrams.scored(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return class_ngrams.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
