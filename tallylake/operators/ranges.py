@@ -23,8 +23,8 @@ def cuts(rows: DataFrame, x: str, per_range: int = PER_RANGE) -> list[float]:
     return sorted({marks[i * QUANTILES // ranges - 1] for i in range(1, ranges)}) if ranges > 1 else []
 
 
-def range_of(x: Column, at: Sequence[float]) -> Column:
-    """The number of cuts below a value, by halving."""
+def range_of(x: Column, at: Sequence[float], inclusive: bool = False) -> Column:
+    """The number of cuts below a value (``inclusive``: or equal to it), by halving."""
     if not len(at):
         return F.lit(0)
     table = F.lit([float(v) for v in at])
@@ -34,7 +34,8 @@ def range_of(x: Column, at: Sequence[float]) -> Column:
         middle = F.shiftright(low + high, 1)
         right = F.struct((middle + 1).alias("low"), high.alias("high"))
         left = F.struct(low.alias("low"), middle.alias("high"))
-        return F.when(low >= high, state).when(F.get(table, middle) < x, right).otherwise(left)
+        cut = F.get(table, middle)
+        return F.when(low >= high, state).when((cut <= x) if inclusive else (cut < x), right).otherwise(left)
 
     start = F.struct(F.lit(0).alias("low"), F.lit(len(at)).alias("high"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(at).bit_length())), start, halve)["low"]
@@ -55,3 +56,18 @@ def with_before(rows: DataFrame, groups: Sequence[str], x: str, total: Callable[
     # Two totals at most: their sum or their greater one, as the aggregate of an array of them.
     combined = F.array_max(both) if total is F.max else F.when(F.size(both) > 0, F.aggregate(both, F.lit(0).cast("bigint"), lambda a, v: a + v))
     return joined.withColumn(out, combined).drop("_range", "_here", "_earlier")
+
+
+def with_sums_before(rows: DataFrame, groups: Sequence[str], x: str, values: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """``rows`` (distinct in ``groups`` and ``x``) where each of ``values`` is the sum of it over the rows of the group with a smaller ``x``, 0 for none."""
+    dealt = rows.withColumn("_range", range_of(F.col(x).cast("double"), at))
+    inside = W.partitionBy(*groups, "_range").orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    local = dealt.select(*(c for c in dealt.columns if c not in values), *(zero(F.sum(v).over(inside)).alias(v) for v in values))
+    if not len(at):
+        return local.drop("_range")
+    earlier = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = dealt.groupBy(*groups, "_range").agg(*(F.sum(v).alias(v) for v in values))
+    offsets = ranges.select(*groups, "_range", *(zero(F.sum(v).over(earlier)).alias(f"_{v}") for v in values))
+    joined = local.join(offsets, [*groups, "_range"])
+    return joined.select(*(c for c in local.columns if c not in values and c != "_range"), *((F.col(v) + F.col(f"_{v}")).alias(v) for v in values))

@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallylake.operators.ranges import PER_RANGE, cuts, with_before
+from tallylake.operators.ranges import PER_RANGE, cuts, range_of, with_before, with_sums_before
 from tallylake.operators.summary import present, share
 from tallylake.schemas import COST_FIELDS, TASK_SEED
 
@@ -94,17 +95,65 @@ def replayed(records: DataFrame, stages: Sequence[str], scores: Sequence[Column]
     return stopped(some, stages, scores, thresholds).select(*TASK_SEED, F.lit(name or cascade_name(stages, thresholds)).alias("policy"), *outcome(records, stages))
 
 
+#: What a sweep adds up: right records by their task's number of records, tokens, records beyond the first stage; and records and tasks.
+SUMS = ("right", "tokens", "escalated", "n", "tasks")
+
+
+def changes(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], tasks: Column | None = None) -> DataFrame:
+    """``benchmark, at`` and ``SUMS``: how the sums over all replays change where the threshold, shared by all boundaries, passes ``at``; what holds from the start is at minus infinity.
+
+    A replay stops at the first stage whose score reaches the threshold, so its outcome changes where the threshold passes a score that is higher than all before it: at most once
+    a boundary. The rows that leave a task are these changes, added up map-side, however many thresholds are asked for.
+    """
+    some = records.where(tasks) if tasks is not None else records
+    rows = staged(some.drop("steps", *CARRIED), stages, scores)
+    last = len(stages) - 1
+    tokens, paths, top = F.lit(0).cast("bigint"), [], F.lit(None).cast("double")
+    for i in range(len(stages)):
+        stage = F.col("stages")[i]
+        tokens = tokens + stage["generated_tokens"].cast("bigint")
+        until = stage["score"] if i < last else F.lit(float("inf"))
+        here = F.struct(until.alias("until"), stage["correct"].cast("int").alias("right"), tokens.alias("tokens"), F.lit(int(i > 0)).alias("escalated"))
+        paths.append(F.when(until.isNotNull() & (top.isNull() | (until > top)) | F.lit(i == last), here))
+        top = F.greatest(top, until)
+    weight = F.lit(1.0) / F.count("*").over(W.partitionBy("benchmark", "task_id"))
+    path = rows.select("benchmark", weight.alias("weight"), F.array_compact(F.array(*paths)).alias("path"))
+
+    def change(now: Column, before: Column | None, at: Column) -> Column:
+        less = lambda c: now[c] - before[c] if before is not None else now[c]
+        once = F.lit(1 if before is None else 0)
+        return F.struct(at.alias("at"), (less("right") * F.col("weight")).alias("right"), less("tokens").alias("tokens"), less("escalated").alias("escalated"), once.alias("n"), (once * F.col("weight")).alias("tasks"))
+
+    first = F.array(change(F.col("path")[0], None, F.lit(float("-inf"))))
+    later = F.transform(F.slice("path", F.lit(2), F.size("path") - 1), lambda now, i: change(now, F.col("path")[i], F.col("path")[i]["until"]))
+    moved = path.select("benchmark", F.explode(F.concat(first, later)).alias("c")).select("benchmark", "c.*")
+    return moved.groupBy("benchmark", "at").agg(*(F.sum(c).alias(c) for c in SUMS))
+
+
+def curve_point() -> list[Column]:
+    """A sweep's columns from its sums."""
+    return [(F.col("right") / F.round("tasks")).alias("accuracy"), (F.col("tokens") / F.col("n")).alias("gen_tokens"), (F.col("escalated") / F.col("n")).alias("escalation_rate")]
+
+
 def swept(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], grid: Sequence[float], tasks: Column | None = None) -> DataFrame:
     """``benchmark, threshold, accuracy, gen_tokens, escalation_rate`` for each threshold, shared by all boundaries.
 
-    The stages come together once; the grid is expanded map-side and combined by task before it is shuffled.
+    Each change of a replay counts from the first threshold beyond it, so a benchmark has at most one row of changes a threshold, and running sums over these.
     """
-    some = records.where(tasks) if tasks is not None else records
-    points = staged(some.drop("steps", *CARRIED), stages, scores).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in grid))))
-    points = points.withColumn("stop", stopping_stage(len(stages), lambda _: F.col("threshold")))
-    right = F.count_if(F.col("stages")[F.col("stop")]["correct"])
-    by_task = points.groupBy("benchmark", "threshold", "task_id").agg(F.count("*").alias("n"), right.alias("right"), F.sum(run_cost("generated_tokens", F.col("stop"))).alias("tokens"), F.count_if(F.col("stop") > 0).alias("escalated"))
-    return by_task.groupBy("benchmark", "threshold").agg(F.avg(share(F.col("right"), F.col("n"))).alias("accuracy"), share(F.sum("tokens"), F.sum("n")).alias("gen_tokens"), share(F.sum("escalated"), F.sum("n")).alias("escalation_rate"))
+    at = sorted({float(t) for t in grid})
+    dealt = changes(records, stages, scores, tasks).groupBy("benchmark", range_of(F.col("at"), at, inclusive=True).alias("place")).agg(*(F.sum(c).alias(c) for c in SUMS))
+    every = dealt.groupBy("benchmark").agg(F.count("*").alias("rows")).select("benchmark", F.explode(F.lit([*range(len(at))]).cast("array<int>")).alias("place"), *(F.lit(0).alias(c) for c in SUMS))
+    both = dealt.where(F.col("place") < len(at)).unionByName(every).groupBy("benchmark", "place").agg(*(F.sum(c).alias(c) for c in SUMS))
+    up_to = W.partitionBy("benchmark").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    sums = both.select("benchmark", F.element_at(F.lit(at), F.col("place") + 1).alias("threshold"), *(F.sum(c).over(up_to).alias(c) for c in SUMS))
+    return sums.select("benchmark", "threshold", *curve_point())
+
+
+def curve(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], tasks: Column | None = None, per_range: int = PER_RANGE) -> DataFrame:
+    """As ``swept``, at every threshold at which an outcome changes just beyond: the whole curve, exactly. Ranges of thresholds carry the running sums, so no task holds a benchmark."""
+    rows = changes(records, stages, scores, tasks)
+    at = cuts(rows.where(F.col("at") > float("-inf")), "at", per_range)
+    return with_sums_before(rows, ["benchmark"], "at", SUMS, at).where(F.col("at") > float("-inf")).select("benchmark", F.col("at").alias("threshold"), *curve_point())
 
 
 def quantiles(records: DataFrame, first_stage: str, signal: str, points: int = 21, per_range: int = PER_RANGE) -> DataFrame:

@@ -11,27 +11,33 @@ from pyspark.sql import functions as F
 from tallylake.functions.splits import held_out
 from tallylake.operators.bootstrap import histogram_intervals
 from tallylake.operators.frontier import compute_to_target, pareto_frontier, with_frontier_flag
-from tallylake.operators.replay import against_fixed, oracle, swept
+from tallylake.operators.replay import against_fixed, even_grid, oracle, swept
 from tallylake.operators.summary import accuracy_by_level, summary
 
 SLACK, BAR = 0.01, 0.60
 
 
 def policy_table(records: DataFrame, oracle_of: Sequence[str] = (), params_b: float | None = None, n_boot: int = 0) -> DataFrame:
-    """Summary of all policies and of the hindsight oracle, with the frontier marked, and with bounds of the accuracy by ``n_boot`` replicates; sort by (benchmark, gen_tokens, policy)."""
-    rows = summary(records, params_b, n_boot=n_boot)
+    """Summary of all policies and of the hindsight oracle, with the frontier marked, and with bounds of the accuracy by ``n_boot`` replicates; ``hindsight`` marks the oracle. Sort by (benchmark, gen_tokens, policy)."""
+    rows = summary(records, params_b, n_boot=n_boot).withColumn("hindsight", F.lit(False))
     if oracle_of:
-        rows = rows.unionByName(summary(oracle(records, oracle_of), params_b, n_boot=n_boot))
+        rows = rows.unionByName(summary(oracle(records, oracle_of), params_b, n_boot=n_boot).withColumn("hindsight", F.lit(True)))
     return with_frontier_flag(rows.withColumnRenamed("generated_tokens", "gen_tokens"))
 
 
+def fixed_points(points: DataFrame, learned: str = "B5") -> DataFrame:
+    """The points of policies that decide nothing by what they saw: without those whose name begins as ``learned``, and without those that know the answers (``hindsight``, where the points have it)."""
+    own = points.where(~F.startswith("policy", F.lit(learned)))
+    return own.where(~F.col("hindsight")).drop("hindsight") if "hindsight" in points.columns else own
+
+
 def target_check(points: DataFrame, sweep: DataFrame | None, reference: str, slack: float = SLACK, bar: float = BAR, learned: str = "B5") -> DataFrame:
     """Per benchmark: tokens with which the fixed policies and the cascade reach the reference's accuracy less the slack.
 
-    ``points``: ``benchmark, policy, gen_tokens, accuracy``; ``sweep``: the same with ``threshold`` for policy. ``meets`` tells whether the cascade needs at most ``bar`` times the reference's tokens.
+    ``points``: ``benchmark, policy, gen_tokens, accuracy``, and ``hindsight`` if an oracle is among them; ``sweep``: the same with ``threshold`` for policy. ``meets`` tells whether the cascade needs at most ``bar`` times the reference's tokens.
     """
     base = points.where(F.col("policy") == reference).select("benchmark", (F.col("accuracy") - slack).alias("target"), F.col("gen_tokens").alias("reference_tokens"))
-    fixed = pareto_frontier(points.where(~F.startswith("policy", F.lit(learned))))
+    fixed = pareto_frontier(fixed_points(points, learned))
     out = compute_to_target(fixed, base).withColumnRenamed("tokens", "fixed_tokens")
     if sweep is not None:
         curve = pareto_frontier(sweep, point_id="threshold")
@@ -69,27 +75,30 @@ def cascade_intervals(records: DataFrame, points: DataFrame, sweep: DataFrame, c
 
 @dataclass
 class Report:
-    """Result tables of a report, each a DataFrame over few rows."""
+    """Result tables of a report, each a DataFrame over few rows, and what is to be said of all of them."""
 
     policies: DataFrame
     levels: DataFrame | None
     sweep: DataFrame | None
     target: DataFrame | None
     differences: DataFrame | None
+    notes: tuple[str, ...] = ()
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: df for name, df in vars(self).items() if name != "notes" and df is not None}
 
     def write(self, path: str) -> None:
-        for name, df in vars(self).items():
-            if df is not None:
-                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        for name, df in self.tables().items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
 
     def markdown(self) -> str:
-        """A section for each benchmark, from a collect of a few rows a benchmark: policies, sweep, target, levels."""
-        parts = {name: df.collect() for name, df in vars(self).items() if df is not None}
-        sections = []
+        """A section for each benchmark, from a collect of a few rows a benchmark: policies, sweep, target, levels. The notes come last."""
+        parts = {name: df.collect() for name, df in self.tables().items()}
+        blocks = []
         for benchmark in sorted({r["benchmark"] for r in parts["policies"]}):
             own = {name: [r.asDict() for r in rows if r["benchmark"] == benchmark] for name, rows in parts.items()}
-            sections.append("\n\n".join([f"## {benchmark}", *section(own)]))
-        return "\n\n".join(sections)
+            blocks += [f"## {benchmark}", *section(own)]
+        return "\n\n".join([*blocks, *self.notes])
 
 
 def shown(value, digits: int = 3) -> str:
@@ -122,16 +131,18 @@ def section(own: dict[str, list[dict]]) -> list[str]:
     return out
 
 
-def report(records: DataFrame, oracle_of: Sequence[str] = (), stages: Sequence[str] = (), scores: Sequence[Column] = (), grid: Sequence[float] = (), reference: str | None = None, split: float | None = None, params_b: float | None = None, n_boot: int = 2000) -> Report:
+def report(records: DataFrame, oracle_of: Sequence[str] = (), stages: Sequence[str] = (), scores: Sequence[Column] = (), grid: Sequence[float] | None = None, reference: str | None = None, split: float | None = None, params_b: float | None = None, n_boot: int = 2000) -> Report:
     """All tables of a run log that holds the latest record per key.
 
-    Records are dealt by (benchmark, task) once; grouping by key, by task and seed, and by task reuses that.
+    Records are dealt by (benchmark, task) once; grouping by key, by task and seed, and by task reuses that. Without a ``grid`` the sweep has 21 points from 0 to 1, which router scores lie in.
+    The hindsight oracle is a row of the policies, and no fixed policy: neither the target check nor the differences compare the cascade with it.
     """
     some = held_out(records, split).repartition("benchmark", "task_id")
     policies = policy_table(some, oracle_of, params_b, n_boot)
-    sweep = swept(some, stages, scores, grid) if stages else None
-    points = policies.select("benchmark", "policy", "gen_tokens", "accuracy")
+    sweep = swept(some, stages, scores, even_grid() if grid is None else grid) if stages else None
+    points = policies.select("benchmark", "policy", "gen_tokens", "accuracy", "hindsight")
     target = target_check(points, sweep, reference) if reference else None
-    fixed = points.where(~F.startswith("policy", F.lit("B5")) & (F.col("policy") != "oracle"))
-    differences = cascade_intervals(some, fixed, sweep, target, stages, scores, n_boot) if stages and reference else None
-    return Report(policies, accuracy_by_level(some) if "level" in records.columns else None, sweep, target, differences)
+    differences = cascade_intervals(some, fixed_points(points), sweep, target, stages, scores, n_boot) if stages and reference else None
+    notes = [f"Only tasks outside of the training split count (a share of {split:g} of all tasks)."] if split else []
+    notes += [f"`oracle` is the cheapest right record among {', '.join(oracle_of)}, known in hindsight; no fixed policy is compared with it."] if oracle_of else []
+    return Report(policies, accuracy_by_level(some) if "level" in records.columns else None, sweep, target, differences, tuple(notes))

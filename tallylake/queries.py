@@ -207,6 +207,16 @@ def cascade_sweep(spark, sf_dir):
     return rounded(sweep(fixtures.attempts(spark, sf_dir)))
 
 
+@query("WITH " + staged_sql(STAGES) + """, best AS (SELECT *, greatest(sc0, sc1) AS top FROM wide),
+breaks AS (SELECT DISTINCT benchmark, t FROM (SELECT benchmark, sc0 AS t FROM best UNION ALL SELECT benchmark, sc1 FROM best WHERE sc0 IS NULL OR sc1 > sc0) x WHERE t IS NOT NULL),
+stopped AS (SELECT w.*, t, CASE WHEN sc0 >= t THEN 0 WHEN sc1 >= t THEN 1 ELSE 2 END AS stop FROM wide w JOIN breaks b ON b.benchmark = w.benchmark),
+by_task AS (SELECT benchmark, t, task_id, count(*) AS n, sum(CASE stop WHEN 0 THEN ok0 WHEN 1 THEN ok1 ELSE ok2 END) AS ok, sum(tok0 + CASE WHEN stop > 0 THEN tok1 ELSE 0 END + CASE WHEN stop > 1 THEN tok2 ELSE 0 END) AS tok, sum(CAST(stop > 0 AS INT)) AS esc FROM stopped GROUP BY ALL)
+SELECT benchmark, round(t, 9) AS threshold, round(avg(CAST(coalesce(ok, 0) AS DOUBLE) / n), 9) AS accuracy, round(CAST(sum(tok) AS DOUBLE) / sum(n), 9) AS gen_tokens, round(CAST(sum(esc) AS DOUBLE) / sum(n), 9) AS escalation_rate FROM by_task GROUP BY benchmark, t""", "attempts")
+def cascade_curve(spark, sf_dir):
+    """The sweep at every threshold at which the outcome of some record changes."""
+    return rounded(replay.curve(fixtures.attempts(spark, sf_dir), STAGES, [logprob_score()]))
+
+
 def sweep(records: DataFrame) -> DataFrame:
     return replay.swept(records, STAGES, [logprob_score()], [i / 20.0 - 1 for i in range(21)])
 
@@ -351,12 +361,22 @@ def checked_targets(spark, sf_dir) -> DataFrame:
     return report.target_check(fixtures.points(summary.summary(records)), sweep(records), "B3")
 
 
-@query(TARGET_SQL + """ SELECT benchmark, round(target, 9) AS target, round(reference_tokens, 9) AS reference_tokens, round(fixed_tokens, 9) AS fixed_tokens, round(cascade_tokens, 9) AS cascade_tokens,
-  round(fixed_tokens / reference_tokens, 9) AS fixed_ratio, round(cascade_tokens / reference_tokens, 9) AS cascade_ratio, coalesce(cascade_tokens / reference_tokens <= 0.6, false) AS meets FROM checked""", "attempts")
+CHECKED_SQL = TARGET_SQL + """ SELECT benchmark, round(target, 9) AS target, round(reference_tokens, 9) AS reference_tokens, round(fixed_tokens, 9) AS fixed_tokens, round(cascade_tokens, 9) AS cascade_tokens,
+  round(fixed_tokens / reference_tokens, 9) AS fixed_ratio, round(cascade_tokens / reference_tokens, 9) AS cascade_ratio, coalesce(cascade_tokens / reference_tokens <= 0.6, false) AS meets FROM checked"""
+
+
+@query(CHECKED_SQL, "attempts")
 def target_check(spark, sf_dir):
     return rounded(checked_targets(spark, sf_dir))
 
 
+@query(CHECKED_SQL, "attempts")
+def report_targets(spark, sf_dir):
+    """The target check of a whole report that has the hindsight oracle among its policies: the fixed policies' tokens are those of the report without it."""
+    made = report.report(fixtures.attempts(spark, sf_dir), POLICIES, STAGES, [logprob_score()], [i / 20.0 - 1 for i in range(21)], "B3", n_boot=0)
+    return rounded(made.target)
+
+
 @query(TARGET_SQL + """, chosen AS (SELECT s.benchmark, s.threshold, s.gen_tokens AS budget, row_number() OVER (PARTITION BY s.benchmark ORDER BY s.gen_tokens, s.threshold) AS place FROM sweep s JOIN base b ON b.benchmark = s.benchmark AND s.accuracy >= b.target),
 best AS (SELECT c.benchmark, c.threshold, p.policy AS fixed, row_number() OVER (PARTITION BY c.benchmark ORDER BY p.accuracy DESC, p.gen_tokens, p.policy DESC) AS rank FROM chosen c JOIN points p ON p.benchmark = c.benchmark AND p.gen_tokens <= c.budget WHERE c.place = 1),
 casc AS (SELECT r.benchmark, r.task_id, b.threshold, b.fixed, avg(ok) AS acc_a, avg(tok) AS tok_a FROM run r JOIN best b ON b.benchmark = r.benchmark AND b.threshold = CAST(r.t AS DOUBLE) AND b.rank = 1 GROUP BY ALL),

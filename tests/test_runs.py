@@ -280,6 +280,54 @@ def test_report(spark, tmp_path):
         assert made.differences.first()["mean"] == pytest.approx(chosen["accuracy"] - fixed["accuracy"])
 
 
+def test_report_keeps_the_oracle_out_of_fixed_policies(spark):
+    """A cheap policy that is right on half of the tasks, a dear one on the other half: only hindsight reaches the reference cheaply."""
+    rows = [("b", str(i), p, 0, i % 2 == k, None, tokens, 0.5) for i in range(20) for k, (p, tokens) in enumerate((("A", 10), ("B", 40)))] + [("b", str(i), "C", 0, True, None, 500, 0.1) for i in range(20)]
+    df = spark.createDataFrame(rows, "benchmark string, task_id string, policy string, seed int, correct boolean, error string, generated_tokens long, score double")
+    scores = [routing.signal_score(F.col("score"))]
+    without, with_oracle = (report.report(df, of, ["A", "C"], scores, None, "C", n_boot=50) for of in ((), ["A", "B", "C"]))
+    assert with_oracle.policies.where("hindsight").select("policy", "accuracy", "gen_tokens").first() == ("oracle", 1.0, 25.0)
+    for made in (without, with_oracle):
+        found = made.target.first()
+        assert found["fixed_tokens"] == pytest.approx(10 + 490 * 0.98) and found["fixed_ratio"] == pytest.approx((10 + 490 * 0.98) / 500)
+        assert made.sweep.count() == 21 and {round(r["threshold"], 9) for r in made.sweep.collect()} == {i / 20 for i in range(21)}
+    assert [r["mean"] for r in without.differences.collect()] == [r["mean"] for r in with_oracle.differences.collect()]
+    assert "known in hindsight" in with_oracle.markdown() and without.markdown().find("hindsight") < 0
+    assert "a share of 0.5 of all tasks" in report.report(df, split=0.5, n_boot=0).markdown()
+    named = spark.createDataFrame([("b", "B5-x", 1.0, 1.0, False), ("b", "oracle", 2.0, 1.0, True), ("b", "A", 3.0, 1.0, False)], "benchmark string, policy string, gen_tokens double, accuracy double, hindsight boolean")
+    assert [r["policy"] for r in report.fixed_points(named).collect()] == ["A"]
+
+
+def test_sweep_and_curve_equal_replays(spark):
+    rng = random.Random(8)
+    some = lambda: rng.choice([None, float("nan"), 0.1, 0.4, 0.4, 0.7, -1.0])
+    rows = [(b, str(t), p, s, rng.choice([True, False, None]), rng.choice([None, None, "E"]), rng.choice([None, 5, 9]), some()) for b in "xy" for t in range(12) for s in range(1 + t % 3) for p in "ABCD" if (t, p) != (3, "D")]
+    df = spark.createDataFrame(rows, "benchmark string, task_id string, policy string, seed int, correct boolean, error string, generated_tokens long, score double")
+    stages, scores = list("ABCD"), [routing.signal_score(F.col("score"))]
+
+    def replays(t):
+        """The point of each benchmark at a threshold, from a replay."""
+        out = replay.replayed(df, stages, scores, [t] * 3).groupBy("benchmark", "task_id").agg(F.count("*").alias("n"), F.count_if("correct").alias("ok"), F.sum("generated_tokens").alias("tok"), F.count_if(F.col("stopped_at") != "A").alias("esc"))
+        out = out.groupBy("benchmark").agg(F.avg(F.col("ok") / F.col("n")).alias("acc"), (F.sum("tok") / F.sum("n")).alias("tok"), (F.sum("esc") / F.sum("n")).alias("esc"))
+        return {r["benchmark"]: pytest.approx((r["acc"], r["tok"], r["esc"])) for r in out.collect()}
+
+    point = lambda r: (r["accuracy"], r["gen_tokens"], r["escalation_rate"])
+    grid = [0.4, -2.0, 0.05, 0.1, 0.41, 0.9, 0.4]
+    got = replay.swept(df, stages, scores, grid).collect()
+    assert len(got) == 2 * 6
+    for per_range in (1, 1_000_000):
+        got += replay.curve(df, stages, scores, per_range=per_range).collect()
+    assert {r["threshold"] for r in got} == {*grid, 0.7, -1.0}
+    want = {t: replays(t) for t in {r["threshold"] for r in got}}
+    for r in got:
+        assert point(r) == want[r["threshold"]][r["benchmark"]], r
+    assert replay.swept(df.where("false"), stages, scores, grid).count() == 0 and replay.curve(df.where("false"), stages, scores).count() == 0
+    alone = replay.swept(df, ["A"], scores, [0.1]).collect()  # one stage stops always
+    assert {r["escalation_rate"] for r in alone} == {0.0}
+    plan = replay.swept(df, stages, scores, [i / 1000 for i in range(1000)])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") <= 3
+
+
 def test_quantiles_and_ranges(spark):
     rng = random.Random(3)
     values = [round(rng.gauss(0, 1), 1) for _ in range(500)]
