@@ -22,15 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, deleted, shared_folder, text_or_empty
 
 #: Classes, the end's own (0) among them; words that take part in the exchange; words that are numbered; rounds.
-CLASSES, TOP, DICTIONARY, ROUNDS = 64, 16_384, 262_144, 6
+CLASSES, TOP, DICTIONARY, ROUNDS = 64, 16_384, 262_144, 5
 #: Words of a block; different words, or tokens, that a task takes together before it hands them on.
-BLOCK, HELD, TOKENS = 256, 1_000_000, 2_000_000
+BLOCK, HELD, TOKENS = 256, 400_000, 2_000_000
+#: Tokens that are computed at once.
+SLICE = 1 << 20
 #: Parts in which the sums of a block are taken before they meet.
 PARTS = 64
 
@@ -119,6 +122,15 @@ def numbered(docs: DataFrame, words) -> DataFrame:
     return rows.mapInArrow(encoded, f"key binary, doc_id {kind}, held_out boolean, ids binary, rare array<string>")
 
 
+def slices(batch: pa.RecordBatch, column: str = "ids", width: int = 4) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some ``SLICE`` tokens, so that what is computed for each of them stays small."""
+    sizes = pc.binary_length(batch[column]).to_numpy(zero_copy_only=False) // width
+    part = (np.cumsum(sizes) - sizes) // SLICE
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def flat_ids(column: pa.Array, kind: str = "<u4") -> np.ndarray:
     """The numbers of all texts of a batch, one after the other."""
     return np.frombuffer(b"".join(column.to_pylist()), kind)
@@ -134,10 +146,8 @@ def statistics(texts: DataFrame, classes, top: int, k: int) -> DataFrame:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = classes.value
         sums, bigrams = np.zeros((2, blocks * BLOCK * k), np.int64), np.zeros(k * k, np.int64)
-        for batch in batches:
-            ids = flat_ids(batch["ids"])
-            if not len(ids):
-                continue
+        for part in (x for batch in batches for x in slices(batch)):
+            ids = flat_ids(part["ids"])
             here, cls = ids.astype(np.int64), of[ids].astype(np.int64)
             before, cls_before = np.concatenate(([0], here[:-1])), np.concatenate(([of[0]], cls[:-1])).astype(np.int64)
             both = (cls >= 0) & (cls_before >= 0)
@@ -236,7 +246,10 @@ def exchanged(texts: DataFrame, n_words: int, top: int = TOP, k: int = CLASSES,
 
 
 def placed(texts: DataFrame, words, of: np.ndarray, bigrams: np.ndarray, top: int = TOP) -> DataFrame:
-    """``word, class, n`` of all words beyond the first ``top``: of each the classes around its occurrences are counted, and give its class."""
+    """``word, class, n`` of all words beyond the first ``top``: of each the classes around its occurrences are counted, and give its class.
+
+    A class around a word is a code of two bytes, and so is each of its occurrences; a word's codes in a part of the texts are one row.
+    """
     k = len(bigrams)
     wide = 2 * k + 1
     top = min(top, len(of) - 2)
@@ -250,20 +263,20 @@ def placed(texts: DataFrame, words, of: np.ndarray, bigrams: np.ndarray, top: in
         ids[ids == first] = first + coded.indices.to_numpy(zero_copy_only=False)
         at = np.flatnonzero(ids > top)
         left, right = np.where(at > 0, cls[at - 1], of[0]), cls[at + 1]  # a text's end comes last
-        codes = np.concatenate((ids[at] * wide + 2 * k, (ids[at] * wide + left)[left >= 0], (ids[at] * wide + k + right)[right >= 0]))
-        values, counts = np.unique(codes, return_counts=True)
-        numbers, starts = np.unique(values // wide, return_index=True)
+        codes = np.sort(np.concatenate((ids[at] * wide + 2 * k, (ids[at] * wide + left)[left >= 0], (ids[at] * wide + k + right)[right >= 0])))
+        numbers, starts = np.unique(codes // wide, return_index=True)
         names = [words.value[i - 1] if i < first else None for i in numbers.tolist()]
         others = coded.dictionary.take(pa.array(numbers[numbers >= first] - first)).to_pylist()
         names[len(names) - len(others) :] = others
-        offsets = pa.array(np.append(starts, len(values)), pa.int32())
-        return pa.RecordBatch.from_pydict({"word": pa.array(names, pa.string()), "codes": pa.ListArray.from_arrays(offsets, pa.array(values % wide, pa.int16())), "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))})
+        offsets = pa.array(2 * np.append(starts, len(codes)), pa.int32())
+        raw = pa.Array.from_buffers(pa.binary(), len(names), [None, offsets.buffers()[1], pa.py_buffer((codes % wide).astype("<u2").tobytes())])
+        return pa.RecordBatch.from_pydict({"word": pa.array(names, pa.string()), "codes": raw})
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rare, size = [], [], 0
-        for batch in batches:
-            tokens.append(flat_ids(batch["ids"]))
-            rare.append(batch["rare"].flatten().cast(pa.string()))
+        for part in (x for batch in batches for x in slices(batch)):
+            tokens.append(flat_ids(part["ids"]))
+            rare.append(part["rare"].flatten().cast(pa.string()))
             size += len(tokens[-1])
             if size >= TOKENS:
                 yield gathered(tokens, rare)
@@ -283,9 +296,8 @@ def placed(texts: DataFrame, words, of: np.ndarray, bigrams: np.ndarray, top: in
                 continue
             coded = batch["word"].dictionary_encode()
             names, run = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-            row = np.repeat(run, batch["codes"].value_lengths().to_numpy(zero_copy_only=False))
-            codes, counts = batch["codes"].flatten().to_numpy(zero_copy_only=False), batch["counts"].flatten().to_numpy(zero_copy_only=False)
-            sums = np.bincount(row.astype(np.int64) * wide + codes, weights=counts, minlength=len(names) * wide).reshape(-1, wide)
+            row = np.repeat(run.astype(np.int64), pc.binary_length(batch["codes"]).to_numpy(zero_copy_only=False) // 2)
+            sums = np.bincount(row * wide + flat_ids(batch["codes"], "<u2"), minlength=len(names) * wide).reshape(-1, wide).astype(np.float64)
             if last == names[0]:
                 sums[0] += carried
             elif last is not None:
@@ -296,40 +308,41 @@ def placed(texts: DataFrame, words, of: np.ndarray, bigrams: np.ndarray, top: in
         if last is not None:
             yield chosen([last], carried[None])
 
-    rows = texts.select("ids", "rare").mapInArrow(contexts, "word string, codes array<smallint>, counts array<bigint>")
+    rows = texts.select("ids", "rare").mapInArrow(contexts, "word string, codes binary")
     return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word string, class int, n bigint")
 
 
 def classed(texts: DataFrame, info: DataFrame, tokens) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, base_score, words_score, classes``: what a text's single tokens add to its scores, and their classes, a byte each (the last one for unknown words).
 
-    ``tokens``: a broadcast of arrays over numbers: class, and what a token adds to either score; ``info``: the same of rare words, by ``word``. Rare words of a text come to it by its key.
+    ``tokens``: a broadcast of arrays over numbers (class, what a token adds to either score), the same of unknown words, and the function that gives it for rare ones; ``info``: class and count of rare words.
+    A text's rare words come to it by its key.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, base, score, unknown, unknown_base = tokens.value
+        cls, base, score, unknown, unknown_base, of_rare = tokens.value
         rare = len(cls)
         cls, base, score = np.append(cls, unknown).astype(np.uint8), np.append(base, unknown_base), np.append(score, 0.0)
-        for batch in batches:
-            ids = flat_ids(batch["ids"])
-            sizes = np.array([len(x) // 4 for x in batch["ids"].to_pylist()], np.int64)
+        for part in (x for batch in batches for x in slices(batch)):
+            ids = flat_ids(part["ids"])
+            sizes = pc.binary_length(part["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // 4
             starts = np.cumsum(sizes) - sizes
             classes, bases, scores = cls[ids], base[ids], score[ids]
             # What is known of rare words goes to their places: a text's are numbered in their order.
             at = np.flatnonzero(ids == rare)
-            own = np.repeat(np.arange(len(sizes)), batch["found"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            found = {c: x.to_numpy(zero_copy_only=False) for c, x in zip(("pos", "class", "base", "score"), batch["found"].flatten().flatten(), strict=True)}
-            place = at[np.searchsorted(at, starts)[own] + found["pos"]] if len(own) else np.zeros(0, np.int64)
-            classes[place], bases[place], scores[place] = found["class"], found["base"], found["score"]
-            total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)  # noqa: E731, a text has one token at least
-            raw = [classes[i : i + n].tobytes() for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-            known = total((classes != unknown).astype(np.int64))
-            sums = {"n_tokens": pa.array(sizes), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(total(bases), pa.float64()), "words_score": pa.array(total(scores), pa.float64())}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": batch["held_out"], **sums, "classes": pa.array(raw, pa.binary())})
+            own = np.repeat(np.arange(len(sizes)), part["found"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            pos, found, n = (x.to_numpy(zero_copy_only=False) for x in part["found"].flatten().flatten())
+            place = at[np.searchsorted(at, starts)[own] + pos]
+            classes[place] = found
+            bases[place], scores[place] = of_rare(found, n)
+            raw = [classes[i : i + m].tobytes() for i, m in zip(starts.tolist(), sizes.tolist(), strict=True)]
+            known, bases, scores = (np.add.reduceat(x, starts) for x in ((classes != unknown).astype(np.int64), bases, scores))  # a text has one token at least
+            sums = {"n_tokens": pa.array(sizes), "n_known": pa.array(known), "base_score": pa.array(bases), "words_score": pa.array(scores)}
+            yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "held_out": part["held_out"], **sums, "classes": pa.array(raw, pa.binary())})
 
     # Texts with rare words, once a key: rows that repeat share them.
     wanted = texts.where(F.size("rare") > 0).groupBy("key").agg(F.first("rare").alias("rare")).select("key", F.posexplode("rare").alias("pos", "word"))
-    found = wanted.join(info, "word").groupBy("key").agg(F.collect_list(F.struct("pos", "class", "base", "score")).alias("found"))
+    found = wanted.join(info, "word").groupBy("key").agg(F.collect_list(F.struct("pos", "class", "n")).alias("found"))
     rows = texts.select("key", "doc_id", "held_out", "ids").join(found, "key", "left").drop("key")
     kind = dict(texts.dtypes)["doc_id"]
     return rows.mapInArrow(summed, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, words_score double, classes binary")
@@ -347,11 +360,10 @@ def trigrams(texts: DataFrame, k: int) -> np.ndarray:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(k**3, np.int64)
-        for batch in batches:
-            own = flat_ids(batch["classes"], np.uint8).astype(np.int64)
-            if len(own):
-                second, first = contexts_of(own)
-                sums += np.bincount((second * k + first) * k + own, minlength=k**3)
+        for part in (x for batch in batches for x in slices(batch, "classes", 1)):
+            own = flat_ids(part["classes"], np.uint8).astype(np.int64)
+            second, first = contexts_of(own)
+            sums += np.bincount((second * k + first) * k + own, minlength=k**3)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"code": pa.array(at, pa.int32()), "n": pa.array(sums[at], pa.int64())})
 
@@ -389,6 +401,18 @@ def transitions(counts: np.ndarray, unknown: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(every, 1e-300))
 
 
+@dataclass
+class RareWords:
+    """What a rare word adds to either score, by its class and count: the base's logarithm, and that of its discounted share of its class."""
+
+    total: float
+    discount: float
+    sizes: np.ndarray
+
+    def __call__(self, classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.log10(n + 0.1) - self.total, np.log10((n - self.discount) / self.sizes[classes])
+
+
 @dataclass
 class Fit:
     """Texts as numbers, and the words of the training texts: ``known``, the dictionary with counts, ``of``, the classes of its first words, and ``others``, a frame of all beyond them."""
@@ -449,22 +473,21 @@ def scored(docs: DataFrame, k: int = CLASSES, top: int = TOP, dictionary: int =
     n = np.array([fit.ends, *(n for _, n in known)], np.float64)
     score = np.concatenate(([0.0], np.log10((n[1:] - d) / np.maximum(sizes[0], 1)[of[1:]])))
     of[0] = 0 if fit.ends else k
-    tokens = spark.sparkContext.broadcast((of, np.log10(n + 0.1) - total, score, k, np.log10(0.1) - total))
-    by_size = F.element_at(F.lit([float(x) for x in np.maximum(sizes[0], 1)]), F.col("class") + 1)
-    info = others.where(F.col("n") < least).select("word", "class", (F.log10(F.col("n") + 0.1) - float(total)).alias("base"), F.log10((F.col("n") - d) / by_size).alias("score"))
+    every = np.maximum(sizes[0], 1)
+    tokens = spark.sparkContext.broadcast((of, np.log10(n + 0.1) - total, score, k, np.log10(0.1) - total, RareWords(total, d, every)))
+    info = others.where(F.col("n") < least).select("word", "class", "n")
     parts = stored(classed(fit.ids, info, tokens), f"{folder}/classes")
 
     table = spark.sparkContext.broadcast(transitions(trigrams(parts.where(~F.col("held_out")), k), share))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            classes = flat_ids(batch["classes"], np.uint8).astype(np.int64)
-            sizes = batch["n_tokens"].to_numpy()
-            if len(sizes):
-                second, first = contexts_of(classes)
-                own = np.add.reduceat(table.value[second, first, classes], np.cumsum(sizes) - sizes)
-                scores = pa.array(own + batch["words_score"].to_numpy(), pa.float64())
-                yield pa.RecordBatch.from_pydict({**{c: batch[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}, "score": scores})
+        for part in (x for batch in batches for x in slices(batch, "classes", 1)):
+            classes = flat_ids(part["classes"], np.uint8).astype(np.int64)
+            sizes = part["n_tokens"].to_numpy()
+            second, first = contexts_of(classes)
+            own = np.add.reduceat(table.value[second, first, classes], np.cumsum(sizes) - sizes)
+            scores = pa.array(own + part["words_score"].to_numpy(), pa.float64())
+            yield pa.RecordBatch.from_pydict({**{c: part[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}, "score": scores})
 
     kind = dict(docs.dtypes)["doc_id"]
     out = parts.mapInArrow(summed, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
