@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallylake.operators.ranges import PER_RANGE, cuts, with_before
+from tallylake.operators.ranges import PER_RANGE, cuts, with_before, with_neighbours
 
 
 def pareto_frontier(points: DataFrame, x: str = "gen_tokens", y: str = "accuracy", point_id: str = "policy", groups: Sequence[str] = ("benchmark",), many: bool = False, per_range: int = PER_RANGE) -> DataFrame:
@@ -25,36 +25,32 @@ def pareto_frontier(points: DataFrame, x: str = "gen_tokens", y: str = "accuracy
     return compared.where(F.col("_top").isNull() | (F.col(y) > F.col("_top"))).select(*points.columns)
 
 
-def segments(frontier: DataFrame, x: str = "gen_tokens", y: str = "accuracy", groups: Sequence[str] = ("benchmark",)) -> DataFrame:
-    """Each frontier point with the next one: ``x0, y0, x1, y1``, the last with nulls."""
-    w = W.partitionBy(*groups).orderBy(x)
-    return frontier.select(*groups, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"))
+def neighbours(frontier: DataFrame, asked: DataFrame, value: str, along: str, x: str, y: str, groups: Sequence[str], many: bool, per_range: int) -> DataFrame:
+    """``asked`` with the frontier's points ``last`` and ``next`` to each ``value``, along one of its columns. ``many``: groups of any number of rows, whose order is cut into ranges."""
+    points = frontier.select(*groups, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    at = cuts(asked.select(F.col(value).cast("double").alias("v")).unionByName(points.select(F.col(along).alias("v"))), "v", per_range) if many else []
+    return with_neighbours(asked, points, groups, value, along, along == "x", at)
 
 
-def accuracy_at_budget(frontier: DataFrame, budgets: DataFrame, x: str = "gen_tokens", y: str = "accuracy", groups: Sequence[str] = ("benchmark",)) -> DataFrame:
+def accuracy_at_budget(frontier: DataFrame, budgets: DataFrame, x: str = "gen_tokens", y: str = "accuracy", groups: Sequence[str] = ("benchmark",), many: bool = False, per_range: int = PER_RANGE) -> DataFrame:
     """``budgets`` (groups and ``budget``) with ``value``: linear between neighbours, the last y beyond the frontier, null before it.
 
-    The frontier's segments meet the budgets of their group; each budget lies in one segment at most.
+    Budgets and points are merged in one order, in which each budget meets the points beside it; the work grows with their number, not with their product.
     """
-    s = segments(frontier, x, y, groups)
-    inside = (F.col("budget") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("budget") < F.col("x1")))
-    slope = (F.col("budget") - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    value = F.when(F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + slope * (F.col("y1") - F.col("y0")))
-    asked = budgets.select(*groups, "budget").distinct()
-    found = asked.join(s, [*groups]).where(inside).select(*groups, "budget", value.alias("value"))
-    return budgets.join(found, [*groups, "budget"], "left")
-
-
-def compute_to_target(frontier: DataFrame, targets: DataFrame, x: str = "gen_tokens", y: str = "accuracy", groups: Sequence[str] = ("benchmark",)) -> DataFrame:
-    """``targets`` (groups and ``target``) with ``tokens``: the least x that reaches y, interpolated; null beyond the frontier."""
-    w = W.partitionBy(*groups).orderBy(x)
-    s = frontier.select(*groups, F.col(x).alias("x1"), F.col(y).alias("y1"), F.lag(x).over(w).alias("x0"), F.lag(y).over(w).alias("y0"))
-    hit = (F.col("y1") >= F.col("target")) & (F.col("y0").isNull() | (F.col("y0") < F.col("target")))
-    step = (F.col("target") - F.col("y0")) / (F.col("y1") - F.col("y0"))
-    tokens = F.when(F.col("y0").isNull(), F.col("x1")).otherwise(F.col("x0") + step * (F.col("x1") - F.col("x0")))
-    asked = targets.select(*groups, "target").distinct()
-    found = asked.join(s, [*groups]).where(hit).select(*groups, "target", tokens.alias("tokens"))
-    return targets.join(found, [*groups, "target"], "left")
+    found = neighbours(frontier, budgets, "budget", "x", x, y, groups, many, per_range)
+    low, high = F.col("last"), F.col("next")
+    part = (F.col("budget") - low["x"]) / (high["x"] - low["x"])
+    value = F.when(F.col("budget").isNull(), F.lit(None)).when(high.isNull(), low["y"]).otherwise(low["y"] + part * (high["y"] - low["y"]))
+    return found.select(*budgets.columns, value.alias("value"))
+
+
+def compute_to_target(frontier: DataFrame, targets: DataFrame, x: str = "gen_tokens", y: str = "accuracy", groups: Sequence[str] = ("benchmark",), many: bool = False, per_range: int = PER_RANGE) -> DataFrame:
+    """``targets`` (groups and ``target``) with ``tokens``: the least x that reaches y, interpolated; null beyond the frontier. Targets and points are merged in the order of y, in which a frontier's x grows too."""
+    found = neighbours(frontier, targets, "target", "y", x, y, groups, many, per_range)
+    low, high = F.col("last"), F.col("next")
+    part = (F.col("target") - low["y"]) / (high["y"] - low["y"])
+    tokens = F.when(F.col("target").isNull(), F.lit(None)).when(low.isNull(), high["x"]).otherwise(low["x"] + part * (high["x"] - low["x"]))
+    return found.select(*targets.columns, tokens.alias("tokens"))
 
 
 def marginal_efficiency(rows: DataFrame, reference: str, x: str = "gen_tokens", y: str = "accuracy") -> DataFrame:

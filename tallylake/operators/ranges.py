@@ -71,3 +71,28 @@ def with_sums_before(rows: DataFrame, groups: Sequence[str], x: str, values: Seq
     offsets = ranges.select(*groups, "_range", *(zero(F.sum(v).over(earlier)).alias(f"_{v}") for v in values))
     joined = local.join(offsets, [*groups, "_range"])
     return joined.select(*(c for c in local.columns if c not in values and c != "_range"), *((F.col(v) + F.col(f"_{v}")).alias(v) for v in values))
+
+
+def with_neighbours(asked: DataFrame, points: DataFrame, groups: Sequence[str], x: str, point_x: str, reached: bool, at: Sequence[float]) -> DataFrame:
+    """``asked`` with ``last`` and ``next``: of the points of a row's group, in one order with it, the one before it and the one behind it (structs of their columns, null for none).
+
+    A point at the row's own ``x`` is before it if ``reached``, else behind it. Both orders are cut into ranges; what a range has no point for comes from those before or behind it. No row is joined with points.
+    """
+    rest = [c for c in points.columns if c not in groups]
+    row = F.struct(*(c for c in asked.columns if c not in groups))
+    point = F.struct(*rest)
+    both = asked.select(*groups, F.col(x).cast("double").alias("_x"), F.lit(int(reached)).alias("_kind"), row.alias("_row"), F.lit(None).cast(points.select(point).schema[0].dataType).alias("_point"))
+    own = points.select(*groups, F.col(point_x).cast("double").alias("_x"), F.lit(int(not reached)).alias("_kind"), F.lit(None).cast(asked.select(row).schema[0].dataType).alias("_row"), point.alias("_point"))
+    dealt = both.unionByName(own).withColumn("_range", F.coalesce(range_of(F.col("_x"), at), F.lit(0)))
+    order = [F.col("_x"), F.col("_kind")]
+    back = [F.desc("_x"), F.desc("_kind")]
+    met = lambda w: F.last("_point", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    inside = W.partitionBy(*groups, "_range")
+    local = dealt.withColumn("last", met(inside.orderBy(*order))).withColumn("next", met(inside.orderBy(*back)))
+    if len(at):
+        ends = dealt.where(F.col("_point").isNotNull()).groupBy(*groups, "_range").agg(F.max_by("_point", "_x").alias("_high"), F.min_by("_point", "_x").alias("_low"))
+        ranges = dealt.select(*groups, "_range").distinct().join(ends, [*groups, "_range"], "left")
+        far = lambda c, *o: F.last(c, ignorenulls=True).over(W.partitionBy(*groups).orderBy(*o).rowsBetween(W.unboundedPreceding, -1))
+        offsets = ranges.select(*groups, "_range", far("_high", "_range").alias("_before"), far("_low", F.desc("_range")).alias("_behind"))
+        local = local.where(F.col("_row").isNotNull()).join(offsets, [*groups, "_range"]).withColumns({"last": F.coalesce("last", "_before"), "next": F.coalesce("next", "_behind")})
+    return local.where(F.col("_row").isNotNull()).select(*groups, "_row.*", "last", "next")

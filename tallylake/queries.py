@@ -15,8 +15,8 @@ from tallylake.plans import fixtures, report
 from tallylake.plans.fixtures import POLICIES, table, with_views
 from tallylake.schemas import log_fields
 from tallylake.sources import runlog, tasks
-from tallylake.sources.runlog import shared_folder
-from tallylake.streaming import log
+from tallylake.sources.runlog import result_without, shared_folder
+from tallylake.streaming import log, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,7 +111,8 @@ def run_log_lines(spark, sf_dir):
     folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     lines.write.text(folder)
     records = runlog.read_run_log(spark, [folder], log_fields("benchmark", "task_id", "policy", "correct", "error", "meta", "cost"))
-    return records.select("benchmark", "task_id", "policy", "seed", "correct", "error", F.col("cost.generated_tokens").alias("gen_tokens"), F.col("meta")["level"].alias("level"))
+    out = records.select("benchmark", "task_id", "policy", "seed", "correct", "error", F.col("cost.generated_tokens").alias("gen_tokens"), F.col("meta")["level"].alias("level"))
+    return result_without(out, folder)
 
 
 @query("SELECT benchmark, policy, task_id, seed, correct, error, generated_tokens AS gen_tokens FROM attempts", "attempts")
@@ -119,7 +120,7 @@ def written_run_log(spark, sf_dir):
     """The latest records written as a compacted log, partitioned by benchmark and policy, and read back."""
     folder = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     runlog.write_run_log(runlog.compacted(fixtures.attempts(spark, sf_dir).select("benchmark", "policy", "task_id", "seed", "correct", "error", F.col("generated_tokens").alias("gen_tokens"))), folder)
-    return spark.read.parquet(folder).select("benchmark", "policy", "task_id", "seed", "correct", "error", "gen_tokens")
+    return result_without(spark.read.parquet(folder).select("benchmark", "policy", "task_id", "seed", "correct", "error", "gen_tokens"), folder)
 
 
 @query("SELECT benchmark, policy, task_id, round(avg(CAST(correct AND error IS NULL AS INT)), 9) AS value FROM attempts GROUP BY ALL", "attempts")
@@ -331,6 +332,34 @@ def compute_to_target(spark, sf_dir):
     return rounded(frontier.compute_to_target(frontier.pareto_frontier(points), targets))
 
 
+ATTEMPT_FRONT_SQL = """WITH points AS (SELECT benchmark, seq * 8 + seed AS id, CAST(generated_tokens AS DOUBLE) AS x, mean_logprob AS y FROM attempts WHERE generated_tokens IS NOT NULL AND mean_logprob IS NOT NULL),
+front AS (SELECT benchmark, x, max(y) AS y FROM (SELECT *, max(y) OVER (PARTITION BY benchmark ORDER BY x, y DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM points) p WHERE top IS NULL OR y > top GROUP BY benchmark, x),
+seg AS (SELECT benchmark, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM front WINDOW w AS (PARTITION BY benchmark ORDER BY x))"""
+
+
+def attempt_points(records: DataFrame) -> DataFrame:
+    points = records.select("benchmark", (F.col("seq") * 8 + F.col("seed")).alias("id"), F.col("generated_tokens").cast("double").alias("x"), F.col("mean_logprob").alias("y"))
+    return frontier.pareto_frontier(points, "x", "y", "id", many=True)
+
+
+@query(ATTEMPT_FRONT_SQL + """ SELECT a.benchmark, a.task_id, a.policy, a.seed, CAST(a.prompt_tokens AS DOUBLE) AS budget, round(CASE WHEN x1 IS NULL THEN y ELSE y + (a.prompt_tokens - x) / (x1 - x) * (y1 - y) END, 9) AS value
+FROM attempts a ASOF LEFT JOIN seg s ON s.benchmark = a.benchmark AND a.prompt_tokens >= s.x""", "attempts")
+def quality_at_every_budget(spark, sf_dir):
+    """The frontier over single attempts, read off at the prompt tokens of every attempt: as many budgets as records."""
+    records = fixtures.attempts(spark, sf_dir)
+    budgets = records.select("benchmark", "task_id", "policy", "seed", F.col("prompt_tokens").cast("double").alias("budget"))
+    return rounded(frontier.accuracy_at_budget(attempt_points(records), budgets, "x", "y", many=True))
+
+
+@query(ATTEMPT_FRONT_SQL + """ SELECT a.benchmark, a.task_id, a.policy, a.seed, a.mean_logprob AS target, round(CASE WHEN y0 IS NULL THEN x ELSE x0 + (a.mean_logprob - y0) / (y - y0) * (x - x0) END, 9) AS tokens
+FROM attempts a ASOF LEFT JOIN seg s ON s.benchmark = a.benchmark AND a.mean_logprob <= s.y""", "attempts")
+def tokens_to_every_target(spark, sf_dir):
+    """The tokens with which the frontier over single attempts reaches the log probability of every attempt."""
+    records = fixtures.attempts(spark, sf_dir)
+    targets = records.select("benchmark", "task_id", "policy", "seed", F.col("mean_logprob").alias("target"))
+    return frontier.compute_to_target(attempt_points(records), targets, "x", "y", many=True).withColumn("tokens", F.round("tokens", 9))
+
+
 @query(POINTS_SQL + """ SELECT p.benchmark, p.policy, round(p.gen_tokens, 9) AS gen_tokens, round(p.accuracy, 9) AS accuracy,
   round(CASE WHEN p.gen_tokens > r.gen_tokens THEN (p.accuracy - r.accuracy) / (p.gen_tokens - r.gen_tokens) END, 9) AS marginal_efficiency
 FROM points p LEFT JOIN points r ON r.benchmark = p.benchmark AND r.policy = 'B0'""", "attempts")
@@ -497,7 +526,7 @@ def saved_router_score(spark, sf_dir):
     """Scores of a router that was saved and loaded again."""
     path = f"{shared_folder(spark)}/router-{uuid.uuid4().hex}"
     FIXED_ROUTER.save(spark, path)
-    return rounded(fixtures.attempts(spark, sf_dir).where("policy = 'B1'").select("benchmark", "task_id", "seed", routing.Logistic.load(spark, path).score().alias("score")))
+    return result_without(rounded(fixtures.attempts(spark, sf_dir).where("policy = 'B1'").select("benchmark", "task_id", "seed", routing.Logistic.load(spark, path).score().alias("score"))), path)
 
 
 @query()
@@ -679,7 +708,7 @@ def written_tasks(spark, sf_dir):
     folder = f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("prompt"), F.concat(F.lit("assert f() == "), "p_size").alias("test"), F.col("p_partkey").alias("src_index"))
     tasks.write_tasks(part_tasks(spark, sf_dir).unionByName(tasks.code_tasks(rows)), folder)
-    return tasks.read_tasks(spark, folder).select("task_id", "kind", "question", "reference", F.col("code_reference.test").alias("test"))
+    return result_without(tasks.read_tasks(spark, folder).select("task_id", "kind", "question", "reference", F.col("code_reference.test").alias("test")), folder)
 
 
 @query("SELECT CASE WHEN p_partkey % 2 = 0 THEN concat('u', CAST(p_partkey AS VARCHAR)) ELSE concat('math500-', CAST(p_partkey AS VARCHAR)) END AS task_id, p_name AS question, p_brand AS reference, CAST(p_size AS VARCHAR) AS level, p_type AS subject FROM part")
@@ -802,4 +831,28 @@ def stream_latest(spark, sf_dir):
     folder = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
     kept = log.LatestTable(spark, f"{folder}/table", ["seq", *fixtures.TIES])
     kept.start(records, f"{folder}/progress").awaitTermination()
-    return kept.read().select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens")
+    return result_without(kept.read().select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens"), folder)
+
+
+def live_log(spark, sf_dir) -> state.LiveLog:
+    """The run log as a file stream, with its latest records in a state store of the shared folder."""
+    lines = table(spark, sf_dir, "lineitem")
+    stream = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
+    records = fixtures.on(spark, fixtures.RAW_SQL, lineitem=stream, part=table(spark, sf_dir, "part"))
+    live = state.LiveLog(spark, f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", ["seq", *fixtures.TIES])
+    live.start(records.select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens", *fixtures.TIES)).awaitTermination()
+    return live
+
+
+@query("SELECT benchmark, task_id, policy, seed, seq, correct, error, generated_tokens FROM attempts", "attempts")
+def live_latest(spark, sf_dir):
+    """The latest record per key, read from the state that a stream keeps."""
+    live = live_log(spark, sf_dir)
+    return result_without(live.latest().select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens"), live.folder)
+
+
+@query("SELECT benchmark, policy, count(*) AS finished, round(CAST(count(*) FILTER (correct) AS DOUBLE) / count(*), 9) AS accuracy, count(*) FILTER (error IS NOT NULL) AS errors FROM attempts GROUP BY ALL", "attempts")
+def live_progress(spark, sf_dir):
+    """Running counts over the latest records: what a retry replaces is taken back."""
+    live = live_log(spark, sf_dir)
+    return result_without(rounded(live.progress()), live.folder)

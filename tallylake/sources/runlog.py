@@ -22,6 +22,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="spark-shared-")
 
 
+def result_without(df: DataFrame, folder: str) -> DataFrame:
+    """``df``, kept by a checkpoint, after which the folder that it was read from is deleted."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    out = df.checkpoint()
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def parsed(lines: DataFrame, schema: str = LOG) -> DataFrame:
     """``lines`` (column ``value``) as records: blank and broken lines are dropped, ``seed`` becomes an int.
 

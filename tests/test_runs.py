@@ -12,7 +12,7 @@ from tallylake.functions import signals, splits, usage
 from tallylake.operators import bootstrap, calls, frontier, jobs, ranges, replay, routing, summary
 from tallylake.plans import report
 from tallylake.sources import runlog, tasks
-from tallylake.streaming import log
+from tallylake.streaming import log, state
 
 
 def line(task, policy="p", seed=0, **more):
@@ -376,3 +376,67 @@ def test_streams(spark, tmp_path):
     assert table.compact(f"{tmp_path}/merged").read().count() == 3
     log.running_progress(log.log_stream(spark, str(source), schema), "seen").awaitTermination()
     assert spark.table("seen").first()["finished"] == 4
+
+
+def test_live_log_keeps_the_latest_records_in_its_state(spark, tmp_path):
+    """Batches out of order, records met again, retries in the same file and in later ones, and a restart."""
+    rng = random.Random(12)
+    source = tmp_path / "log"
+    source.mkdir()
+    schema = "v int, benchmark string, task_id string, policy string, seed string, correct boolean, error string"
+    made = [{"v": v, "task": str(rng.randrange(6)), "policy": rng.choice("AB"), "seed": rng.randrange(2), "correct": rng.choice([True, False, None]), "error": rng.choice([None, "", "E"])} for v in rng.sample(range(1000), 90)]
+    lines = [line(**m) for m in made] + [line(**made[0]), line("9", v=None, policy="A"), line("9", v=3, policy="A", correct=True), json.dumps({"v": 1, "benchmark": "b"}), "broken"]
+    files = [lines[i::3] for i in range(3)]
+    live = state.LiveLog(spark, str(tmp_path / "live"), ["v"])
+
+    def right():
+        records = spark.read.text(str(source)).select("value")
+        last = runlog.latest(runlog.parsed(records, schema), ["v"]).collect()
+        as_rows = lambda rows: sorted((r["task_id"], r["policy"], r["seed"], r["v"], str(r["correct"]), str(r["error"])) for r in rows)
+        assert as_rows(live.latest().collect()) == as_rows(last)
+        want = {}
+        for r in last:
+            n = want.setdefault((r["benchmark"], r["policy"]), [0, 0, 0])
+            want[r["benchmark"], r["policy"]] = [n[0] + 1, n[1] + bool(r["correct"]), n[2] + bool(r["error"])]
+        got = {(r["benchmark"], r["policy"]): (r["finished"], r["accuracy"], r["errors"]) for r in live.progress().collect()}
+        assert got == {k: (n, pytest.approx(ok / n), bad) for k, (n, ok, bad) in want.items()}
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for i, some in enumerate(files):  # each file comes to a stream that was started again
+        write(source / f"{i}.jsonl", some)
+        live.start(log.log_stream(spark, str(source), schema)).awaitTermination()
+        right()
+    assert len(list((tmp_path / "live/sums").glob("batch=*"))) == 3
+    state.LiveLog(spark, str(tmp_path / "live"), ["v"]).start(log.log_stream(spark, str(source), schema)).awaitTermination()  # nothing new
+    right()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert state.rank([None, 1]) < state.rank([0, 0]) < state.rank([1e300, 0]) < state.rank([float("nan"), 0])
+
+
+def test_budgets_and_targets_are_merged_with_the_frontier(spark):
+    rng = random.Random(4)
+    raw = [("g", float(rng.randint(0, 60)), rng.random()) for _ in range(80)] + [("h", 3.0, 0.5)]
+    points = spark.createDataFrame([(g, str(i), x, y) for i, (g, x, y) in enumerate(raw)], "benchmark string, policy string, gen_tokens double, accuracy double")
+    front = frontier.pareto_frontier(points)
+    own = {g: sorted((r["gen_tokens"], r["accuracy"]) for r in front.collect() if r["benchmark"] == g) for g in "gh"}
+    asked = [(g, x, i) for i, (g, x) in enumerate([(g, rng.choice([rng.uniform(-1, 70), float(rng.randint(0, 60)), rng.random()])) for g in "ghn" for _ in range(60)] + [("g", None), ("g", own["g"][1][0]), ("g", own["g"][1][1]), ("g", own["g"][-1][1])])]
+
+    def value(ps, b):
+        low, high = [p for p in ps if p[0] <= b], [p for p in ps if p[0] > b]
+        return None if not low else low[-1][1] if not high else low[-1][1] + (b - low[-1][0]) / (high[0][0] - low[-1][0]) * (high[0][1] - low[-1][1])
+
+    def tokens(ps, t):
+        low, high = [p for p in ps if p[1] < t], [p for p in ps if p[1] >= t]
+        return None if not high else high[0][0] if not low else low[-1][0] + (t - low[-1][1]) / (high[0][1] - low[-1][1]) * (high[0][0] - low[-1][0])
+
+    for f, name, out, by_hand in ((frontier.accuracy_at_budget, "budget", "value", value), (frontier.compute_to_target, "target", "tokens", tokens)):
+        rows = spark.createDataFrame(asked, f"benchmark string, {name} double, id int")
+        for options in ({}, {"many": True, "per_range": 3}, {"many": True}):
+            got = f(front, rows, **options)
+            assert got.columns == ["benchmark", name, "id", out]
+            assert {r["id"]: r[out] for r in got.collect()} == {i: None if x is None or g not in own else pytest.approx(by_hand(own[g], x)) for g, x, i in asked}
+    nan = spark.createDataFrame([("h", float("nan"))], "benchmark string, budget double")
+    assert frontier.accuracy_at_budget(front, nan).first()["value"] == 0.5
+    # Points and budgets are never joined with each other: without ranges there is no join at all.
+    plan = frontier.accuracy_at_budget(points, spark.createDataFrame(asked, "benchmark string, budget double, id int"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
