@@ -119,56 +119,54 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 OP5_SQL = r"""
-WITH RECURSIVE plain AS (
-  SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(role, '') AS role,
-         row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(text, ''), coalesce(role, '')) AS rn
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-base AS (SELECT conv_id, turn, role, text FROM plain WHERE rn = 1),
+WITH RECURSIVE plain AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, count(*) AS n FROM conversations GROUP BY 1, 2, 3, 4),
+first AS (SELECT conv_id, turn, min(text) AS text FROM plain WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
 mail AS (
-  SELECT m.conv_id, m.turn, m.role,
-         CASE WHEN b.text IS NOT NULL THEN '> > ' || replace(b.text, chr(10), chr(10) || '> > ') || chr(10) ELSE '' END
-         || CASE WHEN a.text IS NOT NULL THEN '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) ELSE '' END || m.text AS text
-  FROM base m LEFT JOIN base a ON a.conv_id = m.conv_id AND a.turn + 1 = m.turn LEFT JOIN base b ON b.conv_id = m.conv_id AND b.turn + 2 = m.turn),
-line AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM mail),
+  SELECT row_number() OVER (ORDER BY turn, md5(role || ':' || text)) AS id, * FROM (
+    SELECT m.conv_id, m.turn, m.role, m.n,
+           CASE WHEN b.text IS NOT NULL THEN '> > ' || replace(b.text, chr(10), chr(10) || '> > ') || chr(10) ELSE '' END
+           || CASE WHEN a.text IS NOT NULL THEN '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) ELSE '' END || m.text AS text
+    FROM plain m LEFT JOIN first a ON a.conv_id = m.conv_id AND a.turn + 1 = m.turn LEFT JOIN first b ON b.conv_id = m.conv_id AND b.turn + 2 = m.turn) x),
+line AS (SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM mail),
 leveled AS (
-  SELECT conv_id, turn, line, line_no, length(regexp_replace(regexp_extract(line, '^[ \t]*(>[ \t]*)+'), '[^>]', '', 'g')) AS level,
+  SELECT id, line, line_no, length(regexp_replace(regexp_extract(line, '^[ \t]*(>[ \t]*)+'), '[^>]', '', 'g')) AS level,
          trim(regexp_replace(translate(regexp_replace(line, '^[ \t]*(>[ \t]*)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r]+', ' ', 'g'), ' ') AS bare FROM line),
-changed AS (SELECT *, CAST(level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS INT) AS new FROM leveled),
-run AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS place FROM changed),
-passage AS (SELECT conv_id, turn, place, level, string_agg(bare, ' ' ORDER BY line_no) AS passage FROM run WHERE bare <> '' GROUP BY ALL),
+changed AS (SELECT *, CAST(level IS DISTINCT FROM lag(level) OVER (PARTITION BY id ORDER BY line_no) AS INT) AS new FROM leveled),
+run AS (SELECT c.*, m.conv_id, m.turn, sum(new) OVER (PARTITION BY c.id ORDER BY line_no) AS place FROM changed c JOIN mail m ON m.id = c.id),
+passage AS (SELECT id, conv_id, turn, place, level, string_agg(bare, ' ' ORDER BY line_no) AS passage FROM run WHERE bare <> '' GROUP BY ALL),
 whole AS (
-  SELECT q.conv_id, q.turn, q.place, q.level, max(o.turn) AS origin
-  FROM passage q LEFT JOIN passage o ON o.conv_id = q.conv_id AND o.passage = q.passage AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
-own_line AS (SELECT DISTINCT conv_id, turn, bare FROM run WHERE level = 0 AND bare <> ''),
+  SELECT q.id, q.place, q.level, max(o.id) AS origin
+  FROM passage q LEFT JOIN passage o ON o.conv_id = q.conv_id AND o.passage = q.passage AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 AND q.conv_id IS NOT NULL AND q.turn IS NOT NULL GROUP BY ALL),
+own_line AS (SELECT DISTINCT id, conv_id, turn, bare FROM run WHERE level = 0 AND bare <> ''),
 by_line AS (
-  SELECT r.conv_id, r.turn, r.place, r.level, r.line_no, length(r.bare) AS size, max(o.turn) AS origin
-  FROM whole w JOIN run r ON r.conv_id = w.conv_id AND r.turn = w.turn AND r.place = w.place AND r.bare <> ''
+  SELECT r.id, r.place, r.level, r.line_no, length(r.bare) AS size, max(o.id) AS origin
+  FROM whole w JOIN run r ON r.id = w.id AND r.place = w.place AND r.bare <> ''
   JOIN own_line o ON o.conv_id = r.conv_id AND o.bare = r.bare AND o.turn < r.turn WHERE w.origin IS NULL GROUP BY ALL),
-part AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, place ORDER BY size DESC, origin DESC) AS rn FROM (SELECT conv_id, turn, place, level, origin, sum(size) AS size FROM by_line GROUP BY ALL) y),
-hit AS (SELECT conv_id, turn, level, origin FROM whole WHERE origin IS NOT NULL UNION ALL SELECT conv_id, turn, level, origin FROM part WHERE rn = 1),
+part AS (SELECT *, row_number() OVER (PARTITION BY id, place ORDER BY size DESC, origin DESC) AS rn FROM (SELECT id, place, level, origin, sum(size) AS size FROM by_line GROUP BY ALL) y),
+hit AS (SELECT id, level, origin FROM whole WHERE origin IS NOT NULL UNION ALL SELECT id, level, origin FROM part WHERE rn = 1),
 link AS (
-  SELECT conv_id, turn, max(CASE WHEN level = lowest THEN origin END) AS parent_turn, count(*) AS quoted
-  FROM (SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS lowest FROM hit) x GROUP BY 1, 2),
+  SELECT id, max(CASE WHEN level = lowest THEN origin END) AS parent, count(*) AS quoted
+  FROM (SELECT *, min(level) OVER (PARTITION BY id) AS lowest FROM hit) x GROUP BY 1),
 chain AS (
-  SELECT conv_id, turn, parent_turn AS top, 1 AS depth FROM link
+  SELECT id, parent AS top, 1 AS depth FROM link
   UNION ALL
-  SELECT c.conv_id, c.turn, l.parent_turn, c.depth + 1 FROM chain c JOIN link l ON l.conv_id = c.conv_id AND l.turn = c.top),
-thread AS (SELECT conv_id, turn, min(top) AS thread_turn, max(depth) AS depth FROM chain GROUP BY 1, 2),
-own AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY line_no) AS body FROM leveled WHERE level = 0 GROUP BY 1, 2)
-SELECT m.conv_id, coalesce(t.thread_turn, m.turn) AS thread_turn, m.turn, l.parent_turn, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth,
+  SELECT c.id, l.parent, c.depth + 1 FROM chain c JOIN link l ON l.id = c.top),
+thread AS (SELECT id, min(top) AS top, max(depth) AS depth FROM chain GROUP BY 1),
+own AS (SELECT id, string_agg(line, chr(10) ORDER BY line_no) AS body FROM leveled WHERE level = 0 GROUP BY 1)
+SELECT m.conv_id, coalesce(h.turn, m.turn) AS thread_turn, m.turn, p.turn AS parent_turn, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth,
        CAST(coalesce(l.quoted, 0) AS BIGINT) AS quoted, m.role,
        '<|' || m.role || '|>' || chr(10) || trim(coalesce(o.body, ''), chr(10)) || chr(10) || '<|end|>' AS formatted
-FROM mail m LEFT JOIN link l USING (conv_id, turn) LEFT JOIN thread t USING (conv_id, turn) LEFT JOIN own o USING (conv_id, turn)
+FROM mail m LEFT JOIN link l ON l.id = m.id LEFT JOIN mail p ON p.id = l.parent LEFT JOIN thread t ON t.id = m.id LEFT JOIN mail h ON h.id = t.top LEFT JOIN own o ON o.id = m.id, range(m.n) copies
 """
 
 OP7_SQL = """
 WITH whole AS MATERIALIZED (
   SELECT row_number() OVER () AS place, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 pair AS (
-  SELECT q.place, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.place, q.vec_id AS query_id, c.vec_id, TRY_CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM whole q JOIN whole c ON q.place <> c.place WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INT) AS rank FROM pair)
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST) AS INT) AS rank FROM pair WHERE score IS NOT NULL)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 

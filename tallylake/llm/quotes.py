@@ -12,8 +12,9 @@ writer of each. So a line that a million messages write and quote is spread over
 kept of it is its own text and hashes.
 
 Cases: a null or empty text has no lines to quote and formats to an empty turn; a quotation of nothing earlier in its conversation stays unlinked
-(and is still dropped from the text); a message without links starts its own thread; repeated rows of a (conv_id, turn) are one message, with the text that
-sorts first; rows without conv_id or turn are left out; an empty table gives an empty table; extra columns are dropped.
+(and is still dropped from the text); a message without links starts its own thread; every row has its own result: several texts of a (conv_id, turn) are a message each and all count as writers (where
+more of them wrote a passage, the one with the greatest digest is the origin), and equal rows have equal results; rows without conv_id or turn are neither linked nor origins; an empty table gives an
+empty table; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -76,61 +77,62 @@ def hashed(passage: Column) -> Column:
 
 
 def distinct_messages(messages: DataFrame) -> DataFrame:
-    known = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    best = F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))).alias("m")
-    return known.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", "m.role", "m.text")
+    """``conv_id, turn, role, text, n``: messages that differ, and how many rows each has."""
+    empty = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    return messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), *empty).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, body, quoted, own``: the own text without quotes, and the hashed passages of either kind."""
+    """``conv_id, turn, msg, n, role, body, quoted, own``: ``msg`` tells messages of a turn apart; the own text without quotes, and the hashed passages of either kind."""
     own = F.filter(F.split("text", "\n"), lambda x: level(x) == 0)
     body = F.regexp_replace(F.array_join(own, "\n"), "^\\n+|\\n+\\z", "")
-    row = messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", body.alias("body"), F.transform(passages(F.col("text")), hashed).alias("p"))
-    return row.select("conv_id", "turn", "role", "body", F.filter("p", lambda x: x["level"] > 0).alias("quoted"), F.filter("p", lambda x: x["level"] == 0).alias("own"))
+    msg = digest(F.concat("role", F.lit(":"), "text")).alias("msg")
+    row = messages.select("conv_id", "turn", msg, "n", "role", body.alias("body"), F.transform(passages(F.col("text")), hashed).alias("p"))
+    return row.select("conv_id", "turn", "msg", "n", "role", "body", F.filter("p", lambda x: x["level"] > 0).alias("quoted"), F.filter("p", lambda x: x["level"] == 0).alias("own"))
 
 
 def latest_before(asked: DataFrame, written: DataFrame) -> DataFrame:
-    """``asked`` (``conv_id, hash, turn``, distinct) with ``origin``: the latest earlier turn of the conversation in ``written`` (the same columns), else null."""
-    events = asked.select("conv_id", "hash", "turn", F.lit(True).alias("asked")).unionByName(written.select("conv_id", "hash", "turn", F.lit(False).alias("asked")))
+    """``asked`` (``conv_id, hash, turn``, distinct) with ``origin``: turn and ``msg`` of the latest earlier message of the conversation in ``written`` (the same columns and ``msg``), else null."""
+    events = asked.select("conv_id", "hash", "turn", F.lit(None).cast("struct<turn:bigint,msg:binary>").alias("writer")).unionByName(written.select("conv_id", "hash", "turn", F.struct("turn", "msg").alias("writer")))
     events = events.withColumn("block", F.shiftright("turn", BLOCK_BITS))
-    writer = F.when(~F.col("asked"), F.col("turn"))
     earlier = W.partitionBy("conv_id", "hash", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    inside = events.withColumn("inside", F.max(writer).over(earlier)).where("asked")
-    blocks = events.groupBy("conv_id", "hash", "block").agg(F.max(writer).alias("last"))
+    inside = events.withColumn("inside", F.max("writer").over(earlier)).where("writer IS NULL")
+    blocks = events.groupBy("conv_id", "hash", "block").agg(F.max("writer").alias("last"))
     before = W.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carried = blocks.select("conv_id", "hash", "block", F.max("last").over(before).alias("carried"))
     return inside.join(carried, ["conv_id", "hash", "block"]).select("conv_id", "hash", "turn", F.coalesce("inside", "carried").alias("origin"))
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, parent_turn, quoted`` of ``parsed`` messages: the message each one replies to, and how many of its passages are linked to any."""
+    """``conv_id, turn, msg, parent, quoted`` of ``parsed`` messages: turn and ``msg`` of the message each one replies to, and how many of its passages are linked to any."""
     each = lambda name: F.explode(F.array_distinct(F.transform(name, lambda p: p["hash"]))).alias("hash")
-    whole = latest_before(messages.select("conv_id", "turn", each("quoted")), messages.select("conv_id", "turn", each("own")))
-    quoted = messages.select("conv_id", "turn", F.posexplode("quoted").alias("place", "p")).select("conv_id", "turn", "place", "p.*")
-    found = checkpointed(quoted.join(whole, ["conv_id", "turn", "hash"]).select("conv_id", "turn", "place", "level", "origin", F.when(F.col("origin").isNull(), F.col("lines")).alias("lines")))
-    part = found.where("origin IS NULL").select("conv_id", "turn", "place", "level", F.explode("lines").alias("line")).select("conv_id", "turn", "place", "level", "line.*")
-    own_lines = messages.select("conv_id", "turn", F.explode(F.array_distinct(F.flatten(F.transform("own", lambda p: F.transform(p["lines"], lambda x: x["hash"]))))).alias("hash"))
+    own = ("conv_id", "turn", "msg")
+    whole = latest_before(messages.select("conv_id", "turn", each("quoted")).distinct(), messages.select(*own, each("own")))
+    quoted = messages.select(*own, F.posexplode("quoted").alias("place", "p")).select(*own, "place", "p.*")
+    found = checkpointed(quoted.join(whole, ["conv_id", "turn", "hash"]).select(*own, "place", "level", "origin", F.when(F.col("origin").isNull(), F.col("lines")).alias("lines")))
+    part = found.where("origin IS NULL").select(*own, "place", "level", F.explode("lines").alias("line")).select(*own, "place", "level", "line.*")
+    own_lines = messages.select(*own, F.explode(F.array_distinct(F.flatten(F.transform("own", lambda p: F.transform(p["lines"], lambda x: x["hash"]))))).alias("hash"))
     by_line = latest_before(part.select("conv_id", "hash", "turn").distinct(), own_lines).where("origin IS NOT NULL")
-    sizes = part.join(by_line, ["conv_id", "turn", "hash"]).groupBy("conv_id", "turn", "place", "level", "origin").agg(F.sum("size").alias("size"))
-    best = sizes.groupBy("conv_id", "turn", "place", "level").agg(F.max(F.struct("size", "origin"))["origin"].alias("origin"))
-    linked = found.where("origin IS NOT NULL").select("conv_id", "turn", "level", "origin").unionByName(best.select("conv_id", "turn", "level", "origin"))
-    parent = F.min(F.struct("level", (-F.col("origin")).alias("back")))["back"]
-    return linked.groupBy("conv_id", "turn").agg((-parent).alias("parent_turn"), F.count("*").alias("quoted"))
+    sizes = part.join(by_line, ["conv_id", "turn", "hash"]).groupBy(*own, "place", "level", "origin").agg(F.sum("size").alias("size"))
+    best = sizes.groupBy(*own, "place", "level").agg(F.max(F.struct("size", "origin"))["origin"].alias("origin"))
+    linked = found.where("origin IS NOT NULL").select(*own, "level", "origin").unionByName(best.select(*own, "level", "origin"))
+    parent = F.max(F.struct((-F.col("level")).alias("shallow"), "origin"))["origin"]
+    return linked.groupBy(*own).agg(parent.alias("parent"), F.count("*").alias("quoted"))
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """``conv_id, turn, thread_turn, depth``: the message at the end of each linked message's chain of replies.
+    """``conv_id, turn, msg, top, depth``: the message at the end of each linked message's chain of replies.
 
     Pointer doubling: as many rounds as the logarithm of the longest chain. Messages whose chain has ended take no part in later rounds. A message with very many replies
     is a hot key, which the join splits.
     """
-    active = checkpointed(links.select("conv_id", "turn", F.col("parent_turn").alias("thread_turn"), F.lit(1).cast("long").alias("depth")))
+    active = checkpointed(links.select("conv_id", "turn", "msg", F.col("parent").alias("top"), F.lit(1).cast("long").alias("depth")))
     settled = active.limit(0)
     while True:
-        up = settled.unionByName(active).select("conv_id", F.col("turn").alias("thread_turn"), F.col("thread_turn").alias("above"), F.col("depth").alias("more"))
-        met = active.select("conv_id", "thread_turn").distinct().join(up, ["conv_id", "thread_turn"], "left")
-        jumped = join_skewed(active, met, ["conv_id", "thread_turn"])
-        after = checkpointed(jumped.select("conv_id", "turn", F.coalesce("above", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")))
+        up = settled.unionByName(active).select("conv_id", F.struct("turn", "msg").alias("top"), F.col("top").alias("above"), F.col("depth").alias("more"))
+        met = active.select("conv_id", "top").distinct().join(up, ["conv_id", "top"], "left")
+        jumped = join_skewed(active, met, ["conv_id", "top"])
+        after = checkpointed(jumped.select("conv_id", "turn", "msg", F.coalesce("above", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")))
         settled = settled.unionByName(after.where("NOT moved").drop("moved"))
         active = after.where("moved").drop("moved")
         if active.isEmpty():
@@ -138,15 +140,19 @@ def threads(links: DataFrame) -> DataFrame:
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """One row per message: ``conv_id, thread_turn, turn, parent_turn, depth, quoted, role, formatted``.
+    """One row per message row: ``conv_id, thread_turn, turn, parent_turn, depth, quoted, role, formatted``.
 
     Sorted by (conv_id, thread_turn, turn) the rows are the conversations in reply order. ``formatted`` is the chat turn without quotes.
     """
     one = checkpointed(parsed(distinct_messages(messages)))
-    links = checkpointed(quote_links(one))
-    out = one.drop("quoted", "own").join(links, ["conv_id", "turn"], "left").join(threads(links), ["conv_id", "turn"], "left")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    links = checkpointed(quote_links(one.where(placed)))
+    key = ["conv_id", "turn", "msg"]
+    linked = one.where(placed).drop("quoted", "own").join(links, key, "left").join(threads(links), key, "left")
+    every = linked.unionByName(one.where(~placed).drop("quoted", "own"), allowMissingColumns=True)
     formatted = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "body", F.lit("\n<|end|>"))
-    return out.select("conv_id", F.coalesce("thread_turn", "turn").alias("thread_turn"), "turn", "parent_turn", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("quoted", F.lit(0)).alias("quoted"), "role", formatted.alias("formatted"))
+    out = every.select("n", "conv_id", F.coalesce("top.turn", "turn").alias("thread_turn"), "turn", F.col("parent.turn").alias("parent_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("quoted", F.lit(0)).alias("quoted"), "role", formatted.alias("formatted"))
+    return out.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("n", "_")
 
 
 def as_mail(conversations: DataFrame, levels: int = 2) -> DataFrame:
@@ -154,11 +160,14 @@ def as_mail(conversations: DataFrame, levels: int = 2) -> DataFrame:
 
     Chat tables hold no quotations of their own; this derives the form in which mailing lists and forums hold them.
     """
-    messages = distinct_messages(conversations)
+    empty = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), *empty)
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    firsts = checkpointed(rows.where(placed).groupBy("conv_id", "turn").agg(F.min("text").alias("earlier")))  # of several texts of a turn the one that sorts first is quoted
     marked = lambda text, n: F.concat(F.lit("> " * n), F.replace(text, F.lit("\n"), F.lit("\n" + "> " * n)))
-    out = messages.withColumn("quoted", F.lit(""))
+    out = rows.where(placed).withColumn("quoted", F.lit(""))
     for n in range(levels, 0, -1):
-        earlier = messages.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias("earlier"))
         above = F.when(F.col("earlier").isNotNull(), F.concat(marked(F.col("earlier"), n), F.lit("\n"))).otherwise("")
-        out = out.join(earlier, ["conv_id", "turn"], "left").withColumn("quoted", F.concat("quoted", above)).drop("earlier")
-    return out.select("conv_id", "turn", "role", F.concat("quoted", "text").alias("text"))
+        out = out.join(firsts.withColumn("turn", F.col("turn") + n), ["conv_id", "turn"], "left").withColumn("quoted", F.concat("quoted", above)).drop("earlier")
+    every = out.unionByName(rows.where(~placed).withColumn("quoted", F.lit("")))
+    return every.select("conv_id", "turn", "role", F.concat("quoted", "text").alias("text"))

@@ -8,8 +8,8 @@ around the query's largest coordinates is out; where it is low, length alone pru
 
 Cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as ending in zeros;
 ties go to the smaller id; every row is a candidate of every query but itself, and every query row gets its own results, so repeated ids are
-candidates each, of each other too, and a query row that occurs twice has its results twice; fewer candidates than k give all; an empty table gives an
-empty table; extra columns are dropped; a score that does not fit a long is an error.
+candidates each, of each other too, and a query row that occurs twice has its results twice; rows without an id are candidates too, after all others of the same score (inside, the largest long stands for
+no id); fewer candidates than k give all; a pair whose score does not fit a long is left out, and no other is; an empty table gives an empty table; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ RATIO, BLOCK, QUERIES, HEAD = 1.05, 8192, 2048, 2048
 #: Local cosine threshold from which coordinates prune, and the number of coordinates looked at.
 HIGH, FOCUS = 0.5, 4
 RUN = 1 << 14
+#: What stands for a score that does not fit a long, and for no id.
+BEYOND, NO_ID = -(1 << 63), (1 << 63) - 1
 NONE = -(1 << 30)  # bucket of zero vectors, and of queries that need every bucket
 
 
@@ -34,7 +36,7 @@ def whole_vectors(df: DataFrame, is_query: Column, vector: str, vec_id: str, sca
     """``vec_id, v, n, asked, norm``: components as floor(scale * x), the number of such rows and of queries among them; vectors with null or non-finite components are left out."""
     x = F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * F.lit(scale)).cast("double"))
     fine = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = df.where(F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("bigint").alias("vec_id"), x.alias("v"), is_query.alias("q"))
+    rows = df.where(F.col(vector).isNotNull() & fine).select(F.coalesce(F.col(vec_id).cast("bigint"), F.lit(NO_ID)).alias("vec_id"), x.alias("v"), (is_query & F.col(vec_id).isNotNull()).alias("q"))
     out = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n"), F.count_if("q").alias("asked"))
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
 
@@ -54,15 +56,15 @@ def matrix(lists: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.nd
 
 
 def products(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows of p with the rows of q."""
+    """Exact integer inner products of the rows of p with the rows of q; ``BEYOND`` for those that do not fit a long."""
     width = max(p.shape[1], q.shape[1])
     p, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (p, q))
     most = float(np.abs(p).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, width)
     if most < 2**53:
         return (p @ q.T).astype(np.int64)
-    exact = p.astype(object).dot(q.astype(object).T)
-    whole = np.vectorize(int, otypes=[object])(exact)
-    return whole.astype(np.int64)  # raises OverflowError beyond a long
+    whole = np.vectorize(int, otypes=[object])
+    exact = whole(p).dot(whole(q).T)
+    return np.where((exact > BEYOND) & (exact <= NO_ID), exact, BEYOND).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -97,7 +99,7 @@ def search_block(p: np.ndarray, ids: np.ndarray, norms: np.ndarray, n: np.ndarra
         if not math.isnan(bounds[i]):
             enough = scores >= bounds[i]
             among, scores = among[enough], scores[enough]
-        often = times(n[among], p[among], ids[among], q[i], q_ids[i], k)
+        often = np.where(scores == BEYOND, 0, times(n[among], p[among], ids[among], q[i], q_ids[i], k))
         among, scores, often = among[often > 0], scores[often > 0], often[often > 0]
         top = best(scores, ids[among], k)
         top = np.repeat(top, often[top])[:k]
@@ -171,7 +173,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding"
                 same = np.zeros(max(width, q.shape[1]))
                 same[: q.shape[1]] = q[at + j]
                 often = times(head_n, np.pad(head_rows, ((0, 0), (0, len(same) - width))) if len(same) > width else head_rows, head_ids, same, own, k)
-                got = np.repeat(scores[:, j], often)
+                got = np.repeat(scores[:, j], np.where(scores[:, j] == BEYOND, 0, often))
                 out.append(float(np.partition(got, len(got) - k)[len(got) - k]) if len(got) >= k else None)
         return pa.array(out, pa.float64())
 
@@ -209,4 +211,4 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding"
     # A query row that occurs many times has its results as often, in runs of a bounded length.
     runs = best_of.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("asked") - 1, F.lit(RUN))))
     each = runs.withColumn("_", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("asked") - F.col("run")).cast("int"))))
-    return each.select("query_id", "rank", "vec_id", "score")
+    return each.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

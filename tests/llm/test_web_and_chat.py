@@ -139,13 +139,15 @@ def test_quotes(spark):
         (2, 0, "user", "> first line\nx"), (2, 1, "bot", None), (2, 2, "bot", ""), (2, 2, "bot", "zz"), (None, 3, "bot", "x"), (2, None, "bot", "x"),
     ]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, level string")
-    out = {(r["conv_id"], r["turn"]): r for r in quotes.reply_ordered(df).collect()}
-    assert len(out) == 8
+    every = quotes.reply_ordered(df).collect()
+    out = {(r["conv_id"], r["turn"]): r for r in every}
+    assert len(every) == 11 and len(out) == 10  # each row has its own result
     got = {k: (r["thread_turn"], r["parent_turn"], r["depth"], r["quoted"]) for k, r in out.items()}
     assert got[1, 0] == (0, None, 0, 0) and got[1, 1] == (0, 0, 1, 1) and got[1, 2] == (0, 1, 2, 2) and got[1, 3] == (3, None, 0, 0)
     assert got[1, 4] == (0, 0, 1, 1) and got[2, 0] == (0, None, 0, 0)
     assert out[1, 2]["formatted"] == "<|user|>\nmore\n<|end|>" and out[1, 4]["formatted"] == "<|user|>\nend\n<|end|>" and out[2, 1]["formatted"] == "<|bot|>\n\n<|end|>"
-    assert out[2, 2]["formatted"] == "<|bot|>\n\n<|end|>"
+    assert sorted(r["formatted"] for r in every if (r["conv_id"], r["turn"]) == (2, 2)) == ["<|bot|>\n\n<|end|>", "<|bot|>\nzz\n<|end|>"]
+    assert [out[k]["formatted"] for k in ((None, 3), (2, None))] == ["<|bot|>\nx\n<|end|>"] * 2
 
 
 def plain_replies(rows):
@@ -198,6 +200,18 @@ def test_quotes_equal_brute_force(spark, monkeypatch, bits):
     assert got[90, 2][1] == 1 and got[91, 4][1] == 3 and got[92, 5][1] == 0 and got[92, 9000][:2] == (0, 5)
 
 
+def test_every_text_of_a_turn_is_a_message_and_a_writer(spark):
+    rows = [(1, 0, "u", "hello"), (1, 0, "v", "another text"), (1, 0, "v", "another text"), (1, 1, "u", "> hello\nyes"), (1, 1, "w", "> another text\nno"), (1, 2, "u", "> no\nwhy"), (1, 3, "u", "> yes\nfine"), (None, 1, "u", "> hello\nlost"), (1, None, "u", "> hello\nlost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    out = quotes.reply_ordered(df)
+    got = sorted(((r["conv_id"] is None, r["turn"] if r["turn"] is not None else -1, r["role"], r["parent_turn"], r["thread_turn"], r["depth"], r["formatted"].split("\n", 1)[1].removesuffix("\n<|end|>")) for r in out.collect()), key=str)
+    want = [(False, 0, "u", None, 0, 0, "hello"), (False, 0, "v", None, 0, 0, "another text"), (False, 0, "v", None, 0, 0, "another text"), (False, 1, "u", 0, 0, 1, "yes"), (False, 1, "w", 0, 0, 1, "no"),
+            (False, 2, "u", 1, 0, 2, "why"), (False, 3, "u", 1, 0, 2, "fine"), (True, 1, "u", None, 1, 0, "lost"), (False, -1, "u", None, None, 0, "lost")]
+    assert got == sorted(want, key=str)
+    mail = sorted((r["turn"], r["text"]) for r in quotes.as_mail(df).where("conv_id = 1 AND turn < 3").collect())
+    assert mail[:3] == [(0, "another text"), (0, "another text"), (0, "hello")] and [t for n, t in mail if n == 1] == ["> another text\n> another text\nno", "> another text\n> hello\nyes"]
+
+
 def test_quotes_of_nothing_and_long_chains(spark):
     assert quotes.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     chain = [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(70)]
