@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding look-alikes and digit substitutions.
 
 Learning takes at most ``SAMPLE`` labelled documents of either class (those whose ids hash lowest), equal texts of a class once; rows of the held-out
-third are never seen. Terms are folded words and their beginnings of 4 characters or more. Strong terms, whose log-likelihood ratio is ``STRONG`` of the best one's or more,
+third are never seen. Terms are folded words and their beginnings of 4 characters or more; of words beyond 32 letters only the beginnings at whose length some word of the sample parts from another are counted, since
+those in between are held by the same documents as the next shorter one, which would be taken before them. Strong terms, whose log-likelihood ratio is ``STRONG`` of the best one's or more,
 enter the lexicon by rank, unless a chosen term is their beginning or continues them, or tells much the same documents. (Near copies of one document share many words,
 which all tell the same copies: one of them enters.) Then, again and again, the term with the highest ratio over the toxic documents that no chosen term tells, as long as it is ``EVIDENCE`` or more. Longer terms
 under a chosen beginning follow if they have the evidence and weigh clearly more; of the terms at one place the longest counts. Words that hold a term, and
@@ -16,7 +17,9 @@ label in the sample all texts score the share of toxic rows; labels, language, s
 
 from __future__ import annotations
 
+import bisect
 import math
+import os
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -26,13 +29,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 #: At most so many labelled documents of either class are learned from.
 SAMPLE = 4000
-#: Length of the shortest beginning, and length up to which all beginnings are terms; of longer words those of every doubling, too.
+#: Length of the shortest beginning, and length up to which all beginnings are counted one by one.
 SHORTEST, DENSE_TO = 4, 32
 #: Log-likelihood ratio that a term needs; share of the best one's from which a term is strong; overlap of documents (Jaccard) from which terms tell the same.
 EVIDENCE, STRONG, SAME = 18.0, 0.25, 0.8
@@ -77,21 +81,12 @@ def folded(text: str) -> str:
     return f" {t}  {' '.join(' '.join(w for w in t.split(' ') if not w.isascii()).translate(BARE).split())} "
 
 
-def beginnings(size: int) -> list[int]:
-    """Lengths of the beginnings of a word of ``size`` letters that are terms: their sum grows with the word, not with its square."""
-    out, n = list(range(SHORTEST, min(size, DENSE_TO) + 1)), 2 * DENSE_TO
-    while n <= size:
-        out.append(n)
-        n *= 2
-    return out
-
-
 def terms_of(text: str) -> set[str]:
-    """The terms of a folded text: `` word `` and `` stem`` of each word."""
+    """The terms of a folded text: `` word `` and `` stem`` of each word, stems up to ``DENSE_TO`` letters."""
     out = set()
     for w in set(text.split()):
         out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in beginnings(len(w)))
+        out.update(f" {w[:n]}" for n in range(SHORTEST, min(len(w), DENSE_TO) + 1))
     return out
 
 
@@ -196,6 +191,36 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "docs": held, "clean": pa.array([clean[t] for t in terms], pa.int64())})
 
 
+def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``start, word, doc, toxic``: the words of a text beyond ``DENSE_TO`` letters, once each."""
+    for batch in batches:
+        found = [(f" {w[:DENSE_TO]}", w, doc, toxic) for doc, text, toxic in zip(*(batch[c].to_pylist() for c in ("doc", "text", "toxic")), strict=True) for w in {*folded(text).split()} if len(w) > DENSE_TO]
+        columns = zip(*found, strict=True) if found else ((),) * 4
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["start", "word", "doc", "toxic"])
+
+
+def long_beginnings(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``term, docs, clean`` of the beginnings beyond ``DENSE_TO`` letters that 3 toxic documents hold, at the lengths where words part. ``counts``: the same of shorter ones, of which only those go on.
+
+    Sorted words part from others where neighbours part, so the lengths come from neighbours, once for all words of a start.
+    """
+
+    @F.arrow_udf("int")
+    def parts_at(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if y is None else len(os.path.commonprefix((x, y))) + 1 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
+    starts = counts.where((F.length("term") == DENSE_TO + 1) & ~F.endswith("term", F.lit(" "))).select(F.col("term").alias("start"))
+    words = checkpointed(rows.mapInArrow(long_words, "start string, word string, doc bigint, toxic int").join(starts, "start", "left_semi"))
+    sorted_words = words.select("start", "word").distinct().withColumn("before", F.lag("word").over(W.partitionBy("start").orderBy("word")))
+    neighbours = sorted_words.select("start", parts_at("word", "before").alias("n"))
+    parting = F.array_union(F.collect_set("n"), F.array(F.lit(DENSE_TO + 1)))
+    lengths = neighbours.groupBy("start").agg(parting.alias("lengths"))
+    terms = words.join(lengths, "start").select("doc", "toxic", "word", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("word"))
+    held = terms.select(F.concat(F.lit(" "), F.left("word", F.col("n"))).alias("term"), "doc", "toxic").distinct()
+    return held.groupBy("term").agg(F.collect_list(F.when(F.col("toxic") == 1, F.col("doc"))).alias("docs"), F.count_if(F.col("toxic") == 0).alias("clean")).where(F.size("docs") >= 3)
+
+
 def candidates(rows: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     """``term, docs, clean, ratio`` of every term that 3 toxic documents hold, and toxic ones over four times as often as clean ones."""
 
@@ -204,22 +229,44 @@ def candidates(rows: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
         return pa.array([likelihood_ratio(x, y, n_toxic, n_clean) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
     counts = rows.mapInArrow(counted, "term string, docs array<bigint>, clean bigint").groupBy("term").agg(F.flatten(F.collect_list("docs")).alias("docs"), F.sum("clean").alias("clean"))
-    enough = counts.where(F.size("docs") >= 3).where(F.size("docs") * F.lit(n_clean) > F.col("clean") * F.lit(4 * n_toxic))
+    counts = checkpointed(counts.where(F.size("docs") >= 3))
+    every = counts.unionByName(long_beginnings(rows, counts))
+    enough = every.where(F.size("docs") * F.lit(n_clean) > F.col("clean") * F.lit(4 * n_toxic))
     return enough.withColumn("ratio", ratio(F.size("docs"), F.col("clean")))
 
 
-def free(t: str, chosen: dict, stems: set[str]) -> bool:
-    """Whether no chosen term is a beginning of a term, or continues it."""
-    return t not in chosen and t not in stems and not any(t[: n + 1] in chosen for n in beginnings(len(t) - 2))
+class Chosen(dict):
+    """Chosen terms and their weights, that tell terms which one of them begins, and their beginnings, in the time of a few look-ups."""
+
+    def __init__(self, *terms):
+        super().__init__(*terms)
+        self.sorted, self.sizes = sorted(self), {*map(len, self)}
+
+    def take(self, term: str, weight: float) -> None:
+        if term not in self:
+            bisect.insort(self.sorted, term)
+            self.sizes.add(len(term))
+        self[term] = weight
+
+    def under(self, term: str) -> str | None:
+        """The longest chosen term that a term continues."""
+        return max((x for n in self.sizes if n < len(term) and (x := term[:n]) in self), key=len, default=None)
 
+    def free(self, term: str) -> bool:
+        """Whether a term neither is a beginning of a chosen one, nor continues one."""
+        at = bisect.bisect_left(self.sorted, term)
+        return not (at < len(self.sorted) and self.sorted[at].startswith(term)) and self.under(term) is None
 
-def chosen_terms(terms: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    def __reduce__(self):
+        return Chosen, (dict(self),)
+
+
+def chosen_terms(terms: DataFrame, n_toxic: int, n_clean: int) -> Chosen:
     """The lexicon's first terms and their weights, from ``candidates``, all of which take part: strong ones page by page, then a greedy cover of the documents not told.
 
     Each page and each term of the cover is one aggregate. The driver holds a page, the chosen terms and which documents of the sample they tell, as bits of an integer.
     """
-    out: dict[str, float] = {}
-    stems: set[str] = set()
+    out = Chosen()
     bit: dict[int, int] = {}
     tells: list[int] = []
 
@@ -227,8 +274,7 @@ def chosen_terms(terms: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
         return sum(1 << bit.setdefault(d, len(bit)) for d in docs)
 
     def take(t: str, docs: list[int], clean: int) -> None:
-        out[t] = log_odds(len(docs), clean, n_toxic, n_clean)
-        stems.update(t[: n + 1] for n in beginnings(len(t.strip())))
+        out.take(t, log_odds(len(docs), clean, n_toxic, n_clean))
         tells.append(bits(docs))
 
     def told() -> list[int]:
@@ -245,7 +291,7 @@ def chosen_terms(terms: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
     page = strong.orderBy("place").limit(PAGE).collect()
     while page:
         for r in page:
-            if free(t := r["place"]["term"], out, stems):
+            if out.free(t := r["place"]["term"]):
                 x = bits(r["docs"])
                 if all((x & c).bit_count() < SAME * (x | c).bit_count() for c in tells):
                     take(t, r["docs"], r["clean"])
@@ -261,7 +307,7 @@ def chosen_terms(terms: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
             is_open = np.concatenate(([0], np.cumsum(~np.isin(np.concatenate(held), known)))) if held else np.zeros(1, np.int64)
             for i, (t, b) in enumerate(zip(batch["term"].to_pylist(), batch["clean"].to_pylist(), strict=True)):
                 a = int(is_open[ends[i]] - is_open[ends[i] - len(held[i])])
-                if a >= 3 and a * n_clean > b * left and free(t, out, stems):
+                if a >= 3 and a * n_clean > b * left and out.free(t):
                     rank = (-likelihood_ratio(a, b, left, n_clean), -batch["ratio"][i].as_py(), len(t), t)
                     if top is None or rank < top[0]:
                         top = rank, t, batch["docs"][i].as_py(), b
@@ -277,18 +323,20 @@ def chosen_terms(terms: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
         take(r["term"], r["docs"], r["clean"])
 
 
-def longer_terms(terms: DataFrame, chosen: dict[str, float], n_toxic: int, n_clean: int) -> dict[str, float]:
+def longer_terms(terms: DataFrame, chosen: Chosen, n_toxic: int, n_clean: int) -> Chosen:
     """``chosen`` and the terms with enough evidence that continue one of them and weigh clearly more than the longest one they continue."""
-    some = F.lit(False)
-    for t in chosen:
-        some = some | F.startswith("term", F.lit(t))
-    rows = terms.where((F.col("ratio") >= EVIDENCE) & some).select("term", F.size("docs").alias("a"), "clean").collect() if chosen else []
-    out = dict(chosen)
+
+    def continuing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([chosen.under(t) is not None for t in batch["term"].to_pylist()], pa.bool_()))
+
+    strong = terms.where(F.col("ratio") >= EVIDENCE).select("term", F.size("docs").alias("a"), "clean")
+    rows = strong.mapInArrow(continuing, "term string, a int, clean bigint").collect() if chosen else []
+    out = Chosen(chosen)
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
         t, w = r["term"], log_odds(r["a"], r["clean"], n_toxic, n_clean)
-        under = max((x for n in range(len(t)) if (x := t[:n]) in out), key=len, default=None)
-        if t not in out and under is not None and w > out[under] + MARGIN:
-            out[t] = w
+        if t not in out and w > out[out.under(t)] + MARGIN:
+            out.take(t, w)
     return out
 
 
@@ -324,7 +372,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from labelled documents. What comes to the driver, terms and phrases of the sample that have the evidence, is bounded by ``sample``."""
-    rows = training_rows(docs, labels, sample).persist()
+    rows = checkpointed(training_rows(docs, labels, sample))  # 2 * sample rows at most
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -361,7 +409,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     data = np.array([tuple(r) for r in rows.select(measured(F.col("text"), F.col("toxic")).alias("m"), "toxic").select("m.x", "m.y", "toxic").collect()])  # 2 * sample rows at most
     order = np.lexsort(data.T)
     lexicon.logistic = logistic_fit(data[order, :2], data[order, 2])
-    rows.unpersist()
     return lexicon
 
 

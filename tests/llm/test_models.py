@@ -250,7 +250,7 @@ def test_learned_weights_equal_brute_force(spark):
 
 
 def test_beginnings_and_long_words():
-    assert toxicity.beginnings(3) == [] and toxicity.beginnings(6) == [4, 5, 6] and toxicity.beginnings(300)[-3:] == [64, 128, 256]
+    assert toxicity.terms_of(" abc abcdef ") == {" abc ", " abcdef ", " abcd", " abcde", " abcdef"}
     assert len(toxicity.terms_of(toxicity.folded("x" * 1_000_000))) < 60
     lexicon = toxicity.Lexicon({" bad": 3.0})
     assert toxicity.around(f"one {'a' * 500}, bad{'c' * 900} two", lexicon) == {f"bad{'c' * 900}", f"{'a' * 500} bad{'c' * 900}", f"bad{'c' * 900} two"}
@@ -267,6 +267,37 @@ def test_toxicity_of_odd_rows(spark):
     assert docs.select(toxicity.score(F.col("text"), lexicon).alias("s")).where("s IS NULL OR s < 0 OR s > 1").count() == 0
 
 
+def test_beginnings_of_long_words_are_terms(spark):
+    """Every beginning of every word, counted by hand: the ones that are left out tell the same documents as the next shorter one."""
+    rng = random.Random(6)
+    common = "".join(rng.choices("bcdfg", k=50))
+    texts = [(f"{common}{'xy'[i % 2]}{i % 3} {'z' * 40}{'ab'[i % 2]} {'z' * 40}a end", 1) for i in range(12)] + [(f"{common[:45]}q{i} {common[:40]} {'z' * (30 + i)}", 0) for i in range(9)] + [("only " + "w" * 3000, 1)] * 2
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc long, text string, toxic int")
+    n = {y: sum(k == y for _, k in texts) for k in (0, 1) for y in (k,)}
+    found = {r["term"]: (frozenset(r["docs"]), r["clean"]) for r in toxicity.candidates(rows, n[1], n[0]).collect()}
+    held = {}
+    for i, (t, y) in enumerate(texts):
+        for w in {*toxicity.folded(t).split()}:
+            for term in [f" {w} ", *(f" {w[:k]}" for k in range(4, len(w) + 1))]:
+                held.setdefault(term, [set(), set()])[1 - y].add(i)
+    want = {t: (frozenset(a), len(b)) for t, (a, b) in held.items() if len(a) >= 3 and len(a) * n[0] > len(b) * 4 * n[1]}
+    assert found.items() <= want.items() and any(len(t) > 50 for t in found)
+    for t, stats in want.items():
+        assert t in found or stats in (found.get(t[:k]) for k in range(5, len(t))), t
+    assert f" {common[:46]}" in found and f" {common}x" in found and found[f" {common[:46]}"] == (frozenset(range(12)), 0)
+
+
+def test_thousands_of_chosen_terms(spark):
+    """A lexicon of 3,000 terms, and the longer ones under them."""
+    word = lambda i: "w" + "".join("abcdefghij"[int(d)] for d in str(10_000 + i))
+    rows = [(f" {word(i)}", 40, 10, 30.0) for i in range(3000)] + [(f" {word(i)}x", 35, 0, 40.0) for i in range(0, 3000, 2)] + [(f" {word(i)}y", 20, 5, 30.0) for i in range(0, 3000, 3)] + [(" other", 40, 0, 99.0)]
+    terms = spark.createDataFrame([(t, [*range(a)], b, r) for t, a, b, r in rows], "term string, docs array<bigint>, clean bigint, ratio double")
+    chosen = toxicity.Chosen({f" {word(i)}": toxicity.log_odds(40, 10, 100, 100) for i in range(3000)})
+    assert set(toxicity.longer_terms(terms, chosen, 100, 100)) == {*chosen, *(f" {word(i)}x" for i in range(0, 3000, 2))}
+    assert toxicity.longer_terms(terms, toxicity.Chosen(), 100, 100) == {}
+    assert not chosen.free(f" {word(5)}") and not chosen.free(f" {word(5)[:4]}") and not chosen.free(f" {word(5)}zz ") and chosen.free(" free") and chosen.free(f" {word(5)[:4]}! ")
+
+
 # ---- exact search ----------------------------------------------------------------------------------------------------
 
 
