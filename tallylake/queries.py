@@ -123,6 +123,24 @@ def written_run_log(spark, sf_dir):
     return result_without(spark.read.parquet(folder).select("benchmark", "policy", "task_id", "seed", "correct", "error", "gen_tokens"), folder)
 
 
+def stored_log(spark, sf_dir) -> runlog.StoredLog:
+    """The raw run log in two appends to a bucketed table, with a bucket for some 50,000 records."""
+    raw = fixtures.attempts_raw(spark, sf_dir)
+    stored = runlog.StoredLog(spark, f"run_log_{uuid.uuid4().hex}", max(1, raw.count() // 50_000))
+    for part in (0, 1):
+        stored.append(raw.where(F.col("seq") % 2 == part))
+    return stored
+
+
+@query("SELECT benchmark, task_id, policy, seed, seq, correct, error, generated_tokens FROM attempts", "attempts")
+def stored_latest(spark, sf_dir):
+    """The latest records, read from a table that is stored by task."""
+    stored = stored_log(spark, sf_dir)
+    out = runlog.checkpointed(stored.latest(["seq", *fixtures.TIES]).select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens"))
+    stored.drop()
+    return out
+
+
 @query("SELECT benchmark, policy, task_id, round(avg(CAST(correct AND error IS NULL AS INT)), 9) AS value FROM attempts GROUP BY ALL", "attempts")
 def per_task_mean(spark, sf_dir):
     right = F.coalesce("correct", F.lit(False)) & F.col("error").isNull()
@@ -188,6 +206,15 @@ def hindsight_oracle(spark, sf_dir):
     return rounded(replay.oracle(fixtures.attempts(spark, sf_dir), POLICIES))
 
 
+@query("WITH " + ORACLE_SQL.strip() + " SELECT * REPLACE (round(latency_s, 9) AS latency_s) FROM oracle", "attempts")
+def stored_oracle(spark, sf_dir):
+    """The hindsight oracle over the stored log: no shuffle from the table's files to the result."""
+    stored = stored_log(spark, sf_dir)
+    out = runlog.checkpointed(rounded(replay.oracle(stored.latest(["seq", *fixtures.TIES]), POLICIES)))
+    stored.drop()
+    return out
+
+
 REPLAY_SQL = "WITH " + staged_sql(STAGES) + ", stopped AS (SELECT *, CASE WHEN sc0 >= -0.3 THEN 0 WHEN sc1 >= -0.5 THEN 1 ELSE 2 END AS stop FROM wide)"
 
 
@@ -283,6 +310,14 @@ def histogram_bootstrap(spark, sf_dir):
     return bootstrap.histogram_intervals(values, ["benchmark", "policy"])
 
 
+@query("SELECT policy, round(avg(latency_s), 9) AS mean, true AS inside FROM attempts WHERE latency_s IS NOT NULL GROUP BY policy", "attempts")
+def latency_intervals(spark, sf_dir):
+    """The bootstrap of latencies, of which there are as many values as records: their histogram is a tree. The bounds are random; that they hold the mean is not."""
+    values = fixtures.attempts(spark, sf_dir).select("policy", F.col("latency_s").alias("value"))
+    bounds = bootstrap.histogram_intervals(values, ["policy"])
+    return rounded(bounds.select("policy", "mean", F.col("mean").between(F.col("ci_low"), F.col("ci_high")).alias("inside")))
+
+
 @query("SELECT benchmark, policy, round(value, 9) AS value, count(*) AS n FROM (SELECT benchmark, policy, task_id, avg(CAST(correct AND error IS NULL AS INT)) AS value FROM attempts GROUP BY ALL) x GROUP BY ALL", "attempts")
 def accuracy_histogram(spark, sf_dir):
     right = F.coalesce("correct", F.lit(False)) & F.col("error").isNull()

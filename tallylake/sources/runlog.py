@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="spark-shared-")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def result_without(df: DataFrame, folder: str) -> DataFrame:
     """``df``, kept by a checkpoint, after which the folder that it was read from is deleted."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    out = df.checkpoint()
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    out = checkpointed(df)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     return out
 
 
@@ -71,16 +77,17 @@ def quarantined(records: DataFrame) -> DataFrame:
     return records.where(~has_key())
 
 
-def latest(records: DataFrame, order: Sequence[str | Column] = ORDER, columns: Sequence[str] | None = None) -> DataFrame:
+def latest(records: DataFrame, order: Sequence[str | Column] = ORDER, columns: Sequence[str] | None = None, dealt: bool = False) -> DataFrame:
     """The last record of every key by ``order``, even where it is an error and an earlier one was not.
 
     One shuffle, on (benchmark, task): later groupings by key, by task and seed, or by task and policy reuse it. Few records of a key are
-    retries, so combining before the shuffle would sort all rows for little. ``columns`` prunes what goes through it; carry no long texts.
+    retries, so combining before the shuffle would sort all rows for little. ``columns`` prunes what goes through it; carry no long texts. ``dealt``: the records come from a table that is stored by
+    (benchmark, task), so nothing is shuffled.
     """
     keep = [c for c in (columns or records.columns) if c not in KEY]
     last = F.max_by(F.struct(*keep), F.struct(*order)).alias("r")
-    dealt = records.where(has_key()).repartition("benchmark", "task_id")
-    return dealt.groupBy(*KEY).agg(last).select(*KEY, "r.*")
+    whole = records.where(has_key())
+    return (whole if dealt else whole.repartition("benchmark", "task_id")).groupBy(*KEY).agg(last).select(*KEY, "r.*")
 
 
 def completed_keys(records: DataFrame) -> DataFrame:
@@ -100,3 +107,33 @@ def write_run_log(records: DataFrame, path: str, fmt: str = "parquet", with_step
 def compacted(records: DataFrame) -> DataFrame:
     """Records dealt for writing few files per benchmark and policy; large ones are split by task."""
     return records.repartition("benchmark", "policy", F.pmod(F.xxhash64("task_id"), F.lit(8)))
+
+
+@dataclass
+class StoredLog:
+    """A run log as a table whose files are bucketed and sorted by (benchmark, task): latest records, the oracle, replays and summaries by task read it without a shuffle."""
+
+    spark: SparkSession
+    table: str
+    buckets: int
+
+    def append(self, records: DataFrame) -> None:
+        """Add records, dealt first, so that each call writes a file a bucket."""
+        dealt = records.where(has_key()).repartition(self.buckets, "benchmark", "task_id")
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "benchmark", "task_id").sortBy("benchmark", "task_id").saveAsTable(self.table)
+
+    def records(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def latest(self, order: Sequence[str | Column], columns: Sequence[str] | None = None) -> DataFrame:
+        """The last record of every key, still dealt by (benchmark, task)."""
+        return latest(self.records(), order, columns, dealt=True)
+
+    def compact(self, order: Sequence[str | Column], to: str) -> StoredLog:
+        """The latest records alone, in a table of their own with a file a bucket."""
+        out = StoredLog(self.spark, to, self.buckets)
+        self.latest(order).write.mode("overwrite").format("parquet").bucketBy(self.buckets, "benchmark", "task_id").sortBy("benchmark", "task_id").saveAsTable(to)
+        return out
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")

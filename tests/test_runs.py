@@ -440,3 +440,66 @@ def test_budgets_and_targets_are_merged_with_the_frontier(spark):
     # Points and budgets are never joined with each other: without ranges there is no join at all.
     plan = frontier.accuracy_at_budget(points, spark.createDataFrame(asked, "benchmark string, budget double, id int"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_grid_by_bitmaps(spark):
+    """More cells than a word has, seeds and policies in any order, keys that are no cell, and tasks without any."""
+    rng = random.Random(2)
+    policies, seeds = [(f"p{i}", i % 3 == 0) for i in range(9)], [7, 1, 100, 0, 3, 9, 12, 13]
+    known = [("b", str(i), "math" if i % 2 else "code") for i in range(12)] + [("c", "1", None), (None, "2", "math")]
+    done = {(b, t, p, s) for b, t, _ in known for p, _ in policies for s in seeds if b and rng.random() < 0.5}
+    rows = [*done, *rng.choices([*done], k=20), ("b", "1", "other", 1), ("b", "2", "p1", 555), ("x", "9", "p1", 1)]
+    frames = spark.createDataFrame(known, "benchmark string, task_id string, kind string"), spark.createDataFrame(rows, "benchmark string, task_id string, policy string, seed int")
+    got = jobs.pending_jobs(frames[0], policies, seeds, frames[1])
+    want = [(b, t, k, p, s) for b, t, k in known for p, m in policies for s in seeds if (not m or k == "math") and (b, t, p, s) not in done]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda word: min(i for i, x in enumerate(plan) if word in x)
+    assert depth("Generate explode") < depth("Join LeftOuter")  # tasks meet their bitmaps first, and are exploded after that
+    assert jobs.pending_jobs(frames[0], [], [], frames[1]).count() == 0 and jobs.completed_cells(frames[1], ["p0"], [1]).columns == ["benchmark", "task_id", "cells"]
+
+
+def test_bootstrap_down_a_tree(spark):
+    """Many values, so the histogram is split: mean and spread of the replicates are those of a multinomial, and a small fan goes down several levels."""
+    rng = np.random.default_rng(5)
+    data = {"a": rng.gamma(2.0, 3.0, 900), "b": rng.integers(0, 40, 500).astype(float), None: np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None)], "benchmark string, value double")
+    hist = bootstrap.histogram(df, ["benchmark"])
+    for levels, fan in ((1, 30), (3, 6)):
+        got = {r["benchmark"]: r for r in bootstrap.tree_intervals(hist, ["benchmark"], levels, 3000, 0.05, 0, fan).collect()}
+        assert set(got) == set(data)
+        for g, vs in data.items():
+            half = 1.959964 * vs.std() / math.sqrt(len(vs))
+            assert got[g]["mean"] == pytest.approx(vs.mean())
+            if g:
+                assert (got[g]["ci_high"] - got[g]["ci_low"]) / 2 == pytest.approx(half, rel=0.08) and (got[g]["ci_high"] + got[g]["ci_low"]) / 2 == pytest.approx(vs.mean(), abs=half / 4)
+        assert got[None]["ci_low"] == 1.0 and got[None]["ci_high"] == 2.0
+        again = {r["benchmark"]: r for r in bootstrap.tree_intervals(hist.repartition(3), ["benchmark"], levels, 3000, 0.05, 0, fan).collect()}
+        assert all(again[g] == pytest.approx(got[g]) if g else True for g in data) and all(again[g]["ci_low"] == pytest.approx(got[g]["ci_low"]) for g in data)
+    flat = {r["benchmark"]: r for r in bootstrap.histogram_intervals(df, ["benchmark"], n_boot=3000).collect()}
+    deep = {r["benchmark"]: r for r in bootstrap.histogram_intervals(df, ["benchmark"], n_boot=3000, fan=10).collect()}
+    for g in "ab":
+        assert flat[g]["ci_high"] - flat[g]["ci_low"] == pytest.approx(deep[g]["ci_high"] - deep[g]["ci_low"], rel=0.1)
+
+
+def test_stored_log_is_read_without_a_shuffle(spark):
+    rows = generated(spark).withColumns({"v": F.lit(1), "seq": F.monotonically_increasing_id()})
+    stored = runlog.StoredLog(spark, "stored_log_of_a_test", 4)
+    try:
+        stored.append(rows)
+        stored.append(rows.where("seed = 0").withColumns({"v": F.lit(2), "correct": F.lit(True)}))
+        stored.append(rows.limit(2).withColumn("task_id", F.lit(None).cast("string")))  # no whole key
+        order = ["v", "seq"]
+        plain = runlog.latest(rows.unionByName(rows.where("seed = 0").withColumns({"v": F.lit(2), "correct": F.lit(True)})), order)
+        stages, scores = ["A", "B", "C"], [routing.signal_score(F.col("score"))]
+        kept = stored.compact(order, "stored_log_of_a_test_latest")
+        for frame in (stored.latest(order), kept.records()):
+            for build in (lambda x: x, lambda x: replay.oracle(x, stages), lambda x: replay.replayed(x, stages, scores, [0.3, 0.5]), lambda x: summary.task_counts(x)):
+                got, want = build(frame), build(plain)
+                assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+                key = lambda r: str(r)
+                assert sorted(map(tuple, got.select(sorted(got.columns)).collect()), key=key) == sorted(map(tuple, want.select(sorted(want.columns)).collect()), key=key)
+    finally:
+        stored.drop()
+        spark.sql("DROP TABLE IF EXISTS stored_log_of_a_test_latest")
