@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylake.functions.signals import FEATURES
+from tallylake.functions.splits import in_train_split
 from tallylake.operators.ranges import PER_RANGE, cuts, with_before
 from tallylake.operators.summary import share
 from tallylake.schemas import ROUTERS
@@ -69,9 +70,9 @@ def present_features(rows: DataFrame, candidates: Sequence[str] = FEATURES, sign
     return [r["feature"] for r in feature_counts(rows, candidates, signals).where("n > 0").orderBy("candidate").collect()]
 
 
-def feature_columns(rows: DataFrame, features: Sequence[str], label: str = "correct", signals: str = "signals") -> DataFrame:
-    """A narrow table of plain doubles: the signals wanted, and ``y``."""
-    return rows.select(*(F.try_element_at(F.col(signals), F.lit(f)).alias(f) for f in features), F.col(label).cast("int").alias("y"))
+def feature_columns(rows: DataFrame, features: Sequence[str], label: str = "correct", signals: str = "signals", keep: Sequence[str] = ()) -> DataFrame:
+    """A narrow table of plain doubles: the signals wanted, and ``y``; and the columns to ``keep``."""
+    return rows.select(*keep, *(F.try_element_at(F.col(signals), F.lit(f)).alias(f) for f in features), F.col(label).cast("int").alias("y"))
 
 
 def fitted(rows: DataFrame, features: Sequence[str], label: str = "y", l2: float = 1.0, rounds: int = 50, meta: dict[str, str] | None = None) -> Logistic:
@@ -111,6 +112,90 @@ def fitted(rows: DataFrame, features: Sequence[str], label: str = "y", l2: float
     return Logistic(list(features), [float(v) for v in w[1:]], float(w[0]), mean, std, meta or {})
 
 
+def fitted_by(rows: DataFrame, groups: Sequence[str], features: Sequence[str], label: str = "y", l2: float = 1.0, rounds: int = 50) -> dict[tuple, Logistic]:
+    """``fitted`` for every group (a policy, a benchmark, a split), all in one: each round is one job, whose gradient and Hessian sums are grouped.
+
+    The driver holds a few numbers a group; groups are of a configuration, not of the data. A group whose steps have ended takes no part in later rounds; one with under 20 rows has no router.
+    """
+    groups, k = list(groups), len(features)
+    plain = F.array(*(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features)) if features else F.array().cast("array<double>")
+    data = rows.select(*groups, plain.alias("x"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull()).persist()
+    spark = rows.sparkSession
+    kinds = ", ".join(f"{g} {t}" for g, t in data.dtypes if g in groups)
+
+    def met(frame: DataFrame, values: dict[tuple, Sequence], columns: str) -> DataFrame:
+        """``frame`` with numbers of its groups, for the groups that have any."""
+        names = [f"_{g}" for g in groups]
+        table = spark.createDataFrame([(*key, *v) for key, v in values.items()], f"{kinds}, {columns}").withColumnsRenamed(dict(zip(groups, names, strict=True)))
+        same = F.lit(True)
+        for g, n in zip(groups, names, strict=True):
+            same = same & F.col(g).eqNullSafe(F.col(n))
+        return frame.join(table, same).drop(*names)
+
+    key_of = lambda r: tuple(r[g] for g in groups)
+    stats = {key_of(r): r for r in data.groupBy(*groups).agg(F.count("*").alias("n"), *(F.avg(F.get("x", i)).alias(f"m{i}") for i in range(k))).collect()}
+    mean = {key: [float(r[f"m{i}"]) if r[f"m{i}"] is not None else 0.0 for i in range(k)] for key, r in stats.items() if r["n"] >= LEAST_ROWS}
+    if not mean:
+        data.unpersist()
+        return {}
+    filled = met(data, {key: (m,) for key, m in mean.items()}, "mean array<double>").withColumn("x", F.transform("x", lambda v, i: F.coalesce(v, F.get("mean", i))))
+    spread = filled.groupBy(*groups).agg(F.lit(0).alias("none"), *(F.stddev_pop(F.get("x", i)).alias(f"s{i}") for i in range(k))).collect()
+    std = {key_of(r): [float(s) if (s := r[f"s{i}"]) is not None and s >= 1e-8 else 1.0 for i in range(k)] for r in spread}
+    scaled = met(filled, {key: (s,) for key, s in std.items()}, "std array<double>")
+    design = scaled.select(*groups, "y", F.concat(F.array(F.lit(1.0)), F.transform("x", lambda v, i: (v - F.get("mean", i)) / F.get("std", i))).alias("x")).persist()
+    d = k + 1
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    weights, active, penalty = {key: np.zeros(d) for key in mean}, {*mean}, np.diag([0.0] + [l2] * (d - 1))
+    for _ in range(rounds):
+        z = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        scored = met(design, {key: (weights[key].tolist(),) for key in active}, "w array<double>").withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+        gradient = [F.sum((F.col("p") - F.col("y")) * F.get("x", i)).alias(f"g{i}") for i in range(d)]
+        hessian = [F.sum(F.col("p") * (1 - F.col("p")) * F.get("x", i) * F.get("x", j)).alias(f"h{i}_{j}") for i, j in pairs]
+        for r in scored.groupBy(*groups).agg(*gradient, *hessian).collect():
+            key, h = key_of(r), np.zeros((d, d))
+            for i, j in pairs:
+                h[i, j] = h[j, i] = r[f"h{i}_{j}"]
+            step = np.linalg.solve(h + penalty + 1e-9 * np.eye(d), np.array([r[f"g{i}"] for i in range(d)]) + penalty @ weights[key])
+            weights[key] = weights[key] - step
+            if np.abs(step).max() < 1e-8:
+                active.discard(key)
+        if not active:
+            break
+    design.unpersist()
+    data.unpersist()
+    return {key: Logistic(list(features), [float(v) for v in w[1:]], float(w[0]), mean[key], std[key]) for key, w in weights.items()}
+
+
+def score_by(routers: Mapping[tuple, Logistic], groups: Sequence[str]) -> Column:
+    """The score of each row by its group's router, null for a group without one."""
+    out = F.lit(None).cast("double")
+    for key, router in routers.items():
+        same = F.lit(True)
+        for g, value in zip(groups, key, strict=True):
+            same = same & F.col(g).eqNullSafe(F.lit(value))
+        out = F.when(same, router.score()).otherwise(out)
+    return out
+
+
+def trained(records: DataFrame, policy: str, benchmarks: Sequence[str] | None = None, split: float | None = None, features: Sequence[str] | None = None, signals: str = "signals", l2: float = 1.0) -> Logistic:
+    """The router of a policy, with what is known of its training in ``meta``: policy, benchmarks, split, rows, base rate, and the AUC on either side of the split.
+
+    Features are named, or those of the candidates that any training row has. ``split``: the share of tasks that are trained on.
+    """
+    rows = training_rows(records, policy, benchmarks, signals)
+    side = F.when(in_train_split(F.col("task_id"), split), "train").otherwise("test") if split else F.lit("train")
+    own = rows.where(side == "train")
+    names = list(features) if features is not None else present_features(own, signals=signals)
+    plain = feature_columns(rows.withColumn("side", side), names, signals=signals, keep=("benchmark", "side")).persist()
+    router = fitted(plain.where("side = 'train'"), names, l2=l2)
+    about = plain.where("side = 'train'").agg(F.count("*").alias("n"), F.avg("y").alias("rate"), F.array_sort(F.collect_set("benchmark")).alias("benchmarks")).first()
+    sides = {r["side"]: r["auc"] for r in evaluated(plain, router, F.col("side")).withColumnRenamed("split", "side").collect()}
+    plain.unpersist()
+    router.meta = {"policy": policy, "benchmarks": ",".join(about["benchmarks"]), "split_frac": str(split), "n_train": str(about["n"]), "base_rate": repr(about["rate"])}
+    router.meta |= {f"{name}_auc": repr(value) for name, value in sorted(sides.items(), reverse=True)}
+    return router
+
+
 def auc(scored: DataFrame, score: str = "score", label: str = "y", groups: Sequence[str] = (), per_range: int = PER_RANGE) -> DataFrame:
     """``groups, n, auc``: the share of (correct, wrong) pairs that are in order, ties counting half; null for one class.
 

@@ -41,7 +41,11 @@ def summary(records: DataFrame, params_b: float | None = None, costs: Sequence[s
 
     ``n_boot``: replicates of a bootstrap over tasks for ``acc_low`` and ``acc_high``, 95 % bounds of the accuracy; from the same counts per task.
     """
-    by_task = task_counts(records, costs)
+    return summary_of_tasks(task_counts(records, costs), params_b, costs, n_boot)
+
+
+def summary_of_tasks(by_task: DataFrame, params_b: float | None = None, costs: Sequence[str] = COSTS, n_boot: int = 0) -> DataFrame:
+    """``summary`` from ``task_counts``, which can be kept and added up."""
     costs = present(by_task, costs)
     ok = F.sum("n") - F.sum("n_errors")
     out = by_task.groupBy("benchmark", "policy").agg(

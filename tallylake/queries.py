@@ -529,6 +529,25 @@ def router_evaluation(spark, sf_dir):
     return rounded(routing.evaluated(rows, router, F.when(train, "train").otherwise("test")), 6)
 
 
+@query("SELECT policy, count(*) AS n, round(avg(CAST(correct AS INT)), 6) AS base_rate, round(avg(CAST(correct AS INT)), 6) AS mean_score FROM attempts WHERE error IS NULL GROUP BY policy", "attempts")
+def routers_by_policy(spark, sf_dir):
+    """A router for every policy, all from one fit. At a fit's optimum the mean score is the base rate, since the bias is not penalised."""
+    rows = fixtures.attempts(spark, sf_dir).where("error IS NULL").select("policy", "mean_logprob", "finished", F.log1p("generated_tokens").alias("tokens_log"), F.col("correct").cast("int").alias("y"))
+    routers = routing.fitted_by(rows, ["policy"], ["mean_logprob", "finished", "tokens_log"])
+    scored = rows.select("policy", "y", routing.score_by(routers, ["policy"]).alias("score"))
+    return rounded(scored.groupBy("policy").agg(F.count("*").alias("n"), F.avg("y").alias("base_rate"), F.avg("score").alias("mean_score")), 6)
+
+
+@query(f"""WITH own AS (SELECT * FROM attempts WHERE policy = 'B0' AND error IS NULL AND (mean_logprob IS NOT NULL OR finished IS NOT NULL) AND {POSITION} < 0.5)
+SELECT array_to_string(list_sort(list(DISTINCT benchmark)), ',') AS benchmarks, 'B0' AS policy, '0.5' AS split_frac, count(*) AS n_train, round(avg(CAST(correct AS INT)), 9) AS base_rate, true AS rated FROM own""", "attempts")
+def router_metadata(spark, sf_dir):
+    """What a trained router knows of its training."""
+    signals = F.map_filter(F.create_map(F.lit("mean_logprob"), F.col("mean_logprob"), F.lit("finished"), F.col("finished").cast("double")), lambda _, v: v.isNotNull())
+    meta = routing.trained(fixtures.attempts(spark, sf_dir).withColumn("signals", signals), "B0", split=0.5, features=["mean_logprob", "finished"]).meta
+    rated = all(0 < float(meta[f"{side}_auc"]) < 1 for side in ("train", "test"))
+    return rounded(spark.createDataFrame([(meta["benchmarks"], meta["policy"], meta["split_frac"], int(meta["n_train"]), float(meta["base_rate"]), rated)], "benchmarks string, policy string, split_frac string, n_train long, base_rate double, rated boolean"))
+
+
 ROUTED = "(1 / (1 + exp(-(-0.2 + 1.5 * (coalesce({sc}, -0.5) + 0.5) / 0.3 + 0.4 * (coalesce({fi}, 0.6) - 0.6) / 0.5))))"
 
 
@@ -875,7 +894,8 @@ def live_log(spark, sf_dir) -> state.LiveLog:
     stream = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
     records = fixtures.on(spark, fixtures.RAW_SQL, lineitem=stream, part=table(spark, sf_dir, "part"))
     live = state.LiveLog(spark, f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", ["seq", *fixtures.TIES])
-    live.start(records.select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens", *fixtures.TIES)).awaitTermination()
+    costs = ("calls", "prefill_tokens", "generated_tokens", "thinking_tokens", "latency_s")
+    live.start(records.select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", *costs, *fixtures.TIES)).awaitTermination()
     return live
 
 
@@ -891,3 +911,11 @@ def live_progress(spark, sf_dir):
     """Running counts over the latest records: what a retry replaces is taken back."""
     live = live_log(spark, sf_dir)
     return result_without(rounded(live.progress()), live.folder)
+
+
+@query("WITH " + SUMMARY_SQL.format(source="attempts").strip() + " SELECT benchmark, policy, tasks, records, errors, round(accuracy, 9) AS accuracy, round(calls, 9) AS calls, round(prefill_tokens, 9) AS prefill_tokens, round(generated_tokens, 9) AS generated_tokens, round(thinking_tokens, 9) AS thinking_tokens, round(latency_s, 9) AS latency_s FROM summarised", "attempts")
+def live_summary(spark, sf_dir):
+    """The summary from the counts per task that a stream keeps, after they were folded."""
+    live = live_log(spark, sf_dir)
+    live.fold()
+    return result_without(rounded(live.summary()), live.folder)

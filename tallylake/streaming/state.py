@@ -1,8 +1,9 @@
 """The run log as keyed state: the latest record of every key in a state store, and running counts that take back what a retry replaces.
 
 Records are grouped by task, so a call of Python serves all its policies and seeds; each of their latest records is an entry of its own in the store, and only entries that change are written.
-A batch returns its changes with a sign: a new record counts, and the one that it replaces is taken back. Their sums per policy, a few rows under the batch's number, make the
-progress; the table of latest records is read from the state store of the last finished batch. Nothing is ever read again to keep either up to date.
+A batch returns its changes with a sign: a new record counts, and the one that it replaces is taken back. Their sums per policy and task lie under the batch's number, and add up to the same
+counts per task that a summary of all records starts from: so progress and summaries after a new file cost what the file holds, and a report over them equals that of a full run. The stream's own log of files
+read is the manifest. ``fold`` adds the batches up to one. The table of latest records is read from the state store of the last finished batch.
 
 Cases: records without a whole key are left out; a record that is met again, or later than one that is newer by the order, changes nothing; of the order's values null is the least and NaN the greatest, as in a
 sort; a null ``correct`` counts as wrong; an empty error is none. A stream started again on its folder goes on after its last batch, and a batch that is run again replaces its sums.
@@ -20,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructType
 
-from tallylake.operators.summary import share
+from tallylake.operators.summary import COSTS, present, share, summary_of_tasks
 from tallylake.schemas import KEY
 from tallylake.sources.runlog import has_key
 
@@ -82,7 +83,7 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 class LiveLog:
-    """A run log kept up to date by a stream in ``folder``, which the cluster shares: ``latest`` records and ``progress``."""
+    """A run log kept up to date by a stream in ``folder``, which the cluster shares: ``latest`` records, ``progress`` and ``summary``."""
 
     def __init__(self, spark: SparkSession, folder: str, order: Sequence[str]):
         self.spark, self.folder, self.order = spark, folder, list(order)
@@ -94,9 +95,11 @@ class LiveLog:
         return rows.groupBy(*GROUP).transformWithState(LatestPerKey(plain, self.order), StructType(plain.fields).add("sign", IntegerType()), "Update", "None")
 
     def put(self, batch: DataFrame, number: int) -> None:
-        right, wrong = F.coalesce("correct", F.lit(False)).cast("int"), (F.coalesce("error", F.lit("")) != "").cast("int")
-        sums = {"finished": F.col("sign"), "n_right": F.col("sign") * right, "errors": F.col("sign") * wrong}
-        batch.groupBy("benchmark", "policy").agg(*(F.sum(v).alias(c) for c, v in sums.items())).write.mode("overwrite").parquet(f"{self.folder}/sums/batch={number}")
+        ok, sign = F.col("error").isNull(), F.col("sign")
+        right = F.coalesce("correct", F.lit(False))
+        sums = {"n": F.lit(1), "n_errors": (~ok).cast("int"), "n_correct": (right & ok).cast("int"), "n_right": right.cast("int"), "n_failed": (F.coalesce("error", F.lit("")) != "").cast("int")}
+        sums |= {c: F.when(ok, F.coalesce(F.col(c), F.lit(0))) for c in present(batch, COSTS)}
+        batch.groupBy("benchmark", "policy", "task_id").agg(*(F.sum(sign * v).alias(c) for c, v in sums.items())).write.mode("overwrite").parquet(f"{self.folder}/sums/batch={number}")
 
     def start(self, records: DataFrame) -> StreamingQuery:
         """Read what has come since the last time, and stop."""
@@ -110,7 +113,33 @@ class LiveLog:
             state = self.spark.read.format("statestore").option("path", f"{self.folder}/stream").option("stateVarName", "latest").load()
         return state.select("key.*", "user_map_key.*", "user_map_value.*")
 
+    def numbers(self, folder: str) -> list[int]:
+        """Of the folders ``name=number`` in a folder the numbers, ascending."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{folder}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(at) if "=" in x.getPath().getName()) if fs.exists(at) else []
+
+    def task_sums(self) -> DataFrame:
+        """``summary.task_counts`` of the latest records, from what was folded and the batches since."""
+        folded = self.numbers("folded")
+        since = [f"{self.folder}/sums/batch={n}" for n in self.numbers("sums") if not folded or n > folded[-1]]
+        paths = [*since, *(f"{self.folder}/folded/upto={n}" for n in folded[-1:])]
+        if not paths:
+            raise ValueError(f"no batch of {self.folder} has been read")
+        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(*paths)  # without columns of the folders' names
+        return rows.groupBy("benchmark", "policy", "task_id").agg(*(F.sum(c).alias(c) for c in rows.columns if c not in ("benchmark", "policy", "task_id"))).where("n > 0")
+
+    def fold(self) -> None:
+        """Add all batches up to one. What was added up stays in place; readers leave it out."""
+        last = self.numbers("sums")[-1:]
+        if last and last != self.numbers("folded")[-1:]:
+            self.task_sums().write.mode("overwrite").parquet(f"{self.folder}/folded/upto={last[0]}")
+
+    def summary(self, params_b: float | None = None, n_boot: int = 0) -> DataFrame:
+        """``operators.summary.summary`` of the latest records."""
+        return summary_of_tasks(self.task_sums().drop("n_right", "n_failed"), params_b, COSTS, n_boot)
+
     def progress(self) -> DataFrame:
         """``benchmark, policy, finished, accuracy, errors`` over the latest records."""
-        sums = self.spark.read.option("basePath", f"{self.folder}/sums").parquet(f"{self.folder}/sums/batch=*").groupBy("benchmark", "policy").agg(*(F.sum(c).alias(c) for c in ("finished", "n_right", "errors")))
-        return sums.where("finished > 0").select("benchmark", "policy", "finished", share(F.col("n_right"), F.col("finished")).alias("accuracy"), "errors")
+        sums = self.task_sums().groupBy("benchmark", "policy").agg(F.sum("n").alias("finished"), F.sum("n_right").alias("n_right"), F.sum("n_failed").alias("errors"))
+        return sums.select("benchmark", "policy", "finished", share(F.col("n_right"), F.col("finished")).alias("accuracy"), "errors")

@@ -401,12 +401,21 @@ def test_live_log_keeps_the_latest_records_in_its_state(spark, tmp_path):
         got = {(r["benchmark"], r["policy"]): (r["finished"], r["accuracy"], r["errors"]) for r in live.progress().collect()}
         assert got == {k: (n, pytest.approx(ok / n), bad) for k, (n, ok, bad) in want.items()}
 
+    def same_summary():
+        last = runlog.latest(runlog.parsed(spark.read.text(str(source)).select("value"), schema), ["v"])
+        rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("benchmark", "policy", "tasks", "records", "errors", "accuracy").collect())
+        assert rows(live.summary()) == rows(summary.summary(last))
+
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     for i, some in enumerate(files):  # each file comes to a stream that was started again
         write(source / f"{i}.jsonl", some)
         live.start(log.log_stream(spark, str(source), schema)).awaitTermination()
         right()
-    assert len(list((tmp_path / "live/sums").glob("batch=*"))) == 3
+        same_summary()
+        if i == 1:
+            live.fold()
+            same_summary()
+    assert len(list((tmp_path / "live/sums").glob("batch=*"))) == 3 and live.numbers("folded") == [1]
     state.LiveLog(spark, str(tmp_path / "live"), ["v"]).start(log.log_stream(spark, str(source), schema)).awaitTermination()  # nothing new
     right()
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
@@ -503,3 +512,51 @@ def test_stored_log_is_read_without_a_shuffle(spark):
     finally:
         stored.drop()
         spark.sql("DROP TABLE IF EXISTS stored_log_of_a_test_latest")
+
+
+def test_many_routers_in_one_fit(spark):
+    """Weights as those of single fits, for groups of different sizes and spreads; groups without enough rows have none."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for policy, split, n, a in (("p", 0, 300, 2.0), ("p", 1, 40, -1.0), ("q", 0, 120, 0.3), ("q", None, 60, 5.0), ("small", 0, 19, 1.0)):
+        x = rng.normal(a, 1 + abs(a), n)
+        for i, v in enumerate(x):
+            y = int(rng.random() < 1 / (1 + math.exp(-a * (v - a))))
+            rows.append((policy, split, None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(v), float(i % 3), 4.0, y if i % 17 else (y if i else None)))
+    df = spark.createDataFrame(rows, "policy string, split int, a double, b double, constant double, y int")
+    features = ["a", "b", "constant"]
+    many = routing.fitted_by(df, ["policy", "split"], features)
+    assert set(many) == {("p", 0), ("p", 1), ("q", 0), ("q", None)}
+    for (policy, split), router in many.items():
+        own = df.where((F.col("policy") == policy) & F.col("split").eqNullSafe(F.lit(split)))
+        one = routing.fitted(own, features)
+        assert np.allclose([router.bias, *router.weights, *router.mean, *router.std], [one.bias, *one.weights, *one.mean, *one.std], atol=1e-7)
+    scores = df.select("policy", "split", routing.score_by(many, ["policy", "split"]).alias("s"), many["q", None].score().alias("t")).collect()
+    assert all((r["s"] is None) == (r["policy"] == "small") and (r["policy"] != "q" or r["split"] is not None or r["s"] == pytest.approx(r["t"])) for r in scores)
+    assert routing.fitted_by(df.where("policy = 'small'"), ["policy"], features) == {}
+    # One job a round for all of them: as many as the slowest takes, and three before.
+    tracker, group = spark.sparkContext.statusTracker(), "routers"
+    spark.sparkContext.setJobGroup(group, group)
+    routing.fitted_by(df, ["policy", "split"], features)
+    together = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("singles", "singles")
+    for policy, split in many:
+        routing.fitted(df.where((F.col("policy") == policy) & F.col("split").eqNullSafe(F.lit(split))), features)
+    singles = len(tracker.getJobIdsForGroup("singles"))
+    spark.sparkContext.setJobGroup("others", "others")
+    assert together < singles
+
+
+def test_trained_router_knows_its_training(spark):
+    rng = random.Random(3)
+    rows = [("b" if t % 2 else "c", f"t{t}", "p", s, rng.random() < (0.8 if t % 3 else 0.3), None if t % 10 else "E", {"mean_logprob": float(t % 3) + rng.random()}) for t in range(120) for s in range(2)]
+    df = spark.createDataFrame(rows, "benchmark string, task_id string, policy string, seed int, correct boolean, error string, signals map<string,double>")
+    router = routing.trained(df, "p", split=0.6)
+    fine = [r for r in rows if r[5] is None]
+    at = {r["task_id"]: r["p"] for r in df.select("task_id", splits.split_position(F.col("task_id")).alias("p")).distinct().collect()}
+    train = [r for r in fine if at[r[1]] < 0.6]
+    assert router.features == ["mean_logprob"] and router.meta["policy"] == "p" and router.meta["benchmarks"] == "b,c" and router.meta["split_frac"] == "0.6"
+    assert int(router.meta["n_train"]) == len(train) and float(router.meta["base_rate"]) == pytest.approx(sum(r[4] for r in train) / len(train))
+    assert 0.5 < float(router.meta["train_auc"]) < 1 and 0 < float(router.meta["test_auc"]) < 1
+    alone = routing.trained(df, "p", ["b"])
+    assert alone.meta["benchmarks"] == "b" and "test_auc" not in alone.meta and alone.meta["split_frac"] == "None"
