@@ -40,6 +40,8 @@ SAMPLE = 4000
 SHORTEST, DENSE_TO = 4, 32
 #: Log-likelihood ratio that a term needs; share of the best one's from which a term is strong; overlap of documents (Jaccard) from which terms tell the same.
 EVIDENCE, STRONG, SAME = 18.0, 0.25, 0.8
+#: Terms that a task holds before it hands them on.
+HELD = 100_000
 #: How much more a longer term weighs; strong terms that come to the driver at once.
 MARGIN, PAGE = 0.5, 500
 FOUND = [("rank", pa.float64()), ("ratio", pa.float64()), ("term", pa.string()), ("docs", pa.list_(pa.int64())), ("clean", pa.int64())]
@@ -176,19 +178,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``term, docs, clean`` of each batch: the toxic documents that hold a term, and the number of clean ones."""
+    """``term, docs, clean``: the toxic documents that hold a term, and the number of clean ones; of some documents at a time, so a term may come again."""
+    docs, clean = defaultdict(list), Counter()
+
+    def out() -> pa.RecordBatch:
+        terms = [*(docs.keys() | clean.keys())]
+        held = pa.array([docs.get(t, []) for t in terms], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "docs": held, "clean": pa.array([clean[t] for t in terms], pa.int64())})
+
     for batch in batches:
-        docs, clean = defaultdict(list), Counter()
-        for doc, text, toxic in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            terms = terms_of(folded(text))
+        for doc, text, toxic in zip(batch["doc"].to_pylist(), batch["text"], batch["toxic"].to_pylist(), strict=True):
+            terms = terms_of(folded(text.as_py()))
             if toxic:
                 for t in terms:
                     docs[t].append(doc)
             else:
                 clean.update(terms)
-        terms = [*(docs.keys() | clean.keys())]
-        held = pa.array([docs.get(t, []) for t in terms], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "docs": held, "clean": pa.array([clean[t] for t in terms], pa.int64())})
+            if len(docs) + len(clean) > HELD:
+                yield out()
+                docs.clear()
+                clean.clear()
+    yield out()
 
 
 def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
