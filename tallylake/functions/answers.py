@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,50 +132,63 @@ def decimal_of(s: str) -> tuple[int, int] | None:
     return (n, int(m[2] or 0) - len(part) + len(whole + part) - len(digits)) if n else (0, 0)
 
 
-def same_fraction(a: pd.Series, b: pd.Series) -> pd.Series:
-    def value(s: str) -> Fraction | None:
-        try:
-            if s.startswith(("{", "-{")) and s.endswith("}"):
-                sign, (num, den) = (-1 if s[0] == "-" else 1), s.lstrip("-")[1:-1].split("}{")
-                return sign * Fraction(int(num), int(den))
-            return Fraction(s)
-        except (ValueError, ZeroDivisionError):
-            return None
+def fraction_of(s: str) -> Fraction | None:
+    try:
+        if s.startswith(("{", "-{")) and s.endswith("}"):
+            sign, (num, den) = (-1 if s[0] == "-" else 1), s.lstrip("-")[1:-1].split("}{")
+            return sign * Fraction(int(num), int(den))
+        return Fraction(s)
+    except (ValueError, ZeroDivisionError):
+        return None
 
-    def same(p: str | None, q: str | None) -> bool:
-        p, q = (p or "").replace("\\frac", ""), (q or "").replace("\\frac", "")
-        try:
-            x, y = decimal_of(p), decimal_of(q)
-        except ValueError:  # more digits than Python reads
-            return False
-        if x and y:
-            return x == y
-        if any(v and abs(v[1]) > 4 * (len(p) + len(q)) for v in (x, y)):
-            return False  # no fraction of so few digits has this value
-        return (v := value(p)) is not None and v == value(q)
 
-    return pd.Series([same(p, q) for p, q in zip(a, b, strict=True)], dtype=bool)
+def same_fraction(p: str | None, q: str | None) -> bool:
+    """Whether two normalised answers are the same number, of any length."""
+    p, q = (p or "").replace("\\frac", ""), (q or "").replace("\\frac", "")
+    try:
+        x, y = decimal_of(p), decimal_of(q)
+    except ValueError:  # more digits than Python reads
+        return False
+    if x and y:
+        return x == y
+    if any(v and abs(v[1]) > 4 * (len(p) + len(q)) for v in (x, y)):
+        return False  # no fraction of so few digits has this value
+    return (v := fraction_of(p)) is not None and v == fraction_of(q)
+
+
+def settled(found: pa.Array) -> pa.Array:
+    """``same``, or, of pairs that are open (``a, b`` are not null), whether they are the same number; each pair of a batch is looked at once."""
+    same, a, b = found.flatten()
+    out = same.fill_null(False).to_numpy(zero_copy_only=False).copy()
+    pairs = pa.table([a, b], names=["a", "b"]).filter(pc.is_valid(a))
+    if len(pairs):
+        held = [*zip(*(c.to_pylist() for c in pairs.columns), strict=True)]
+        answers = {pair: same_fraction(*pair) for pair in {*held}}
+        out[pc.is_valid(a).to_numpy(zero_copy_only=False)] = [answers[pair] for pair in held]
+    return pa.array(out)
 
 
 def equivalent(pred: Column, reference: Column, long_numbers: bool = False) -> Column:
     """Whether two answers are equal: normalised texts, else exact rationals. A null prediction is wrong.
 
-    Texts with digits that are no number of at most 18 digits a part (longer ones, or with exponents) are compared by a vectorised function;
-    ``long_numbers`` sends all others through it, too.
+    Both are normalised once, in one struct that goes through one vectorised function. That looks only at texts with digits that are no number of at most 18 digits a part
+    (longer ones, or with exponents), each pair once; ``long_numbers``: at all others that differ, too.
     """
-    def same(p: Column) -> Column:
+    return equivalent_of(compared(pred, reference), long_numbers)
+
+
+def equivalent_of(both: Column, long_numbers: bool = False) -> Column:
+    """``equivalent``, from what ``compared`` gives."""
+    def found(p: Column) -> Column:
         x, y = p["x"], p["y"]
         ok = x.isNotNull() & y.isNotNull() & ~F.coalesce(x["zero"], F.lit(False)) & ~F.coalesce(y["zero"], F.lit(False))
-        return (p["a"] == p["b"]) | (ok & (x["num"] * y["den"] == y["num"] * x["den"]))
-
-    def left(p: Column) -> Column:
+        same = (p["a"] == p["b"]) | (ok & (x["num"] * y["den"] == y["num"] * x["den"]))
         digit = r"\p{Nd}"
-        return (p["a"] != p["b"]) & p["a"].rlike(digit) & p["b"].rlike(digit) & (p["x"].isNull() | p["y"].isNull())
+        is_open = F.lit(True) if long_numbers else p["a"].rlike(digit) & p["b"].rlike(digit) & (x.isNull() | y.isNull())
+        is_open = is_open & (p["a"] != p["b"]) & ~F.coalesce(same, F.lit(False))
+        return F.struct(same.alias("same"), F.when(is_open, p["a"]).alias("a"), F.when(is_open, p["b"]).alias("b"))
 
-    both = compared(pred, reference)
-    needed = F.lit(True) if long_numbers else bound(both, left)
-    exact = F.pandas_udf(same_fraction, "boolean")(F.when(needed, normalised(pred)), F.when(needed, normalised(reference)))
-    return F.coalesce(bound(both, same) | exact, F.lit(False)).alias("equivalent")  # Spark cannot make up a name over the function's structs
+    return F.arrow_udf(settled, "boolean")(bound(both, found)).alias("equivalent")  # Spark cannot make up a name over the function's structs
 
 
 def compared(pred: Column, reference: Column) -> Column:
@@ -185,10 +199,15 @@ def compared(pred: Column, reference: Column) -> Column:
 
 def zero_division(pred: Column, reference: Column) -> Column:
     """``ZeroDivisionError`` where different answers hold a fraction with denominator zero, else null."""
+    return F.when(pred.isNotNull(), zero_division_of(compared(pred, reference)))
+
+
+def zero_division_of(both: Column) -> Column:
+    """``zero_division``, from what ``compared`` gives."""
     def divides(p: Column) -> Column:
         return (p["a"] != p["b"]) & (F.coalesce(p["x"]["zero"], F.lit(False)) | F.coalesce(p["y"]["zero"], F.lit(False)))
 
-    return F.when(pred.isNotNull() & bound(compared(pred, reference), divides), F.lit("ZeroDivisionError"))
+    return F.when(bound(both, divides), F.lit("ZeroDivisionError"))
 
 
 def extracted_code(text: Column) -> Column:

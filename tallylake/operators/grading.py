@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylake.functions.answers import equivalent, extracted_answer, extracted_code, stripped, zero_division
+from tallylake.functions.answers import compared, equivalent_of, extracted_answer, extracted_code, stripped, zero_division_of
 
 
 def graded_math(outputs: DataFrame, tasks: DataFrame, long_numbers: bool = False) -> DataFrame:
     """``outputs`` (``benchmark, task_id, output``, more) with ``pred, correct, grade_detail, error`` by the tasks' references."""
     refs = tasks.where("kind = 'math'").select("benchmark", "task_id", "reference")
     with_pred = outputs.join(refs, ["benchmark", "task_id"]).withColumn("pred", extracted_answer(F.col("output")))
-    correct = equivalent(F.col("pred"), F.col("reference"), long_numbers)
-    return with_pred.withColumns({"correct": correct, "grade_detail": F.lit(""), "error": zero_division(F.col("pred"), F.col("reference"))})
+    # A generator stands between the comparison and what uses it, so that it is made once.
+    both = with_pred.select("*", F.explode(F.array(compared(F.col("pred"), F.col("reference")))).alias("_both"))
+    error = F.when(F.col("pred").isNotNull(), zero_division_of(F.col("_both")))
+    return both.withColumns({"correct": equivalent_of(F.col("_both"), long_numbers), "grade_detail": F.lit(""), "error": error}).drop("_both")
 
 
 def graded_code(outputs: DataFrame, results: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Answers, prompts, code blocks and grading on literal cases."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,18 @@ def test_prompts(spark):
     assert spark.range(1).select(prompts.cut_thoughts(F.lit("a</think>b</think>c"))).first()[0] == "a"
     with pytest.raises(Exception):
         df.withColumn("kind", F.lit("art")).select(prompts.user_message("cot")).collect()
+
+
+def test_answers_are_normalised_once_and_open_pairs_are_looked_at_once(spark, monkeypatch):
+    rows = [("1", "1"), ("1/2", "0.5"), ("x", "y"), (None, "1"), ("1" * 30, "1" * 30 + ".0"), ("1" * 30, "1" * 30 + ".0"), ("1e3", "1000"), ("1e3", "1001"), ("$7$", "7")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = df.select(answers.equivalent(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+    once = df.select(answers.normalised(F.col("a")).alias("n"))._jdf.queryExecution().executedPlan().toString().count("regexp_replace")
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("regexp_replace") == 2 * once
+    assert [r[0] for r in df.select(answers.equivalent(F.col("a"), F.col("b"))).collect()] == [True, True, False, False, True, True, True, False, True]
+    asked = []
+    monkeypatch.setattr(answers, "same_fraction", lambda p, q: asked.append((p, q)) or True)
+    found = pa.StructArray.from_arrays([pa.array([True, None, None, False, False]), pa.array([None, "1", None, "1", "2"]), pa.array([None, "2", None, "2", "3"])], ["same", "a", "b"])
+    assert answers.settled(found).to_pylist() == [True, True, False, True, True] and sorted(asked) == [("1", "2"), ("2", "3")]
