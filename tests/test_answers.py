@@ -97,7 +97,7 @@ def test_prompts(spark):
 
 
 def test_answers_are_normalised_once_and_open_pairs_are_looked_at_once(spark, monkeypatch):
-    rows = [("1", "1"), ("1/2", "0.5"), ("x", "y"), (None, "1"), ("1" * 30, "1" * 30 + ".0"), ("1" * 30, "1" * 30 + ".0"), ("1e3", "1000"), ("1e3", "1001"), ("$7$", "7")]
+    rows = [("1", "1"), ("1/2", "0.5"), ("x", "y"), (None, "1"), ("1" * 30, "1" * 30 + ".0"), ("1" * 30, "1" * 30 + ".0"), ("1e-3", "0.001"), ("1e-3", "0.002"), ("$7$", "7")]
     df = spark.createDataFrame(rows, "a string, b string")
     spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
     plan = df.select(answers.equivalent(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
