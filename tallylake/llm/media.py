@@ -1,7 +1,8 @@
 """Interleaved document sequences: text and media in reading order, media payloads resolved by digest.
 
 HTML is parsed into ordered items, each text or a media reference (digest and caption). References are exploded with their positions and
-joined with a media table on the digest; the digests with the most references are salted on both sides, some 256 references a salt.
+joined with a media table on the digest; every digest with more than ``PER_SALT`` references is salted on both sides, some 256 references a salt. What was read back of the media meets the page's
+texts by position again, so each page is one sequence, whose digest covers the place, kind, content and caption of all its items.
 Media are stored as losslessly compressed images of 8-bit samples: rows of 64 RGB pixels, 192 bytes each.
 
 Cases: a null or empty text or page has no text item; a reference whose digest the media table lacks keeps its place with a null payload; repeated rows
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, text_or_empty
+from .common import checkpointed, hot_keys, text_or_empty
 
 ROW = 192
 SCHEME = "sha256:"
 ITEMS = "array<struct<position:int,items:int,kind:string,text:string,digest:string,caption:string>>"
 #: References to a hot digest that one salt holds, about.
 PER_SALT = 256
+#: Paragraphs of a page that share a figure.
+GROUP = 16
 
 # ---- stored form: PNG, 8-bit RGB, 64 pixels wide -------------------------------------------------------------------
 
@@ -197,7 +200,7 @@ def resolved(items: DataFrame, media: DataFrame, counts: DataFrame) -> DataFrame
 
     ``counts``: ``digest, n``, the number of references to each digest, from which hot ones are told.
     """
-    hot = F.broadcast(hot_keys(counts, "n").select("digest", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
+    hot = checkpointed(counts.where(F.col("n") > PER_SALT).select("digest", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
     refs = items.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in items.columns if c != "caption"]), salts).cast("int")).drop("salts")
     copies = media.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
@@ -207,20 +210,47 @@ def resolved(items: DataFrame, media: DataFrame, counts: DataFrame) -> DataFrame
 def pages_with_media(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``documents`` as interleaved pages and their media: ``(pages, media, counts)``.
 
-    Every document becomes a page with each line of its text as a paragraph, and after the first half of them a figure whose media holds the whole text.
-    A digest that many documents share is stored by one of them alone.
+    Every document becomes a page with each line of its text as a paragraph. After each ``GROUP`` of them comes a figure of the first of these, and after the first half of the groups one whose media holds
+    the whole text. A digest that many documents share is stored by one of them alone.
     """
     t = text_or_empty(text)
-    with_digest = docs.select("doc_id", t.alias("text")).withColumn("payload", payload_of(F.col("text")))
-    with_digest = with_digest.withColumn("digest", F.sha2("payload", 256))
-    escaped = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    lines, half = F.split(escaped(F.col("text")), "\n"), F.ceil(F.size(F.split("text", "\n")) / 2).cast("int")
-    paragraphs = lambda start, n: F.concat(F.lit("<p>"), F.array_join(F.slice(lines, start, n), "</p><p>"), F.lit("</p>"))
-    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), "digest", F.lit('"><figcaption>'), F.concat_ws(" ", F.octet_length("text"), F.lit("bytes")), F.lit("</figcaption></figure>"))
-    html = F.concat(F.lit("<article>"), paragraphs(F.lit(1), half), figure, paragraphs(half + 1, F.size(lines) - half), F.lit("</article>"))
-    pages = with_digest.select("doc_id", html.alias("html"))
-    counts = with_digest.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
+    whole = docs.select("doc_id", t.alias("text")).withColumn("payload", payload_of(F.col("text")))
+    whole = whole.withColumn("digest", F.sha2("payload", 256))
+    lines = F.split("text", "\n")
+    firsts = F.transform(F.sequence(F.lit(0), F.size(lines) - 1, F.lit(GROUP)), lambda i: F.get(lines, i))
+    digests = F.transform(firsts, lambda x: F.sha2(payload_of(x), 256))
+    escaped = F.transform(lines, lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
+    figure = lambda digest, *caption: F.concat(F.lit(f'<figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>'), F.concat_ws(" ", *caption), F.lit("</figcaption></figure>"))
+    laid = whole.select("doc_id", "digest", F.octet_length("text").alias("n_bytes"), escaped.alias("lines"), digests.alias("digests"))
+    group = lambda d, i: F.concat(F.lit("<p>"), F.array_join(F.slice("lines", i * GROUP + 1, F.lit(GROUP)), "</p><p>"), F.lit("</p>"), figure(d, F.lit("paragraph"), i * GROUP + 1))
+    half = F.ceil(F.size("digests") / 2).cast("int")
+    laid = laid.select("doc_id", "digest", "n_bytes", half.alias("half"), F.transform("digests", group).alias("groups"))
+    html = F.concat(F.lit("<article>"), F.array_join(F.slice("groups", F.lit(1), F.col("half")), ""), figure(F.col("digest"), "n_bytes", F.lit("bytes")), F.array_join(F.slice("groups", F.col("half") + 1, F.size("groups")), ""), F.lit("</article>"))
+    pages = laid.select("doc_id", html.alias("html"))
+    counts = whole.select("doc_id", F.explode(F.concat(F.array("digest"), digests)).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
+    counts = checkpointed(counts.where(F.col("n") > 1))
     kept = F.broadcast(hot_keys(counts, "n").select("digest", "keeper"))
-    stored_by = with_digest.join(kept, "digest", "left").where(F.col("keeper").isNull() | (F.col("keeper") == F.col("doc_id")))
+    own = F.array(F.struct("digest", "payload"))
+    small = F.transform(F.array_distinct(firsts), lambda x: F.struct(F.sha2(payload_of(x), 256).alias("digest"), payload_of(x).alias("payload")))
+    stored_by = whole.select("doc_id", F.explode(F.concat(own, small)).alias("m")).select("doc_id", "m.*").join(kept, "digest", "left").where(F.col("keeper").isNull() | (F.col("keeper") == F.col("doc_id")))
     media = stored_by.select("digest", stored_form(F.col("payload")).alias("media"))
     return pages, media, counts.select("digest", "n")
+
+
+def page_sequences(pages: DataFrame, media: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per page: ``doc_id``, what is read back of the figure of its whole text (caption ``n bytes``) with its ``position``, and ``items, n_media, sequence_sha256`` of all its items in order.
+
+    An item's content is the digest of its text, or that of the payload that was read back; a missing payload has none.
+    """
+    named = pages.withColumn("page", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "html")))
+    items = sequence(named)
+    texts = items.where("kind = 'text'").select("doc_id", "page", "position", "items", "kind", F.lit(None).cast("string").alias("caption"), F.sha2("text", 256).alias("content"), F.lit(None).cast(PROBE).alias("probe"))
+    found = resolved(items.where("kind = 'media'"), media, counts).withColumn("probe", probed(F.col("media")))
+    refs = found.select("doc_id", "page", "position", "items", "kind", "caption", F.col("probe.payload_sha256").alias("content"), F.when(F.endswith("caption", F.lit(" bytes")), F.col("probe")).alias("probe"))
+    # Rows that repeat give the same page: each of its items comes together first, with their number.
+    each = texts.unionByName(refs).groupBy("page", "position").agg(F.count("*").alias("n"), F.first(F.struct("doc_id", "items", "kind", "caption", "content", "probe")).alias("item"))
+    line = F.concat_ws(":", F.col("position"), "item.kind", F.coalesce("item.content", F.lit("")), F.coalesce("item.caption", F.lit(""))).alias("line")
+    whole = F.first(F.when(F.endswith("item.caption", F.lit(" bytes")), F.struct("item.doc_id", "position", "item.items", "item.caption", "item.probe", "n")), ignorenulls=True)
+    page = each.groupBy("page").agg(whole.alias("w"), F.array_sort(F.collect_list(F.struct("position", line))).alias("lines"), F.count_if(F.col("item.kind") == "media").alias("n_media"))
+    out = page.select("w.*", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("sequence_sha256"), "n_media")
+    return out.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("_", "n")

@@ -39,11 +39,9 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pages, stored, counts = media.pages_with_media(docs)
-    items = media.sequence(pages).where("kind = 'media'")
-    found = media.resolved(items, stored, counts).withColumn("probe", media.probed(F.col("media")))
+    found = media.page_sequences(*media.pages_with_media(docs))
     n_bytes = F.split("caption", " ")[0].cast("long").alias("n_bytes")
-    return found.select("doc_id", n_bytes, "probe.*", "position", "items", "caption")
+    return found.select("doc_id", n_bytes, "probe.*", "position", "items", "caption", "n_media", "sequence_sha256")
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from tallylake.llm.common import shared_folder
 
 from .test_models import labelled, plain_base, plain_score, plain_top
 from .test_simhash import plain_components, plain_fingerprint
-from .test_web_and_chat import plain_replies
+from .test_web_and_chat import plain_page, plain_replies
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
@@ -91,18 +91,56 @@ def test_op3(spark, tables, rows):
     same(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], want)
 
 
+def decoded(png):
+    """Width, height and RGB rows of a PNG file, by the format's rules: checked chunks, and any filter of rows."""
+    assert png[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, head = 8, b"", None
+    while at < len(png):
+        size = int.from_bytes(png[at : at + 4], "big")
+        kind, body = png[at + 4 : at + 8], png[at + 8 : at + 8 + size]
+        assert int.from_bytes(png[at + 8 + size : at + 12 + size], "big") == zlib.crc32(kind + body)
+        head = body if kind == b"IHDR" else head
+        data += body if kind == b"IDAT" else b""
+        at += size + 12
+    assert kind == b"IEND" and head[8:] == bytes([8, 2, 0, 0, 0])
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    raw, rows = zlib.decompress(data), []
+    assert len(raw) == height * (3 * width + 1)
+    for y in range(height):
+        line = raw[y * (3 * width + 1) : (y + 1) * (3 * width + 1)]
+        up, row = rows[-1] if rows else bytes(3 * width), bytearray()
+        for x, v in enumerate(line[1:]):
+            a, b, c = row[x - 3] if x > 2 else 0, up[x], up[x - 3] if x > 2 else 0
+            paeth = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            row.append((v + (0, a, b, (a + b) // 2, paeth)[line[0]]) % 256)
+        rows.append(bytes(row))
+    return width, height, rows
+
+
+def plain_feature(width, height, rows):
+    colours = [sum(sum(row[c::3]) for row in rows) * 1000 // (width * height) for c in range(3)]
+    edges = sum(abs(row[x + 3] - row[x]) for row in rows for x in range(3 * width - 3))
+    return f"{width}x{height} mean {colours[0]},{colours[1]},{colours[2]} edges {edges}"
+
+
 def test_op4(spark, tables, rows):
-    want = []
-    for i, t in rows:
-        raw = (t or "").encode()
-        p = raw + b" " * (-len(raw) % 192 if raw else 192)
-        m = media.stored(p)
-        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), media.feature(p)))
     out = answer(spark, tables, "op4_media_sequences")
     assert [k for _, k in out.select("doc_id", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes").dtypes] == ["bigint"] * 5
-    same(out, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], want)
-    lines = lambda t: [bool(x.strip()) for x in (t or "").split("\n")]
-    same(out, ["doc_id", "position", "items"], [(i, sum(lines(t)[: (len(lines(t)) + 1) // 2]), sum(lines(t)) + 1) for i, t in rows])
+    _, stored, _ = media.pages_with_media(spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text"))
+    files = {hashlib.sha256(r["media"]).hexdigest(): r["media"] for r in stored.collect()}
+    want = []
+    for i, t in rows:
+        items = plain_page(t)
+        place, payload = next((n, x[1]) for n, x in enumerate(items) if x[-1] == f"{len((t or '').encode())} bytes")
+        lines = [f"{n}:text:{hashlib.sha256(x[1].encode()).hexdigest()}:" if x[0] == "text" else f"{n}:media:{hashlib.sha256(x[1]).hexdigest()}:{x[2]}" for n, x in enumerate(items)]
+        width, height = 64, len(payload) // 192
+        pixels = [payload[k : k + 192] for k in range(0, len(payload), 192)]
+        want.append((i, len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), plain_feature(width, height, pixels), place, len(items), sum(x[0] == "media" for x in items), hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    same(out, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "position", "items", "n_media", "sequence_sha256"], want)
+    for r in out.collect():  # the stored file, read by the rules of its format
+        file = files[r["media_sha256"]]
+        width, height, pixels = decoded(file)
+        assert len(file) == r["media_bytes"] and hashlib.sha256(b"".join(pixels)).hexdigest() == r["payload_sha256"] and plain_feature(width, height, pixels) == r["feature"]
 
 
 def test_op5(spark, tables):

@@ -92,20 +92,40 @@ def test_parsed_items():
     assert media.parsed("") == [] and media.parsed("<p>") == []
 
 
+def padded(text):
+    raw = text.encode()
+    return raw + b" " * (-len(raw) % 192 if raw else 192)
+
+
+def plain_page(text):
+    """The items of a page: ``("text", text)`` or ``("media", payload, caption)``."""
+    t = text or ""
+    lines, out = t.split("\n"), []
+    groups = [lines[i : i + 16] for i in range(0, len(lines), 16)]
+    for k, group in enumerate(groups):
+        out += [("text", x.strip()) for x in group if x.strip()] + [("media", padded(group[0]), f"paragraph {16 * k + 1}")]
+        if k == (len(groups) + 1) // 2 - 1:
+            out.append(("media", padded(t), f"{len(t.encode())} bytes"))
+    return out
+
+
 def test_media_sequences(spark):
-    texts = ["hello <b> & more\nsecond line", "", None, "x" * 192, "é" * 100, " ", "hot"] + ["hot"] * 300 + ["long " * 5000]
+    texts = ["hello <b> & more\nsecond line", "", None, "x" * 192, "é" * 100, " ", "hot"] + ["hot"] * 300 + ["long " * 5000, "line\n" * 40, "\n".join(map(str, range(33)))]
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)] + [(0, texts[0], "n"), (None, "no id", "n")], "doc_id long, text string, digest string")
     pages, stored, counts = media.pages_with_media(docs.select("doc_id", "text"))
     items = media.sequence(pages)
     found = media.resolved(items.where("kind = 'media'"), stored, counts).withColumn("probe", media.probed(F.col("media"))).select("doc_id", "position", "caption", "probe.*").collect()
-    assert len(found) == len(texts) + 2
+    want = [(i, n, x[1], x[2]) for i, t in [*enumerate(texts), (0, texts[0]), (None, "no id")] for n, x in enumerate(plain_page(t)) if x[0] == "media"]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(((r["doc_id"], r["position"], r["payload_sha256"], r["caption"]) for r in found), key=key)
+    assert got == sorted(((i, n, hashlib.sha256(p).hexdigest(), c) for i, n, p, c in want), key=key)
+    payloads = {hashlib.sha256(p).hexdigest(): p for _, _, p, _ in want}
     for r in found:
-        t = ("no id" if r["doc_id"] is None else texts[r["doc_id"]] or "").encode()
-        payload = t + b" " * (192 - len(t) if not t else -len(t) % 192)
-        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["payload_bytes"] == len(payload)
-        assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["caption"] == f"{len(t)} bytes" and r["feature"] == media.feature(payload)
+        payload = payloads[r["payload_sha256"]]
+        assert r["payload_bytes"] == len(payload) and r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["feature"] == media.feature(payload)
         assert r["media_sha256"] == hashlib.sha256(media.stored(payload)).hexdigest() and r["media_bytes"] == len(media.stored(payload))
-        assert r["position"] == (1 if t.decode().split("\n")[0].strip() else 0)
+    hot = counts.where("n > 256").collect()  # a digest of many references is salted by its count, and stored a few times only
+    assert [r["n"] for r in hot] == [602] and stored.where(F.col("digest") == hot[0]["digest"]).count() <= 2
 
 
 def test_pages_hold_every_line(spark):
@@ -114,14 +134,9 @@ def test_pages_hold_every_line(spark):
     pages, _, _ = media.pages_with_media(docs)
     got = {}
     for r in media.sequence(pages).collect():
-        got.setdefault(r["doc_id"], {})[r["position"]] = r["text"] if r["kind"] == "text" else (r["digest"], r["caption"])
+        got.setdefault(r["doc_id"], {})[r["position"]] = ("text", r["text"]) if r["kind"] == "text" else ("media", r["digest"], r["caption"])
     for i, t in enumerate(texts):
-        raw = (t or "").encode()
-        lines = (t or "").split("\n")
-        half = (len(lines) + 1) // 2
-        figure = (hashlib.sha256(raw + b" " * (-len(raw) % 192 if raw else 192)).hexdigest(), f"{len(raw)} bytes")
-        want = [x.strip() for x in lines[:half] if x.strip()] + [figure] + [x.strip() for x in lines[half:] if x.strip()]
-        assert [got[i][n] for n in range(len(got[i]))] == want
+        assert [got[i][n] for n in range(len(got[i]))] == [x if x[0] == "text" else ("media", hashlib.sha256(x[1]).hexdigest(), x[2]) for x in plain_page(t)]
 
 
 def test_missing_media_keep_their_place(spark):
