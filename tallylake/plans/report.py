@@ -13,6 +13,7 @@ from tallylake.operators.bootstrap import histogram_intervals
 from tallylake.operators.frontier import compute_to_target, pareto_frontier, with_frontier_flag
 from tallylake.operators.replay import against_fixed, even_grid, oracle, swept
 from tallylake.operators.summary import accuracy_by_level, summary
+from tallylake.sources.runlog import checkpointed, settings
 
 SLACK, BAR = 0.01, 0.60
 
@@ -131,13 +132,22 @@ def section(own: dict[str, list[dict]]) -> list[str]:
     return out
 
 
+def dealt_once(records: DataFrame) -> DataFrame:
+    """``records`` as several tables of a report read them: computed once, dealt by (benchmark, task), without the long steps.
+
+    Adaptive execution would hide how the checkpoint's rows are dealt, so it is off for this step.
+    """
+    with settings(records.sparkSession, {"spark.sql.adaptive.enabled": "false"}):
+        return checkpointed(records.drop("steps").repartition("benchmark", "task_id"))
+
+
 def report(records: DataFrame, oracle_of: Sequence[str] = (), stages: Sequence[str] = (), scores: Sequence[Column] = (), grid: Sequence[float] | None = None, reference: str | None = None, split: float | None = None, params_b: float | None = None, n_boot: int = 2000) -> Report:
     """All tables of a run log that holds the latest record per key.
 
-    Records are dealt by (benchmark, task) once; grouping by key, by task and seed, and by task reuses that. Without a ``grid`` the sweep has 21 points from 0 to 1, which router scores lie in.
+    Records are dealt by (benchmark, task) once and kept in the shared folder without their steps; grouping by key, by task and seed, and by task reuses that without a shuffle. Without a ``grid`` the sweep has 21 points from 0 to 1, which router scores lie in.
     The hindsight oracle is a row of the policies, and no fixed policy: neither the target check nor the differences compare the cascade with it.
     """
-    some = held_out(records, split).repartition("benchmark", "task_id")
+    some = dealt_once(held_out(records, split))
     policies = policy_table(some, oracle_of, params_b, n_boot)
     sweep = swept(some, stages, scores, even_grid() if grid is None else grid) if stages else None
     points = policies.select("benchmark", "policy", "gen_tokens", "accuracy", "hindsight")

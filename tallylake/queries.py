@@ -420,8 +420,12 @@ checked AS (SELECT b.*, CASE WHEN s.y0 IS NULL THEN s.x1 ELSE s.x0 + (target - s
   LEFT JOIN cut c ON c.benchmark = b.benchmark AND c.y1 >= target AND (c.y0 IS NULL OR c.y0 < target))"""
 
 
+#: What replays and summaries need of a record.
+NARROW = ("benchmark", "task_id", "policy", "seed", "correct", "error", "calls", "prefill_tokens", "generated_tokens", "thinking_tokens", "latency_s", "mean_logprob")
+
+
 def checked_targets(spark, sf_dir) -> DataFrame:
-    records = fixtures.attempts(spark, sf_dir)
+    records = report.dealt_once(fixtures.attempts(spark, sf_dir).select(*NARROW))
     return report.target_check(fixtures.points(summary.summary(records)), sweep(records), "B3")
 
 
@@ -449,7 +453,7 @@ SELECT c.benchmark, round(c.threshold, 9) AS threshold, c.fixed, count(*) AS tas
 FROM casc c JOIN flat f ON f.benchmark = c.benchmark AND f.task_id = c.task_id AND f.fixed = c.fixed GROUP BY ALL""", "attempts")
 def cascade_against_fixed(spark, sf_dir):
     """Per benchmark the cascade at its chosen threshold against the best fixed policy at its budget, over the tasks of both."""
-    records = fixtures.attempts(spark, sf_dir)
+    records = report.dealt_once(fixtures.attempts(spark, sf_dir).select(*NARROW))
     points, curve = fixtures.points(summary.summary(records)), sweep(records)
     chosen = report.chosen_thresholds(curve, report.target_check(points, curve, "B3"))
     pairs = replay.against_fixed(records, points, curve, chosen, STAGES, [logprob_score()])
@@ -459,7 +463,7 @@ def cascade_against_fixed(spark, sf_dir):
 @query()
 def success_bar(spark, sf_dir):
     """Benchmarks on which the cascade needs few enough tokens and differs from the best fixed policy at its budget, by 2,000 replicates of their paired tasks."""
-    records = fixtures.attempts(spark, sf_dir)
+    records = report.dealt_once(fixtures.attempts(spark, sf_dir).select(*NARROW))
     points, curve = fixtures.points(summary.summary(records)), sweep(records)
     check = report.target_check(points, curve, "B3")
     return report.success_bar(check, report.cascade_intervals(records, points, curve, check, STAGES, [logprob_score()]))

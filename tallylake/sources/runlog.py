@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="spark-shared-")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of a session, for a while."""
+    before = {c: spark.conf.get(c, None) for c in values}
+    try:
+        for c, v in values.items():
+            spark.conf.set(c, v)
+        yield
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -12,7 +12,6 @@ sort; a null ``correct`` counts as wrong; an empty error is none. A stream start
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -23,7 +22,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from tallylake.operators.summary import COSTS, present, share, summary_of_tasks
 from tallylake.schemas import KEY
-from tallylake.sources.runlog import has_key
+from tallylake.sources.runlog import has_key, settings
 
 #: The store that map state needs; its changes are logged, not copied whole.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
@@ -69,19 +68,6 @@ class LatestPerKey(StatefulProcessor):
         pass
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Settings of a session, for a while."""
-    before = {c: spark.conf.get(c, None) for c in values}
-    try:
-        for c, v in values.items():
-            spark.conf.set(c, v)
-        yield
-    finally:
-        for c, v in before.items():
-            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
-
-
 class LiveLog:
     """A run log kept up to date by a stream in ``folder``, which the cluster shares: ``latest`` records, ``progress`` and ``summary``."""
 

@@ -298,6 +298,13 @@ def test_report_keeps_the_oracle_out_of_fixed_policies(spark):
     assert [r["policy"] for r in report.fixed_points(named).collect()] == ["A"]
 
 
+def test_a_report_deals_its_records_once(spark):
+    kept = report.dealt_once(generated(spark).withColumn("steps", F.array(F.lit("long"))))
+    assert "steps" not in kept.columns
+    for build in (summary.task_counts, lambda x: replay.oracle(x, ["A", "B", "C"]), lambda x: replay.staged(x, ["A", "B"], [routing.signal_score(F.col("score"))])):
+        assert "Exchange" not in build(kept)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sweep_and_curve_equal_replays(spark):
     rng = random.Random(8)
     some = lambda: rng.choice([None, float("nan"), 0.1, 0.4, 0.4, 0.7, -1.0])
