@@ -238,19 +238,24 @@ def pages_with_media(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
 
 
 def page_sequences(pages: DataFrame, media: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row per page: ``doc_id``, what is read back of the figure of its whole text (caption ``n bytes``) with its ``position``, and ``items, n_media, sequence_sha256`` of all its items in order.
+    """One row per page: ``doc_id``, what is read back of the figure of its whole text (caption ``n bytes``) with its ``position``, and ``items, n_media, sequence_sha256`` of all its items.
 
-    An item's content is the digest of its text, or that of the payload that was read back; a missing payload has none.
+    The page's texts are one digest of their places and contents from the start; each of its media is a line of place, payload read back (none, where it is missing) and caption. ``sequence_sha256`` covers them in order.
     """
     named = pages.withColumn("page", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "html")))
-    items = sequence(named)
-    texts = items.where("kind = 'text'").select("doc_id", "page", "position", "items", "kind", F.lit(None).cast("string").alias("caption"), F.sha2("text", 256).alias("content"), F.lit(None).cast(PROBE).alias("probe"))
-    found = resolved(items.where("kind = 'media'"), media, counts).withColumn("probe", probed(F.col("media")))
-    refs = found.select("doc_id", "page", "position", "items", "kind", "caption", F.col("probe.payload_sha256").alias("content"), F.when(F.endswith("caption", F.lit(" bytes")), F.col("probe")).alias("probe"))
-    # Rows that repeat give the same page: each of its items comes together first, with their number.
-    each = texts.unionByName(refs).groupBy("page", "position").agg(F.count("*").alias("n"), F.first(F.struct("doc_id", "items", "kind", "caption", "content", "probe")).alias("item"))
-    line = F.concat_ws(":", F.col("position"), "item.kind", F.coalesce("item.content", F.lit("")), F.coalesce("item.caption", F.lit(""))).alias("line")
-    whole = F.first(F.when(F.endswith("item.caption", F.lit(" bytes")), F.struct("item.doc_id", "position", "item.items", "item.caption", "item.probe", "n")), ignorenulls=True)
-    page = each.groupBy("page").agg(whole.alias("w"), F.array_sort(F.collect_list(F.struct("position", line))).alias("lines"), F.count_if(F.col("item.kind") == "media").alias("n_media"))
-    out = page.select("w.*", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("sequence_sha256"), "n_media")
+    listed = named.select("doc_id", "page", items_of(F.col("html")).alias("list"))
+    texts = F.transform(F.filter("list", lambda x: x["kind"] == "text"), lambda x: F.concat_ws(":", x["position"], F.sha2(x["text"], 256)))
+    # The page's own name is no digest of any media, and spreads the rows of texts.
+    item = lambda place, kind, digest, caption, content: F.struct(place.alias("position"), F.lit(kind).alias("kind"), digest.alias("digest"), caption.alias("caption"), content.cast("binary").alias("content"))
+    own = item(F.lit(-1), "texts", F.col("page"), F.lit(None).cast("string"), F.unhex(F.sha2(F.array_join(texts, "\n"), 256)))
+    refs = F.transform(F.filter("list", lambda x: x["kind"] == "media"), lambda x: item(x["position"], "media", x["digest"], x["caption"], F.lit(None)))
+    rows = listed.select("doc_id", F.unhex("page").alias("page"), F.size("list").alias("items"), F.explode(F.concat(refs, F.array(own))).alias("i")).select("doc_id", "page", "items", "i.*")
+    found = resolved(rows, media, counts).withColumn("probe", probed(F.col("media")))
+    main = F.endswith("caption", F.lit(" bytes"))
+    whole = F.first(F.when(main, F.struct("doc_id", "position", "items", "caption", "probe")), ignorenulls=True)
+    # Rows that repeat have the same page: a set holds each of its items once, from the start.
+    each = F.collect_set(F.struct("position", "kind", F.coalesce("content", F.unhex("probe.payload_sha256")).alias("content"), "caption"))
+    page = found.groupBy("page").agg(whole.alias("w"), F.array_sort(each).alias("lines"), F.count_if(F.col("kind") == "texts").alias("n"))
+    line = F.transform("lines", lambda x: F.concat_ws(":", x["position"], x["kind"], F.coalesce(F.lower(F.hex(x["content"])), F.lit("")), F.coalesce(x["caption"], F.lit(""))))
+    out = page.select("n", "w.*", F.sha2(F.array_join(line, "\n"), 256).alias("sequence_sha256"), (F.size("lines") - 1).cast("long").alias("n_media"))
     return out.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("_", "n")

@@ -132,7 +132,8 @@ def test_op4(spark, tables, rows):
     for i, t in rows:
         items = plain_page(t)
         place, payload = next((n, x[1]) for n, x in enumerate(items) if x[-1] == f"{len((t or '').encode())} bytes")
-        lines = [f"{n}:text:{hashlib.sha256(x[1].encode()).hexdigest()}:" if x[0] == "text" else f"{n}:media:{hashlib.sha256(x[1]).hexdigest()}:{x[2]}" for n, x in enumerate(items)]
+        texts = "\n".join(f"{n}:{hashlib.sha256(x[1].encode()).hexdigest()}" for n, x in enumerate(items) if x[0] == "text")
+        lines = [f"-1:texts:{hashlib.sha256(texts.encode()).hexdigest()}:", *(f"{n}:media:{hashlib.sha256(x[1]).hexdigest()}:{x[2]}" for n, x in enumerate(items) if x[0] == "media")]
         width, height = 64, len(payload) // 192
         pixels = [payload[k : k + 192] for k in range(0, len(payload), 192)]
         want.append((i, len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), plain_feature(width, height, pixels), place, len(items), sum(x[0] == "media" for x in items), hashlib.sha256("\n".join(lines).encode()).hexdigest()))
