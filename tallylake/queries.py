@@ -445,10 +445,13 @@ def report_targets(spark, sf_dir):
     return rounded(made.target)
 
 
-@query(TARGET_SQL + """, chosen AS (SELECT s.benchmark, s.threshold, s.gen_tokens AS budget, row_number() OVER (PARTITION BY s.benchmark ORDER BY s.gen_tokens, s.threshold) AS place FROM sweep s JOIN base b ON b.benchmark = s.benchmark AND s.accuracy >= b.target),
+AGAINST_SQL = TARGET_SQL + """, chosen AS (SELECT s.benchmark, s.threshold, s.gen_tokens AS budget, row_number() OVER (PARTITION BY s.benchmark ORDER BY s.gen_tokens, s.threshold) AS place FROM sweep s JOIN base b ON b.benchmark = s.benchmark AND s.accuracy >= b.target),
 best AS (SELECT c.benchmark, c.threshold, p.policy AS fixed, row_number() OVER (PARTITION BY c.benchmark ORDER BY p.accuracy DESC, p.gen_tokens, p.policy DESC) AS rank FROM chosen c JOIN points p ON p.benchmark = c.benchmark AND p.gen_tokens <= c.budget WHERE c.place = 1),
 casc AS (SELECT r.benchmark, r.task_id, b.threshold, b.fixed, avg(ok) AS acc_a, avg(tok) AS tok_a FROM run r JOIN best b ON b.benchmark = r.benchmark AND b.threshold = CAST(r.t AS DOUBLE) AND b.rank = 1 GROUP BY ALL),
-flat AS (SELECT benchmark, task_id, policy AS fixed, avg(CAST(correct AND error IS NULL AS INT)) AS acc_b, avg(coalesce(generated_tokens, 0)) AS tok_b FROM attempts GROUP BY ALL)
+flat AS (SELECT benchmark, task_id, policy AS fixed, avg(CAST(correct AND error IS NULL AS INT)) AS acc_b, avg(coalesce(generated_tokens, 0)) AS tok_b FROM attempts GROUP BY ALL)"""
+
+
+@query(AGAINST_SQL + """
 SELECT c.benchmark, round(c.threshold, 9) AS threshold, c.fixed, count(*) AS tasks, round(avg(acc_a - acc_b), 9) AS accuracy_diff, round(avg(tok_a) / avg(tok_b), 9) AS token_ratio
 FROM casc c JOIN flat f ON f.benchmark = c.benchmark AND f.task_id = c.task_id AND f.fixed = c.fixed GROUP BY ALL""", "attempts")
 def cascade_against_fixed(spark, sf_dir):
@@ -469,6 +472,21 @@ def success_bar(spark, sf_dir):
     return report.success_bar(check, report.cascade_intervals(records, points, curve, check, STAGES, [logprob_score()]))
 
 
+@query(AGAINST_SQL + f""", pairs AS (SELECT c.benchmark, c.task_id, acc_a - acc_b AS value FROM casc c JOIN flat f ON f.benchmark = c.benchmark AND f.task_id = c.task_id AND f.fixed = c.fixed),
+drawn AS (SELECT benchmark, value, i AS replicate, CAST(('0x' || substr(md5(task_id || '|' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM pairs, range(100) r(i)),
+means AS (SELECT benchmark, replicate, sum(w * value) / nullif(sum(w), 0) AS mean FROM (SELECT benchmark, replicate, value, {" + ".join(f"CAST(u >= {b!r} AS INT)" for b in CUM)} AS w FROM drawn) x GROUP BY ALL),
+bounds AS (SELECT benchmark, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM means GROUP BY ALL),
+met AS (SELECT c.benchmark, coalesce(cascade_tokens / reference_tokens <= 0.6, false) AS meets, coalesce(low > 0 OR high < 0, false) AS clear FROM checked c LEFT JOIN bounds b ON b.benchmark = c.benchmark)
+SELECT count(*) AS benchmarks, count(*) FILTER (meets) AS target_met, count(*) FILTER (meets AND clear) AS bar_met, count(*) FILTER (meets AND clear) >= 2 AS success FROM met""", "attempts")
+def success_bar_by_hashes(spark, sf_dir):
+    """The success bar with replicates whose weights are hashes of their tasks, so that SQL has the same."""
+    records = report.dealt_once(fixtures.attempts(spark, sf_dir).select(*NARROW))
+    points, curve = fixtures.points(summary.summary(records)), sweep(records)
+    check = report.target_check(points, curve, "B3")
+    pairs = replay.against_fixed(records, points, curve, report.chosen_thresholds(curve, check), STAGES, [logprob_score()])
+    return report.success_bar(check, bootstrap.poisson_intervals(pairs, ["benchmark"], replicates=100))
+
+
 @query()
 def policy_intervals(spark, sf_dir):
     """The summary with 95 % bounds of the accuracy by 2,000 replicates."""

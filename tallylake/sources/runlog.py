@@ -91,16 +91,20 @@ def quarantined(records: DataFrame) -> DataFrame:
     return records.where(~has_key())
 
 
-def latest(records: DataFrame, order: Sequence[str | Column] = ORDER, columns: Sequence[str] | None = None, dealt: bool = False) -> DataFrame:
+def latest(records: DataFrame, order: Sequence[str | Column] = ORDER, columns: Sequence[str] | None = None, dealt: bool = False, salts: int = 0) -> DataFrame:
     """The last record of every key by ``order``, even where it is an error and an earlier one was not.
 
     One shuffle, on (benchmark, task): later groupings by key, by task and seed, or by task and policy reuse it. Few records of a key are
     retries, so combining before the shuffle would sort all rows for little. ``columns`` prunes what goes through it; carry no long texts. ``dealt``: the records come from a table that is stored by
-    (benchmark, task), so nothing is shuffled.
+    (benchmark, task), so nothing is shuffled. ``salts``: for logs in which a task may have very many records, they are dealt to so many parts of a key first, whose last ones then meet; one more shuffle.
     """
     keep = [c for c in (columns or records.columns) if c not in KEY]
     last = F.max_by(F.struct(*keep), F.struct(*order)).alias("r")
     whole = records.where(has_key())
+    if salts:
+        ordered = whole.select(*KEY, *keep, F.struct(*order).alias("_order"))
+        parts = ordered.groupBy(*KEY, F.pmod(F.xxhash64("_order"), F.lit(salts)).alias("_salt")).agg(F.max_by(F.struct(*keep), "_order").alias("r"), F.max("_order").alias("_order"))
+        return parts.groupBy(*KEY).agg(F.max_by("r", "_order").alias("r")).select(*KEY, "r.*")
     return (whole if dealt else whole.repartition("benchmark", "task_id")).groupBy(*KEY).agg(last).select(*KEY, "r.*")
 
 

@@ -37,6 +37,14 @@ def test_log_reading(spark, tmp_path):
     assert done == {"1", "2"}
 
 
+def test_latest_of_a_task_with_very_many_records(spark):
+    rows = [("b", "1", "p", 0, i % 997, i, None if i % 5 else "E") for i in range(3000)] + [("b", "2", "p", 0, 5, 1, None), ("b", None, "p", 0, 5, 1, None)]
+    df = spark.createDataFrame(rows, "benchmark string, task_id string, policy string, seed int, v int, w int, error string")
+    plain = runlog.latest(df, ["v", "w"])
+    salted = runlog.latest(df, ["v", "w"], salts=7)
+    assert salted.columns == plain.columns and sorted(map(str, salted.collect())) == sorted(map(str, plain.collect())) and salted.count() == 2
+
+
 def test_latest_in_a_split_file(spark, tmp_path):
     path = write(tmp_path / "long.jsonl", [line(str(i % 50), correct=i >= 1950, pred=str(i)) for i in range(2000)])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
