@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallylake.operators.ranges import PER_RANGE, cuts, range_of, with_before, with_sums_before
 from tallylake.operators.summary import present, share
 from tallylake.schemas import COST_FIELDS, TASK_SEED
+from tallylake.sources.runlog import checkpointed
 
 #: What a record carries besides its result and cost, where the records have it.
 CARRIED = ("level", "meta")
@@ -100,10 +101,10 @@ SUMS = ("right", "tokens", "escalated", "n", "tasks")
 
 
 def changes(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], tasks: Column | None = None) -> DataFrame:
-    """``benchmark, at`` and ``SUMS``: how the sums over all replays change where the threshold, shared by all boundaries, passes ``at``; what holds from the start is at minus infinity.
+    """``benchmark, at`` and ``SUMS``, rows to be added up: how the sums over all replays change where the threshold, shared by all boundaries, passes ``at``; what holds from the start is at minus infinity.
 
     A replay stops at the first stage whose score reaches the threshold, so its outcome changes where the threshold passes a score that is higher than all before it: at most once
-    a boundary. The rows that leave a task are these changes, added up map-side, however many thresholds are asked for.
+    a boundary. The rows that leave a task are these changes, however many thresholds are asked for.
     """
     some = records.where(tasks) if tasks is not None else records
     rows = staged(some.drop("steps", *CARRIED), stages, scores)
@@ -116,8 +117,9 @@ def changes(records: DataFrame, stages: Sequence[str], scores: Sequence[Column],
         here = F.struct(until.alias("until"), stage["correct"].cast("int").alias("right"), tokens.alias("tokens"), F.lit(int(i > 0)).alias("escalated"))
         paths.append(F.when(until.isNotNull() & (top.isNull() | (until > top)) | F.lit(i == last), here))
         top = F.greatest(top, until)
-    weight = F.lit(1.0) / F.count("*").over(W.partitionBy("benchmark", "task_id"))
-    path = rows.select("benchmark", weight.alias("weight"), F.array_compact(F.array(*paths)).alias("path"))
+    # The seeds of a task are few; together they tell their number.
+    seeds = rows.groupBy("benchmark", "task_id").agg(F.collect_list(F.array_compact(F.array(*paths))).alias("seeds"))
+    path = seeds.select("benchmark", (F.lit(1.0) / F.size("seeds")).alias("weight"), F.explode("seeds").alias("path"))
 
     def change(now: Column, before: Column | None, at: Column) -> Column:
         less = lambda c: now[c] - before[c] if before is not None else now[c]
@@ -126,8 +128,7 @@ def changes(records: DataFrame, stages: Sequence[str], scores: Sequence[Column],
 
     first = F.array(change(F.col("path")[0], None, F.lit(float("-inf"))))
     later = F.transform(F.slice("path", F.lit(2), F.size("path") - 1), lambda now, i: change(now, F.col("path")[i], F.col("path")[i]["until"]))
-    moved = path.select("benchmark", F.explode(F.concat(first, later)).alias("c")).select("benchmark", "c.*")
-    return moved.groupBy("benchmark", "at").agg(*(F.sum(c).alias(c) for c in SUMS))
+    return path.select("benchmark", F.explode(F.concat(first, later)).alias("c")).select("benchmark", "c.*")
 
 
 def curve_point() -> list[Column]:
@@ -142,16 +143,18 @@ def swept(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], g
     """
     at = sorted({float(t) for t in grid})
     dealt = changes(records, stages, scores, tasks).groupBy("benchmark", range_of(F.col("at"), at, inclusive=True).alias("place")).agg(*(F.sum(c).alias(c) for c in SUMS))
-    every = dealt.groupBy("benchmark").agg(F.count("*").alias("rows")).select("benchmark", F.explode(F.lit([*range(len(at))]).cast("array<int>")).alias("place"), *(F.lit(0).alias(c) for c in SUMS))
-    both = dealt.where(F.col("place") < len(at)).unionByName(every).groupBy("benchmark", "place").agg(*(F.sum(c).alias(c) for c in SUMS))
-    up_to = W.partitionBy("benchmark").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    sums = both.select("benchmark", F.element_at(F.lit(at), F.col("place") + 1).alias("threshold"), *(F.sum(c).over(up_to).alias(c) for c in SUMS))
-    return sums.select("benchmark", "threshold", *curve_point())
+    order = W.partitionBy("benchmark").orderBy("place")
+    up_to = order.rowsBetween(W.unboundedPreceding, 0)
+    # A row holds for the thresholds up to the next one's; the first row of a benchmark is at its lowest threshold.
+    until = F.lead("place", 1, len(at)).over(order)
+    sums = dealt.where(F.col("place") < len(at)).select("benchmark", "place", until.alias("until"), *(F.sum(c).over(up_to).alias(c) for c in SUMS))
+    each = sums.withColumn("place", F.explode(F.sequence("place", F.col("until") - 1)))
+    return each.select("benchmark", F.element_at(F.lit(at).cast("array<double>"), F.col("place") + 1).alias("threshold"), *curve_point())
 
 
 def curve(records: DataFrame, stages: Sequence[str], scores: Sequence[Column], tasks: Column | None = None, per_range: int = PER_RANGE) -> DataFrame:
     """As ``swept``, at every threshold at which an outcome changes just beyond: the whole curve, exactly. Ranges of thresholds carry the running sums, so no task holds a benchmark."""
-    rows = changes(records, stages, scores, tasks)
+    rows = checkpointed(changes(records, stages, scores, tasks).groupBy("benchmark", "at").agg(*(F.sum(c).alias(c) for c in SUMS)))
     at = cuts(rows.where(F.col("at") > float("-inf")), "at", per_range)
     return with_sums_before(rows, ["benchmark"], "at", SUMS, at).where(F.col("at") > float("-inf")).select("benchmark", F.col("at").alias("threshold"), *curve_point())
 
