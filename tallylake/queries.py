@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,9 +34,16 @@ def query(sql: str | None = None, *views: str):
     return register
 
 
+def to_digits(x: Column, digits: int = 9) -> Column:
+    """A double to so many digits as SQL rounds it: the product with a power of ten to the next integer. Spark's ``round`` goes by the shortest decimal form, in which a sum next to a tie is on one side of it."""
+    power = F.lit(10.0**digits)
+    near = F.round(x * power) / power
+    return F.when(F.isnan(near) | (F.abs(near) == float("inf")), x).otherwise(near)
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles to 9 digits: sums of doubles depend on the order of rows."""
-    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+    return df.select(*(to_digits(F.col(c), digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 def logprob_score():
@@ -392,7 +399,7 @@ def tokens_to_every_target(spark, sf_dir):
     """The tokens with which the frontier over single attempts reaches the log probability of every attempt."""
     records = fixtures.attempts(spark, sf_dir)
     targets = records.select("benchmark", "task_id", "policy", "seed", F.col("mean_logprob").alias("target"))
-    return frontier.compute_to_target(attempt_points(records), targets, "x", "y", many=True).withColumn("tokens", F.round("tokens", 9))
+    return frontier.compute_to_target(attempt_points(records), targets, "x", "y", many=True).withColumn("tokens", to_digits(F.col("tokens")))
 
 
 @query(POINTS_SQL + """ SELECT p.benchmark, p.policy, round(p.gen_tokens, 9) AS gen_tokens, round(p.accuracy, 9) AS accuracy,
@@ -578,7 +585,7 @@ def fixed_router_evaluation(spark, sf_dir):
     """AUC and base rate of a given router on either half."""
     rows = routing.training_rows(fixtures.attempts(spark, sf_dir), "B0", signals=None)
     split = F.when(splits.in_train_split(F.col("task_id"), 0.5), "train").otherwise("test")
-    scored = rows.select(F.round(FIXED_ROUTER.score(), 9).alias("score"), F.col("correct").cast("int").alias("y"), split.alias("split"))
+    scored = rows.select(to_digits(FIXED_ROUTER.score()).alias("score"), F.col("correct").cast("int").alias("y"), split.alias("split"))
     return rounded(routing.rated(scored, ["split"]))
 
 
@@ -593,7 +600,7 @@ def router_features(spark, sf_dir):
 @query("WITH " + staged_sql(STAGES) + f", stopped AS (SELECT *, CASE WHEN round({ROUTED.format(sc='sc0', fi='fi0')}, 9) >= 0.6 THEN 0 WHEN sc1 >= -0.4 THEN 1 ELSE 2 END AS stop FROM wide) SELECT benchmark, task_id, seed, 'routed' AS policy, {replay_columns('stop')} FROM stopped", "attempts")
 def routed_replay(spark, sf_dir):
     """A cascade with a scorer of its own at each boundary: a router after the first stage, which sees its mean features where a record failed, and a signal after the second."""
-    scores = routing.stage_scores([F.round(FIXED_ROUTER.score(), 9), logprob_score()], STAGES)
+    scores = routing.stage_scores([to_digits(FIXED_ROUTER.score()), logprob_score()], STAGES)
     return rounded(replay.replayed(fixtures.attempts(spark, sf_dir), STAGES, scores, [0.6, -0.4], "routed"))
 
 

@@ -4,10 +4,12 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallylake import queries
 from tallylake.functions import signals, splits, usage
 from tallylake.operators import bootstrap, calls, frontier, jobs, ranges, replay, routing, summary
 from tallylake.plans import report
@@ -575,3 +577,10 @@ def test_trained_router_knows_its_training(spark):
     assert 0.5 < float(router.meta["train_auc"]) < 1 and 0 < float(router.meta["test_auc"]) < 1
     alone = routing.trained(df, "p", ["b"])
     assert alone.meta["benchmarks"] == "b" and "test_auc" not in alone.meta and alone.meta["split_frac"] == "None"
+
+
+def test_sums_next_to_a_tie_are_rounded_as_sql_does(spark):
+    """Latencies are cents over 8192: one sum of three in 64 is a tie at nine digits, and lies next to it as a double."""
+    values = [19.321367187499998, 19.3213671875, -19.321367187499998, 0.49999999999999994, 1e300, float("inf"), float("-inf"), None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", queries.to_digits(F.col("x")).alias("x")).orderBy("i")
+    assert [r["x"] for r in got.collect()] == [v for (v,) in duckdb.execute("SELECT round(x, 9) FROM (SELECT unnest(?::DOUBLE[]) AS x) t", [values]).fetchall()]
