@@ -922,7 +922,7 @@ def live_log(spark, sf_dir) -> state.LiveLog:
     lines = table(spark, sf_dir, "lineitem")
     stream = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
     records = fixtures.on(spark, fixtures.RAW_SQL, lineitem=stream, part=table(spark, sf_dir, "part"))
-    live = state.LiveLog(spark, f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", ["seq", *fixtures.TIES])
+    live = state.LiveLog(spark, f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", ["seq", *fixtures.TIES], max(1, lines.count() // state.TOGETHER))
     costs = ("calls", "prefill_tokens", "generated_tokens", "thinking_tokens", "latency_s")
     live.start(records.select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", *costs, *fixtures.TIES)).awaitTermination()
     return live

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from datetime import datetime
 
 import duckdb
 import numpy as np
@@ -584,3 +585,22 @@ def test_sums_next_to_a_tie_are_rounded_as_sql_does(spark):
     values = [19.321367187499998, 19.3213671875, -19.321367187499998, 0.49999999999999994, 1e300, float("inf"), float("-inf"), None]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", queries.to_digits(F.col("x")).alias("x")).orderBy("i")
     assert [r["x"] for r in got.collect()] == [v for (v,) in duckdb.execute("SELECT round(x, 9) FROM (SELECT unnest(?::DOUBLE[]) AS x) t", [values]).fetchall()]
+
+
+def test_a_live_log_calls_python_by_slots(spark, tmp_path):
+    """Hundreds of tasks are a few entries of the state; orders by doubles, times and texts with nulls and NaN, and values that text could lose, are those of the batch operator."""
+    rng = random.Random(4)
+    times = [None, datetime(2021, 3, 28, 1, 30, 0, 5), datetime(2021, 3, 28, 2, 30, 0, 4), datetime(1960, 1, 1)]
+    rows = [("b", f"t{rng.randrange(300)}", rng.choice("AB"), rng.randrange(2), rng.choice([None, float("nan"), -0.5, 0.1, float("inf")]), rng.choice(times), rng.choice([None, "", "é", "z"]), i, {"a": None, "q\"\n": 0.1 + i}, rng.choice([True, None]), rng.choice([None, "E"])) for i in range(3000)]
+    schema = "benchmark string, task_id string, policy string, seed int, x double, at timestamp_ntz, s string, i bigint, m map<string,double>, correct boolean, error string"
+    live = state.LiveLog(spark, str(tmp_path / "live"), ["x", "at", "s", "i"], slots=4)
+    for part in (rows[:2000], rows[2000:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        live.start(spark.readStream.schema(schema).parquet(str(tmp_path / "log"))).awaitTermination()
+    want = runlog.latest(spark.read.schema(schema).parquet(str(tmp_path / "log")), ["x", "at", "s", "i"])
+    as_rows = lambda df: sorted(str(tuple(r)) for r in df.select(want.columns).collect())
+    assert as_rows(live.latest()) == as_rows(want) and live.latest().schema == want.schema
+    with runlog.settings(spark, state.STORE):
+        assert spark.read.format("statestore").load(str(tmp_path / "live/stream")).count() <= 4
+    with pytest.raises(ValueError, match="do not go on"):
+        live.changes(spark.readStream.schema(schema + ", more int").parquet(str(tmp_path / "log")))
