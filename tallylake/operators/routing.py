@@ -114,12 +114,14 @@ def fitted(rows: DataFrame, features: Sequence[str], label: str = "y", l2: float
 
 def fitted_by(rows: DataFrame, groups: Sequence[str], features: Sequence[str], label: str = "y", l2: float = 1.0, rounds: int = 50) -> dict[tuple, Logistic]:
     """``fitted`` for every group (a policy, a benchmark, a split), all in one: each round is one job, whose gradient and Hessian sums are grouped.
+    Rows that agree in group, features and label are one with their number, so a round reads the distinct ones.
 
     The driver holds a few numbers a group; groups are of a configuration, not of the data. A group whose steps have ended takes no part in later rounds; one with under 20 rows has no router.
     """
     groups, k = list(groups), len(features)
     plain = F.array(*(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features)) if features else F.array().cast("array<double>")
-    data = rows.select(*groups, plain.alias("x"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull()).persist()
+    known = rows.select(*groups, plain.alias("x"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull())
+    data = known.groupBy(*groups, "x", "y").agg(F.count("*").cast("double").alias("n")).persist()
     spark = rows.sparkSession
     kinds = ", ".join(f"{g} {t}" for g, t in data.dtypes if g in groups)
 
@@ -133,24 +135,24 @@ def fitted_by(rows: DataFrame, groups: Sequence[str], features: Sequence[str], l
         return frame.join(table, same).drop(*names)
 
     key_of = lambda r: tuple(r[g] for g in groups)
-    stats = {key_of(r): r for r in data.groupBy(*groups).agg(F.count("*").alias("n"), *(F.avg(F.get("x", i)).alias(f"m{i}") for i in range(k))).collect()}
+    stats = {key_of(r): r for r in data.groupBy(*groups).agg(F.sum("n").alias("n"), *((F.sum(F.get("x", i) * F.col("n")) / F.sum(F.when(F.get("x", i).isNotNull(), F.col("n")))).alias(f"m{i}") for i in range(k))).collect()}
     mean = {key: [float(r[f"m{i}"]) if r[f"m{i}"] is not None else 0.0 for i in range(k)] for key, r in stats.items() if r["n"] >= LEAST_ROWS}
     if not mean:
         data.unpersist()
         return {}
     filled = met(data, {key: (m,) for key, m in mean.items()}, "mean array<double>").withColumn("x", F.transform("x", lambda v, i: F.coalesce(v, F.get("mean", i))))
-    spread = filled.groupBy(*groups).agg(F.lit(0).alias("none"), *(F.stddev_pop(F.get("x", i)).alias(f"s{i}") for i in range(k))).collect()
+    spread = filled.groupBy(*groups).agg(F.lit(0).alias("none"), *(F.sqrt(F.sum(F.col("n") * (F.get("x", i) - F.get("mean", i)) * (F.get("x", i) - F.get("mean", i))) / F.sum("n")).alias(f"s{i}") for i in range(k))).collect()
     std = {key_of(r): [float(s) if (s := r[f"s{i}"]) is not None and s >= 1e-8 else 1.0 for i in range(k)] for r in spread}
     scaled = met(filled, {key: (s,) for key, s in std.items()}, "std array<double>")
-    design = scaled.select(*groups, "y", F.concat(F.array(F.lit(1.0)), F.transform("x", lambda v, i: (v - F.get("mean", i)) / F.get("std", i))).alias("x")).persist()
+    design = scaled.select(*groups, "y", "n", F.concat(F.array(F.lit(1.0)), F.transform("x", lambda v, i: (v - F.get("mean", i)) / F.get("std", i))).alias("x")).persist()
     d = k + 1
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     weights, active, penalty = {key: np.zeros(d) for key in mean}, {*mean}, np.diag([0.0] + [l2] * (d - 1))
     for _ in range(rounds):
         z = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
         scored = met(design, {key: (weights[key].tolist(),) for key in active}, "w array<double>").withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
-        gradient = [F.sum((F.col("p") - F.col("y")) * F.get("x", i)).alias(f"g{i}") for i in range(d)]
-        hessian = [F.sum(F.col("p") * (1 - F.col("p")) * F.get("x", i) * F.get("x", j)).alias(f"h{i}_{j}") for i, j in pairs]
+        gradient = [F.sum(F.col("n") * (F.col("p") - F.col("y")) * F.get("x", i)).alias(f"g{i}") for i in range(d)]
+        hessian = [F.sum(F.col("n") * F.col("p") * (1 - F.col("p")) * F.get("x", i) * F.get("x", j)).alias(f"h{i}_{j}") for i, j in pairs]
         for r in scored.groupBy(*groups).agg(*gradient, *hessian).collect():
             key, h = key_of(r), np.zeros((d, d))
             for i, j in pairs:
