@@ -112,8 +112,8 @@ def poisson_bounds(most: int = 8) -> list[float]:
 
 def poisson_weight(name: Column) -> Column:
     """A Poisson(1) weight from the MD5 of a name: the first 32 bits against the cumulative probabilities."""
-    u = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return sum((F.when(u >= b, 1).otherwise(0) for b in poisson_bounds()), F.lit(0))
+    first = F.substring(F.md5(name), 1, 8)  # of eight digits each, hexadecimal numbers compare as texts
+    return sum((F.when(first >= f"{math.ceil(b * 2**32):08x}", 1).otherwise(0) for b in poisson_bounds()), F.lit(0))
 
 
 def poisson_replicates(values: DataFrame, groups: Sequence[str], task: str = "task_id", value: str = "value", replicates: int = 100) -> DataFrame:
