@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallylake.operators.ranges import PER_RANGE, cuts, with_before, with_neighbours
+from tallylake.sources.runlog import checkpointed
 
 
 def pareto_frontier(points: DataFrame, x: str = "gen_tokens", y: str = "accuracy", point_id: str = "policy", groups: Sequence[str] = ("benchmark",), many: bool = False, per_range: int = PER_RANGE) -> DataFrame:
@@ -62,6 +63,7 @@ def marginal_efficiency(rows: DataFrame, reference: str, x: str = "gen_tokens",
 
 
 def with_frontier_flag(rows: DataFrame, x: str = "gen_tokens", y: str = "accuracy") -> DataFrame:
-    """``rows`` with ``on_frontier``."""
+    """``rows`` with ``on_frontier``. They are few and read twice, so they are computed first."""
+    rows = checkpointed(rows)
     on = pareto_frontier(rows, x, y).select("benchmark", "policy", F.lit(True).alias("_on"))
     return rows.join(on, ["benchmark", "policy"], "left").withColumn("on_frontier", F.coalesce("_on", F.lit(False))).drop("_on")
