@@ -56,6 +56,9 @@ SELECT benchmark, task_id, policy, seed, mean_logprob, generated_tokens,
 FROM attempts_raw
 """
 
+#: Columns of the attempts that outputs are made of.
+OF_OUTPUTS = ("seq", "l_quantity", "l_discount")
+
 OUTPUTS_SQL = """
 SELECT benchmark, task_id, policy, seed, 'math' AS kind, CAST(seq % 6 AS INT) AS form,
  CASE CAST(seq % 6 AS INT)
@@ -114,26 +117,28 @@ def attempts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on(spark, RAW_SQL, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest record of every key, by the library's own operator."""
+def attempts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The latest record of every key, by the library's own operator; with its key and the ``columns`` named, else with all: what is not named does not go through the shuffle."""
     raw = attempts_raw(spark, sf_dir)
-    return latest(raw, order=["seq", *TIES])
+    return latest(raw, ["seq", *TIES], columns)
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return on(spark, CALLS_SQL, attempts=attempts(spark, sf_dir))
+    return on(spark, CALLS_SQL, attempts=attempts(spark, sf_dir, "error", "calls", "prefill_tokens", "thinking_tokens", "generated_tokens", "l_discount", "l_suppkey"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on(spark, SAMPLES_SQL, attempts_raw=attempts_raw(spark, sf_dir))
 
 
-def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return on(spark, OUTPUTS_SQL, attempts=attempts(spark, sf_dir))
+def outputs(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
+    """Outputs of the attempts, or of ``records`` that were made of them."""
+    return on(spark, OUTPUTS_SQL, attempts=attempts(spark, sf_dir, *OF_OUTPUTS) if records is None else records)
 
 
-def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return on(spark, LIVE_SQL, attempts=attempts(spark, sf_dir))
+def live(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """What live cascades logged, from attempts, of which each is read for several stages."""
+    return on(spark, LIVE_SQL, attempts=records)
 
 
 def points(records: DataFrame) -> DataFrame:

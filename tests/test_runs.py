@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 from datetime import datetime
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tallylake import queries
 from tallylake.functions import signals, splits, usage
 from tallylake.operators import bootstrap, calls, frontier, jobs, ranges, replay, routing, summary
-from tallylake.plans import report
+from tallylake.plans import fixtures, report
 from tallylake.sources import runlog, tasks
 from tallylake.streaming import log, state
 
@@ -604,3 +605,11 @@ def test_a_live_log_calls_python_by_slots(spark, tmp_path):
         assert spark.read.format("statestore").load(str(tmp_path / "live/stream")).count() <= 4
     with pytest.raises(ValueError, match="do not go on"):
         live.changes(spark.readStream.schema(schema + ", more int").parquet(str(tmp_path / "log")))
+
+
+def test_attempts_carry_the_columns_named(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    some = fixtures.attempts(spark, "/root/testdata/sf0.001", "latency_s")
+    assert some.columns == ["benchmark", "task_id", "policy", "seed", "latency_s"]
+    assert "TimeoutError" not in some._jdf.queryExecution().executedPlan().toString()  # the error's text is not made
