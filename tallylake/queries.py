@@ -919,21 +919,20 @@ def stream_latest(spark, sf_dir):
     return result_without(kept.read().select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens"), folder)
 
 
-def live_log(spark, sf_dir) -> state.LiveLog:
-    """The run log as a file stream, with its latest records in a state store of the shared folder."""
+def live_log(spark, sf_dir, *columns: str) -> state.LiveLog:
+    """The run log as a file stream, with its latest records in a state store of the shared folder: key, what orders them, result and the ``columns`` named."""
     lines = table(spark, sf_dir, "lineitem")
     stream = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
     records = fixtures.on(spark, fixtures.RAW_SQL, lineitem=stream, part=table(spark, sf_dir, "part"))
     live = state.LiveLog(spark, f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", ["seq", *fixtures.TIES], max(1, lines.count() // state.TOGETHER))
-    costs = ("calls", "prefill_tokens", "generated_tokens", "thinking_tokens", "latency_s")
-    live.start(records.select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", *costs, *fixtures.TIES)).awaitTermination()
+    live.start(records.select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", *columns, *fixtures.TIES)).awaitTermination()
     return live
 
 
 @query("SELECT benchmark, task_id, policy, seed, seq, correct, error, generated_tokens FROM attempts", "attempts")
 def live_latest(spark, sf_dir):
     """The latest record per key, read from the state that a stream keeps."""
-    live = live_log(spark, sf_dir)
+    live = live_log(spark, sf_dir, "generated_tokens")
     return result_without(live.latest().select("benchmark", "task_id", "policy", "seed", "seq", "correct", "error", "generated_tokens"), live.folder)
 
 
@@ -947,6 +946,6 @@ def live_progress(spark, sf_dir):
 @query("WITH " + SUMMARY_SQL.format(source="attempts").strip() + " SELECT benchmark, policy, tasks, records, errors, round(accuracy, 9) AS accuracy, round(calls, 9) AS calls, round(prefill_tokens, 9) AS prefill_tokens, round(generated_tokens, 9) AS generated_tokens, round(thinking_tokens, 9) AS thinking_tokens, round(latency_s, 9) AS latency_s FROM summarised", "attempts")
 def live_summary(spark, sf_dir):
     """The summary from the counts per task that a stream keeps, after they were folded."""
-    live = live_log(spark, sf_dir)
+    live = live_log(spark, sf_dir, *summary.COSTS)
     live.fold()
     return result_without(rounded(live.summary()), live.folder)

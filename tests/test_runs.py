@@ -4,7 +4,7 @@ import json
 import math
 import os
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
@@ -607,6 +607,28 @@ def test_a_live_log_calls_python_by_slots(spark, tmp_path):
         live.changes(spark.readStream.schema(schema + ", more int").parquet(str(tmp_path / "log")))
 
 
+def test_a_live_log_keeps_little_more_than_its_records_hold(spark, tmp_path):
+    """The store's bytes a record, of which what orders it is a part; values of every kind are those of the batch operator, kept plainly or as text."""
+    rng = random.Random(7)
+    at = lambda: datetime(1992, 1, 1) + timedelta(days=rng.randrange(2500))
+    none = lambda x: None if rng.random() < 0.1 else x
+    rows = [("LARGE", f"part-{rng.randrange(2000)}", f"B{rng.randrange(5)}", rng.randrange(3), i, at(), rng.randrange(1000), rng.randrange(900_00, 105_000_00) / 100, rng.choice("ANR"), none(rng.random() < 0.5), none(rng.randrange(100)), none("TimeoutError: x")) for i in range(12_000)]
+    schema = "benchmark string, task_id string, policy string, seed int, seq bigint, shipped timestamp_ntz, supplier bigint, price double, flag string, correct boolean, calls bigint, error string"
+    small = {"t": "CAST(calls AS TINYINT)", "f": "CAST(IF(calls = 3, 'NaN', price) AS FLOAT)", "d": "CAST(shipped AS DATE)", "z": "CAST(shipped AS TIMESTAMP)", "n": "CAST(price AS DECIMAL(12,2))", "a": "array(flag, NULL)"}
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "log"))
+    order, read = ["seq", "shipped", "supplier", "price", "flag"], spark.read.schema(schema).parquet(str(tmp_path / "log"))
+    for folder, more in (("live", {}), ("kinds", {c: F.expr(x) for c, x in small.items()})):
+        live = state.LiveLog(spark, str(tmp_path / folder), order, slots=6)
+        live.start(spark.readStream.schema(schema).parquet(str(tmp_path / "log")).withColumns(more)).awaitTermination()
+        want = runlog.latest(read.withColumns(more), order)
+        as_rows = lambda df: sorted(str(tuple(r)) for r in df.select(want.columns).collect())
+        assert as_rows(live.latest()) == as_rows(want) and dict(live.latest().dtypes) == dict(want.dtypes)
+    kept = sum(f.stat().st_size for f in (tmp_path / "live/stream/state").rglob("*.changelog"))
+    assert 0 < kept < 60 * state.LiveLog(spark, str(tmp_path / "live"), order).latest().count()
+    with pytest.raises(ValueError, match="do not go on"):
+        state.LiveLog(spark, str(tmp_path / "live"), order[1:]).changes(spark.readStream.schema(schema).parquet(str(tmp_path / "log")))
+
+
 def test_attempts_carry_the_columns_named(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
